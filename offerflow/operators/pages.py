@@ -426,3 +426,32 @@ def card_offers(cards: DataFrame, rule: dict) -> DataFrame:
         link = absolute_url(link, rule["prefix"], always=rule.get("prefix_always", False))
     title = clean_listing_title("title") if rule.get("clean_title") else F.col("title")
     return out.select("page_id", "site", "pos", link.alias("job_url"), title.alias("title"), "company")
+
+
+def links_to_details(links: DataFrame, details: DataFrame) -> DataFrame:
+    """Attach the description page to each listing link (left join on the
+    canonical URL). Run it after title match and the seen check, so that no
+    unneeded detail page is parsed."""
+    host = F.regexp_extract("page_url", r"^(https?://[^/?#]+)", 1)
+    job_url = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat(host, F.col("href")))
+    l = links.select("page_id", "pos", job_url.alias("job_url"))
+    d = details.select(F.col("page_id").alias("detail_page_id"), canonical_url("url").alias("_k"))
+    return (l.withColumn("_k", canonical_url("job_url"))
+            .join(d, "_k", "left").select("page_id", "pos", "job_url", "detail_page_id"))
+
+
+def run_extractor(pages: DataFrame, fn, schema) -> DataFrame:
+    """Plug-in extractor: ``fn(page_id, url, html) -> list of row tuples``,
+    run per page inside Arrow batches (new source = new rule or callable)."""
+    ddl = schema if isinstance(schema, str) else schema.simpleString()
+    out_schema = T._parse_datatype_string(ddl) if isinstance(schema, str) else schema
+    names = [f.name for f in out_schema.fields]
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for pid, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
+                rows.extend(fn(pid, url, html))
+            yield pd.DataFrame(rows, columns=names)
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, out_schema)

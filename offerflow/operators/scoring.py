@@ -145,11 +145,11 @@ def parse_verdict(raw: DataFrame, col: str = "raw") -> DataFrame:
     parsed = F.from_json(F.col(col), VERDICT_RAW)
     p = raw.withColumn("_v", parsed)
     score_txt = F.col("_v.match_score")
-    as_int = F.expr("try_cast(_v.match_score AS INT)")
-    as_dec = F.expr("try_cast(_v.match_score AS DECIMAL(20,6))")
-    score = F.when(as_int.isNotNull(), as_int).when(
-        as_dec.isNotNull() & (as_dec == F.floor(as_dec)), as_dec.cast("int"))
-    err = (F.when(F.col("_v").isNull(), F.lit("not_json"))
+    as_dec = F.expr("try_cast(trim(_v.match_score) AS DECIMAL(20,6))")
+    score = F.when(as_dec.isNotNull() & (as_dec == F.floor(as_dec)) & (F.abs(as_dec) <= F.lit(2147483647)),
+                   as_dec.cast("int"))
+    is_json = F.get_json_object(F.col(col), "$").isNotNull()
+    err = (F.when(~F.coalesce(is_json, F.lit(False)) | F.col("_v").isNull(), F.lit("not_json"))
            .when(score_txt.isNull(), F.lit("missing_score"))
            .when(score.isNull(), F.lit("score_not_integer"))
            .when((score < 0) | (score > 100), F.lit("score_out_of_range"))

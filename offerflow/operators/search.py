@@ -374,3 +374,60 @@ def topic_slugs(topics: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ---------------------------------------------------------------------------
+# crawl plan: listing URLs per search (a frontier table; nothing is fetched)
+# ---------------------------------------------------------------------------
+
+def search_plan(compiled: DataFrame) -> DataFrame:
+    """(profile_id, site, url) listing URLs of every search, built as columns
+    of the search row (templates are fixed values), exploded, distinct."""
+    from ..functions.text import quote_plus
+
+    loc = F.coalesce(F.col("location"), F.lit(""))
+    lloc = F.lower(loc)
+    remote = F.coalesce(F.col("remote_only"), F.lit(False))
+    groups = F.coalesce(F.col("groups"), F.array().cast("array<array<string>>"))
+    flat = F.flatten(groups)
+    junior = F.coalesce(F.arrays_overlap(flat, F.array(*[F.lit(w) for w in JUNIOR_WORDS_CURRENT])), F.lit(False))
+    first = F.coalesce(F.get(groups, 0), F.array().cast("array<string>"))
+    kws = F.when(F.size(first) > 0, first).otherwise(F.array(F.lit("Data")))
+    geo = F.when(loc.contains("Katowice"), F.lit("90009829")).otherwise(F.lit("105072130"))
+
+    def su(site, url):
+        return F.struct(F.lit(site).alias("site"), url.alias("url"))
+
+    linkedin = F.transform(kws, lambda kw: su("LinkedIn", F.concat(
+        F.lit("https://www.linkedin.com/jobs/search/?keywords="), quote_plus(kw), F.lit("&geoId="), geo,
+        F.lit("&f_TPR=r2592000&f_E=1%2C2&f_F=it&refresh=true"),
+        F.when(remote, F.lit("&f_WT=2")).otherwise(F.lit("")))))
+    topics = topics_col("groups")
+    jj_loc = F.when((loc == "") | remote, F.lit("all-locations")).otherwise(lloc)
+    jj = F.transform(topics, lambda t: su("JustJoinIT", F.concat(
+        F.lit("https://justjoin.it/job-offers/"), jj_loc, F.lit("/"), t,
+        F.when(junior, F.lit("?experience-level=junior")).otherwise(F.lit("")))))
+    nfj_mid = F.when(remote, F.lit("remote")).otherwise(lloc)
+    nfj = F.transform(topics, lambda t: su("NoFluffJobs", F.concat(
+        F.lit("https://nofluffjobs.com/pl/"),
+        F.when(nfj_mid != "", F.concat(nfj_mid, F.lit("/"))).otherwise(F.lit("")),
+        topic_slug_col("NoFluffJobs", t),
+        F.when(junior, F.lit("?criteria=seniority%3Dtrainee,junior")).otherwise(F.lit("")))))
+    tp = F.transform(topics, lambda t: su("TheProtocol", F.concat(
+        F.lit("https://theprotocol.it/filtry/"),
+        F.array_join(F.array(F.concat(topic_slug_col("TheProtocol", t), F.lit(";sp")),
+                             F.when(junior, F.lit("trainee,assistant,junior;p")),
+                             F.when(remote, F.lit("remote;wm")).when(loc != "", F.concat(lloc, F.lit(";wp")))),
+                     "/"))))
+    bulldog = F.array(su("BulldogJob", F.concat(
+        F.lit("https://bulldogjob.pl/companies/jobs/s/"),
+        F.array_join(F.array(F.when(remote, F.lit("remote,true")).when(loc != "", F.concat(F.lit("city,"), loc)),
+                             F.when(junior, F.lit("experienceLevel,intern,junior"))), "/"))))
+    pracuj_loc = (F.when(remote, F.lit("praca%20zdalna;wm,home-office"))
+                  .when(loc != "", F.concat(lloc, F.lit(";wp"))).otherwise(F.lit("")))
+    pracuj = F.array(su("Pracuj.pl", F.concat(
+        F.lit("https://it.pracuj.pl/praca/"), pracuj_loc, F.lit("?rd=0"),
+        F.when(junior, F.lit("&et=1%2C3%2C17")).otherwise(F.lit("")))))
+    allu = F.concat(linkedin, jj, nfj, tp, bulldog, pracuj)
+    return (compiled.select("profile_id", F.explode(allu).alias("u"))
+            .select("profile_id", "u.site", "u.url").distinct())

@@ -575,3 +575,353 @@ def q_incremental(spark, sf):
     _, final = fold_runs([o.where(F.col("batch_id") == k) for k in (1, 2, 3)], state,
                          FLAGSHIP_GROUPS, FLAGSHIP_EXCLUDES)
     return final.current.select("seq", "batch_id", "job_url")
+
+
+# ---------------------------------------------------------------------------
+# 2.8 crawl plan
+# ---------------------------------------------------------------------------
+
+def _search_plan_sql() -> str:
+    loc = "coalesce(location, '')"
+    lloc = f"lower({loc})"
+    rem = "coalesce(remote_only, false)"
+    junior = f"coalesce(list_has_any(flatten(groups), {O._list(se.JUNIOR_WORDS_CURRENT)}), false)"
+    first = "coalesce(groups[1], []::VARCHAR[])"
+    kws = f"CASE WHEN len({first}) > 0 THEN {first} ELSE ['Data'] END"
+    geo = f"CASE WHEN contains({loc}, 'Katowice') THEN '90009829' ELSE '105072130' END"
+    qp = "replace(url_encode(kw), '%20', '+')"
+    nfj = _slug_sql("NoFluffJobs")
+    tp = _slug_sql("TheProtocol")
+    return O.with_(O.PROFILES, O.COMPILED, f"tp AS (SELECT *, unnest({_topics_sql('groups')}) AS topic FROM compiled)") + f"""
+SELECT DISTINCT profile_id, site, url FROM (
+  SELECT profile_id, 'LinkedIn' AS site, 'https://www.linkedin.com/jobs/search/?keywords=' || {qp} || '&geoId=' || {geo}
+     || '&f_TPR=r2592000&f_E=1%2C2&f_F=it&refresh=true' || CASE WHEN {rem} THEN '&f_WT=2' ELSE '' END AS url
+  FROM (SELECT *, unnest({kws}) AS kw FROM compiled)
+  UNION ALL
+  SELECT profile_id, 'JustJoinIT', 'https://justjoin.it/job-offers/' || CASE WHEN {loc} = '' OR {rem} THEN 'all-locations'
+     ELSE {lloc} END || '/' || topic || CASE WHEN {junior} THEN '?experience-level=junior' ELSE '' END FROM tp
+  UNION ALL
+  SELECT profile_id, 'NoFluffJobs', 'https://nofluffjobs.com/pl/' || CASE WHEN {rem} THEN 'remote/' WHEN {lloc} <> ''
+     THEN {lloc} || '/' ELSE '' END || {nfj} || CASE WHEN {junior} THEN '?criteria=seniority%3Dtrainee,junior' ELSE '' END
+  FROM tp
+  UNION ALL
+  SELECT profile_id, 'TheProtocol', 'https://theprotocol.it/filtry/' || {tp} || ';sp'
+     || CASE WHEN {junior} THEN '/trainee,assistant,junior;p' ELSE '' END
+     || CASE WHEN {rem} THEN '/remote;wm' WHEN {loc} <> '' THEN '/' || {lloc} || ';wp' ELSE '' END FROM tp
+  UNION ALL
+  SELECT profile_id, 'BulldogJob', 'https://bulldogjob.pl/companies/jobs/s/' || array_to_string(list_filter([
+     CASE WHEN {rem} THEN 'remote,true' WHEN {loc} <> '' THEN 'city,' || {loc} END,
+     CASE WHEN {junior} THEN 'experienceLevel,intern,junior' END], lambda z: z IS NOT NULL), '/') FROM compiled
+  UNION ALL
+  SELECT profile_id, 'Pracuj.pl', 'https://it.pracuj.pl/praca/' || CASE WHEN {rem} THEN 'praca%20zdalna;wm,home-office'
+     WHEN {loc} <> '' THEN {lloc} || ';wp' ELSE '' END || '?rd=0' || CASE WHEN {junior} THEN '&et=1%2C3%2C17' ELSE '' END
+  FROM compiled)"""
+
+
+@register("search_plan", _search_plan_sql())
+def q_search_plan(spark, sf):
+    return se.search_plan(se.compiled_profiles(fx.profiles(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# 2.9 verdicts and dead letters
+# ---------------------------------------------------------------------------
+
+def _raw_verdicts(o: DataFrame) -> DataFrame:
+    """Model-like raw replies derived from each offer (score from the doc id),
+    covering the traps: int, text, .0, .5, out of range, null skills, not JSON."""
+    k, s = F.col("seq") % 8, (F.col("seq") % 101).cast("string")
+    tail = F.lit(', "missing_skills": ["sql"], "advice": "ok"}')
+    raw = (F.when(k == 0, F.concat(F.lit('{"match_score": '), s, tail))
+           .when(k == 1, F.concat(F.lit('{"match_score": "'), s, F.lit('"'), tail))
+           .when(k == 2, F.concat(F.lit('{"match_score": '), s, F.lit(".0"), tail))
+           .when(k == 3, F.concat(F.lit('{"match_score": '), s, F.lit(".5"), tail))
+           .when(k == 4, F.concat(F.lit('{"match_score": '), (F.col("seq") % 101 + 100).cast("string"), tail))
+           .when(k == 5, F.concat(F.lit('{"match_score": '), s, F.lit(', "missing_skills": null, "advice": "ok"}')))
+           .when(k == 6, F.concat(F.lit("not json "), F.col("seq").cast("string")))
+           .otherwise(F.concat(F.lit('{"missing_skills": [], "advice": "none"}'))))
+    return o.select("seq", raw.alias("raw"))
+
+
+RAW_SQL = """raw AS (SELECT seq, CASE seq % 8
+  WHEN 0 THEN '{"match_score": ' || CAST(seq % 101 AS VARCHAR) || ', "missing_skills": ["sql"], "advice": "ok"}'
+  WHEN 1 THEN '{"match_score": "' || CAST(seq % 101 AS VARCHAR) || '", "missing_skills": ["sql"], "advice": "ok"}'
+  WHEN 2 THEN '{"match_score": ' || CAST(seq % 101 AS VARCHAR) || '.0, "missing_skills": ["sql"], "advice": "ok"}'
+  WHEN 3 THEN '{"match_score": ' || CAST(seq % 101 AS VARCHAR) || '.5, "missing_skills": ["sql"], "advice": "ok"}'
+  WHEN 4 THEN '{"match_score": ' || CAST(seq % 101 + 100 AS VARCHAR) || ', "missing_skills": ["sql"], "advice": "ok"}'
+  WHEN 5 THEN '{"match_score": ' || CAST(seq % 101 AS VARCHAR) || ', "missing_skills": null, "advice": "ok"}'
+  WHEN 6 THEN 'not json ' || CAST(seq AS VARCHAR)
+  ELSE '{"missing_skills": [], "advice": "none"}' END AS raw FROM offers)"""
+
+PARSE_SQL = """parsed AS (SELECT seq,
+  CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.match_score') END AS s_txt,
+  json_valid(raw) AS ok_json,
+  CASE WHEN json_valid(raw) THEN json_extract(raw, '$.missing_skills') END AS skills_j,
+  CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.advice') END AS advice
+  FROM raw),
+typed AS (SELECT *, TRY_CAST(trim(s_txt) AS DECIMAL(20,6)) AS dec FROM parsed),
+verdicts AS (SELECT seq,
+  CASE WHEN dec = floor(dec) AND abs(dec) <= 2147483647 THEN CAST(dec AS INTEGER) END AS match_score,
+  ok_json, s_txt, skills_j, advice FROM typed)"""
+
+
+@register("parse_verdict", O.with_(O.OFFERS, RAW_SQL, PARSE_SQL) + """
+SELECT seq, match_score, CASE WHEN NOT ok_json THEN 'not_json' WHEN s_txt IS NULL THEN 'missing_score'
+  WHEN match_score IS NULL THEN 'score_not_integer' WHEN match_score < 0 OR match_score > 100 THEN 'score_out_of_range'
+  WHEN skills_j IS NULL OR json_type(skills_j) = 'NULL' THEN 'missing_skills_null'
+  WHEN advice IS NULL THEN 'missing_advice' END AS verdict_error FROM verdicts""")
+def q_parse_verdict(spark, sf):
+    return sc.parse_verdict(_raw_verdicts(offers_df(spark, sf))).select("seq", "match_score", "verdict_error")
+
+
+def stub_scorer(pdf):
+    """A user scorer for the plug point: fails rows whose description holds no
+    full stop, scores the others by description length."""
+    import pandas as pd
+
+    desc = pdf["description"].fillna("")
+    has_dot = desc.str.contains(".", regex=False)
+    return pd.DataFrame({
+        "match_score": (desc.str.len() % 101).where(has_dot),
+        "missing_skills": [[] for _ in range(len(pdf))],
+        "advice": desc.str.slice(0, 20).where(has_dot),
+        "error": pd.Series(["no_sentence"] * len(pdf)).where(~has_dot.to_numpy(), None).to_numpy(),
+    })
+
+
+@register("dead_letter", O.with_(O.OFFERS) + """
+SELECT seq, 'no_sentence' AS error FROM offers
+WHERE batch_id > 0 AND length(description) > 0 AND NOT contains(description, '.')""")
+def q_dead_letter(spark, sf):
+    o = offers_df(spark, sf).where("batch_id > 0").select("seq", "title", "description")
+    scored = sc.score_offers(o.withColumn("cv_text", F.lit("")), scorer=stub_scorer)
+    return sc.dead_letter(scored).select("seq", "error")
+
+
+@register("score_offers_plugin", O.with_(O.OFFERS) + """
+SELECT seq, CAST(length(description) % 101 AS INTEGER) AS match_score FROM offers
+WHERE batch_id > 0 AND length(description) > 0 AND contains(description, '.')""")
+def q_score_plugin(spark, sf):
+    o = offers_df(spark, sf).where("batch_id > 0").select("seq", "title", "description")
+    scored = sc.score_offers(o.withColumn("cv_text", F.lit("")), scorer=stub_scorer)
+    return sc.scored_ok(scored).select("seq", "match_score")
+
+
+# ---------------------------------------------------------------------------
+# 2.3 pages
+# ---------------------------------------------------------------------------
+
+def _pages(spark, sf):
+    return fx.table(spark, sf, "pages")
+
+
+def _link_site_sql(href: str) -> str:
+    from ..operators.pages import LINK_RULES
+    whens = []
+    for site, keep, stop in LINK_RULES:
+        cond = f"contains({href}, '{keep}')" + (f" AND NOT contains({href}, '{stop}')" if stop else "")
+        whens.append(f"WHEN {cond} THEN '{site}'")
+    return "CASE " + " ".join(whens) + " END"
+
+
+@register("page_links", O.with_(PAGE_LINKS_SQL) +
+          f"SELECT page_id, page_url, pos, href, {_link_site_sql('href')} AS site FROM page_links")
+def q_page_links(spark, sf):
+    return _page_links_df(spark, sf)
+
+
+@register("src_pages", "SELECT page_id, url, CAST(length(html) AS BIGINT) AS html_len FROM pages")
+def q_src_pages(spark, sf):
+    return _pages(spark, sf).select("page_id", "url", F.length("html").cast("long").alias("html_len"))
+
+
+@register("links_to_details", O.with_(
+    PAGE_LINKS_SQL,
+    "det AS (SELECT page_id AS detail_page_id, split_part(url, '?', 1) AS job_url FROM pages)") + """
+SELECT l.page_id, l.pos, l.job_url, d.detail_page_id FROM (
+  SELECT page_id, pos, CASE WHEN starts_with(href, 'http') THEN href
+    ELSE regexp_extract(page_url, '^(https?://[^/?#]+)', 1) || href END AS job_url FROM page_links) l
+LEFT JOIN det d ON d.job_url = split_part(l.job_url, '?', 1)""")
+def q_links_details(spark, sf):
+    from ..operators.pages import links_to_details
+    return links_to_details(_page_links_df(spark, sf), _pages(spark, sf))
+
+
+def _elements(spark, sf):
+    from ..operators.pages import parse_elements
+    return parse_elements(_pages(spark, sf))
+
+
+@register("block_text")
+def q_block_text(spark, sf):
+    e = _elements(spark, sf)
+    return e.where(F.col("tag") == "#document").select("page_id", F.length("text").cast("long").alias("text_len"),
+                                                       F.md5("text").alias("text_md5"))
+
+
+@register("longest_block")
+def q_longest_block(spark, sf):
+    from ..operators.pages import longest_block
+    return longest_block(_elements(spark, sf), tags=("div", "article", "p"), lo=200, hi=15000,
+                         stop_phrases=("©",))
+
+
+@register("page_description")
+def q_page_description(spark, sf):
+    from ..operators.pages import DESCRIPTION_RULES, page_description
+    return page_description(_elements(spark, sf), DESCRIPTION_RULES["TheProtocol"])
+
+
+@register("join_sections")
+def q_join_sections(spark, sf):
+    from ..operators.pages import join_sections
+    return join_sections(_elements(spark, sf))
+
+
+# A card rule for the test pages: every link is a card, title by h2, span,
+# else the link text (the JustJoinIT fallback chain without its marker).
+ANCHOR_CARDS = dict(site="Anchors", container=[("a", "href", None, "any")], link=None,
+                    title=[("h2", None, None, "eq"), ("span", None, None, "eq")], title_self=True,
+                    company_const="Anchors")
+
+
+@register("page_cards")
+def q_page_cards(spark, sf):
+    from ..operators.pages import page_cards
+    return page_cards(_pages(spark, sf), ANCHOR_CARDS)
+
+
+@register("link_title")
+def q_link_title(spark, sf):
+    from ..operators.pages import page_cards
+    cards = page_cards(_pages(spark, sf), ANCHOR_CARDS)
+    return cards.select("page_id", "pos", tx.clean_listing_title("title").alias("title"))
+
+
+def title_plugin(page_id, url, html):
+    """Extractor plug-in example: the <h1> text of a page."""
+    import re
+    m = re.search(r"<h1[^>]*>(.*?)</h1>", html or "", re.S)
+    return [(page_id, url, m.group(1).strip() if m else None)]
+
+
+@register("extractor_plugin")
+def q_extractor(spark, sf):
+    from ..operators.pages import run_extractor
+    return run_extractor(_pages(spark, sf), title_plugin, "page_id long, url string, h1 string")
+
+
+# ---------------------------------------------------------------------------
+# 2.1 sources and sinks (round trips through the shared folder)
+# ---------------------------------------------------------------------------
+
+@register("src_history", O.with_(O.OFFERS) +
+          "SELECT DISTINCT job_url FROM offers WHERE batch_id = 0 AND job_url IS NOT NULL")
+def q_src_history(spark, sf):
+    from ..session import scratch_path
+    from ..sources import io
+    path = scratch_path(spark, "history_json")
+    hist = offers_df(spark, sf).where("batch_id = 0").select(
+        "title", "company", "location", "job_url", "site", "description", "posted_at")
+    hist.write.mode("overwrite").json(path)
+    return io.history_seen(io.read_history(spark, path, array=False))
+
+
+@register("snk_history", ORACLES["merge_history"])
+def q_snk_history(spark, sf):
+    from ..session import scratch_path
+    from ..sources import io
+    base = scratch_path(spark, "history")
+    o = offers_df(spark, sf)
+    io.write_snapshot(o.where("batch_id = 0").select(*[c for c in o.columns if c != "posted_ts"]), base, 0)
+    merged = st.merge_history(io.read_snapshot(spark, base, 0), o.where("batch_id > 0").drop("posted_ts"))
+    io.write_snapshot(merged, base, 1)
+    return io.read_snapshot(spark, base).select("seq", "job_url")
+
+
+@register("snk_working_set", ORACLES["flagship"])
+def q_snk_working(spark, sf):
+    from ..session import scratch_path
+    from ..sources import io
+    path = scratch_path(spark, "working_set")
+    fs = flagship(offers_df(spark, sf))
+    io.write_working_set(fs, path)
+    return spark.read.schema(fs.schema).json(path)
+
+
+@register("snk_results", ORACLES["to_result"])
+def q_snk_results(spark, sf):
+    from ..session import scratch_path
+    from ..sources import io
+    path = scratch_path(spark, "results")
+    res = sc.to_result(_scored_pairs(spark, sf))
+    io.append_results(res, path, partition="profile_id")
+    back = spark.read.parquet(path)
+    return back.select("profile_id", "seq", "company", "title", "url", "location",
+                       F.col("analysis.match_score").alias("match_score"),
+                       F.array_join("analysis.missing_skills", ",").alias("missing_skills"),
+                       F.col("analysis.advice").alias("advice"))
+
+
+@register("src_results", O.with_(O.OFFERS, O.PROFILES, O.COMPILED, MATCHED_PAIRS, O.RESUMES, SCORED_SQL) +
+          "SELECT DISTINCT job_url AS url FROM scored")
+def q_src_results(spark, sf):
+    from ..session import scratch_path
+    from ..sources import io
+    path = scratch_path(spark, "results_json")
+    io.results_to_json(sc.to_result(_scored_pairs(spark, sf))).write.mode("overwrite").text(path)
+    back = io.read_results(spark, path, array=False)
+    return back.select("url").where(F.col("url").isNotNull()).distinct()
+
+
+@register("src_profiles", O.with_(O.PROFILES) + """
+SELECT profile_id, 'Katowice' AS location, false AS remote_only, 14 AS max_days_old,
+       CAST(len(job_titles) AS INTEGER) AS n_titles, CAST(len(exclude_keywords) AS INTEGER) AS n_excludes FROM profiles""")
+def q_src_profiles(spark, sf):
+    from ..session import scratch_path
+    from ..sources import io
+    path = scratch_path(spark, "profiles_json")
+    fx.profiles(spark, sf).select("profile_id", "job_titles", "exclude_keywords").write.mode("overwrite").json(path)
+    p = io.read_profiles(spark, path)
+    return p.select("profile_id", "location", "remote_only", "max_days_old",
+                    F.size("job_titles").alias("n_titles"), F.size("exclude_keywords").alias("n_excludes"))
+
+
+@register("src_resumes", O.with_(O.PROFILES, O.RESUMES) +
+          "SELECT profile_id, md5(regexp_replace(cv_text, '\\n+$', '')) AS cv_md5 FROM resumes")
+def q_src_resumes(spark, sf):
+    from ..session import scratch_path
+    from ..sources import io
+    path = scratch_path(spark, "resumes")
+    io.write_resumes(fx.resumes(spark, sf), path)
+    return io.read_resumes(spark, path).select("profile_id", F.md5("cv_text").alias("cv_md5"))
+
+
+@register("snk_report", ORACLES["report_html"])
+def q_snk_report(spark, sf):
+    from ..session import scratch_path
+    from ..sources import io
+    path = scratch_path(spark, "report")
+    lines = q_report(spark, sf)
+    io.write_report(lines, path)
+    back = spark.read.text(path).withColumn("_f", F.input_file_name())
+    # order inside the written files is checked in tests; here the content
+    return lines.join(back.select(F.col("value").alias("html"), F.col("profile_id").cast("long")).distinct(),
+                      ["profile_id", "html"], "left_semi")
+
+
+# ---------------------------------------------------------------------------
+# 2.10 streaming
+# ---------------------------------------------------------------------------
+
+@register("stream_ingest", ORACLES["incremental_run"])
+def q_stream(spark, sf):
+    from ..session import scratch_path
+    from ..streaming.ingest import offer_stream_schema, seed_state, stream_ingest
+    from .pipeline import OFFER_COLS
+    o = offers_df(spark, sf).select(*OFFER_COLS)
+    src, state_dir, ckpt = (scratch_path(spark, n) for n in ("stream_src", "stream_state", "stream_ckpt"))
+    seed_state(o.where("batch_id = 0"), state_dir)
+    o.where("batch_id > 0").write.mode("overwrite").parquet(src)
+    out = stream_ingest(spark, src, offer_stream_schema(o), state_dir, ckpt, FLAGSHIP_GROUPS, FLAGSHIP_EXCLUDES)
+    return out.select("seq", "batch_id", "job_url")
