@@ -65,17 +65,27 @@ def band_color_col(band: str | Column = "band") -> Column:
             .otherwise(F.lit(COLOR_RED)))
 
 
-def default_verdict_cols(desc: str = "description", skills: str = "skills") -> list[Column]:
+LDESC = "_ldesc"
+
+
+def with_scoring_text(offers: DataFrame, desc: str = "description") -> DataFrame:
+    """Adds the clipped, lower-cased description once per offer, so that a
+    join fanning offers out to many searches does not redo it per pair."""
+    return offers.withColumn(LDESC, F.lower(clip(desc, CHAR_LIMIT)))
+
+
+def default_verdict_cols(desc: str = "description", skills: str = "skills", ldesc: str | None = None) -> list[Column]:
     """Our default scorer: share of the search's skills found (as substrings)
     in the clipped, lower-cased description; missing skills keep their order."""
-    d = F.lower(clip(desc, CHAR_LIMIT))
+    d = F.col(ldesc) if ldesc else F.lower(clip(desc, CHAR_LIMIT))
     sk = F.coalesce(F.col(skills), F.array().cast("array<string>"))
-    hits = F.filter(sk, lambda s: d.contains(F.lower(s)))
-    n_sk, n_hit = F.size(sk), F.size(hits)
+    found = F.transform(sk, lambda s: F.struct(s.alias("s"), d.contains(F.lower(s)).alias("hit")))
+    n_sk = F.size(sk)
+    n_hit = F.size(F.filter(found, lambda x: x["hit"]))
     # round(100 * hits / n) half up, in integers: (200 * hits + n) div (2 * n)
     score = F.when(n_sk == 0, F.lit(0)).otherwise(
         F.floor((n_hit * 200 + n_sk) / (n_sk * 2))).cast("int")
-    missing = F.filter(sk, lambda s: ~d.contains(F.lower(s)))
+    missing = F.transform(F.filter(found, lambda x: ~x["hit"]), lambda x: x["s"])
     advice = (F.when(score >= BAND_HIGH, F.lit("Strong fit: apply."))
               .when(score >= BAND_MID, F.lit("Partial fit: close the missing skills first."))
               .otherwise(F.lit("Weak fit: skip unless the role interests you.")))
@@ -95,7 +105,9 @@ def score_offers(pairs: DataFrame, scorer: ScorerFn | None = None) -> DataFrame:
     """
     guarded = pairs.where(F.length("description") > 0)
     if scorer is None:
-        return guarded.select("*", *default_verdict_cols(), F.lit(None).cast("string").alias("error"))
+        ld = LDESC if LDESC in pairs.columns else None
+        out = guarded.select("*", *default_verdict_cols(ldesc=ld), F.lit(None).cast("string").alias("error"))
+        return out.drop(LDESC) if ld else out
 
     withp = render_prompt(guarded)
     out_schema = T.StructType(

@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PY_SPACE, py_regex_escape, py_strip
-from ..plans.broadcast import maybe_broadcast
 
 # Words that mark a junior search (exact keyword equality).
 JUNIOR_WORDS_CURRENT = ["junior", "intern", "staż", "trainee", "młodszy", "assistant", "praktyka", "stażysta"]
@@ -182,89 +181,128 @@ def _title_tokens(offers: DataFrame, key: str) -> DataFrame:
     return offers.where(F.col("title").isNotNull()).select(F.col(key), F.explode(toks).alias("token"))
 
 
-def _lengths(terms: DataFrame) -> list[int]:
-    """Distinct anchor lengths present in a term table (at most 4 values)."""
-    rows = terms.select(F.least(F.length("kw"), F.lit(_GRAM_MAX)).alias("n")).distinct().collect()
-    return sorted(r["n"] for r in rows)
+def _anchor_join(grams: DataFrame, terms: DataFrame, extra: Sequence[str], small: bool) -> DataFrame:
+    t = terms.select(*extra, "kw", F.substring("kw", 1, _GRAM_MAX).alias("gram"))
+    return grams.join(F.broadcast(t) if small else t, "gram")
 
 
-def _substring_hits(offers: DataFrame, terms: DataFrame, key: str, extra: Sequence[str]) -> DataFrame:
+def _substring_hits(offers, terms, key, extra, lengths, small) -> DataFrame | None:
     """(key, *extra) where lower(title) contains kw. Exact: candidates come
     from an equi-join on the kw's first min(len,3) characters, then contains."""
-    lengths = _lengths(terms)
     if not lengths:
-        return offers.sparkSession.createDataFrame([], offers.select(key).schema).select(
-            key, *[F.lit(None).cast("long").alias(c) for c in extra]).limit(0)
-    grams = _title_grams(offers, key, lengths)
-    t = terms.select(*extra, "kw", F.substring("kw", 1, _GRAM_MAX).alias("gram"))
-    j = grams.join(maybe_broadcast(t), "gram")
+        return None
+    j = _anchor_join(_title_grams(offers, key, lengths), terms, extra, small)
     return j.where(F.col("ltitle").contains(F.col("kw"))).select(key, *extra)
 
 
-def _short_pattern_hits(offers: DataFrame, terms: DataFrame, key: str, extra: Sequence[str]) -> DataFrame:
+def _short_pattern_hits(offers, terms, key, extra, lengths, small) -> DataFrame | None:
     """Whole-word test for short keywords holding non-word characters
     (or empty): candidates by n-gram equality, then the exact \\b pattern."""
-    lengths = _lengths(terms)
     if not lengths:
         return None
-    grams = _title_grams(offers, key, lengths)
-    t = terms.select(*extra, "kw", F.substring("kw", 1, _GRAM_MAX).alias("gram"))
     pat = F.concat(F.lit(r"(?U)\b"), F.regexp_replace("kw", r"([^\p{L}\p{N}_])", r"\\$1"), F.lit(r"\b"))
-    j = grams.join(maybe_broadcast(t), "gram")
+    j = _anchor_join(_title_grams(offers, key, lengths), terms, extra, small)
     return j.where(F.col("ltitle").rlike(pat)).select(key, *extra)
 
 
+def _term_stats(terms: DataFrame, prof: DataFrame) -> dict:
+    """One small job over the search table: term counts per class, anchor
+    lengths per class, the largest group count. Drives the plan choice."""
+    L = F.least(F.length("kw"), F.lit(_GRAM_MAX))
+    short, word = F.length("kw") <= 3, F.col("kw").rlike(_WORD_ONLY)
+    g, x = F.col("kind") == "g", F.col("kind") == "x"
+    row = terms.agg(
+        F.count_if(g & short & word).alias("n_word"),
+        F.count_if(g & short & ~word).alias("n_sym"),
+        F.count_if(g & ~short).alias("n_long"),
+        F.count_if(g).alias("n_sub"),
+        F.count_if(x).alias("n_ex"),
+        F.collect_set(F.when(g & short & ~word, L)).alias("len_sym"),
+        F.collect_set(F.when(g & ~short, L)).alias("len_long"),
+        F.collect_set(F.when(g, L)).alias("len_sub"),
+        F.collect_set(F.when(x, L)).alias("len_ex"),
+    ).first()
+    prow = prof.agg(F.count(F.lit(1)).alias("n_prof"),
+                    F.max(F.size(F.coalesce("groups", F.array().cast("array<array<string>>")))).alias("max_g"),
+                    F.count_if(F.size(F.coalesce("groups", F.array().cast("array<array<string>>"))) == 0)
+                    .alias("n_nogroup")).first()
+    out = row.asDict()
+    out.update(prow.asDict())
+    return out
+
+
 def match_profiles(offers: DataFrame, compiled: DataFrame, key: str = "seq", mode: str = "word") -> DataFrame:
     """All (profile_id, key) pairs where the offer title satisfies the search.
 
     ``compiled`` holds profile_id, groups, excludes. Whole-word short terms
     join title tokens by equality; substring terms join title n-grams by
-    equality and are then verified with ``contains``. A search with no group
-    matches every offer it does not exclude (that product is the result).
+    equality and are then verified with ``contains``. A group is satisfied
+    per (offer, search) with a bit mask aggregate (one shuffle). A search
+    with no group matches every offer it does not exclude (that product is
+    the result). Term tables are broadcast only when one stats job has
+    counted them below the row bound; otherwise the joins shuffle.
     """
-    spark = offers.sparkSession
+    from ..plans.broadcast import max_rows
+
     prof = compiled.select("profile_id", "groups", "excludes")
-    terms = (
-        prof.select("profile_id", F.posexplode(F.coalesce("groups", F.array().cast("array<array<string>>")))
-                    .alias("group_no", "g"))
-        .select("profile_id", "group_no", F.explode("g").alias("kw"))
-        .where(F.col("kw").isNotNull())
-    )
+    empty_gg = F.array().cast("array<array<string>>")
+    gterms = (prof.select("profile_id", F.posexplode(F.coalesce("groups", empty_gg)).alias("group_no", "g"))
+              .select("profile_id", "group_no", F.explode("g").alias("kw"), F.lit("g").alias("kind")))
+    xterms = prof.select("profile_id", F.lit(0).alias("group_no"),
+                         F.explode(F.coalesce("excludes", F.array().cast("array<string>"))).alias("kw"),
+                         F.lit("x").alias("kind"))
+    terms = gterms.unionByName(xterms).where(F.col("kw").isNotNull())
+    stats = _term_stats(terms, prof)
+    bound = max_rows(offers)
+    small = lambda n: n <= bound
     extra = ["profile_id", "group_no"]
+    g = terms.where(F.col("kind") == "g")
+    is_short, is_word = F.length("kw") <= 3, F.col("kw").rlike(_WORD_ONLY)
+
+    parts = []
     if mode == "word":
-        is_short = F.length("kw") <= 3
-        word_terms = terms.where(is_short & F.col("kw").rlike(_WORD_ONLY))
-        sym_terms = terms.where(is_short & ~F.col("kw").rlike(_WORD_ONLY))
-        long_terms = terms.where(~is_short)
-        tok = _title_tokens(offers, key)
-        hits = tok.join(maybe_broadcast(word_terms.withColumnRenamed("kw", "token")), "token").select(key, *extra)
-        hits = hits.unionByName(_substring_hits(offers, long_terms, key, extra))
-        sym = _short_pattern_hits(offers, sym_terms, key, extra)
-        if sym is not None:
-            hits = hits.unionByName(sym)
+        if stats["n_word"]:
+            wt = g.where(is_short & is_word).select(*extra, F.col("kw").alias("token"))
+            parts.append(_title_tokens(offers, key).join(F.broadcast(wt) if small(stats["n_word"]) else wt, "token")
+                         .select(key, *extra))
+        parts.append(_substring_hits(offers, g.where(~is_short), key, extra, stats["len_long"],
+                                     small(stats["n_long"])))
+        parts.append(_short_pattern_hits(offers, g.where(is_short & ~is_word), key, extra, stats["len_sym"],
+                                         small(stats["n_sym"])))
     else:
-        hits = _substring_hits(offers, terms, key, extra)
-
-    n_groups = prof.select("profile_id", F.size(F.coalesce("groups", F.array().cast("array<array<string>>")))
-                           .alias("n_groups"))
-    satisfied = (
-        hits.groupBy(key, "profile_id").agg(F.countDistinct("group_no").alias("n_hit"))
-        .join(maybe_broadcast(n_groups), "profile_id")
-        .where(F.col("n_hit") == F.col("n_groups"))
-        .select("profile_id", key)
-    )
-    # Searches without groups: every offer with a title is a candidate.
-    no_group = n_groups.where(F.col("n_groups") == 0).select("profile_id", F.lit(0).alias("_k"))
-    everything = (
-        offers.where(F.col("title").isNotNull()).select(key, F.lit(0).alias("_k"))
-        .join(maybe_broadcast(no_group), "_k").select("profile_id", key)
-    )
-    candidates = satisfied.unionByName(everything)
-
-    ex_terms = (prof.select("profile_id", F.explode(F.coalesce("excludes", F.array().cast("array<string>")))
-                            .alias("kw")).where(F.col("kw").isNotNull()).withColumn("group_no", F.lit(0)))
-    excluded = _substring_hits(offers, ex_terms, key, extra).select("profile_id", key)
-    return candidates.join(excluded, ["profile_id", key], "left_anti")
+        parts.append(_substring_hits(offers, g, key, extra, stats["len_sub"], small(stats["n_sub"])))
+    parts = [p for p in parts if p is not None]
+
+    n_groups = prof.select("profile_id", F.size(F.coalesce("groups", empty_gg)).alias("n_groups"))
+    n_groups_b = F.broadcast(n_groups) if small(stats["n_prof"]) else n_groups
+    candidates = None
+    if parts:
+        hits = parts[0]
+        for p in parts[1:]:
+            hits = hits.unionByName(p)
+        if (stats["max_g"] or 0) <= 62:
+            # all groups hit <=> OR of (1 << group_no) equals 2^n - 1
+            agg = hits.groupBy(key, "profile_id").agg(
+                F.bit_or(F.expr("shiftleft(1L, group_no)")).alias("mask"))
+            cond = F.col("mask") == F.expr("shiftleft(1L, n_groups) - 1")
+        else:
+            agg = hits.groupBy(key, "profile_id").agg(F.countDistinct("group_no").alias("mask"))
+            cond = F.col("mask") == F.col("n_groups")
+        candidates = agg.join(n_groups_b, "profile_id").where(cond).select("profile_id", key)
+    if stats["n_nogroup"]:
+        # Searches without groups: every offer with a title is a candidate.
+        no_group = n_groups.where(F.col("n_groups") == 0).select("profile_id", F.lit(0).alias("_k"))
+        everything = (offers.where(F.col("title").isNotNull()).select(key, F.lit(0).alias("_k"))
+                      .join(F.broadcast(no_group) if small(stats["n_nogroup"]) else no_group, "_k")
+                      .select("profile_id", key))
+        candidates = everything if candidates is None else candidates.unionByName(everything)
+    if candidates is None:
+        return offers.sparkSession.createDataFrame([], f"profile_id long, {key} long")
+    if stats["n_ex"]:
+        excluded = _substring_hits(offers, terms.where(F.col("kind") == "x"), key, extra, stats["len_ex"],
+                                   small(stats["n_ex"])).select("profile_id", key)
+        candidates = candidates.join(excluded, ["profile_id", key], "left_anti")
+    return candidates
 
 
 # ---------------------------------------------------------------------------

@@ -17,6 +17,7 @@ from ..operators import search as se
 from ..operators import state as st
 from ..sources import fixtures as fx
 from . import oracle_sql as O
+from .broadcast import maybe_broadcast
 from .pipeline import FLAGSHIP_EXCLUDES, FLAGSHIP_GROUPS, flagship, fold_runs, initial_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -461,9 +462,11 @@ def q_newest(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _scored_pairs(spark, sf):
-    pairs = sc.offer_cv_pairs(_matched_offer_pairs(spark, sf), fx.resumes(spark, sf))
+    o = sc.with_scoring_text(offers_df(spark, sf))
+    matched = se.match_profiles(o, se.compiled_profiles(fx.profiles(spark, sf))).join(o, "seq")
+    pairs = sc.offer_cv_pairs(matched, fx.resumes(spark, sf))
     skills = fx.profiles(spark, sf).select("profile_id", "skills")
-    return sc.score_offers(pairs.join(F.broadcast(skills) if False else skills, "profile_id"))
+    return sc.score_offers(pairs.join(maybe_broadcast(skills), "profile_id"))
 
 
 _ps_score, _ps_missing, _ps_advice = _score_sql("o.description", "pr.skills")

@@ -74,8 +74,20 @@ PROFILE_DDL = (
 )
 
 
+def _lit_array(xs):
+    return F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+
+
 def fixture_profiles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FIXTURE_PROFILES, PROFILE_DDL)
+    """The fixture searches as a literal (a local relation: no Python worker,
+    no RDD)."""
+    names = [f.split()[0] for f in PROFILE_DDL.split(", ")]
+    rows = [F.struct(F.lit(pid).cast("long").alias(names[0]), _lit_array(t).alias(names[1]),
+                     _lit_array(lv).alias(names[2]), _lit_array(ex).alias(names[3]), F.lit(loc).alias(names[4]),
+                     F.lit(rem).alias(names[5]), F.lit(days).cast("int").alias(names[6]),
+                     _lit_array(sk).alias(names[7]))
+            for pid, t, lv, ex, loc, rem, days, sk in FIXTURE_PROFILES]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def derived_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
