@@ -202,7 +202,7 @@ def _short_pattern_hits(offers, terms, key, extra, lengths, small) -> DataFrame
         return None
     pat = F.concat(F.lit(r"(?U)\b"), F.regexp_replace("kw", r"([^\p{L}\p{N}_])", r"\\$1"), F.lit(r"\b"))
     j = _anchor_join(_title_grams(offers, key, lengths), terms, extra, small)
-    return j.where(F.col("ltitle").rlike(pat)).select(key, *extra)
+    return j.withColumn("_pat", pat).where(F.expr("ltitle RLIKE _pat")).select(key, *extra)
 
 
 def _term_stats(terms: DataFrame, prof: DataFrame) -> dict:

@@ -28,8 +28,8 @@ class RunState:
     """State between runs: the merged current offers and the seen-URL ledger.
 
     forgetful=True reproduces the reference: the seen set is rebuilt from the
-    merged offers, so a URL dropped by the second dedupe pass is seen as new
-    again. forgetful=False keeps an append-only ledger of every URL taken.
+    merged offers, so a URL dropped by a dedupe pass is seen as new again.
+    forgetful=False keeps an append-only ledger of every matched URL.
     """
 
     current: DataFrame
@@ -52,7 +52,9 @@ def incremental_run(batch: DataFrame, state: RunState, groups: Sequence[Sequence
     if state.forgetful:
         seen = seen_urls(current)
     else:
-        seen = union_sources(state.seen, seen_urls(fresh)).distinct()
+        # the ledger records every matched URL of the run, also those the
+        # in-batch dedupe dropped, so a rerun of the same batch finds nothing new
+        seen = union_sources(state.seen, seen_urls(matched)).distinct()
     return fresh, RunState(current, seen, state.forgetful)
 
 
