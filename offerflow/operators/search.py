@@ -155,6 +155,7 @@ def seniority_flag(compiled: DataFrame, legacy: bool = False) -> DataFrame:
 
 _WORD_ONLY = r"^[\p{L}\p{N}_]+$"
 _GRAM_MAX = 3
+_EXCLUDE_BIT = 1 << 62
 
 
 def _title_grams(offers: DataFrame, key: str, lengths: Sequence[int]) -> DataFrame:
@@ -275,32 +276,52 @@ def match_profiles(offers: DataFrame, compiled: DataFrame, key: str = "seq", mod
 
     n_groups = prof.select("profile_id", F.size(F.coalesce("groups", empty_gg)).alias("n_groups"))
     n_groups_b = F.broadcast(n_groups) if small(stats["n_prof"]) else n_groups
+    # Searches without groups: every offer with a title is a candidate.
+    everything = None
+    if stats["n_nogroup"]:
+        no_group = n_groups.where(F.col("n_groups") == 0).select("profile_id", F.lit(0).alias("_k"))
+        everything = (offers.where(F.col("title").isNotNull()).select(key, F.lit(0).alias("_k"))
+                      .join(F.broadcast(no_group) if small(stats["n_nogroup"]) else no_group, "_k")
+                      .select(key, "profile_id"))
+    excluded = None
+    if stats["n_ex"]:
+        excluded = _substring_hits(offers, terms.where(F.col("kind") == "x"), key, extra, stats["len_ex"],
+                                   small(stats["n_ex"])).select(key, "profile_id")
+
+    if (stats["max_g"] or 0) <= 61:
+        # One aggregate decides everything: bit g set when group g has a hit,
+        # bit 62 when an exclude hits. Match iff all group bits, no exclude bit.
+        bits = [p.select(key, "profile_id", F.expr("shiftleft(1L, group_no)").alias("bit")) for p in parts]
+        if everything is not None:
+            bits.append(everything.select(key, "profile_id", F.lit(0).cast("long").alias("bit")))
+        if excluded is not None:
+            bits.append(excluded.select(key, "profile_id", F.lit(_EXCLUDE_BIT).alias("bit")))
+        if not bits:
+            return offers.sparkSession.createDataFrame([], f"profile_id long, {key} long")
+        allb = bits[0]
+        for b in bits[1:]:
+            allb = allb.unionByName(b)
+        agg = allb.groupBy(key, "profile_id").agg(F.bit_or("bit").alias("mask"))
+        full = F.expr("shiftleft(1L, n_groups) - 1")
+        cond = ((F.col("mask").bitwiseAND(full) == full)
+                & (F.col("mask").bitwiseAND(F.lit(_EXCLUDE_BIT)) == 0))
+        return agg.join(n_groups_b, "profile_id").where(cond).select("profile_id", key)
+
+    # Very wide searches (> 61 groups): distinct group count, then anti join.
     candidates = None
     if parts:
         hits = parts[0]
         for p in parts[1:]:
             hits = hits.unionByName(p)
-        if (stats["max_g"] or 0) <= 62:
-            # all groups hit <=> OR of (1 << group_no) equals 2^n - 1
-            agg = hits.groupBy(key, "profile_id").agg(
-                F.bit_or(F.expr("shiftleft(1L, group_no)")).alias("mask"))
-            cond = F.col("mask") == F.expr("shiftleft(1L, n_groups) - 1")
-        else:
-            agg = hits.groupBy(key, "profile_id").agg(F.countDistinct("group_no").alias("mask"))
-            cond = F.col("mask") == F.col("n_groups")
-        candidates = agg.join(n_groups_b, "profile_id").where(cond).select("profile_id", key)
-    if stats["n_nogroup"]:
-        # Searches without groups: every offer with a title is a candidate.
-        no_group = n_groups.where(F.col("n_groups") == 0).select("profile_id", F.lit(0).alias("_k"))
-        everything = (offers.where(F.col("title").isNotNull()).select(key, F.lit(0).alias("_k"))
-                      .join(F.broadcast(no_group) if small(stats["n_nogroup"]) else no_group, "_k")
+        agg = hits.groupBy(key, "profile_id").agg(F.countDistinct("group_no").alias("n_hit"))
+        candidates = (agg.join(n_groups_b, "profile_id").where(F.col("n_hit") == F.col("n_groups"))
                       .select("profile_id", key))
-        candidates = everything if candidates is None else candidates.unionByName(everything)
+    if everything is not None:
+        e = everything.select("profile_id", key)
+        candidates = e if candidates is None else candidates.unionByName(e)
     if candidates is None:
         return offers.sparkSession.createDataFrame([], f"profile_id long, {key} long")
-    if stats["n_ex"]:
-        excluded = _substring_hits(offers, terms.where(F.col("kind") == "x"), key, extra, stats["len_ex"],
-                                   small(stats["n_ex"])).select("profile_id", key)
+    if excluded is not None:
         candidates = candidates.join(excluded, ["profile_id", key], "left_anti")
     return candidates
 
