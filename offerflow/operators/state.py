@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key
-from ..plans.broadcast import maybe_broadcast
+from ..plans.broadcast import maybe_broadcast, row_bound_ok
 
 ORDER = ("batch_id", "source_rank", "seq")
 
@@ -78,10 +78,54 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def merge_history(history: DataFrame, new: DataFrame) -> DataFrame:
-    """history ++ new, keep last per URL, then last per (title, company, location)."""
-    both = union_sources(history, new)
-    return keep_one(keep_one(both, ["job_url"], "last"), dedupe_keys(), "last")
+def _join_null_safe(big: DataFrame, small: DataFrame, cols: Sequence[str], how: str,
+                    broadcast: bool | None = None) -> DataFrame:
+    """Semi / anti join of big with small on cols, nulls comparing equal (as
+    pandas keys do). The small side is broadcast after a size check (or by
+    the caller's ``broadcast`` decision, made from a count it already has)."""
+    s = small.select(*[F.col(c).alias(f"_s_{c}") for c in cols]).distinct()
+    if broadcast is None:
+        s = maybe_broadcast(s)
+    elif broadcast:
+        s = F.broadcast(s)
+    cond = None
+    for c in cols:
+        e = big[c].eqNullSafe(s[f"_s_{c}"])
+        cond = e if cond is None else cond & e
+    return big.join(s, cond, how)
+
+
+_KEY_COLS = ["_key0", "_key1", "_key2"]
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.select("*", *[k.alias(c) for k, c in zip(dedupe_keys(), _KEY_COLS)])
+
+
+def merge_history(history: DataFrame, new: DataFrame, history_is_merged: bool = False) -> DataFrame:
+    """history ++ new, keep last per URL, then last per (title, company, location).
+
+    With ``history_is_merged`` (the history is itself the output of a merge,
+    so its URLs and its keys are unique) a history row that shares neither a
+    URL nor a key with any new row cannot interact with anything and
+    survives as is. Only the touched rows (found by semi joins against the
+    batch-sized new side) go through the two passes together with the new
+    rows. The history is scanned without any shuffle instead of being
+    re-deduplicated whole every run; the rows are the same as the full form.
+    """
+    if not history_is_merged:
+        both = union_sources(history, new)
+        return keep_one(keep_one(both, ["job_url"], "last"), dedupe_keys(), "last")
+    hk, nk = _keyed(history), _keyed(new)
+    urls, keys = nk.select("job_url"), nk.select(*_KEY_COLS)
+    b = row_bound_ok(new)  # one size check of the new side serves all four joins
+    not_url = _join_null_safe(hk, urls, ["job_url"], "left_anti", b)
+    untouched = _join_null_safe(not_url, keys, _KEY_COLS, "left_anti", b)
+    touched = union_sources(_join_null_safe(hk, urls, ["job_url"], "left_semi", b),
+                            _join_null_safe(not_url, keys, _KEY_COLS, "left_semi", b))
+    both = union_sources(touched.drop(*_KEY_COLS), new)
+    merged_part = keep_one(keep_one(both, ["job_url"], "last"), dedupe_keys(), "last")
+    return union_sources(untouched.drop(*_KEY_COLS), merged_part)
 
 
 def append_history(history: DataFrame, new: DataFrame) -> DataFrame:

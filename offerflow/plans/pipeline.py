@@ -35,6 +35,7 @@ class RunState:
     current: DataFrame
     seen: DataFrame
     forgetful: bool = True
+    merged: bool = False  # current is the output of a merge (unique URLs and keys)
 
 
 def initial_state(history: DataFrame, forgetful: bool = True) -> RunState:
@@ -44,18 +45,22 @@ def initial_state(history: DataFrame, forgetful: bool = True) -> RunState:
 
 def incremental_run(batch: DataFrame, state: RunState, groups: Sequence[Sequence[str]],
                     excludes: Sequence[str]) -> tuple[DataFrame, RunState]:
-    """validate -> title match -> drop seen URLs -> dedupe -> merge history."""
+    """validate -> title match -> drop seen URLs -> dedupe -> merge history.
+
+    The returned state is lazy; materialise it before the next run
+    (``fold_runs`` checkpoints it, the stream writes a snapshot), so that a
+    chain of runs never grows one plan."""
     b = valid_offers(batch.select(*OFFER_COLS))
     matched = b.where(match_predicate("title", groups, excludes, "word"))
     fresh = dedupe_batch(new_offers(matched, state.seen))
-    current = merge_history(state.current, fresh)
+    current = merge_history(state.current, fresh, history_is_merged=state.merged)
     if state.forgetful:
         seen = seen_urls(current)
     else:
         # the ledger records every matched URL of the run, also those the
         # in-batch dedupe dropped, so a rerun of the same batch finds nothing new
         seen = union_sources(state.seen, seen_urls(matched)).distinct()
-    return fresh, RunState(current, seen, state.forgetful)
+    return fresh, RunState(current, seen, state.forgetful, merged=True)
 
 
 def fold_runs(batches: Sequence[DataFrame], state: RunState, groups, excludes,
@@ -70,7 +75,7 @@ def fold_runs(batches: Sequence[DataFrame], state: RunState, groups, excludes,
         if cut_every and i % cut_every == 0 and i < len(batches):
             cur = state.current.checkpoint(eager=True)
             seen = seen_urls(cur) if state.forgetful else state.seen.checkpoint(eager=True)
-            state = RunState(cur, seen, state.forgetful)
+            state = RunState(cur, seen, state.forgetful, merged=True)
     return outs, state
 
 

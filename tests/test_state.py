@@ -99,7 +99,22 @@ def test_rerun_same_batch_changes_nothing(spark):
     for forgetful in (True, False):
         state = initial_state(empty, forgetful=forgetful)
         _, s1 = incremental_run(_batch(spark, rows), state, [["data"]], [])
+        # state is materialised between runs (fold_runs and the stream do this)
+        s1 = RunState(s1.current.checkpoint(), s1.seen.checkpoint(), s1.forgetful, s1.merged)
         fresh2, s2 = incremental_run(_batch(spark, rows), s1, [["data"]], [])
         assert sorted(r["seq"] for r in s1.current.collect()) == sorted(r["seq"] for r in s2.current.collect())
         if not forgetful:
             assert fresh2.count() == 0
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_incremental_merge_equals_full_merge(spark, seed):
+    rnd = random.Random(seed)
+    hist_raw = [(i, 0, rnd.randint(0, 1), *r[3:]) for i, r in enumerate(_rows(80, seed))]
+    new = [(100 + i, 1, rnd.randint(0, 1), *r[3:]) for i, r in enumerate(_rows(40, seed + 100))]
+    empty = spark.createDataFrame([], SCHEMA)
+    merged_hist = st.merge_history(empty, spark.createDataFrame(hist_raw, SCHEMA))
+    n = spark.createDataFrame(new, SCHEMA)
+    full = {r["seq"] for r in st.merge_history(merged_hist, n).collect()}
+    inc = {r["seq"] for r in st.merge_history(merged_hist, n, history_is_merged=True).collect()}
+    assert inc == full
