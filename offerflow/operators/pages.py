@@ -397,6 +397,12 @@ CARD_RULES = {
     "Pracuj.pl": dict(site="Pracuj.pl", container=[_s("div", "data-test", "offer-item")],
                       link=[_s("a", "data-test", "link-offer")], title=[_s("h2", "data-test", "offer-title")],
                       title_required=True, company_const="Pracuj.pl Listing", cut_query=True),
+    # legacy generation: fallback container, prefix unless absolute, no cut
+    "Pracuj.pl_legacy": dict(site="Pracuj.pl", container=[_s("div", "data-test", "offer-item"),
+                                                          _s("div", "class", "offer-view")],
+                             link=[_s("a", "data-test", "link-offer")], title=[_s("h2", "data-test", "offer-title")],
+                             title_required=True, company_const="Pracuj.pl Listing",
+                             prefix="https://it.pracuj.pl", prefix_always=False),
 }
 
 # Description-page rules per site (ordered selectors).

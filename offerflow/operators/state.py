@@ -136,20 +136,37 @@ def seen_urls(history: DataFrame, url: str = "job_url") -> DataFrame:
     return history.select(F.col(url).alias("job_url")).where(F.col("job_url").isNotNull()).distinct()
 
 
+# Rows with a null URL never match the seen set. In a shuffle join they would
+# all hash into one partition, so the join key gives each of them its own
+# value: NUL + a hash of the row (a URL never holds NUL, so no false match).
+
+def _url_key(df: DataFrame) -> Column:
+    u = F.col("job_url")
+    return F.when(u.isNull(), F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in df.columns]).cast("string"))
+                  ).otherwise(u)
+
+
+def _seen_keys(seen: DataFrame) -> DataFrame:
+    return seen.select(F.col("job_url").alias("_url_key")).where(F.col("_url_key").isNotNull())
+
+
 def new_offers(offers: DataFrame, seen: DataFrame) -> DataFrame:
     """Offers whose URL is not in the seen set (anti join; a null URL stays)."""
-    return offers.join(maybe_broadcast(seen.select("job_url")), "job_url", "left_anti")
+    keyed = offers.withColumn("_url_key", _url_key(offers))
+    return keyed.join(maybe_broadcast(_seen_keys(seen)), "_url_key", "left_anti").drop("_url_key")
 
 
 def known_offers(offers: DataFrame, seen: DataFrame) -> DataFrame:
-    return offers.join(maybe_broadcast(seen.select("job_url")), "job_url", "left_semi")
+    has = offers.where(F.col("job_url").isNotNull())
+    return has.join(maybe_broadcast(seen.select("job_url")), "job_url", "left_semi")
 
 
 def with_seen_flag(offers: DataFrame, seen: DataFrame) -> DataFrame:
     """Adds ``is_seen`` in one pass (for counters), instead of anti + semi."""
-    s = seen.select("job_url").distinct().withColumn("is_seen", F.lit(True))
-    return offers.join(maybe_broadcast(s), "job_url", "left").withColumn(
-        "is_seen", F.coalesce(F.col("is_seen"), F.lit(False)))
+    s = _seen_keys(seen).distinct().withColumn("is_seen", F.lit(True))
+    keyed = offers.withColumn("_url_key", _url_key(offers))
+    out = keyed.join(maybe_broadcast(s), "_url_key", "left").drop("_url_key")
+    return out.withColumn("is_seen", F.coalesce(F.col("is_seen"), F.lit(False)))
 
 
 def first_seen_in_batch(offers: DataFrame, seen: DataFrame, filter_history: bool = True) -> DataFrame:

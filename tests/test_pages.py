@@ -106,3 +106,12 @@ def test_extractor_plugin(spark):
 
     out = pg.run_extractor(pages_df(spark, [(1, "u", "abc")]), fn, "page_id long, n long").collect()
     assert [(r["page_id"], r["n"]) for r in out] == [(1, 3)]
+
+
+def test_cards_pracuj_legacy_fallback_container(spark):
+    html = ('<div class="offer-view"><a data-test="link-offer" href="/o/9?x=1">x</a>'
+            '<h2 data-test="offer-title">Dev</h2></div>')
+    rule = pg.CARD_RULES["Pracuj.pl_legacy"]
+    cards = pg.card_offers(pg.page_cards(pages_df(spark, [(1, "u", html)]), rule), rule).collect()
+    assert [(r["job_url"], r["title"]) for r in cards] == [("https://it.pracuj.pl/o/9?x=1", "Dev")]
+    assert pg.page_cards(pages_df(spark, [(1, "u", html)]), pg.CARD_RULES["Pracuj.pl"]).count() == 0
