@@ -44,7 +44,7 @@ def initial_state(history: DataFrame, forgetful: bool = True) -> RunState:
 
 
 def incremental_run(batch: DataFrame, state: RunState, groups: Sequence[Sequence[str]],
-                    excludes: Sequence[str]) -> tuple[DataFrame, RunState]:
+                    excludes: Sequence[str], materialize: bool = False) -> tuple[DataFrame, RunState]:
     """validate -> title match -> drop seen URLs -> dedupe -> merge history.
 
     The returned state is lazy; materialise it before the next run
@@ -53,6 +53,10 @@ def incremental_run(batch: DataFrame, state: RunState, groups: Sequence[Sequence
     b = valid_offers(batch.select(*OFFER_COLS))
     matched = b.where(match_predicate("title", groups, excludes, "word"))
     fresh = dedupe_batch(new_offers(matched, state.seen))
+    if materialize:
+        # the run's new offers (batch-sized) are read by several joins of the
+        # merge: compute them once, into the shared checkpoint folder
+        fresh = fresh.checkpoint(eager=True)
     current = merge_history(state.current, fresh, history_is_merged=state.merged)
     if state.forgetful:
         seen = seen_urls(current)
@@ -70,7 +74,7 @@ def fold_runs(batches: Sequence[DataFrame], state: RunState, groups, excludes,
     checkpoint folder) every ``cut_every`` runs."""
     outs = []
     for i, b in enumerate(batches, 1):
-        fresh, state = incremental_run(b, state, groups, excludes)
+        fresh, state = incremental_run(b, state, groups, excludes, materialize=True)
         outs.append(fresh)
         if cut_every and i % cut_every == 0 and i < len(batches):
             cur = state.current.checkpoint(eager=True)

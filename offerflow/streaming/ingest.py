@@ -44,7 +44,7 @@ def _run_epoch(batch_df: DataFrame, epoch_id: int, state_dir: str, groups, exclu
     ids = sorted(r[0] for r in data.select("batch_id").distinct().collect())
     for b in ids:
         state = RunState(current, seen_urls(current), forgetful, merged=(start or 0) > 0)
-        _, state = incremental_run(data.where(F.col("batch_id") == b), state, groups, excludes)
+        _, state = incremental_run(data.where(F.col("batch_id") == b), state, groups, excludes, materialize=True)
         version = base_version + int(b) + 1
         write_snapshot(state.current, state_dir, version)
         current = read_snapshot(spark, state_dir, version)  # lineage cut: read the written table
