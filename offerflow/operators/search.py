@@ -391,6 +391,10 @@ def _topic_rule_case(kw: Column, rules) -> Column:
     return expr
 
 
+# Keywords two legacy rule sets use when a search has no group.
+NO_GROUP_KEYWORDS = {"legacy_justjoinit": ["python", "data"], "legacy_theprotocol": ["python"]}
+
+
 def topics_col(groups="groups", rule_set: str = "current") -> Column:
     """Topics of the first keyword group as an array column, default set when
     nothing hits. The rule table is fixed and tiny, so it is applied as column
@@ -398,6 +402,10 @@ def topics_col(groups="groups", rule_set: str = "current") -> Column:
     spec = TOPIC_RULES[rule_set]
     rules = spec["rules"]
     first = F.coalesce(F.get(F.col(groups), 0), F.array().cast("array<string>"))
+    if rule_set in NO_GROUP_KEYWORDS:
+        fallback = F.array(*[F.lit(k) for k in NO_GROUP_KEYWORDS[rule_set]])
+        first = F.when(F.size(F.coalesce(F.col(groups), F.array().cast("array<array<string>>"))) > 0, first
+                       ).otherwise(fallback)
     topics_arr = F.array(*[F.lit(t) for _, t in rules])
 
     def hit(kw):
@@ -439,11 +447,16 @@ def topic_slugs(topics: DataFrame) -> DataFrame:
 # crawl plan: listing URLs per search (a frontier table; nothing is fetched)
 # ---------------------------------------------------------------------------
 
-def search_plan(compiled: DataFrame) -> DataFrame:
+def search_plan(compiled: DataFrame, legacy: bool = False) -> DataFrame:
     """(profile_id, site, url) listing URLs of every search, built as columns
-    of the search row (templates are fixed values), exploded, distinct."""
+    of the search row (templates are fixed values), exploded, distinct.
+    ``legacy=True`` gives the older generation's URLs (per-site rule sets,
+    one LinkedIn URL per search, extra parameters)."""
     from ..functions.text import quote_plus
 
+    if legacy:
+        return _search_plan_legacy(compiled)
+
     loc = F.coalesce(F.col("location"), F.lit(""))
     lloc = F.lower(loc)
     remote = F.coalesce(F.col("remote_only"), F.lit(False))
@@ -490,3 +503,62 @@ def search_plan(compiled: DataFrame) -> DataFrame:
     allu = F.concat(linkedin, jj, nfj, tp, bulldog, pracuj)
     return (compiled.select("profile_id", F.explode(allu).alias("u"))
             .select("profile_id", "u.site", "u.url").distinct())
+
+
+def _search_plan_legacy(compiled: DataFrame) -> DataFrame:
+    from ..functions.text import quote_plus
+
+    loc = F.coalesce(F.col("location"), F.lit(""))
+    lloc = F.lower(loc)
+    remote = F.coalesce(F.col("remote_only"), F.lit(False))
+    groups = F.coalesce(F.col("groups"), F.array().cast("array<array<string>>"))
+    junior = F.coalesce(F.arrays_overlap(F.flatten(groups), F.array(*[F.lit(w) for w in JUNIOR_WORDS_LEGACY])),
+                        F.lit(False))
+    first = F.coalesce(F.get(groups, 0), F.array().cast("array<string>"))
+    joined = F.array_join(first, " ")
+    kw = (F.when(F.size(groups) == 0, F.lit("Data"))
+          .when(F.length(joined) > 50, F.get(first, 0)).otherwise(joined))
+    kato = loc.contains("Katowice")
+
+    def su(site, url):
+        return F.struct(F.lit(site).alias("site"), url.alias("url"))
+
+    def opt(cond, text):
+        return F.when(cond, F.lit(text))
+
+    linkedin = F.when(kato | (loc == "") | remote, F.array(su("LinkedIn", F.concat(
+        F.lit("https://www.linkedin.com/jobs/search/?keywords="), quote_plus(kw),
+        F.lit("&geoId="), F.when(kato, F.lit("90009829")).otherwise(F.lit("105072130")),
+        F.lit("&f_TPR=r2592000&f_E=1%2C2&f_F=it&origin=JOB_SEARCH_PAGE_JOB_FILTER&refresh=true"),
+        F.coalesce(opt(kato, "&f_PP=103855053"), F.lit("")), F.coalesce(opt(remote, "&f_WT=2"), F.lit("")))))
+                        ).otherwise(F.array().cast("array<struct<site:string,url:string>>"))
+    jj_loc = F.when((loc == "") | remote, F.lit("all-locations")).otherwise(lloc)
+    jj_params = F.array_join(F.array(opt(remote, "workplaceType=remote"), opt(junior, "experience-level=junior"),
+                                     opt(~remote & (loc != ""), "radius=0"), F.lit("orderBy=DESC"),
+                                     F.lit("sortBy=published")), "&")
+    jj = F.transform(topics_col("groups", "legacy_justjoinit"), lambda t: su("JustJoinIT", F.concat(
+        F.lit("https://justjoin.it/job-offers/"), jj_loc, F.lit("/"), t, F.lit("?"), jj_params)))
+    nfj_mid = F.when(remote, F.lit("remote")).otherwise(lloc)
+    nfj = F.transform(topics_col("groups", "legacy_nofluffjobs"), lambda t: su("NoFluffJobs", F.concat(
+        F.lit("https://nofluffjobs.com/pl/"), F.when(nfj_mid != "", F.concat(nfj_mid, F.lit("/"))).otherwise(F.lit("")),
+        t, F.coalesce(opt(junior, "?criteria=seniority%3Dtrainee,junior"), F.lit("")))))
+    roles = F.array_join(F.array_sort(topics_col("groups", "legacy_bulldogjob")), ",")
+    bulldog = F.array(su("BulldogJob", F.concat(
+        F.lit("https://bulldogjob.pl/companies/jobs/s/"),
+        F.array_join(F.array(F.when(remote, F.lit("remote,true")).when(loc != "", F.concat(F.lit("city,"), loc)),
+                             F.concat(F.lit("role,"), roles), opt(junior, "experienceLevel,intern,junior")), "/"))))
+    tp = F.transform(topics_col("groups", "legacy_theprotocol"), lambda t: su("TheProtocol", F.concat(
+        F.lit("https://theprotocol.it/filtry/"),
+        F.array_join(F.array(F.concat(t, F.lit(";sp")), opt(junior, "trainee,assistant,junior;p"),
+                             F.when(remote, F.lit("remote;wm")).when(loc != "", F.concat(lloc, F.lit(";wp")))),
+                     "/"))))
+    its = F.array_join(F.array_sort(topics_col("groups", "legacy_pracujpl")), "%2C")
+    pr_loc = (F.when(remote, F.lit("praca%20zdalna;wm,home-office"))
+              .when(loc != "", F.concat(lloc, F.lit(";wp"))).otherwise(F.lit("")))
+    pracuj = F.array(su("Pracuj.pl", F.concat(
+        F.lit("https://it.pracuj.pl/praca/"), pr_loc, F.lit("?"),
+        F.array_join(F.array(F.lit("rd=0"), opt(junior, "et=1%2C3%2C17"), F.concat(F.lit("its="), its),
+                             opt(~remote, "wm=full-office%2Chybrid")), "&"))))
+    allu = F.concat(linkedin, jj, nfj, tp, bulldog, pracuj)
+    return (compiled.select("profile_id", F.explode(allu).alias("u"))
+            .select("profile_id", "u.site", "u.url").distinct())

@@ -307,11 +307,18 @@ def q_match_profiles(spark, sf):
     return se.match_profiles(offers_df(spark, sf), se.compiled_profiles(fx.profiles(spark, sf)))
 
 
-def _topics_sql(groups: str) -> str:
-    spec = se.TOPIC_RULES["current"]
-    parts = ", ".join(f"CASE WHEN contains(lower(kw), '{tok}') THEN '{topic}' END" for tok, topic in spec["rules"])
-    found = (f"list_distinct(flatten(list_transform(coalesce({groups}[1], []::VARCHAR[]), "
-             f"lambda kw: list_filter([{parts}], lambda z: z IS NOT NULL))))")
+def _topics_sql(groups: str, rule_set: str = "current") -> str:
+    spec = se.TOPIC_RULES[rule_set]
+    first = f"coalesce({groups}[1], []::VARCHAR[])"
+    if rule_set in se.NO_GROUP_KEYWORDS:
+        first = f"CASE WHEN len({groups}) > 0 THEN {first} ELSE {O._list(se.NO_GROUP_KEYWORDS[rule_set])} END"
+    if spec["first_hit"]:
+        whens = " ".join(f"WHEN contains(lower(kw), '{tok}') THEN '{topic}'" for tok, topic in spec["rules"])
+        per_kw = f"list_filter([CASE {whens} END], lambda z: z IS NOT NULL)"
+    else:
+        parts = ", ".join(f"CASE WHEN contains(lower(kw), '{tok}') THEN '{topic}' END" for tok, topic in spec["rules"])
+        per_kw = f"list_filter([{parts}], lambda z: z IS NOT NULL)"
+    found = f"list_distinct(flatten(list_transform({first}, lambda kw: {per_kw})))"
     return f"CASE WHEN len({found}) > 0 THEN {found} ELSE {O._list(spec['default'])} END"
 
 
@@ -928,3 +935,61 @@ def q_stream(spark, sf):
     o.where("batch_id > 0").write.mode("overwrite").parquet(src)
     out = stream_ingest(spark, src, offer_stream_schema(o), state_dir, ckpt, FLAGSHIP_GROUPS, FLAGSHIP_EXCLUDES)
     return out.select("seq", "batch_id", "job_url")
+
+
+
+def _search_plan_legacy_sql() -> str:
+    loc = "coalesce(location, '')"
+    lloc = f"lower({loc})"
+    rem = "coalesce(remote_only, false)"
+    junior = f"coalesce(list_has_any(flatten(groups), {O._list(se.JUNIOR_WORDS_LEGACY)}), false)"
+    first = "coalesce(groups[1], []::VARCHAR[])"
+    kw = (f"CASE WHEN len(groups) = 0 THEN 'Data' WHEN length(array_to_string({first}, ' ')) > 50 "
+          f"THEN {first}[1] ELSE array_to_string({first}, ' ') END")
+    kato = f"contains({loc}, 'Katowice')"
+    qp = f"replace(url_encode({kw}), '%20', '+')"
+
+    def sorted_join(rule_set, sep):
+        return f"array_to_string(list_sort({_topics_sql('groups', rule_set)}), '{sep}')"
+
+    def topics(rule_set):
+        return f"(SELECT *, unnest({_topics_sql('groups', rule_set)}) AS t FROM compiled)"
+
+    return O.with_(O.PROFILES, O.COMPILED) + f"""
+SELECT DISTINCT profile_id, site, url FROM (
+  SELECT profile_id, 'LinkedIn' AS site, 'https://www.linkedin.com/jobs/search/?keywords=' || {qp} || '&geoId='
+     || CASE WHEN {kato} THEN '90009829' ELSE '105072130' END
+     || '&f_TPR=r2592000&f_E=1%2C2&f_F=it&origin=JOB_SEARCH_PAGE_JOB_FILTER&refresh=true'
+     || CASE WHEN {kato} THEN '&f_PP=103855053' ELSE '' END || CASE WHEN {rem} THEN '&f_WT=2' ELSE '' END AS url
+  FROM compiled WHERE {kato} OR {loc} = '' OR {rem}
+  UNION ALL
+  SELECT profile_id, 'JustJoinIT', 'https://justjoin.it/job-offers/' || CASE WHEN {loc} = '' OR {rem}
+     THEN 'all-locations' ELSE {lloc} END || '/' || t || '?' || array_to_string(list_filter([
+       CASE WHEN {rem} THEN 'workplaceType=remote' END, CASE WHEN {junior} THEN 'experience-level=junior' END,
+       CASE WHEN NOT {rem} AND {loc} <> '' THEN 'radius=0' END, 'orderBy=DESC', 'sortBy=published'],
+       lambda z: z IS NOT NULL), '&') FROM {topics('legacy_justjoinit')}
+  UNION ALL
+  SELECT profile_id, 'NoFluffJobs', 'https://nofluffjobs.com/pl/' || CASE WHEN {rem} THEN 'remote/' WHEN {lloc} <> ''
+     THEN {lloc} || '/' ELSE '' END || t || CASE WHEN {junior} THEN '?criteria=seniority%3Dtrainee,junior' ELSE '' END
+  FROM {topics('legacy_nofluffjobs')}
+  UNION ALL
+  SELECT profile_id, 'TheProtocol', 'https://theprotocol.it/filtry/' || t || ';sp'
+     || CASE WHEN {junior} THEN '/trainee,assistant,junior;p' ELSE '' END
+     || CASE WHEN {rem} THEN '/remote;wm' WHEN {loc} <> '' THEN '/' || {lloc} || ';wp' ELSE '' END
+  FROM {topics('legacy_theprotocol')}
+  UNION ALL
+  SELECT profile_id, 'BulldogJob', 'https://bulldogjob.pl/companies/jobs/s/' || array_to_string(list_filter([
+     CASE WHEN {rem} THEN 'remote,true' WHEN {loc} <> '' THEN 'city,' || {loc} END,
+     'role,' || {sorted_join('legacy_bulldogjob', ',')},
+     CASE WHEN {junior} THEN 'experienceLevel,intern,junior' END], lambda z: z IS NOT NULL), '/') FROM compiled
+  UNION ALL
+  SELECT profile_id, 'Pracuj.pl', 'https://it.pracuj.pl/praca/' || CASE WHEN {rem} THEN 'praca%20zdalna;wm,home-office'
+     WHEN {loc} <> '' THEN {lloc} || ';wp' ELSE '' END || '?' || array_to_string(list_filter([
+       'rd=0', CASE WHEN {junior} THEN 'et=1%2C3%2C17' END, 'its=' || {sorted_join('legacy_pracujpl', '%2C')},
+       CASE WHEN NOT {rem} THEN 'wm=full-office%2Chybrid' END], lambda z: z IS NOT NULL), '&')
+  FROM compiled)"""
+
+
+@register("search_plan_legacy", _search_plan_legacy_sql())
+def q_search_plan_legacy(spark, sf):
+    return se.search_plan(se.compiled_profiles(fx.profiles(spark, sf)), legacy=True)

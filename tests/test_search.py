@@ -134,3 +134,30 @@ def test_search_plan_urls(spark):
     assert ("Pracuj.pl", "https://it.pracuj.pl/praca/katowice;wp?rd=0&et=1%2C3%2C17") in urls
     assert ("TheProtocol", "https://theprotocol.it/filtry/big-data;sp/trainee,assistant,junior;p/katowice;wp") in urls
     assert ("NoFluffJobs", "https://nofluffjobs.com/pl/katowice/python?criteria=seniority%3Dtrainee,junior") in urls
+
+
+def test_search_plan_legacy(spark):
+    prof = spark.createDataFrame([(1, [["data engineer", "python"], ["junior"]], [], "Katowice", False),
+                                  (2, [], [], "Gdansk", True)],
+                                 "profile_id long, groups array<array<string>>, excludes array<string>, "
+                                 "location string, remote_only boolean")
+    urls = {(r["profile_id"], r["site"], r["url"]) for r in se.search_plan(prof, legacy=True).collect()}
+    assert (1, "LinkedIn", "https://www.linkedin.com/jobs/search/?keywords=data+engineer+python&geoId=90009829"
+            "&f_TPR=r2592000&f_E=1%2C2&f_F=it&origin=JOB_SEARCH_PAGE_JOB_FILTER&refresh=true&f_PP=103855053") in urls
+    assert (1, "JustJoinIT", "https://justjoin.it/job-offers/katowice/data?experience-level=junior&radius=0"
+            "&orderBy=DESC&sortBy=published") in urls
+    assert (1, "BulldogJob", "https://bulldogjob.pl/companies/jobs/s/city,Katowice/role,backend,data/"
+            "experienceLevel,intern,junior") in urls
+    assert (1, "Pracuj.pl", "https://it.pracuj.pl/praca/katowice;wp?rd=0&et=1%2C3%2C17"
+            "&its=backend%2Cbig-data-science%2Cdata-analytics-and-bi&wm=full-office%2Chybrid") in urls
+    assert (1, "TheProtocol", "https://theprotocol.it/filtry/big-data;sp/trainee,assistant,junior;p/katowice;wp") in urls
+    # no group: LinkedIn (remote) with "Data"; JJIT falls back to python+data; TheProtocol to python
+    assert (2, "LinkedIn", "https://www.linkedin.com/jobs/search/?keywords=Data&geoId=105072130"
+            "&f_TPR=r2592000&f_E=1%2C2&f_F=it&origin=JOB_SEARCH_PAGE_JOB_FILTER&refresh=true&f_WT=2") in urls
+    jj2 = {u for p, s_, u in urls if p == 2 and s_ == "JustJoinIT"}
+    assert jj2 == {"https://justjoin.it/job-offers/all-locations/python?workplaceType=remote&orderBy=DESC"
+                   "&sortBy=published",
+                   "https://justjoin.it/job-offers/all-locations/data?workplaceType=remote&orderBy=DESC"
+                   "&sortBy=published"}
+    assert {u for p, s_, u in urls if p == 2 and s_ == "TheProtocol"} == {
+        "https://theprotocol.it/filtry/python;sp/remote;wm"}
