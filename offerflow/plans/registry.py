@@ -762,7 +762,29 @@ def _elements(spark, sf):
     return parse_elements(_pages(spark, sf))
 
 
-@register("block_text")
+def _decode_sql(x: str) -> str:
+    """The character references found in the test pages, decoded as the HTML
+    parser does (``&amp`` is also valid without its semicolon)."""
+    out = x
+    for ent, ch in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">")):
+        out = f"replace({out}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_replace({out}, '&amp;?', '&', 'g')"
+
+
+def _text_nodes_sql(html: str) -> str:
+    """Visible text of an HTML fragment: script/style bodies, comments and
+    declarations removed, split at tags, each piece decoded and stripped,
+    empty pieces dropped, joined with newlines."""
+    cleaned = (f"regexp_replace({html}, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+               f"|<![^>]*>', '<>', 'g')")
+    pieces = f"string_split_regex({cleaned}, '<[^>]*>')"
+    return (f"array_to_string(list_filter(list_transform({pieces}, lambda x: {O.strip_sql(_decode_sql('x'))}), "
+            f"lambda x: x <> ''), chr(10))")
+
+
+@register("block_text", f"""
+SELECT page_id, CAST(length(t) AS BIGINT) AS text_len, md5(t) AS text_md5
+FROM (SELECT page_id, {_text_nodes_sql('html')} AS t FROM pages)""")
 def q_block_text(spark, sf):
     e = _elements(spark, sf)
     return e.where(F.col("tag") == "#document").select("page_id", F.length("text").cast("long").alias("text_len"),
@@ -776,7 +798,9 @@ def q_longest_block(spark, sf):
                          stop_phrases=("©",))
 
 
-@register("page_description")
+@register("page_description", f"""
+SELECT page_id, coalesce({_text_nodes_sql("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")}, '')
+  AS description FROM pages""")
 def q_page_description(spark, sf):
     from ..operators.pages import DESCRIPTION_RULES, page_description
     return page_description(_elements(spark, sf), DESCRIPTION_RULES["TheProtocol"])
@@ -795,17 +819,35 @@ ANCHOR_CARDS = dict(site="Anchors", container=[("a", "href", None, "any")], link
                     company_const="Anchors")
 
 
-@register("page_cards")
-def q_page_cards(spark, sf):
-    from ..operators.pages import page_cards
-    return page_cards(_pages(spark, sf), ANCHOR_CARDS)
+# Oracle reading of the anchor cards: the test pages' links hold plain text
+# (no nested tags or entities at any sf), so href and text come from one
+# regex, in document order.
+ANCHOR_SQL = """anchors AS (
+  SELECT page_id, i - 1 AS link_no, h[i] AS href, t[i] AS title
+  FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1) AS h,
+               regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2) AS t FROM pages) p,
+       range(1, len(h) + 1) r(i))"""
 
 
-@register("link_title")
-def q_link_title(spark, sf):
+def _anchor_cards(spark, sf):
     from ..operators.pages import page_cards
+    from pyspark.sql import Window
     cards = page_cards(_pages(spark, sf), ANCHOR_CARDS)
-    return cards.select("page_id", "pos", tx.clean_listing_title("title").alias("title"))
+    w = Window.partitionBy("page_id").orderBy("pos")  # cards of one page: bounded by the page
+    return cards.withColumn("link_no", (F.row_number().over(w) - 1).cast("long"))
+
+
+@register("page_cards", O.with_(ANCHOR_SQL) +
+          "SELECT page_id, link_no, href, " + O.strip_sql("title") + " AS title, 'Anchors' AS company FROM anchors")
+def q_page_cards(spark, sf):
+    return _anchor_cards(spark, sf).select("page_id", "link_no", "href", "title", "company")
+
+
+@register("link_title", O.with_(ANCHOR_SQL) + "SELECT page_id, link_no, " +
+          O.strip_sql("split_part(split_part(title, chr(10), 1), 'PLN', 1)") + " AS title FROM anchors")
+def q_link_title(spark, sf):
+    cards = _anchor_cards(spark, sf)
+    return cards.select("page_id", "link_no", tx.clean_listing_title("title").alias("title"))
 
 
 def title_plugin(page_id, url, html):
