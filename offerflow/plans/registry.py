@@ -249,7 +249,20 @@ def q_listing_title(spark, sf):
     return offers_df(spark, sf).select("seq", tx.clean_listing_title("description").alias("listing_title"))
 
 
-@register("clean_text")  # RE2 has no look-around: rows-only check
+# RE2 has no look-around, so the oracle evaluates the letter-joining rule
+# per space between whitespace-separated pieces: the space goes when the
+# piece before ends in a lone ASCII letter and the piece after starts with one.
+_NW = r"[^\p{L}\p{N}_]"
+_CLEAN_SQL = f"""
+SELECT conv_id, turn, {O.strip_sql("array_to_string(list_transform(range(1, len(w) + 1), lambda i: w[i] || "
+    "CASE WHEN i < len(w) AND regexp_matches(w[i], '(^|" + _NW + ")[A-Za-z]$') "
+    "AND regexp_matches(w[i + 1], '^[A-Za-z]($|" + _NW + ")') THEN '' WHEN i < len(w) THEN ' ' ELSE '' END), '')")}
+  AS clean
+FROM (SELECT conv_id, turn, string_split(regexp_replace(coalesce(text, ''), '{tx.PY_SPACE}+', ' ', 'g'), ' ') AS w
+      FROM conversations)"""
+
+
+@register("clean_text", _CLEAN_SQL)
 def q_clean_text(spark, sf):
     conv = fx.table(spark, sf, "conversations")
     return conv.select("conv_id", "turn", tx.clean_text("text").alias("clean"))
@@ -806,7 +819,17 @@ def q_page_description(spark, sf):
     return page_description(_elements(spark, sf), DESCRIPTION_RULES["TheProtocol"])
 
 
-@register("join_sections")
+# Oracle for blocks without nested divs: section divs in document order,
+# else the offer-view fallback, else "".
+_SEC = "regexp_extract_all(html, '(?s)<div[^>]*data-test=\"section-[^\"]*\"[^>]*>(.*?)</div>', 1)"
+_FB = ("regexp_extract(html, '(?s)<div[^>]*(id=\"offer-view\"|class=\"offer-view\")[^>]*>(.*?)</div>', 2)")
+
+
+@register("join_sections", f"""
+SELECT page_id, CASE WHEN len({_SEC}) > 0
+  THEN array_to_string(list_transform({_SEC}, lambda b: {_text_nodes_sql('b')}), chr(10) || chr(10))
+  WHEN regexp_matches(html, '(?s)<div[^>]*(id="offer-view"|class="offer-view")[^>]*>')
+  THEN {_text_nodes_sql(_FB)} ELSE '' END AS description FROM pages""")
 def q_join_sections(spark, sf):
     from ..operators.pages import join_sections
     return join_sections(_elements(spark, sf))
@@ -857,7 +880,9 @@ def title_plugin(page_id, url, html):
     return [(page_id, url, m.group(1).strip() if m else None)]
 
 
-@register("extractor_plugin")
+@register("extractor_plugin", """
+SELECT page_id, url, CASE WHEN regexp_matches(html, '(?s)<h1[^>]*>(.*?)</h1>')
+  THEN """ + O.strip_sql("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)") + """ END AS h1 FROM pages""")
 def q_extractor(spark, sf):
     from ..operators.pages import run_extractor
     return run_extractor(_pages(spark, sf), title_plugin, "page_id long, url string, h1 string")
