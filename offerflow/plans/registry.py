@@ -804,7 +804,30 @@ def q_block_text(spark, sf):
                                                        F.md5("text").alias("text_md5"))
 
 
-@register("longest_block")
+def _longest_block_sql() -> str:
+    """Oracle for the test pages' markup: blocks are the body divs, the
+    article, and each paragraph. A ``<p><b>`` paragraph is never closed, so
+    it runs to the end of the article; other paragraphs end at ``</p>``."""
+    t = _text_nodes_sql
+    p_text = (f"CASE WHEN starts_with(ps[k], '<b>') THEN {t('array_to_string(ps[k:], ' + chr(39) + '<p>' + chr(39) + ')')}"
+              f" ELSE {t('split_part(ps[k], ' + chr(39) + '</p>' + chr(39) + ', 1)')} END")
+    return f"""
+WITH a AS (SELECT page_id, html,
+             coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '') AS art,
+             regexp_matches(html, '(?s)<article>') AS has_art FROM pages),
+cand AS (
+  SELECT page_id, 0 AS ord, {t('d')} AS text
+  FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<div[^>]*>(.*?)</div>', 1)) AS d FROM a)
+  UNION ALL SELECT page_id, 1, {t('art')} FROM a WHERE has_art
+  UNION ALL SELECT page_id, 1 + k, {p_text}
+  FROM (SELECT page_id, ps, unnest(range(2, len(ps) + 1)) AS k
+        FROM (SELECT page_id, string_split(art, '<p>') AS ps FROM a WHERE has_art))),
+ok AS (SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY length(text) DESC, ord) AS rn
+       FROM cand WHERE length(text) > 200 AND length(text) < 15000 AND NOT contains(text, '©'))
+SELECT p.page_id, coalesce(ok.text, '') AS description FROM pages p LEFT JOIN ok ON ok.page_id = p.page_id AND rn = 1"""
+
+
+@register("longest_block", _longest_block_sql())
 def q_longest_block(spark, sf):
     from ..operators.pages import longest_block
     return longest_block(_elements(spark, sf), tags=("div", "article", "p"), lo=200, hi=15000,
