@@ -156,174 +156,136 @@ def seniority_flag(compiled: DataFrame, legacy: bool = False) -> DataFrame:
 _WORD_ONLY = r"^[\p{L}\p{N}_]+$"
 _GRAM_MAX = 3
 _EXCLUDE_BIT = 1 << 62
+_EMPTY_GROUPS = "array<array<string>>"
 
 
-def _title_grams(offers: DataFrame, key: str, lengths: Sequence[int]) -> DataFrame:
-    """(key, ltitle, gram): distinct substrings of the lowered title of the
-    given lengths (a length 0 gives the single gram "")."""
+def _term_table(compiled: DataFrame, mode: str) -> DataFrame:
+    """One row per (search, term) with its join key and its check.
+
+    ``kt``/``k`` is the key joined to the title side: ``w`` + the keyword for
+    whole-word short terms (title tokens), ``n`` + its first min(len, 3)
+    characters for everything verified on the text (title n-grams), ``a`` +
+    "" for a search without groups (one key per offer). ``check`` says what
+    confirms a candidate; ``bit`` is the group bit (bit 62 for excludes);
+    ``full`` the mask a search needs.
+    """
+    empty_gg = F.array().cast(_EMPTY_GROUPS)
+    prof = compiled.select("profile_id", F.coalesce("groups", empty_gg).alias("groups"),
+                           F.coalesce("excludes", F.array().cast("array<string>")).alias("excludes"))
+    prof = prof.withColumn("n_groups", F.size("groups"))
+    g = (prof.select("profile_id", "n_groups", F.posexplode("groups").alias("group_no", "gw"))
+         .select("profile_id", "n_groups", "group_no", F.explode("gw").alias("kw"), F.lit(False).alias("ex")))
+    x = prof.select("profile_id", "n_groups", F.lit(0).alias("group_no"), F.explode("excludes").alias("kw"),
+                    F.lit(True).alias("ex"))
+    terms = g.unionByName(x).where(F.col("kw").isNotNull())
+    kw = F.col("kw")
+    short, word = F.length(kw) <= 3, kw.rlike(_WORD_ONLY)
+    whole = ~F.col("ex") & F.lit(mode == "word")
+    check = (F.when(whole & short & word, F.lit("none"))
+             .when(whole & short, F.lit("pattern"))
+             .otherwise(F.lit("contains")))
+    pat = F.concat(F.lit(r"(?U)\b"), F.regexp_replace(kw, r"([^\p{L}\p{N}_])", r"\\$1"), F.lit(r"\b"))
+    terms = terms.select(
+        "profile_id", "n_groups", "kw", check.alias("check"),
+        F.when(check == "none", F.lit("w")).otherwise(F.lit("n")).alias("kt"),
+        F.when(check == "none", kw).otherwise(F.substring(kw, 1, _GRAM_MAX)).alias("k"),
+        F.when(check == "pattern", pat).alias("pat"),
+        F.when(F.col("ex"), F.lit(_EXCLUDE_BIT)).otherwise(F.expr("shiftleft(1L, group_no)")).alias("bit"),
+        F.col("group_no"), F.col("ex"))
+    # Searches without groups: every offer with a title is a candidate.
+    every = prof.where(F.col("n_groups") == 0).select(
+        "profile_id", "n_groups", F.lit(None).cast("string").alias("kw"), F.lit("none").alias("check"),
+        F.lit("a").alias("kt"), F.lit("").alias("k"), F.lit(None).cast("string").alias("pat"),
+        F.lit(0).cast("long").alias("bit"), F.lit(0).alias("group_no"), F.lit(False).alias("ex"))
+    return terms.unionByName(every)
+
+
+def _term_stats(terms: DataFrame) -> dict:
+    """One small job over the term table: its size (broadcast check), the
+    n-gram lengths the title side must produce, which key kinds occur and the
+    widest search. Drives the plan choice."""
+    row = terms.agg(
+        F.count(F.lit(1)).alias("n_terms"),
+        F.collect_set(F.when(F.col("kt") == "n", F.length("k"))).alias("gram_lengths"),
+        F.count_if(F.col("kt") == "w").alias("n_word"),
+        F.count_if(F.col("kt") == "a").alias("n_all"),
+        F.max("n_groups").alias("max_g"),
+    ).first()
+    return row.asDict()
+
+
+def _title_keys(offers: DataFrame, key: str, gram_lengths: Sequence[int], tokens: bool, every: bool) -> DataFrame:
+    """(key, ltitle, kt, k) from one pass over the titles: the distinct title
+    tokens (kt ``w``), the distinct substrings of the given lengths (kt ``n``;
+    a length 0 gives the single gram ""), and one ``a`` key per offer."""
     lt = F.lower(F.col("title"))
+    tagged = lambda arr, tag: F.transform(arr, lambda v: F.struct(F.lit(tag).alias("kt"), v.alias("k")))
     parts = []
-    for n in sorted(set(lengths)):
+    if tokens:
+        toks = F.filter(F.array_distinct(F.split(lt, r"(?U)\W+")), lambda v: F.length(v) > 0)
+        parts.append(tagged(toks, "w"))
+    for n in sorted(set(gram_lengths)):
         if n == 0:
             grams = F.array(F.lit(""))
         else:
             idx = F.when(F.length(lt) >= n, F.sequence(F.lit(1), F.length(lt) - n + 1)).otherwise(
                 F.array().cast("array<int>"))
             grams = F.array_distinct(F.transform(idx, lambda i: F.substring(lt, i, n)))
-        parts.append(grams)
-    allg = parts[0] if len(parts) == 1 else F.array_distinct(F.concat(*parts))
-    return offers.where(F.col("title").isNotNull()).select(
-        F.col(key), lt.alias("ltitle"), F.explode(allg).alias("gram"))
-
-
-def _title_tokens(offers: DataFrame, key: str) -> DataFrame:
-    lt = F.lower(F.col("title"))
-    toks = F.filter(F.array_distinct(F.split(lt, r"(?U)\W+")), lambda x: F.length(x) > 0)
-    return offers.where(F.col("title").isNotNull()).select(F.col(key), F.explode(toks).alias("token"))
-
-
-def _anchor_join(grams: DataFrame, terms: DataFrame, extra: Sequence[str], small: bool) -> DataFrame:
-    t = terms.select(*extra, "kw", F.substring("kw", 1, _GRAM_MAX).alias("gram"))
-    return grams.join(F.broadcast(t) if small else t, "gram")
-
-
-def _substring_hits(offers, terms, key, extra, lengths, small) -> DataFrame | None:
-    """(key, *extra) where lower(title) contains kw. Exact: candidates come
-    from an equi-join on the kw's first min(len,3) characters, then contains."""
-    if not lengths:
-        return None
-    j = _anchor_join(_title_grams(offers, key, lengths), terms, extra, small)
-    return j.where(F.col("ltitle").contains(F.col("kw"))).select(key, *extra)
-
-
-def _short_pattern_hits(offers, terms, key, extra, lengths, small) -> DataFrame | None:
-    """Whole-word test for short keywords holding non-word characters
-    (or empty): candidates by n-gram equality, then the exact \\b pattern."""
-    if not lengths:
-        return None
-    pat = F.concat(F.lit(r"(?U)\b"), F.regexp_replace("kw", r"([^\p{L}\p{N}_])", r"\\$1"), F.lit(r"\b"))
-    j = _anchor_join(_title_grams(offers, key, lengths), terms, extra, small)
-    return j.withColumn("_pat", pat).where(F.expr("ltitle RLIKE _pat")).select(key, *extra)
-
-
-def _term_stats(terms: DataFrame, prof: DataFrame) -> dict:
-    """One small job over the search table: term counts per class, anchor
-    lengths per class, the largest group count. Drives the plan choice."""
-    L = F.least(F.length("kw"), F.lit(_GRAM_MAX))
-    short, word = F.length("kw") <= 3, F.col("kw").rlike(_WORD_ONLY)
-    g, x = F.col("kind") == "g", F.col("kind") == "x"
-    row = terms.agg(
-        F.count_if(g & short & word).alias("n_word"),
-        F.count_if(g & short & ~word).alias("n_sym"),
-        F.count_if(g & ~short).alias("n_long"),
-        F.count_if(g).alias("n_sub"),
-        F.count_if(x).alias("n_ex"),
-        F.collect_set(F.when(g & short & ~word, L)).alias("len_sym"),
-        F.collect_set(F.when(g & ~short, L)).alias("len_long"),
-        F.collect_set(F.when(g, L)).alias("len_sub"),
-        F.collect_set(F.when(x, L)).alias("len_ex"),
-    ).first()
-    prow = prof.agg(F.count(F.lit(1)).alias("n_prof"),
-                    F.max(F.size(F.coalesce("groups", F.array().cast("array<array<string>>")))).alias("max_g"),
-                    F.count_if(F.size(F.coalesce("groups", F.array().cast("array<array<string>>"))) == 0)
-                    .alias("n_nogroup")).first()
-    out = row.asDict()
-    out.update(prow.asDict())
-    return out
+        parts.append(tagged(grams, "n"))
+    if every:
+        parts.append(F.array(F.struct(F.lit("a").alias("kt"), F.lit("").alias("k"))))
+    allk = parts[0] if len(parts) == 1 else F.concat(*parts)
+    return offers.select(F.col(key), lt.alias("ltitle"), F.inline(allk))
 
 
 def match_profiles(offers: DataFrame, compiled: DataFrame, key: str = "seq", mode: str = "word") -> DataFrame:
     """All (profile_id, key) pairs where the offer title satisfies the search.
 
-    ``compiled`` holds profile_id, groups, excludes. Whole-word short terms
-    join title tokens by equality; substring terms join title n-grams by
-    equality and are then verified with ``contains``. A group is satisfied
-    per (offer, search) with a bit mask aggregate (one shuffle). A search
-    with no group matches every offer it does not exclude (that product is
-    the result). Term tables are broadcast only when one stats job has
-    counted them below the row bound; otherwise the joins shuffle.
+    ``compiled`` holds profile_id, groups, excludes. The titles are read once
+    and exploded to typed keys (tokens, n-grams, one per-offer key); the term
+    table joins them by *equality* on (kt, k), a candidate is confirmed by its
+    check (none for whole-word tokens, ``contains`` for substrings, the exact
+    ``\\b`` pattern for short symbol terms), and one aggregate per
+    (offer, search) ORs the group bits: match iff every group bit and no
+    exclude bit is set. So the cost grows with offers + terms, never offers x
+    terms, and the only shuffle is that aggregate (combined map side). The
+    term table is broadcast only when one stats job has counted it below the
+    row bound; otherwise the join shuffles and AQE splits hot keys.
     """
     from ..plans.broadcast import max_rows
+    from ..plans.partitioning import spread
 
-    prof = compiled.select("profile_id", "groups", "excludes")
-    empty_gg = F.array().cast("array<array<string>>")
-    gterms = (prof.select("profile_id", F.posexplode(F.coalesce("groups", empty_gg)).alias("group_no", "g"))
-              .select("profile_id", "group_no", F.explode("g").alias("kw"), F.lit("g").alias("kind")))
-    xterms = prof.select("profile_id", F.lit(0).alias("group_no"),
-                         F.explode(F.coalesce("excludes", F.array().cast("array<string>"))).alias("kw"),
-                         F.lit("x").alias("kind"))
-    terms = gterms.unionByName(xterms).where(F.col("kw").isNotNull())
-    stats = _term_stats(terms, prof)
-    bound = max_rows(offers)
-    small = lambda n: n <= bound
-    extra = ["profile_id", "group_no"]
-    g = terms.where(F.col("kind") == "g")
-    is_short, is_word = F.length("kw") <= 3, F.col("kw").rlike(_WORD_ONLY)
-
-    parts = []
-    if mode == "word":
-        if stats["n_word"]:
-            wt = g.where(is_short & is_word).select(*extra, F.col("kw").alias("token"))
-            parts.append(_title_tokens(offers, key).join(F.broadcast(wt) if small(stats["n_word"]) else wt, "token")
-                         .select(key, *extra))
-        parts.append(_substring_hits(offers, g.where(~is_short), key, extra, stats["len_long"],
-                                     small(stats["n_long"])))
-        parts.append(_short_pattern_hits(offers, g.where(is_short & ~is_word), key, extra, stats["len_sym"],
-                                         small(stats["n_sym"])))
-    else:
-        parts.append(_substring_hits(offers, g, key, extra, stats["len_sub"], small(stats["n_sub"])))
-    parts = [p for p in parts if p is not None]
-
-    n_groups = prof.select("profile_id", F.size(F.coalesce("groups", empty_gg)).alias("n_groups"))
-    n_groups_b = F.broadcast(n_groups) if small(stats["n_prof"]) else n_groups
-    # Searches without groups: every offer with a title is a candidate.
-    everything = None
-    if stats["n_nogroup"]:
-        no_group = n_groups.where(F.col("n_groups") == 0).select("profile_id", F.lit(0).alias("_k"))
-        everything = (offers.where(F.col("title").isNotNull()).select(key, F.lit(0).alias("_k"))
-                      .join(F.broadcast(no_group) if small(stats["n_nogroup"]) else no_group, "_k")
-                      .select(key, "profile_id"))
-    excluded = None
-    if stats["n_ex"]:
-        excluded = _substring_hits(offers, terms.where(F.col("kind") == "x"), key, extra, stats["len_ex"],
-                                   small(stats["n_ex"])).select(key, "profile_id")
-
+    terms = _term_table(compiled, mode)
+    stats = _term_stats(terms)
+    if not stats["n_terms"]:
+        return offers.sparkSession.createDataFrame([], f"profile_id long, {key} long")
+    small = stats["n_terms"] <= max_rows(offers)
+    titles = offers.where(F.col("title").isNotNull()).select(key, "title")
+    if small:
+        # Spread the narrow (key, title) rows by key before the explode: the
+        # exploding is the CPU work, and since key is unique per offer the
+        # (key, search) aggregate below is then already co-located (no
+        # second shuffle, no hot key).
+        titles = spread(titles, key)
+    tk = _title_keys(titles, key, stats["gram_lengths"] or [], bool(stats["n_word"]), bool(stats["n_all"]))
+    hits = tk.join(F.broadcast(terms) if small else terms, ["kt", "k"])
+    ok = (F.when(F.col("check") == "none", F.lit(True))
+          .when(F.col("check") == "contains", F.col("ltitle").contains(F.col("kw")))
+          .otherwise(F.expr("ltitle RLIKE pat")))
+    hits = hits.where(ok)
     if (stats["max_g"] or 0) <= 61:
-        # One aggregate decides everything: bit g set when group g has a hit,
-        # bit 62 when an exclude hits. Match iff all group bits, no exclude bit.
-        bits = [p.select(key, "profile_id", F.expr("shiftleft(1L, group_no)").alias("bit")) for p in parts]
-        if everything is not None:
-            bits.append(everything.select(key, "profile_id", F.lit(0).cast("long").alias("bit")))
-        if excluded is not None:
-            bits.append(excluded.select(key, "profile_id", F.lit(_EXCLUDE_BIT).alias("bit")))
-        if not bits:
-            return offers.sparkSession.createDataFrame([], f"profile_id long, {key} long")
-        allb = bits[0]
-        for b in bits[1:]:
-            allb = allb.unionByName(b)
-        agg = allb.groupBy(key, "profile_id").agg(F.bit_or("bit").alias("mask"))
+        # bit g set when group g has a hit, bit 62 when an exclude hits
+        agg = hits.groupBy(key, "profile_id").agg(F.bit_or("bit").alias("mask"), F.max("n_groups").alias("n_groups"))
         full = F.expr("shiftleft(1L, n_groups) - 1")
         cond = ((F.col("mask").bitwiseAND(full) == full)
                 & (F.col("mask").bitwiseAND(F.lit(_EXCLUDE_BIT)) == 0))
-        return agg.join(n_groups_b, "profile_id").where(cond).select("profile_id", key)
-
-    # Very wide searches (> 61 groups): distinct group count, then anti join.
-    candidates = None
-    if parts:
-        hits = parts[0]
-        for p in parts[1:]:
-            hits = hits.unionByName(p)
-        agg = hits.groupBy(key, "profile_id").agg(F.countDistinct("group_no").alias("n_hit"))
-        candidates = (agg.join(n_groups_b, "profile_id").where(F.col("n_hit") == F.col("n_groups"))
-                      .select("profile_id", key))
-    if everything is not None:
-        e = everything.select("profile_id", key)
-        candidates = e if candidates is None else candidates.unionByName(e)
-    if candidates is None:
-        return offers.sparkSession.createDataFrame([], f"profile_id long, {key} long")
-    if excluded is not None:
-        candidates = candidates.join(excluded, ["profile_id", key], "left_anti")
-    return candidates
+    else:
+        # very wide searches: distinct group count instead of a mask
+        agg = hits.groupBy(key, "profile_id").agg(
+            F.count_distinct(F.when(~F.col("ex") & (F.col("kt") != "a"), F.col("group_no"))).alias("n_hit"),
+            F.max(F.col("ex").cast("int")).alias("n_ex"), F.max("n_groups").alias("n_groups"))
+        cond = (F.col("n_hit") == F.col("n_groups")) & (F.col("n_ex") == 0)
+    return agg.where(cond).select("profile_id", key)
 
 
 # ---------------------------------------------------------------------------
