@@ -74,18 +74,27 @@ def with_scoring_text(offers: DataFrame, desc: str = "description") -> DataFrame
     return offers.withColumn(LDESC, F.lower(clip(desc, CHAR_LIMIT)))
 
 
-def default_verdict_cols(desc: str = "description", skills: str = "skills", ldesc: str | None = None) -> list[Column]:
-    """Our default scorer: share of the search's skills found (as substrings)
-    in the clipped, lower-cased description; missing skills keep their order."""
+_FOUND = "_found"
+
+
+def skill_hits_col(desc: str = "description", skills: str = "skills", ldesc: str | None = None) -> Column:
+    """Per skill of the search, in order: (skill, found as a substring of the
+    clipped, lower-cased description)."""
     d = F.col(ldesc) if ldesc else F.lower(clip(desc, CHAR_LIMIT))
     sk = F.coalesce(F.col(skills), F.array().cast("array<string>"))
-    found = F.transform(sk, lambda s: F.struct(s.alias("s"), d.contains(F.lower(s)).alias("hit")))
-    n_sk = F.size(sk)
-    n_hit = F.size(F.filter(found, lambda x: x["hit"]))
+    return F.transform(sk, lambda s: F.struct(s.alias("s"), d.contains(F.lower(s)).alias("hit")))
+
+
+def default_verdict_cols(found: str = _FOUND) -> list[Column]:
+    """Our default scorer over the skill hits: share of the search's skills
+    found; missing skills keep their order."""
+    f = F.col(found)
+    n_sk = F.size(f)
+    n_hit = F.size(F.filter(f, lambda x: x["hit"]))
     # round(100 * hits / n) half up, in integers: (200 * hits + n) div (2 * n)
     score = F.when(n_sk == 0, F.lit(0)).otherwise(
         F.floor((n_hit * 200 + n_sk) / (n_sk * 2))).cast("int")
-    missing = F.transform(F.filter(found, lambda x: ~x["hit"]), lambda x: x["s"])
+    missing = F.transform(F.filter(f, lambda x: ~x["hit"]), lambda x: x["s"])
     advice = (F.when(score >= BAND_HIGH, F.lit("Strong fit: apply."))
               .when(score >= BAND_MID, F.lit("Partial fit: close the missing skills first."))
               .otherwise(F.lit("Weak fit: skip unless the role interests you.")))
@@ -106,7 +115,10 @@ def score_offers(pairs: DataFrame, scorer: ScorerFn | None = None) -> DataFrame:
     guarded = pairs.where(F.length("description") > 0)
     if scorer is None:
         ld = LDESC if LDESC in pairs.columns else None
-        out = guarded.select("*", *default_verdict_cols(ldesc=ld), F.lit(None).cast("string").alias("error"))
+        # the substring tests run once per pair: the hits are a column of
+        # their own, read by score, missing skills and advice
+        hits = guarded.withColumn(_FOUND, skill_hits_col(ldesc=ld))
+        out = hits.select("*", *default_verdict_cols(), F.lit(None).cast("string").alias("error")).drop(_FOUND)
         return out.drop(LDESC) if ld else out
 
     withp = render_prompt(guarded)

@@ -482,11 +482,15 @@ def q_newest(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _scored_pairs(spark, sf):
-    o = sc.with_scoring_text(offers_df(spark, sf))
-    matched = se.match_profiles(o, se.compiled_profiles(fx.profiles(spark, sf))).join(o, "seq")
-    pairs = sc.offer_cv_pairs(matched, fx.resumes(spark, sf))
+    o = offers_df(spark, sf)
+    pairs = se.match_profiles(o, se.compiled_profiles(fx.profiles(spark, sf)))
+    # the narrow (profile_id, seq) pairs meet the search-sized tables first;
+    # the offer text joins last, once per pair (pairs are already partitioned
+    # by seq, so at scale only the offer side moves)
+    pairs = sc.offer_cv_pairs(pairs, fx.resumes(spark, sf))
     skills = fx.profiles(spark, sf).select("profile_id", "skills")
-    return sc.score_offers(pairs.join(maybe_broadcast(skills), "profile_id"))
+    pairs = pairs.join(maybe_broadcast(skills), "profile_id")
+    return sc.score_offers(pairs.join(sc.with_scoring_text(o), "seq"))
 
 
 _ps_score, _ps_missing, _ps_advice = _score_sql("o.description", "pr.skills")
