@@ -108,6 +108,19 @@ def test_match_profiles_shuffle_path(spark):
     assert got == want
 
 
+def test_match_profiles_wide_searches(spark):
+    """Searches with more groups than the bit mask holds (> 61) take the
+    distinct-group-count path; same answer as the brute force."""
+    titles = _random_titles(300, seed=13) + ["the la de data ml engineer er " * 3]
+    offers = spark.createDataFrame(list(enumerate(titles)), "seq long, title string")
+    many = [["the", "la"], ["de", "data"], ["er"], ["ml", "c++"], ["engineer"]] * 13  # 65 groups
+    wide = [(10, many, []), (11, many, ["heed"]), (12, [["la"]] * 70, ["python"]), (4, [], ["ai"])]
+    prof = spark.createDataFrame(wide, "profile_id long, groups array<array<string>>, excludes array<string>")
+    got = {(r["profile_id"], r["seq"]) for r in se.match_profiles(offers, prof).collect()}
+    want = {(pid, i) for pid, g, ex in wide for i, t in enumerate(titles) if matches(t, g, ex)}
+    assert got == want and any(pid == 10 for pid, _ in want)
+
+
 def test_seniority_and_topics(spark):
     prof = spark.createDataFrame([(1, [["ml engineer", "python"], ["junior"]], []), (2, [["html"]], []),
                                   (3, [], [])], "profile_id long, groups array<array<string>>, excludes array<string>")
