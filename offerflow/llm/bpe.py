@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from functools import lru_cache
 from hashlib import sha256
 
@@ -24,10 +25,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from offerflow.llm.common import map_texts
-
-#: Pre-tokens remembered by a worker; the memory is emptied beyond it (cost only).
-REMEMBERED = 300_000
+from offerflow.llm.common import Remembered, map_texts
 
 
 class PerfectHash:
@@ -77,7 +75,7 @@ class Codec:
         for key, at in zip(keys, self.hash.index.tolist(), strict=True):
             self.slots[at] = (key, tokens[key])
         self.vocabulary = {i: t for t, i in tokens.items()}
-        self._memo = _Memo(self)
+        self._packed = Remembered(self._pack)
 
     def whole(self, piece: bytes) -> int:
         """First tier: the id of a pre-token that is itself a token, else -1."""
@@ -125,29 +123,20 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Token ids of a text as little-endian unsigned 32-bit integers."""
-        if len(self._memo) > REMEMBERED:
-            self._memo.clear()
-        return b"".join(map(self._memo.__getitem__, self.pattern.findall(text)))
+        return b"".join(map(self._packed.__getitem__, self.pattern.findall(text)))
+
+    def _pack(self, piece: str) -> bytes:
+        raw = piece.encode()
+        token = self.whole(raw)
+        if token >= 0:
+            return token.to_bytes(4, "little")
+        ids = self.merge(raw)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-class _Memo(dict):
-    """Ids of pre-tokens met before, packed; a new one is encoded on first use."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        token = self.codec.whole(raw)
-        packed = np.array([token] if token >= 0 else self.codec.merge(raw), "<u4").tobytes()
-        self[piece] = packed
-        return packed
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}

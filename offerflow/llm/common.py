@@ -87,6 +87,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def folder_bound(n: int, per: int, least: int = 1) -> int:
-    """Number of buckets so that each holds about ``per`` of ``n`` items."""
-    return max(least, -(-n // per))
+class Remembered(dict):
+    """Results of a function by argument, computed on first use. Two generations
+    of ``limit`` entries bound a worker's memory: when the young one is full it
+    becomes the old one, whose entries move up again when they are used."""
+
+    def __init__(self, compute: Callable, limit: int = 500_000):
+        super().__init__()
+        self.compute, self.limit, self.old = compute, limit, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerflow.llm.common import map_texts, saved
+from offerflow.llm.common import Remembered, map_texts, saved
 from offerflow.llm.components import components
 from offerflow.llm.embedding_dedup import forest
 
@@ -41,7 +41,6 @@ DEEPEST = 8
 RECALL = 0.9999
 #: Classes in a block of a shared prefix, about.
 BLOCK = 256
-REMEMBERED = 300_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,13 +53,7 @@ def prefix_depth(trees: int = TREES, deepest: int = DEEPEST, similarity: float =
     return depth
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_word_hash = _WordHash()
+_word_hash = Remembered(xxhash.xxh3_64_intdigest)
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -68,8 +61,6 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_word_hash) > REMEMBERED:
-        _word_hash.clear()
     h = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
     size = min(width, len(h))
     n = len(h) - size + 1

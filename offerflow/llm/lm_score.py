@@ -35,32 +35,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerflow.llm.common import saved
+from offerflow.llm.common import Remembered, saved
 
 CHUNK_TOKENS = 1_000_000
 BUCKET_KEYS = 2_000_000
 #: Kinds of documents by crc32(id) mod 5: 1 is held out, 0 fits the mixture weights, the rest train only.
 HELD, FIT, TRAIN = 1, 0, 2
-REMEMBERED = 300_000
 #: Steps per factor of two in the histogram of estimates.
 FINE = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_word_hash = _WordHash()
+_word_hash = Remembered(xxhash.xxh3_64_intdigest)
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds a line break
 
 
 def token_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of a text's words, then of the end mark."""
-    if len(_word_hash) > REMEMBERED:
-        _word_hash.clear()
     words = (text or "").encode().lower().split()
     out = np.empty(len(words) + 1, np.uint64)
     out[:-1] = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))

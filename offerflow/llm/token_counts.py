@@ -26,12 +26,11 @@ from functools import lru_cache
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from offerflow.llm.common import map_texts
+from offerflow.llm.common import Remembered, map_texts
 
 MARK = "▁"
 #: Unigram tokenizers score an unknown character this much below the lowest piece.
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 300_000
 
 
 class Counter:
@@ -46,7 +45,7 @@ class Counter:
         breaks = "".join(c for c in "\n\t\r" if not any(c in p for p in pieces))
         self.split = re.compile(".+" if inner else f"{MARK}*[^{MARK}{breaks}]+|{MARK}+|[{breaks}]"
                                 if breaks else f"{MARK}*[^{MARK}]+|{MARK}+", re.S)
-        self._memo = _Memo(self)
+        self._solved = Remembered(self.solve)
 
     def solve(self, word: str) -> tuple[int, float]:
         """(pieces, score) of the best path through one word."""
@@ -73,25 +72,13 @@ class Counter:
     def count(self, text: str) -> tuple[int, float]:
         if not text:
             return 0, 0.0
-        if len(self._memo) > REMEMBERED:
-            self._memo.clear()
         pieces, score = 0, 0.0
-        for n, s in map(self._memo.__getitem__, self.split.findall(MARK + text.replace(" ", MARK))):
+        for n, s in map(self._solved.__getitem__, self.split.findall(MARK + text.replace(" ", MARK))):
             pieces += n
             score += s
         return pieces, score
 
 
-class _Memo(dict):
-    def __init__(self, counter: Counter):
-        super().__init__()
-        self.counter = counter
-
-    def __missing__(self, word: str) -> tuple[int, float]:
-        self[word] = found = self.counter.solve(word)
-        return found
-
-
 @lru_cache(maxsize=2)
 def counter(path: str | None = None) -> Counter:
     """The counter of a piece model, once per Python process: its normal pieces

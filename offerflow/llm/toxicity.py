@@ -31,32 +31,26 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerflow.llm.common import labelled_sample, map_texts
+from offerflow.llm.common import Remembered, labelled_sample, map_texts
 
 TERMS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BITS = 18
 #: Labelled documents that the machine is fitted on, at most.
 SAMPLE_DOCS = 12000
-REMEMBERED = 300_000
 
 
-class _Columns(dict):
-    """Columns of a word and of its stems, remembered."""
+def word_columns(word: bytes) -> tuple[int, ...]:
+    """Columns of a word and of its stems."""
+    text = word.decode()
+    stems = [text[:n] + "*" for n in (4, 5) if len(text) > n]
+    return tuple(zlib.crc32(t) & ((1 << BITS) - 1) for t in (word, *(s.encode() for s in stems)))
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        text = word.decode()
-        stems = [text[:n] + "*" for n in (4, 5) if len(text) > n]
-        self[word] = found = tuple(zlib.crc32(t) & ((1 << BITS) - 1) for t in (word, *(s.encode() for s in stems)))
-        return found
 
-
-_columns = _Columns()
+_columns = Remembered(word_columns)
 
 
 def term_ids(text: str | None) -> np.ndarray:
     """Sorted distinct columns of a text's terms."""
-    if len(_columns) > REMEMBERED:
-        _columns.clear()
     words = set(TERMS.findall((text or "").encode().lower()))
     return np.array(sorted({i for w in words for i in _columns[w]}), np.int32)
 
