@@ -8,7 +8,7 @@ whose own counts are deleted from the estimates there. Scores then use all
 training counts.
 
 Counts of a corpus of words do not fit one machine, so no table of them is
-broadcast or collected. Texts are read once and written as chunks of about a
+broadcast or collected. Texts are read once and written as chunks of about half a
 million tokens (64-bit word hashes, the position of each token in them). Every
 chunk asks for its distinct n-grams: sorted hashes and own counts, cut into
 buckets by their leading bits. A bucket adds up all chunks' counts and answers
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from offerflow.llm.common import Remembered, saved
 
-CHUNK_TOKENS = 1_000_000
-BUCKET_KEYS = 2_000_000
+CHUNK_TOKENS = 500_000
+BUCKET_KEYS = 1_000_000
 #: Kinds of documents by crc32(id) mod 5: 1 is held out, 0 fits the mixture weights, the rest train only.
 HELD, FIT, TRAIN = 1, 0, 2
 #: Steps per factor of two in the histogram of estimates.
