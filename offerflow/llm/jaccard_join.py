@@ -53,7 +53,7 @@ def prefix_depth(trees: int = TREES, deepest: int = DEEPEST, similarity: float =
     return depth
 
 
-_word_hash = Remembered(xxhash.xxh3_64_intdigest)
+_word_hash = Remembered(xxhash.xxh3_64_intdigest, 200_000)
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:

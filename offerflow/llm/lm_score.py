@@ -46,7 +46,7 @@ FINE = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-_word_hash = Remembered(xxhash.xxh3_64_intdigest)
+_word_hash = Remembered(xxhash.xxh3_64_intdigest, 200_000)
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds a line break
 
 
@@ -138,7 +138,8 @@ def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def answers(chunks: DataFrame, buckets: int) -> DataFrame:
     """(chunk, kind, gram, bucket, all, fit, seen, kept): per chunk and bucket the
-    training counts of its n-grams in hash order, all and in the fitting part;
+    training counts of its n-grams in hash order, all and (for chunks of the
+    fitting part) in the fitting part;
     seen and kept: distinct n-grams with a training count, with and without that part."""
 
     def ask(batches):
@@ -173,7 +174,7 @@ def answers(chunks: DataFrame, buckets: int) -> DataFrame:
                 fit[at[p]] += t.astype(np.int64)
         out = f[["chunk", "kind", "gram", "bucket"]].copy()
         out["all"] = [pack(every[at[p]]) for p in parts]
-        out["fit"] = [pack(fit[at[p]]) for p in parts]
+        out["fit"] = [pack(fit[at[p]]) if kind == FIT else b"" for p, kind in zip(parts, kinds, strict=True)]
         first = np.arange(len(f)) == 0
         out["seen"] = np.where(first, int((every > 0).sum()), 0)
         out["kept"] = np.where(first, int((every > fit).sum()), 0)
