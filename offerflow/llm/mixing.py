@@ -28,7 +28,7 @@ from offerflow.llm.common import saved
 
 DIMENSIONS = ("source", "lang", "topic")
 POWER = 0.7
-SWEEPS = 12
+SWEEPS = 8
 #: Stands for null in cells and targets.
 NONE = "(none)"
 
@@ -68,15 +68,16 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, p
          sweeps: int = SWEEPS) -> DataFrame:
     """(source, lang, topic, tokens, weight): weights adding to 1 whose marginals
     are the targets, as far as the cells that occur allow."""
-    shares = {d: saved(target_shares(cells, d, (targets or {}).get(d), power), f"share-{d}") for d in DIMENSIONS}
-    now = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
+    now = cells.where("tokens > 0")
+    for d in DIMENSIONS:
+        now = now.join(target_shares(cells, d, (targets or {}).get(d), power).withColumnRenamed("share", f"share_{d}"), d)
+    now = saved(now.withColumn("weight", F.col("tokens").cast("double")), "raked")
     for _ in range(sweeps):
         for d in DIMENSIONS:
             sums = now.groupBy(d).agg(F.sum("weight").alias("sum"))
-            factor = sums.join(shares[d], d).select(d, (F.col("share") / F.col("sum")).alias("factor"))
-            now = now.join(factor, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            now = now.join(sums, d).withColumn("weight", F.col("weight") * F.col(f"share_{d}") / F.col("sum")).drop("sum")
         now = saved(now, "raked")  # the plan stays one sweep deep
-    return now
+    return now.select(*DIMENSIONS, "tokens", "weight")
 
 
 def mixture(docs: DataFrame, topics: DataFrame, targets: dict[str, dict[str, float]] | None = None,
