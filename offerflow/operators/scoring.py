@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clip
-from ..plans.broadcast import maybe_broadcast
 from ..schemas import VERDICT_RAW
 from .state import new_offers
 
@@ -37,7 +36,7 @@ COLOR_GREEN, COLOR_YELLOW, COLOR_RED = "#28a745", "#ffc107", "#dc3545"
 
 def offer_cv_pairs(offers: DataFrame, resumes: DataFrame) -> DataFrame:
     """Pair each matched offer (with profile_id) with that search's CV."""
-    return offers.join(maybe_broadcast(resumes.select("profile_id", "cv_text")), "profile_id")
+    return offers.join(resumes.select("profile_id", "cv_text"), "profile_id")
 
 
 def render_prompt_col(desc: str = "description", cv: str = "cv_text", n: int = CHAR_LIMIT) -> Column:
@@ -69,9 +68,9 @@ LDESC = "_ldesc"
 
 
 def with_scoring_text(offers: DataFrame, desc: str = "description") -> DataFrame:
-    """Adds the clipped, lower-cased description once per offer, so that a
+    """Adds the lower-cased description once per offer, so that a
     join fanning offers out to many searches does not redo it per pair."""
-    return offers.withColumn(LDESC, F.lower(clip(desc, CHAR_LIMIT)))
+    return offers.withColumn(LDESC, F.lower(F.col(desc)))
 
 
 _FOUND = "_found"
@@ -79,8 +78,8 @@ _FOUND = "_found"
 
 def skill_hits_col(desc: str = "description", skills: str = "skills", ldesc: str | None = None) -> Column:
     """Per skill of the search, in order: (skill, found as a substring of the
-    clipped, lower-cased description)."""
-    d = F.col(ldesc) if ldesc else F.lower(clip(desc, CHAR_LIMIT))
+    whole, lower-cased description)."""
+    d = F.col(ldesc) if ldesc else F.lower(F.col(desc))
     sk = F.coalesce(F.col(skills), F.array().cast("array<string>"))
     return F.transform(sk, lambda s: F.struct(s.alias("s"), d.contains(F.lower(s)).alias("hit")))
 

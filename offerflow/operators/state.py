@@ -6,10 +6,13 @@ a hot key (one key holding a third of all rows) never lands in one task:
 
 1. ``groupBy(key).agg(max(order))`` - partial aggregation combines map side,
    so a hot key costs one row per map task in the shuffle;
-2. semi join of the rows with the winning orders - the join key is the
-   unique order, so that shuffle is skew free.
+2. semi join of the rows with the winning (key, order) - the order is unique,
+   so that shuffle is skew free.
 
-Null keys form one group, as in pandas ``drop_duplicates``.
+Null keys form one group, as in pandas ``drop_duplicates``. Rows without an
+order (an imported history) sort first and are never lost: both joins compare
+nulls as equal. ``stamp_import`` gives imported rows an order of their own.
+Join strategies are left to adaptive execution, which knows the sizes.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key
-from ..plans.broadcast import maybe_broadcast, row_bound_ok
 
 ORDER = ("batch_id", "source_rank", "seq")
 
@@ -33,9 +35,17 @@ def keep_one(df: DataFrame, keys: Sequence, keep: str = "last", order: Sequence[
     """One row per key: the last (or first) in arrival order."""
     o = F.struct(*[F.col(c) for c in order])
     pick = F.max(o) if keep == "last" else F.min(o)
-    key_cols = [c.alias(f"_k{i}") for i, c in enumerate(_cols(keys))]
-    winners = df.groupBy(*key_cols).agg(pick.alias("_w")).select(*[F.col(f"_w.{c}").alias(c) for c in order])
-    return df.join(winners, list(order), "left_semi")
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = df.select("*", *[c.alias(n) for c, n in zip(_cols(keys), names)])
+    winners = keyed.groupBy(*names).agg(pick.alias("_w")).select(*names, *[F.col(f"_w.{c}").alias(c) for c in order])
+    return _join_null_safe(keyed, winners, [*names, *order], "left_semi").drop(*names)
+
+
+def stamp_import(history: DataFrame) -> DataFrame:
+    """Arrival order for imported rows: before every run (batch -1), in file order."""
+    return history.drop(*ORDER).select("*", F.lit(-1).cast("long").alias("batch_id"),
+                                       F.lit(0).cast("long").alias("source_rank"),
+                                       F.monotonically_increasing_id().alias("seq"))
 
 
 def dedupe_keys(title: str = "title", company: str = "company", location: str = "location") -> list[Column]:
@@ -78,16 +88,9 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def _join_null_safe(big: DataFrame, small: DataFrame, cols: Sequence[str], how: str,
-                    broadcast: bool | None = None) -> DataFrame:
-    """Semi / anti join of big with small on cols, nulls comparing equal (as
-    pandas keys do). The small side is broadcast after a size check (or by
-    the caller's ``broadcast`` decision, made from a count it already has)."""
-    s = small.select(*[F.col(c).alias(f"_s_{c}") for c in cols]).distinct()
-    if broadcast is None:
-        s = maybe_broadcast(s)
-    elif broadcast:
-        s = F.broadcast(s)
+def _join_null_safe(big: DataFrame, small: DataFrame, cols: Sequence[str], how: str) -> DataFrame:
+    """Semi / anti join of big with small on cols, nulls comparing equal (as pandas keys do)."""
+    s = small.select(*[F.col(c).alias(f"_s_{c}") for c in cols])
     cond = None
     for c in cols:
         e = big[c].eqNullSafe(s[f"_s_{c}"])
@@ -113,16 +116,17 @@ def merge_history(history: DataFrame, new: DataFrame, history_is_merged: bool =
     rows. The history is scanned without any shuffle instead of being
     re-deduplicated whole every run; the rows are the same as the full form.
     """
+    if not set(ORDER) <= set(history.columns):
+        history = stamp_import(history)
     if not history_is_merged:
         both = union_sources(history, new)
         return keep_one(keep_one(both, ["job_url"], "last"), dedupe_keys(), "last")
     hk, nk = _keyed(history), _keyed(new)
     urls, keys = nk.select("job_url"), nk.select(*_KEY_COLS)
-    b = row_bound_ok(new)  # one size check of the new side serves all four joins
-    not_url = _join_null_safe(hk, urls, ["job_url"], "left_anti", b)
-    untouched = _join_null_safe(not_url, keys, _KEY_COLS, "left_anti", b)
-    touched = union_sources(_join_null_safe(hk, urls, ["job_url"], "left_semi", b),
-                            _join_null_safe(not_url, keys, _KEY_COLS, "left_semi", b))
+    not_url = _join_null_safe(hk, urls, ["job_url"], "left_anti")
+    untouched = _join_null_safe(not_url, keys, _KEY_COLS, "left_anti")
+    touched = union_sources(_join_null_safe(hk, urls, ["job_url"], "left_semi"),
+                            _join_null_safe(not_url, keys, _KEY_COLS, "left_semi"))
     both = union_sources(touched.drop(*_KEY_COLS), new)
     merged_part = keep_one(keep_one(both, ["job_url"], "last"), dedupe_keys(), "last")
     return union_sources(untouched.drop(*_KEY_COLS), merged_part)
@@ -153,19 +157,19 @@ def _seen_keys(seen: DataFrame) -> DataFrame:
 def new_offers(offers: DataFrame, seen: DataFrame) -> DataFrame:
     """Offers whose URL is not in the seen set (anti join; a null URL stays)."""
     keyed = offers.withColumn("_url_key", _url_key(offers))
-    return keyed.join(maybe_broadcast(_seen_keys(seen)), "_url_key", "left_anti").drop("_url_key")
+    return keyed.join(_seen_keys(seen), "_url_key", "left_anti").drop("_url_key")
 
 
 def known_offers(offers: DataFrame, seen: DataFrame) -> DataFrame:
     has = offers.where(F.col("job_url").isNotNull())
-    return has.join(maybe_broadcast(seen.select("job_url")), "job_url", "left_semi")
+    return has.join(seen.select("job_url"), "job_url", "left_semi")
 
 
 def with_seen_flag(offers: DataFrame, seen: DataFrame) -> DataFrame:
     """Adds ``is_seen`` in one pass (for counters), instead of anti + semi."""
     s = _seen_keys(seen).distinct().withColumn("is_seen", F.lit(True))
     keyed = offers.withColumn("_url_key", _url_key(offers))
-    out = keyed.join(maybe_broadcast(s), "_url_key", "left").drop("_url_key")
+    out = keyed.join(s, "_url_key", "left").drop("_url_key")
     return out.withColumn("is_seen", F.coalesce(F.col("is_seen"), F.lit(False)))
 
 

@@ -1,31 +1,12 @@
-"""Size-checked broadcast.
-
-A side is broadcast only after its row count is proven below a bound
-(``limit(n + 1).count()`` reads at most n + 1 rows of it). Above the bound
-the plan keeps a shuffle join, and AQE may still switch at run time.
-"""
+"""The row bound below which a term table counts as small (see match_profiles)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 DEFAULT_MAX_ROWS = 200_000
 CONF_KEY = "offerflow.broadcast.maxRows"
 
 
 def max_rows(df: DataFrame) -> int:
-    try:
-        return int(df.sparkSession.conf.get(CONF_KEY, str(DEFAULT_MAX_ROWS)))
-    except Exception:  # noqa: BLE001 - a bad setting falls back to the default
-        return DEFAULT_MAX_ROWS
-
-
-def row_bound_ok(df: DataFrame, limit: int | None = None) -> bool:
-    n = max_rows(df) if limit is None else limit
-    return df.limit(n + 1).count() <= n
-
-
-def maybe_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Broadcast hint when the row count is checked to be small, else as is."""
-    return F.broadcast(df) if row_bound_ok(df, limit) else df
+    return int(df.sparkSession.conf.get(CONF_KEY, str(DEFAULT_MAX_ROWS)))

@@ -17,7 +17,6 @@ from ..operators import search as se
 from ..operators import state as st
 from ..sources import fixtures as fx
 from . import oracle_sql as O
-from .broadcast import maybe_broadcast
 from .pipeline import FLAGSHIP_EXCLUDES, FLAGSHIP_GROUPS, flagship, fold_runs, initial_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,14 +50,19 @@ HIST_URLS = "hist AS (SELECT DISTINCT job_url FROM offers WHERE batch_id = 0 AND
 NEWB = "newb AS (SELECT * FROM offers WHERE batch_id > 0)"
 FLAG_SKILLS = O._list(["the", "and", "de", "pour", "python", "sql"])
 
+# Each title is lower-cased and cut into words once; a short keyword of word characters is a member of that list.
 MATCHED_PAIRS = (
-    "pairs AS (SELECT c.profile_id, o.seq FROM offers o, compiled c WHERE "
-    + O.search_match_sql("o.title", "c.groups", "c.excludes") + ")"
+    "titles AS MATERIALIZED (SELECT seq, lower(title) AS lt, "
+    f"list_distinct(regexp_split_to_array(lower(title), '{O.NOT_WORD}+')) AS words FROM offers WHERE title IS NOT NULL),\n"
+    "pairs AS MATERIALIZED (SELECT c.profile_id, o.seq FROM titles o, compiled c WHERE "
+    "NOT coalesce(list_bool_or(list_transform(c.excludes, lambda e: contains(o.lt, e))), false) "
+    "AND coalesce(list_bool_and(list_transform(c.groups, lambda g: coalesce(list_bool_or(list_transform(g, lambda kw: "
+    "CASE WHEN length(kw) <= 3 THEN list_contains(o.words, kw) ELSE contains(o.lt, kw) END)), false))), true))"
 )
 
 
 def _score_sql(desc: str, skills: str) -> tuple[str, str, str]:
-    d = f"lower(substr({desc}, 1, 8000))"
+    d = f"lower({desc})"
     hits = f"len(list_filter({skills}, lambda s: contains({d}, lower(s))))"
     n = f"len({skills})"
     score = f"CAST(CASE WHEN {n} = 0 THEN 0 ELSE ({hits} * 200 + {n}) // ({n} * 2) END AS INTEGER)"
@@ -489,7 +493,7 @@ def _scored_pairs(spark, sf):
     # by seq, so at scale only the offer side moves)
     pairs = sc.offer_cv_pairs(pairs, fx.resumes(spark, sf))
     skills = fx.profiles(spark, sf).select("profile_id", "skills")
-    pairs = pairs.join(maybe_broadcast(skills), "profile_id")
+    pairs = pairs.join(skills, "profile_id")
     return sc.score_offers(pairs.join(sc.with_scoring_text(o), "seq"))
 
 

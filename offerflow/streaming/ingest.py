@@ -3,9 +3,11 @@ against state kept as snapshot tables in a shared folder.
 
 ``readStream`` (file source) -> ``foreachBatch`` -> for every ``batch_id``
 present, in order: ``incremental_run`` over the latest snapshot, then a new
-snapshot ``v=<n>``. Snapshots are numbered from the epoch and the batch id,
-and each epoch reads only snapshots older than itself, so a replayed epoch
-after a failure rewrites the same snapshots with the same rows (idempotent).
+snapshot ``v=<n>``, numbered one by one whatever the batch ids are. The first
+attempt of an epoch records the snapshot that it starts from, so a replay after
+a failure starts there again and rewrites the same snapshots with the same rows
+(idempotent). With ``forgetful=False`` the ledger of all matched URLs is a
+snapshot of its own, written before the offers that it goes with.
 Keep-last dedupe can replace an earlier row, so this is not
 ``dropDuplicates`` state: the state is a table.
 """
@@ -19,50 +21,73 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.pipeline import OFFER_COLS, RunState, incremental_run
-from ..sources.io import latest_snapshot, read_snapshot, write_snapshot
-from ..operators.state import seen_urls
-
-BATCH_SLOTS = 1_000_000  # snapshot number = epoch * BATCH_SLOTS + batch_id + 1
-
+from ..operators.state import ORDER, seen_urls, stamp_import
+from ..sources.io import _fs, latest_snapshot, read_snapshot, write_snapshot
 
 def offer_stream_schema(df: DataFrame) -> T.StructType:
     return df.select(*OFFER_COLS).schema
 
 
+def _ledger_dir(state_dir: str) -> str:
+    return f"{state_dir.rstrip('/')}/ledger"
+
+
 def seed_state(history: DataFrame, state_dir: str) -> None:
-    """Snapshot 0: the stored history before any run."""
+    """Snapshot 0: the stored history before any run, and its URLs."""
+    if not set(ORDER) <= set(history.columns):
+        history = stamp_import(history)
+    write_snapshot(seen_urls(history), _ledger_dir(state_dir), 0)
     write_snapshot(history.select(*OFFER_COLS), state_dir, 0)
 
 
+def _epoch_start(spark: SparkSession, state_dir: str, epoch_id: int) -> int:
+    """The snapshot an epoch starts from (-1: none), recorded on its first attempt
+    as the name of an empty folder."""
+    fs, base = _fs(spark, f"{state_dir.rstrip('/')}/epochs")
+    prefix = f"epoch={epoch_id}-from="
+    if fs.exists(base):
+        for status in fs.listStatus(base):
+            name = status.getPath().getName()
+            if name.startswith(prefix):
+                return int(name[len(prefix):])
+    start = latest_snapshot(spark, state_dir)
+    start = -1 if start is None else start
+    fs.mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base, f"{prefix}{start}"))
+    return start
+
+
 def _run_epoch(batch_df: DataFrame, epoch_id: int, state_dir: str, groups, excludes, forgetful: bool) -> None:
     spark = batch_df.sparkSession
-    base_version = (epoch_id + 1) * BATCH_SLOTS
-    start = latest_snapshot(spark, state_dir, below=base_version)
-    current = read_snapshot(spark, state_dir, start)
     data = batch_df.select(*OFFER_COLS)
+    version = _epoch_start(spark, state_dir, epoch_id)
+    current = read_snapshot(spark, state_dir, version) if version >= 0 else data.limit(0)
     # The distinct batch ids of one micro-batch: a handful of values.
-    ids = sorted(r[0] for r in data.select("batch_id").distinct().collect())
-    for b in ids:
-        state = RunState(current, seen_urls(current), forgetful, merged=(start or 0) > 0)
+    for b in sorted(r[0] for r in data.select("batch_id").distinct().collect()):
+        if forgetful or version < 0:
+            seen = seen_urls(current)
+        else:
+            seen = read_snapshot(spark, _ledger_dir(state_dir), version)
+        state = RunState(current, seen, forgetful, merged=version > 0)
         _, state = incremental_run(data.where(F.col("batch_id") == b), state, groups, excludes, materialize=True)
-        version = base_version + int(b) + 1
+        version += 1
+        if not forgetful:
+            write_snapshot(state.seen.select("job_url"), _ledger_dir(state_dir), version)
         write_snapshot(state.current, state_dir, version)
         current = read_snapshot(spark, state_dir, version)  # lineage cut: read the written table
-        start = version
 
 
 def stream_ingest(spark: SparkSession, source_dir: str, schema: T.StructType, state_dir: str,
                   checkpoint_dir: str, groups: Sequence[Sequence[str]], excludes: Sequence[str],
-                  forgetful: bool = True, timeout_s: int = 600) -> DataFrame:
-    """Process every offer file available under ``source_dir`` and return the
-    resulting current-offers table."""
+                  forgetful: bool = True, timeout_s: int | None = None) -> DataFrame:
+    """Process every offer file available under ``source_dir``, however long it
+    takes (or up to ``timeout_s``), and return the resulting current offers."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
     query = (stream.writeStream
              .foreachBatch(lambda df, eid: _run_epoch(df, eid, state_dir, groups, excludes, forgetful))
              .option("checkpointLocation", checkpoint_dir)
              .trigger(availableNow=True)
              .start())
-    query.awaitTermination(timeout_s)
+    query.awaitTermination() if timeout_s is None else query.awaitTermination(timeout_s)
     if query.isActive:
         query.stop()
         raise TimeoutError("stream_ingest did not finish in time")

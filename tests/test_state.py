@@ -118,3 +118,44 @@ def test_incremental_merge_equals_full_merge(spark, seed):
     full = {r["seq"] for r in st.merge_history(merged_hist, n).collect()}
     inc = {r["seq"] for r in st.merge_history(merged_hist, n, history_is_merged=True).collect()}
     assert inc == full
+
+
+def test_imported_history_survives_a_merge(spark, tmp_path):
+    import json
+
+    from offerflow.sources import io
+
+    rows = [{"title": f"t{i}", "company": "c", "location": "l", "job_url": f"u{i}", "site": "s"} for i in (1, 2)]
+    path = tmp_path / "history.json"
+    path.write_text(json.dumps([*rows, rows[0]]))  # the last of equal keys stays
+    new = spark.createDataFrame([(7, 20260101, 0, "t3", "c", "l", "u3", "s", None, None)], SCHEMA)
+    merged = st.merge_history(io.read_history(spark, str(path)), new)
+    assert sorted((r["job_url"], r["batch_id"]) for r in merged.collect()) == [("u1", -1), ("u2", -1), ("u3", 20260101)]
+    nulls = spark.createDataFrame([(None, None, None, "t1", "c", "l", "u1", "s", None, None)], SCHEMA)
+    assert {r["job_url"] for r in st.merge_history(nulls, new).collect()} == {"u1", "u3"}
+
+
+def _stream(spark, tmp_path, batches, forgetful):
+    """Each batch as an epoch of its own, the last one twice (a replay)."""
+    from offerflow.streaming import ingest
+
+    state = str(tmp_path / f"state-{forgetful}")
+    ingest.seed_state(spark.createDataFrame([], SCHEMA), state)
+    for epoch, rows in [*enumerate(batches), (len(batches) - 1, batches[-1])]:
+        ingest._run_epoch(spark.createDataFrame(rows, SCHEMA), epoch, state, [], [], forgetful)
+    return sorted(r["seq"] for r in ingest.read_snapshot(spark, state).collect())
+
+
+def test_stream_state_over_epochs_with_dates_as_batch_ids(spark, tmp_path):
+    from offerflow.plans.pipeline import fold_runs, initial_state
+
+    def row(seq, batch, title, url):
+        return (seq, batch, 0, title, "c", "l", f"https://x.example/{url}", "s", None, None)
+
+    batches = [[row(1, 20260101, "t", "u1"), row(5, 20260101, "other", "u5")], [row(2, 20260102, "t", "u2")],
+               [row(3, 20260103, "t", "u1")]]
+    for forgetful, want in ((True, [3, 5]), (False, [2, 5])):
+        assert _stream(spark, tmp_path, batches, forgetful) == want
+        frames = [spark.createDataFrame(b, SCHEMA) for b in batches]
+        _, state = fold_runs(frames, initial_state(spark.createDataFrame([], SCHEMA), forgetful), [], [])
+        assert sorted(r["seq"] for r in state.current.collect()) == want
