@@ -201,78 +201,83 @@ def _term_table(compiled: DataFrame, mode: str) -> DataFrame:
 
 
 def _term_stats(terms: DataFrame) -> dict:
-    """One small job over the term table: its size (broadcast check), the
-    n-gram lengths the title side must produce, which key kinds occur and the
-    widest search. Drives the plan choice."""
+    """One small job over the term table: the n-gram lengths the title side must
+    produce, whether words are needed, and the widest search."""
     row = terms.agg(
-        F.count(F.lit(1)).alias("n_terms"),
         F.collect_set(F.when(F.col("kt") == "n", F.length("k"))).alias("gram_lengths"),
         F.count_if(F.col("kt") == "w").alias("n_word"),
-        F.count_if(F.col("kt") == "a").alias("n_all"),
         F.max("n_groups").alias("max_g"),
     ).first()
     return row.asDict()
 
 
-def _title_keys(offers: DataFrame, key: str, gram_lengths: Sequence[int], tokens: bool, every: bool) -> DataFrame:
-    """(key, ltitle, kt, k) from one pass over the titles: the distinct title
-    tokens (kt ``w``), the distinct substrings of the given lengths (kt ``n``;
-    a length 0 gives the single gram ""), and one ``a`` key per offer."""
+def _gram_at(n: int):
+    """The n characters from position i (from 1) of the column ``ch``."""
+    return lambda i: F.concat(*[F.element_at("ch", i + k) for k in range(n)])
+
+
+def _title_keys(offers: DataFrame, key: str, gram_lengths: Sequence[int], tokens: bool) -> DataFrame:
+    """(key, kt, k) from one pass over the titles: the distinct title tokens
+    (kt ``w``) and the distinct substrings of the given lengths, three characters
+    at most (kt ``n``; a length 0 gives the single gram ""). The title itself
+    does not ride along."""
     lt = F.lower(F.col("title"))
+    base = offers.select(key, lt.alias("lt"), F.split(lt, "").alias("ch"))
     tagged = lambda arr, tag: F.transform(arr, lambda v: F.struct(F.lit(tag).alias("kt"), v.alias("k")))
     parts = []
     if tokens:
-        toks = F.filter(F.array_distinct(F.split(lt, r"(?U)\W+")), lambda v: F.length(v) > 0)
+        toks = F.filter(F.array_distinct(F.split("lt", r"(?U)\W+")), lambda v: F.length(v) > 0)
         parts.append(tagged(toks, "w"))
     for n in sorted(set(gram_lengths)):
         if n == 0:
             grams = F.array(F.lit(""))
         else:
-            idx = F.when(F.length(lt) >= n, F.sequence(F.lit(1), F.length(lt) - n + 1)).otherwise(
+            # from the list of characters: a substring call would count from the start each time
+            idx = F.when(F.length("lt") >= n, F.sequence(F.lit(1), F.length("lt") - n + 1)).otherwise(
                 F.array().cast("array<int>"))
-            grams = F.array_distinct(F.transform(idx, lambda i: F.substring(lt, i, n)))
+            grams = F.array_distinct(F.transform(idx, _gram_at(n)))
         parts.append(tagged(grams, "n"))
-    if every:
-        parts.append(F.array(F.struct(F.lit("a").alias("kt"), F.lit("").alias("k"))))
     allk = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return offers.select(F.col(key), lt.alias("ltitle"), F.inline(allk))
+    return base.select(F.col(key), F.inline(allk))
 
 
 def match_profiles(offers: DataFrame, compiled: DataFrame, key: str = "seq", mode: str = "word") -> DataFrame:
     """All (profile_id, key) pairs where the offer title satisfies the search.
 
-    ``compiled`` holds profile_id, groups, excludes. The titles are read once
-    and exploded to typed keys (tokens, n-grams, one per-offer key); the term
-    table joins them by *equality* on (kt, k), a candidate is confirmed by its
-    check (none for whole-word tokens, ``contains`` for substrings, the exact
-    ``\\b`` pattern for short symbol terms), and one aggregate per
-    (offer, search) ORs the group bits: match iff every group bit and no
-    exclude bit is set. So the cost grows with offers + terms, never offers x
-    terms, and the only shuffle is that aggregate (combined map side). The
-    term table is broadcast only when one stats job has counted it below the
-    row bound; otherwise the join shuffles and AQE splits hot keys.
+    ``compiled`` holds profile_id, groups, excludes. The distinct keywords of
+    all searches meet the titles' distinct words and short grams by *equality*
+    on (kt, k), so only grams that some keyword begins with go on; a candidate
+    (offer, keyword) is confirmed once on the title (``contains``, or the exact
+    edge pattern for short symbol terms), however many searches share the
+    keyword. Confirmed keywords join their (search, group) rows, and one
+    aggregate per (offer, search), combined map side, ORs the group bits:
+    match iff every group bit and no exclude bit is set. The plan is the same
+    at any number of terms; adaptive execution picks join strategies by size
+    and splits hot grams. Searches without groups match every offer by their
+    meaning; they join apart, on a salt of the offer's key.
     """
-    from ..plans.broadcast import max_rows
-    from ..plans.partitioning import spread
+    from ..plans.partitioning import shuffle_partitions, spread
 
     terms = _term_table(compiled, mode)
-    stats = _term_stats(terms)
-    if not stats["n_terms"]:
-        return offers.sparkSession.createDataFrame([], f"profile_id long, {key} long")
-    small = stats["n_terms"] <= max_rows(offers)
-    titles = offers.where(F.col("title").isNotNull()).select(key, "title")
-    if small:
-        # Spread the narrow (key, title) rows by key before the explode: the
-        # exploding is the CPU work, and since key is unique per offer the
-        # (key, search) aggregate below is then already co-located (no
-        # second shuffle, no hot key).
-        titles = spread(titles, key)
-    tk = _title_keys(titles, key, stats["gram_lengths"] or [], bool(stats["n_word"]), bool(stats["n_all"]))
-    hits = tk.join(F.broadcast(terms) if small else terms, ["kt", "k"])
-    ok = (F.when(F.col("check") == "none", F.lit(True))
-          .when(F.col("check") == "contains", F.col("ltitle").contains(F.col("kw")))
-          .otherwise(F.expr("ltitle RLIKE pat")))
-    hits = hits.where(ok)
+    words = terms.where("kt <> 'a'")
+    stats = _term_stats(words)
+    # Titles are spread by key before the explode: that is the CPU work.
+    titles = spread(offers.where(F.col("title").isNotNull()).select(key, "title"), key)
+    n = shuffle_partitions(offers)
+    every = terms.where("kt = 'a'").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    hits = (titles.select(key, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("salt")).join(every, "salt")
+            .select(key, "profile_id", "n_groups", "bit", "group_no", "ex", F.lit(True).alias("whole")))
+    if stats["n_word"] or stats["gram_lengths"]:
+        keywords = words.select("kw", "check", "kt", "k", "pat").distinct()
+        found = _title_keys(titles, key, stats["gram_lengths"] or [], bool(stats["n_word"])).join(keywords, ["kt", "k"])
+        sure = found.where("check = 'none'").select(key, "kw", "check")
+        lt = F.lower(F.col("title"))
+        text = titles.select(F.col(key), lt.alias("lt"))
+        seen = (found.where("check <> 'none'").join(text, key)
+                .where(F.when(F.col("check") == "contains", F.expr("contains(lt, kw)")).otherwise(F.expr("lt RLIKE pat")))
+                .select(key, "kw", "check"))
+        hits = hits.unionByName(sure.unionByName(seen).join(words, ["kw", "check"]).select(
+            key, "profile_id", "n_groups", "bit", "group_no", "ex", F.lit(False).alias("whole")))
     if (stats["max_g"] or 0) <= 61:
         # bit g set when group g has a hit, bit 62 when an exclude hits
         agg = hits.groupBy(key, "profile_id").agg(F.bit_or("bit").alias("mask"), F.max("n_groups").alias("n_groups"))
@@ -282,7 +287,7 @@ def match_profiles(offers: DataFrame, compiled: DataFrame, key: str = "seq", mod
     else:
         # very wide searches: distinct group count instead of a mask
         agg = hits.groupBy(key, "profile_id").agg(
-            F.count_distinct(F.when(~F.col("ex") & (F.col("kt") != "a"), F.col("group_no"))).alias("n_hit"),
+            F.count_distinct(F.when(~F.col("ex") & ~F.col("whole"), F.col("group_no"))).alias("n_hit"),
             F.max(F.col("ex").cast("int")).alias("n_ex"), F.max("n_groups").alias("n_groups"))
         cond = (F.col("n_hit") == F.col("n_groups")) & (F.col("n_ex") == 0)
     return agg.where(cond).select("profile_id", key)

@@ -24,7 +24,7 @@ _URL_ID = "(doc_id - CASE WHEN doc_id % 10 = 9 THEN 1 ELSE 0 END)"
 
 OFFERS = f"""offers AS (
   SELECT doc_id AS seq, doc_id % 4 AS batch_id, doc_id % 2 AS source_rank,
-    substr(split_part(text, chr(10), 1), 1, 80) AS title,
+    split_part(text, chr(10), 1) AS title,
     source AS company, lang AS location,
     '{OFFER_BASE_URL}' || CAST({_URL_ID} AS VARCHAR) || '?ref=' || CAST(doc_id % 3 AS VARCHAR) AS raw_url,
     '{OFFER_BASE_URL}' || CAST({_URL_ID} AS VARCHAR) AS job_url,
@@ -55,10 +55,12 @@ PROFILES = f"""profiles AS (
     {_fixture_values()}
   ) t(profile_id, job_titles, experience_levels, exclude_keywords, location, remote_only, max_days_old, skills)
   UNION ALL
-  SELECT item_id + 100, w[1:3], []::VARCHAR[], w[4:4],
+  SELECT item_id + 100, list_filter(w, lambda x: length(x) >= 10), []::VARCHAR[], list_filter(w, lambda x: length(x) = 9),
          CASE WHEN item_id % 2 = 0 THEN 'Katowice' ELSE 'Warszawa' END,
-         item_id % 3 = 0, 14, w[5:7]
-  FROM (SELECT item_id, regexp_extract_all(lower(text), '(\\p{{L}}+)', 1) AS w FROM benchmark))"""
+         item_id % 3 = 0, 14, list_filter(w, lambda x: length(x) = 5)
+  FROM (SELECT item_id, list_transform(list_filter(list_zip(a, range(1, len(a) + 1)), lambda p: list_position(a, p[1]) = p[2]),
+                                       lambda p: p[1]) AS w
+        FROM (SELECT item_id, regexp_extract_all(lower(text), '(\\p{{L}}+)', 1) AS a FROM benchmark)))"""
 
 COMPILED = """compiled AS (
   SELECT *,

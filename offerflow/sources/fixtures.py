@@ -33,7 +33,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         doc.alias("seq"),
         (doc % 4).alias("batch_id"),
         (doc % 2).alias("source_rank"),
-        F.substring(F.substring_index(F.col("text"), "\n", 1), 1, 80).alias("title"),
+        F.substring_index(F.col("text"), "\n", 1).alias("title"),
         F.col("source").alias("company"),
         F.col("lang").alias("location"),
         raw_url.alias("raw_url"),
@@ -92,19 +92,20 @@ def fixture_profiles(spark: SparkSession) -> DataFrame:
 
 def derived_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved searches derived from the `benchmark` table, so that the number of
-    searches grows with the data: the first three words of each item are its
-    titles, the fourth its exclude, words five to seven its skills."""
+    searches grows with the data: of the words of an item's whole text, those
+    of ten letters or more are its titles, those of nine its excludes, those of
+    five its skills (distinct, in order of first occurrence)."""
     b = table(spark, sf_dir, "benchmark")
-    words = F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(\p{L}+)"), 1)
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(\p{L}+)"), 1))
     return b.select(
         (F.col("item_id") + 100).alias("profile_id"),
-        F.slice(words, 1, 3).alias("job_titles"),
+        F.filter(words, lambda w: F.length(w) >= 10).alias("job_titles"),
         F.array().cast("array<string>").alias("experience_levels"),
-        F.slice(words, 4, 1).alias("exclude_keywords"),
+        F.filter(words, lambda w: F.length(w) == 9).alias("exclude_keywords"),
         F.when(F.col("item_id") % 2 == 0, F.lit("Katowice")).otherwise(F.lit("Warszawa")).alias("location"),
         (F.col("item_id") % 3 == 0).alias("remote_only"),
         F.lit(14).alias("max_days_old"),
-        F.slice(words, 5, 3).alias("skills"),
+        F.filter(words, lambda w: F.length(w) == 5).alias("skills"),
     )
 
 
