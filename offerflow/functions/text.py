@@ -93,15 +93,6 @@ def quote_plus(c) -> Column:
     return F.replace(F.replace(enc, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def first_line(c) -> Column:
-    return F.substring_index(_col(c), "\n", 1)
-
-
-def regex_escape(c) -> Column:
-    """Escape regex metacharacters of a keyword column (for rlike patterns)."""
-    return F.regexp_replace(_col(c), r"([\\.^$|?*+()\[\]{}\-])", r"\\$1")
-
-
 def py_regex_escape(s: str) -> str:
     """Escape a literal keyword for a Java pattern built on the driver: every
     character that is not a letter, digit or underscore is backslash-quoted."""

@@ -264,10 +264,13 @@ def longest_block(elements: DataFrame, tags: Sequence[str] = ("div",), lo: int =
 
 def page_description(elements: DataFrame, rules: Sequence[tuple]) -> DataFrame:
     """Per page: text of the first element matching the first rule that hits
-    (rule order, then document order); "" when none."""
+    (rule order, then document order); "" when none. A rule may be a list of
+    selectors of equal rank."""
     rank = None
-    for i, sel in enumerate(rules):
-        cond = _sel_col(sel)
+    for i, rule in enumerate(rules):
+        cond = F.lit(False)
+        for sel in rule if isinstance(rule, list) else [rule]:
+            cond = cond | _sel_col(sel)
         rank = F.when(cond, F.lit(i)) if rank is None else rank.when(cond, F.lit(i))
     key = F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.col("pos").alias("pos")))
     best = F.min_by(F.col("text"), key)
@@ -407,8 +410,8 @@ CARD_RULES = {
 
 # Description-page rules per site (ordered selectors).
 DESCRIPTION_RULES = {
-    "LinkedIn": [_s("*", "class", "description__text"), _s("*", "class", "show-more-less-html__markup"),
-                 _s("*", "class", "jobs-description")],
+    "LinkedIn": [[_s("*", "class", "description__text"), _s("*", "class", "show-more-less-html__markup"),
+                  _s("*", "class", "jobs-description")]],
     "NoFluffJobs": [_s("section", "id", "posting-description"), _s("div", "class", "common-posting-content-wrapper")],
     "BulldogJob": [_s("div", "id", "job-description"), _s("div", "class", "text-sm")],
     "TheProtocol": [_s("section", "data-test", "section-description"), _s("article")],

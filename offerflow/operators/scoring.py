@@ -108,8 +108,8 @@ def score_offers(pairs: DataFrame, scorer: ScorerFn | None = None) -> DataFrame:
 
     ``scorer`` gets a pandas batch (columns of ``pairs`` plus ``prompt``) and
     returns a frame of the same length with match_score, missing_skills,
-    advice and optionally error. Exceptions mark the whole batch failed
-    instead of failing the task.
+    advice and optionally error. When it raises, the batch is scored offer by
+    offer, so only those that raise by themselves are marked failed.
     """
     guarded = pairs.where(F.length("description") > 0)
     if scorer is None:
@@ -128,18 +128,25 @@ def score_offers(pairs: DataFrame, scorer: ScorerFn | None = None) -> DataFrame:
            T.StructField("advice", T.StringType()),
            T.StructField("error", T.StringType())])
 
+    def scored(pdf: pd.DataFrame) -> pd.DataFrame:
+        res = scorer(pdf)
+        out = pdf.copy()
+        out["match_score"] = pd.to_numeric(res.get("match_score"), errors="coerce").astype("Int32")
+        out["missing_skills"] = res.get("missing_skills")
+        out["advice"] = res.get("advice")
+        out["error"] = res["error"] if "error" in res else None
+        return out
+
     def run(batches):
         for pdf in batches:
             try:
-                res = scorer(pdf)
-                out = pdf.copy()
-                out["match_score"] = pd.to_numeric(res.get("match_score"), errors="coerce").astype("Int32")
-                out["missing_skills"] = res.get("missing_skills")
-                out["advice"] = res.get("advice")
-                out["error"] = res["error"] if "error" in res else None
+                out = scored(pdf)
             except Exception as exc:  # noqa: BLE001 - kept as dead letters
+                if len(pdf) > 1:
+                    yield from run(pdf.iloc[i:i + 1].reset_index(drop=True) for i in range(len(pdf)))
+                    continue
                 out = pdf.copy()
-                out["match_score"] = pd.array([None] * len(pdf), dtype="Int32")
+                out["match_score"] = pd.array([None], dtype="Int32")
                 out["missing_skills"] = None
                 out["advice"] = None
                 out["error"] = f"{type(exc).__name__}: {exc}"

@@ -70,13 +70,13 @@ def compile_search_col(text) -> Column:
       AND/OR/(/), lowercase, one OR group (quotes kept).
     """
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    excludes = F.transform(F.regexp_extract_all(t, F.lit(r"(?U)-(\w+)"), 1), lambda x: F.lower(x))
+    excludes = F.transform(F.regexp_extract_all(t, F.lit(r"-([\p{L}\p{N}_]+)"), 1), lambda x: F.lower(x))
     raw_groups = F.regexp_extract_all(t, F.lit(r"\((.*?)\)"), 1)
     paren_groups = F.transform(
         raw_groups,
         lambda g: F.transform(F.split(g, " OR "), lambda k: F.lower(F.translate(py_strip(k), "\"'", ""))),
     )
-    bare = py_strip(F.regexp_replace(t, r"(?U)-(\w+)", ""))
+    bare = py_strip(F.regexp_replace(t, r"-([\p{L}\p{N}_]+)", ""))
     words = F.filter(F.split(bare, f"{PY_SPACE}+"), lambda w: ~w.isin(*_CONNECTIVES))
     bare_kw = F.transform(words, lambda w: F.lower(w))
     bare_groups = F.when(F.size(bare_kw) > 0, F.array(bare_kw)).otherwise(F.array().cast("array<array<string>>"))
@@ -102,9 +102,21 @@ def compiled_profiles(profiles: DataFrame) -> DataFrame:
 # one literal search as a predicate
 # ---------------------------------------------------------------------------
 
+#: Word characters, spelled out: Java's Unicode \\w also takes combining marks and leaves out superscripts.
+_W = r"[\p{L}\p{N}_]"
+
+
 def _word_pattern(keywords: Sequence[str]) -> str:
-    alts = "|".join(py_regex_escape(k) for k in keywords)
-    return rf"(?U)\b(?:{alts})\b"
+    """Whole-word alternation: both ends of a keyword lie between a word
+    character and something else."""
+
+    def whole(k: str) -> str:
+        if not k:
+            return _W  # an edge exists where there is a word character
+        first, last = (c == "_" or c.isalnum() for c in (k[0], k[-1]))
+        return f"(?<{'!' if first else '='}{_W}){py_regex_escape(k)}(?{'!' if last else '='}{_W})"
+
+    return "|".join(map(whole, keywords))
 
 
 def match_predicate(title, groups: Sequence[Sequence[str]], excludes: Sequence[str], mode: str = "word") -> Column:
@@ -184,7 +196,9 @@ def _term_table(compiled: DataFrame, mode: str) -> DataFrame:
     check = (F.when(whole & short & word, F.lit("none"))
              .when(whole & short, F.lit("pattern"))
              .otherwise(F.lit("contains")))
-    pat = F.concat(F.lit(r"(?U)\b"), F.regexp_replace(kw, r"([^\p{L}\p{N}_])", r"\\$1"), F.lit(r"\b"))
+    edge = lambda ahead, inner: F.when(kw.rlike(inner), F.lit(f"(?{ahead}!{_W})")).otherwise(F.lit(f"(?{ahead}={_W})"))
+    pat = F.when(kw == "", F.lit(_W)).otherwise(F.concat(
+        edge("<", f"^{_W}"), F.regexp_replace(kw, r"([^\p{L}\p{N}_])", r"\\$1"), edge("", f"{_W}$")))
     terms = terms.select(
         "profile_id", "n_groups", "kw", check.alias("check"),
         F.when(check == "none", F.lit("w")).otherwise(F.lit("n")).alias("kt"),
@@ -226,7 +240,7 @@ def _title_keys(offers: DataFrame, key: str, gram_lengths: Sequence[int], tokens
     tagged = lambda arr, tag: F.transform(arr, lambda v: F.struct(F.lit(tag).alias("kt"), v.alias("k")))
     parts = []
     if tokens:
-        toks = F.filter(F.array_distinct(F.split("lt", r"(?U)\W+")), lambda v: F.length(v) > 0)
+        toks = F.filter(F.array_distinct(F.split("lt", r"[^\p{L}\p{N}_]+")), lambda v: F.length(v) > 0)
         parts.append(tagged(toks, "w"))
     for n in sorted(set(gram_lengths)):
         if n == 0:

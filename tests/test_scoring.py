@@ -85,3 +85,14 @@ def test_analysis_backlog(spark):
                                    "seq long, job_url string, description string")
     results = spark.createDataFrame([("u1",), (None,)], "url string")
     assert [r["seq"] for r in sc.analysis_backlog(offers, results).collect()] == [2]
+
+
+def test_one_raising_offer_fails_alone(spark):
+    def scorer(pdf):
+        if (pdf["seq"] == 3).any():
+            raise ValueError("bad offer")
+        return pdf.assign(match_score=50, missing_skills=[[]] * len(pdf), advice="ok")[["match_score", "missing_skills", "advice"]]
+
+    df = spark.createDataFrame([(i, "text", "cv") for i in range(20)], "seq long, description string, cv_text string").coalesce(1)
+    out = sc.score_offers(df, scorer)
+    assert [r["seq"] for r in sc.dead_letter(out).collect()] == [3] and sc.scored_ok(out).count() == 19

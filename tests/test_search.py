@@ -65,6 +65,9 @@ TITLE_CASES = [
     ("---", [[""]], [], False),
     ("La vie en rose", [["la"]], [], True),
     ("Lavie", [["la"]], [], False),
+    ("x\u00b2 la\u0301 a", [["x"]], [], False),
+    ("x\u00b2 la\u0301 a", [["la"]], [], True),
+    ("c++x", [["c++"]], [], True),
 ]
 
 
