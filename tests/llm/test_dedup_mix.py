@@ -228,3 +228,60 @@ def test_pipeline_is_its_stages_one_after_another(spark):
         assert docs.columns == columns and 0 < docs.count() <= before
     want = sorted(map(tuple, corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == want
+
+
+def plain_mix(docs, topic):
+    """Raking over a dictionary of cells; docs: id -> (text, lang, source)."""
+    import hashlib
+    import re
+
+    tokens = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, (t, _, _) in docs.items()}
+    cell = {i: (source, lang, str(topic[i]) if i in topic else mixing.NONE) for i, (_, lang, source) in docs.items()}
+    total = defaultdict(float)
+    for i, c in cell.items():
+        total[c] += tokens[i]
+
+    def marginal(values, d):
+        out = defaultdict(float)
+        for c, v in values.items():
+            out[c[d]] += v
+        return out
+
+    weight = {c: v for c, v in total.items() if v}
+    shares = []
+    for d in range(3):
+        raw = {k: v ** mixing.POWER for k, v in marginal(weight, d).items()}
+        shares.append({k: v / sum(raw.values()) for k, v in raw.items()})
+    for _ in range(mixing.SWEEPS):
+        for d in range(3):
+            now = marginal(weight, d)
+            weight = {c: v * shares[d][c[d]] / now[c[d]] for c, v in weight.items()}
+    ratio = {c: v / total[c] for c, v in weight.items()}
+    top = max(ratio.values())
+    draw = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) / 2 ** 32 for i in docs}
+    return [i for i in docs if draw[i] < round(ratio.get(cell[i], top) / top, 9)]
+
+
+def test_pipeline_equals_plain_stages(spark):
+    import corpus_pipeline
+    from offerflow.llm import bpe, quality_rules
+    from tests.llm.test_tokens import ENC
+
+    source = read(spark, SF, "documents")
+    chain = quality_rules.train(source, read(spark, SF, "labels"))
+    rows = sorted((r.doc_id, r.text, r.lang, r.source) for r in source.collect())
+    rows = [r for r in rows if quality_rules.judge(chain, r[1])[6]]
+    gone = plain_shared([t for _, t, _, _ in rows])
+    kept = []
+    for n, (i, text, lang, src) in enumerate(rows):
+        left = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in set(gone[n]))
+        if not gone[n] or left.split():
+            kept.append((i, left, lang, src))
+    _, group = plain_jaccard([t for _, t, _, _ in kept])
+    docs = {r[0]: r[1:] for n, r in enumerate(kept) if group[n] == n}
+    topic = {r.vec_id: r.label for r in read(spark, SF, "embeddings").collect()}
+    want = set()
+    for i in plain_mix(docs, topic):
+        ids = np.array(ENC.encode_ordinary(docs[i][0]), "<u4").tobytes()
+        want.add((i, len(ids) // 4, bpe.sha256(ids).hexdigest(), bpe.sha256(docs[i][0].encode()).hexdigest()))
+    assert want and {tuple(r) for r in corpus_pipeline.run(spark, SF).collect()} == want
