@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, n_cut, py_strip
+from .pages import GUEST_TEXT, NO_TEXT, WALL_TEXT
 
 REQUIRED = ("title", "company", "location", "job_url", "site")
 URL_RE = r"^https?://[^/?#]+"
@@ -16,6 +17,10 @@ MAX_URL = 2083
 # Defaults for a missing column (current generation).
 DEFAULTS = {"title": "Unknown", "company": "Unknown", "site": "JobSpy"}
 
+# The stored text of a listing without sign-in, and how error texts start.
+GUEST_LISTING_TEXT = "Guest Mode - opis niedostępny bez logowania"
+ERROR_PREFIX = "Błąd:"
+
 
 def reject_reason_col() -> Column:
     """First failed rule of the offer contract, null when the row is valid."""
@@ -100,19 +105,19 @@ def newest_per_site(df: DataFrame, n: int = 50, part=("profile_id", "site")) ->
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-# Texts the current generation stores in place of a description.
-SIGNIN_MARKERS = ["ekran logowania", "sign in to", "authwall"]
-ERROR_PREFIXES = ["Błąd", "Error"]
-
-
 def description_status_col(desc: str = "description") -> Column:
-    d = F.col(desc)
-    expr = F.when(d.isNull() | (F.length(py_strip(d)) == 0), F.lit("missing"))
-    for m in SIGNIN_MARKERS:
-        expr = expr.when(F.lower(d).contains(m), F.lit("signin_wall"))
-    for p in ERROR_PREFIXES:
-        expr = expr.when(d.startswith(p), F.lit("error"))
-    return expr.otherwise(F.lit("ok"))
+    """``missing`` (null, blank, or the text for a page without one), ``signin_wall``,
+    ``guest_mode``, ``error`` (any other text that starts as error texts do), else ``ok``.
+
+    Only whole stored texts count: an offer that speaks of errors or of signing in is ok."""
+    d = py_strip(F.col(desc))
+    head, tail = NO_TEXT.split("{site}")
+    return (F.when(d.isNull() | (d == ""), F.lit("missing"))
+            .when(d.rlike(f"^{head}[^\\n]*{tail.replace('.', '[.]')}$"), F.lit("missing"))
+            .when(d == WALL_TEXT, F.lit("signin_wall"))
+            .when(d.isin(GUEST_TEXT, GUEST_LISTING_TEXT), F.lit("guest_mode"))
+            .when(d.startswith(ERROR_PREFIX), F.lit("error"))
+            .otherwise(F.lit("ok")))
 
 
 def description_status(df: DataFrame, desc: str = "description") -> DataFrame:
@@ -120,3 +125,24 @@ def description_status(df: DataFrame, desc: str = "description") -> DataFrame:
     st = description_status_col(desc)
     return df.withColumn("status", st).withColumn(
         desc, F.when(F.col("status") == "ok", F.col(desc)))
+
+
+def place_and_age(pairs: DataFrame, ref_ts: str) -> DataFrame:
+    """Pairs of an offer and a search that meet the search's own place and age.
+
+    Needs the search's columns as ``search_location``, ``remote_only`` and
+    ``max_days_old``. A search for remote work takes remote offers, any other the
+    offers at its place; no place is anywhere, no age limit is any age. An offer
+    without a date passes no age limit."""
+    remote = F.coalesce(F.col("is_remote"), F.lit(False))
+    place = F.coalesce(F.col("search_location"), F.lit(""))
+    here = F.when(F.coalesce(F.col("remote_only"), F.lit(False)), remote).otherwise(
+        (place == "") | (F.col("location") == place))
+    oldest = F.lit(ref_ts).cast("timestamp_ntz") - F.make_dt_interval(F.col("max_days_old"))
+    young = F.col("max_days_old").isNull() | F.coalesce(F.col("posted_ts") >= oldest, F.lit(False))
+    return pairs.where(here & young)
+
+
+def with_posted_ts(df: DataFrame) -> DataFrame:
+    """``posted_ts`` from the text ``posted_at`` (null where it is no date)."""
+    return df.withColumn("posted_ts", F.expr("try_cast(posted_at AS timestamp_ntz)"))

@@ -53,14 +53,17 @@ def dedupe_keys(title: str = "title", company: str = "company", location: str =
     return [norm_key(title), norm_key(company), F.col(location)]
 
 
-def dedupe_batch(df: DataFrame, placeholder_companies: Sequence[str] | None = None) -> DataFrame:
+def dedupe_batch(df: DataFrame, placeholder_companies: Sequence[str] | None = None,
+                 scope: Sequence[str] = ()) -> DataFrame:
     """Keep the last row per (title, company, location) key; URL is no key.
 
+    ``scope``: columns (such as the search) within which rows are repeats.
+
     ``placeholder_companies``: constant companies some sources write; when
     given, rows with such a company keep their own URL as extra key so that
     different employers are not merged.
     """
-    keys = dedupe_keys()
+    keys = [*scope, *dedupe_keys()]
     if placeholder_companies:
         keys.append(F.when(F.col("company").isin(*placeholder_companies), F.col("job_url")))
     return keep_one(df, keys, "last")
@@ -105,8 +108,10 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.select("*", *[k.alias(c) for k, c in zip(dedupe_keys(), _KEY_COLS)])
 
 
-def merge_history(history: DataFrame, new: DataFrame, history_is_merged: bool = False) -> DataFrame:
-    """history ++ new, keep last per URL, then last per (title, company, location).
+def merge_history(history: DataFrame, new: DataFrame, history_is_merged: bool = False,
+                  scope: Sequence[str] = ()) -> DataFrame:
+    """history ++ new, keep last per URL, then last per (title, company, location),
+    each within the columns of ``scope`` (one history per search, say).
 
     With ``history_is_merged`` (the history is itself the output of a merge,
     so its URLs and its keys are unique) a history row that shares neither a
@@ -118,17 +123,20 @@ def merge_history(history: DataFrame, new: DataFrame, history_is_merged: bool =
     """
     if not set(ORDER) <= set(history.columns):
         history = stamp_import(history)
+    url_key, all_keys = [*scope, "job_url"], [*scope, *_KEY_COLS]
+
+    def both_passes(rows):
+        return keep_one(keep_one(rows, url_key, "last"), [*scope, *dedupe_keys()], "last")
+
     if not history_is_merged:
-        both = union_sources(history, new)
-        return keep_one(keep_one(both, ["job_url"], "last"), dedupe_keys(), "last")
+        return both_passes(union_sources(history, new))
     hk, nk = _keyed(history), _keyed(new)
-    urls, keys = nk.select("job_url"), nk.select(*_KEY_COLS)
-    not_url = _join_null_safe(hk, urls, ["job_url"], "left_anti")
-    untouched = _join_null_safe(not_url, keys, _KEY_COLS, "left_anti")
-    touched = union_sources(_join_null_safe(hk, urls, ["job_url"], "left_semi"),
-                            _join_null_safe(not_url, keys, _KEY_COLS, "left_semi"))
-    both = union_sources(touched.drop(*_KEY_COLS), new)
-    merged_part = keep_one(keep_one(both, ["job_url"], "last"), dedupe_keys(), "last")
+    urls, keys = nk.select(*url_key), nk.select(*all_keys)
+    not_url = _join_null_safe(hk, urls, url_key, "left_anti")
+    untouched = _join_null_safe(not_url, keys, all_keys, "left_anti")
+    touched = union_sources(_join_null_safe(hk, urls, url_key, "left_semi"),
+                            _join_null_safe(not_url, keys, all_keys, "left_semi"))
+    merged_part = both_passes(union_sources(touched.drop(*_KEY_COLS), new))
     return union_sources(untouched.drop(*_KEY_COLS), merged_part)
 
 
@@ -136,8 +144,8 @@ def append_history(history: DataFrame, new: DataFrame) -> DataFrame:
     return union_sources(history, new)
 
 
-def seen_urls(history: DataFrame, url: str = "job_url") -> DataFrame:
-    return history.select(F.col(url).alias("job_url")).where(F.col("job_url").isNotNull()).distinct()
+def seen_urls(history: DataFrame, url: str = "job_url", scope: Sequence[str] = ()) -> DataFrame:
+    return history.select(*scope, F.col(url).alias("job_url")).where(F.col("job_url").isNotNull()).distinct()
 
 
 # Rows with a null URL never match the seen set. In a shuffle join they would
@@ -150,14 +158,15 @@ def _url_key(df: DataFrame) -> Column:
                   ).otherwise(u)
 
 
-def _seen_keys(seen: DataFrame) -> DataFrame:
-    return seen.select(F.col("job_url").alias("_url_key")).where(F.col("_url_key").isNotNull())
+def _seen_keys(seen: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    return seen.select(*scope, F.col("job_url").alias("_url_key")).where(F.col("_url_key").isNotNull())
 
 
-def new_offers(offers: DataFrame, seen: DataFrame) -> DataFrame:
-    """Offers whose URL is not in the seen set (anti join; a null URL stays)."""
+def new_offers(offers: DataFrame, seen: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Offers whose URL is not in the seen set (anti join; a null URL stays),
+    with ``scope`` not in the seen set of the same search."""
     keyed = offers.withColumn("_url_key", _url_key(offers))
-    return keyed.join(_seen_keys(seen), "_url_key", "left_anti").drop("_url_key")
+    return keyed.join(_seen_keys(seen, scope), [*scope, "_url_key"], "left_anti").drop("_url_key")
 
 
 def known_offers(offers: DataFrame, seen: DataFrame) -> DataFrame:

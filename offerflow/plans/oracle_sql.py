@@ -69,6 +69,19 @@ COMPILED = """compiled AS (
     list_transform(exclude_keywords, lambda x: lower(x)) AS excludes
   FROM profiles)"""
 
+PLACED = """placed AS (
+  SELECT * REPLACE (CASE WHEN seq % 47 <> 11 THEN title END AS title, CASE WHEN seq % 53 <> 13 THEN company END AS company,
+    CASE WHEN seq % 59 = 17 THEN NULL WHEN seq % 3 = 0 THEN 'Katowice' ELSE 'Warszawa' END AS location,
+    CASE WHEN seq % 61 <> 19 THEN site END AS site,
+    CASE WHEN seq % 37 = 5 THEN NULL WHEN seq % 41 = 7 THEN 'ftp://jobs.example.org/x'
+         WHEN seq % 43 = 9 THEN job_url || '/' || repeat('x', 2083) ELSE job_url END AS job_url)
+  FROM offers)"""
+
+#: The searches with levels for every third (takes the place of PROFILES).
+LEVELLED = PROFILES.replace("profiles AS (", "plain_profiles AS (", 1) + """,
+profiles AS (SELECT * REPLACE (CASE WHEN profile_id % 3 = 0 THEN ['Junior', 'Regular'] ELSE experience_levels END
+  AS experience_levels) FROM plain_profiles)"""
+
 RESUMES = """resumes AS (
   SELECT p.profile_id, b.text AS cv_text FROM profiles p
   JOIN benchmark b ON b.item_id = CASE WHEN p.profile_id >= 100 THEN p.profile_id - 100 ELSE p.profile_id END)"""

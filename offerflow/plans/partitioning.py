@@ -25,3 +25,9 @@ def shuffle_partitions(df: DataFrame) -> int:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition ``df`` on ``keys`` into shuffle.partitions partitions."""
     return df.repartition(shuffle_partitions(df), *keys)
+
+
+def spread_few(df: DataFrame, *keys: str) -> DataFrame:
+    """``spread`` for a frame that reads fewer files than there are shuffle
+    partitions; a frame of more files has tasks enough and stays where it is read."""
+    return spread(df, *keys) if len(df.inputFiles()) < shuffle_partitions(df) else df

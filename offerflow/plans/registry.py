@@ -16,6 +16,7 @@ from ..operators import scoring as sc
 from ..operators import search as se
 from ..operators import state as st
 from ..sources import fixtures as fx
+from ..sources import site_pages as sp
 from . import oracle_sql as O
 from .pipeline import FLAGSHIP_EXCLUDES, FLAGSHIP_GROUPS, flagship, fold_runs, initial_state
 
@@ -154,30 +155,61 @@ def q_compile_search(spark, sf):
     )
 
 
-@register("seniority_flag", O.with_(O.PROFILES, O.COMPILED) + """
+@register("seniority_flag", O.with_(O.LEVELLED, O.COMPILED) + """
 SELECT profile_id, coalesce(list_has_any(flatten(groups), """ + O._list(se.JUNIOR_WORDS_CURRENT) +
           """), false) AS is_junior FROM compiled""")
 def q_seniority(spark, sf):
-    return se.seniority_flag(se.compiled_profiles(fx.profiles(spark, sf))).select("profile_id", "is_junior")
+    return se.seniority_flag(se.compiled_profiles(fx.levelled_profiles(spark, sf))).select("profile_id", "is_junior")
 
 
-def _page_links_df(spark, sf):
-    from ..operators.pages import page_links
-    return page_links(fx.table(spark, sf, "pages"))
+def _linked_pages(spark, sf):
+    """The crawled pages and the derived listing pages of the six sites."""
+    cols = ["page_id", "url", "html"]
+    return fx.table(spark, sf, "pages").select(*cols).unionByName(sp.listing_pages(spark, sf).select(*cols))
 
 
-PAGE_LINKS_SQL = """page_links AS (
+def _page_links_df(spark, sf):
+    from ..operators.pages import page_links
+    return page_links(_linked_pages(spark, sf))
+
+
+# Crawled pages: their markup holds plain double-quoted links. Listing pages: the link of each form, from its number.
+PAGE_LINKS_SQL = sp.SITE_DOCS_SQL + f""",
+listing_links AS (
+  SELECT doc_id, s, v, list_filter(CASE s
+    WHEN 0 THEN CASE v WHEN 3 THEN [li || '?trk=1', li] WHEN 0 THEN [li || '?trk=1'] ELSE [li] END
+    WHEN 1 THEN CASE v WHEN 3 THEN ['/about'] ELSE ['/job-offer/' || n] END
+    WHEN 2 THEN CASE v WHEN 1 THEN ['/pl/job/' || n || '/job-apply'] ELSE ['/pl/job/' || n] END
+    WHEN 3 THEN CASE v WHEN 0 THEN ['/companies/jobs/' || n || '?a=1&b=2']
+      WHEN 1 THEN ['https://bulldogjob.pl/companies/jobs/' || n] WHEN 2 THEN ['/companies/jobs/page,2']
+      ELSE ['/companies/jobs/' || n] END
+    WHEN 4 THEN CASE v WHEN 3 THEN [] ELSE ['/szczegoly/praca/' || n] END
+    ELSE CASE v WHEN 0 THEN [pr || '?s=1'] WHEN 1 THEN [pr] WHEN 2 THEN ['/o/' || n || '?s=2']
+      ELSE ['/o/' || n || '?s=2', pr || '?s=1'] END END, lambda x: x IS NOT NULL) AS l
+  FROM (SELECT *, CAST(doc_id AS VARCHAR) AS n, 'https://linkedin.example.org/jobs/view/' || doc_id AS li,
+          'https://it.pracuj.pl/o/' || doc_id AS pr FROM site_docs)),
+page_links AS (
   SELECT page_id, url AS page_url, i - 1 AS pos, l[i] AS href
-  FROM (SELECT page_id, url, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS l FROM pages) p,
+  FROM (SELECT page_id, url, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS l FROM pages
+        UNION ALL SELECT doc_id + {sp.LISTING_ID}, {O._list(sp.LISTING_URLS)}[s + 1], l FROM listing_links) p,
        range(1, len(l) + 1) r(i))"""
 
 
-@register("validate_offers", O.with_(PAGE_LINKS_SQL) + """
+@register("validate_offers", O.with_(O.OFFERS, O.PLACED) + """
+SELECT seq, CASE WHEN title IS NULL THEN 'missing_title' WHEN company IS NULL THEN 'missing_company'
+  WHEN location IS NULL THEN 'missing_location' WHEN job_url IS NULL THEN 'missing_job_url'
+  WHEN site IS NULL THEN 'missing_site' WHEN NOT regexp_matches(job_url, '^https?://[^/?#]+') THEN 'bad_url'
+  WHEN length(job_url) > 2083 THEN 'url_too_long' END AS reject_reason FROM placed""")
+def q_validate(spark, sf):
+    return ofr.validate_offers(fx.placed_offers(spark, sf)).select("seq", "reject_reason")
+
+
+@register("validate_links", O.with_(PAGE_LINKS_SQL) + """
 SELECT page_id, pos, CASE WHEN href IS NULL THEN 'missing_job_url'
   WHEN NOT regexp_matches(href, '^https?://[^/?#]+') THEN 'bad_url'
   WHEN length(href) > 2083 THEN 'url_too_long' END AS reject_reason
 FROM page_links""")
-def q_validate(spark, sf):
+def q_validate_links(spark, sf):
     links = _page_links_df(spark, sf)
     as_offers = links.select("page_id", "pos", F.col("page_url").alias("title"), F.lit("pages").alias("company"),
                              F.lit("").alias("location"), F.col("href").alias("job_url"), F.lit("pages").alias("site"))
@@ -248,9 +280,14 @@ def q_absolute(spark, sf):
 
 
 @register("clean_listing_title", O.with_(O.OFFERS) + "SELECT seq, " +
-          O.strip_sql("split_part(split_part(description, chr(10), 1), 'PLN', 1)") + " AS listing_title FROM offers")
+          O.strip_sql("split_part(CASE WHEN seq % 2 = 0 THEN split_part(description, chr(10), 1) || ' 9 000 PLN gross' "
+                      "ELSE split_part(description, chr(10), 1) END, 'PLN', 1)") + " AS listing_title FROM offers")
 def q_listing_title(spark, sf):
-    return offers_df(spark, sf).select("seq", tx.clean_listing_title("description").alias("listing_title"))
+    first = F.substring_index("description", "\n", 1)
+    card = F.when(F.col("seq") % 2 == 0, F.concat(first, F.lit(" 9 000 PLN gross\n9 000 PLN"))).otherwise(
+        F.col("description"))
+    return offers_df(spark, sf).withColumn("card", card).select("seq", tx.clean_listing_title("card").alias(
+        "listing_title"))
 
 
 # RE2 has no look-around, so the oracle evaluates the letter-joining rule
@@ -289,13 +326,22 @@ def q_score_band(spark, sf):
 
 
 @register("description_status", O.with_(O.OFFERS) + """
-SELECT seq, CASE WHEN description IS NULL OR length(""" + O.strip_sql("description") + """) = 0 THEN 'missing'
-  WHEN contains(lower(description), 'ekran logowania') OR contains(lower(description), 'sign in to')
-       OR contains(lower(description), 'authwall') THEN 'signin_wall'
-  WHEN starts_with(description, 'Błąd') OR starts_with(description, 'Error') THEN 'error'
-  ELSE 'ok' END AS status FROM offers""")
+SELECT seq, CASE WHEN k IN (0, 1, 2, 3, 4) THEN ['signin_wall', 'guest_mode', 'guest_mode', 'missing', 'error'][k + 1]
+    WHEN d IS NULL OR length(""" + O.strip_sql("d") + """) = 0 THEN 'missing' ELSE 'ok' END AS status,
+  CASE WHEN k > 4 AND length(""" + O.strip_sql("d") + """) > 0 THEN md5(d) END AS description_md5
+FROM (SELECT seq, seq % 13 AS k, CASE seq % 13 WHEN 5 THEN 'Error: please sign in to ' || description
+        WHEN 6 THEN '' ELSE description END AS d FROM offers)""")
 def q_desc_status(spark, sf):
-    return ofr.description_status(offers_df(spark, sf)).select("seq", "status")
+    k, desc = F.col("seq") % 13, F.col("description")
+    texts = ["Błąd: LinkedIn wyświetlił ekran logowania. Nie można pobrać opisu.",
+             "Opis dostępny bezpośrednio na LinkedIn (Guest Mode).", "Guest Mode - opis niedostępny bez logowania",
+             "Brak opisu dla Pracuj.pl.", "Błąd: timeout"]
+    stored = F.when(k == 5, F.concat(F.lit("Error: please sign in to "), desc)).when(k == 6, F.lit(""))
+    for i, text in enumerate(texts):
+        stored = stored.when(k == i, F.lit(text))
+    return ofr.description_status(offers_df(spark, sf).withColumn("description", stored.otherwise(desc))).select(
+        "seq", "status", F.md5("description").alias("description_md5"))
+
 
 
 # ---------------------------------------------------------------------------
@@ -608,6 +654,57 @@ def q_incremental(spark, sf):
     return final.current.select("seq", "batch_id", "job_url")
 
 
+def _searches_sql() -> str:
+    """Three batches against every search: one history per search, the rows of batch 0 that it wants."""
+    keys = ["profile_id", *O.DEDUPE_KEYS]
+    ctes = [O.OFFERS, O.PLACED, O.PROFILES, O.COMPILED,
+            MATCHED_PAIRS.replace("FROM offers WHERE title", f"FROM placed WHERE {VALID} AND title"), f"""
+wanted AS MATERIALIZED (SELECT p.profile_id, o.* FROM pairs p JOIN placed o USING (seq) JOIN profiles s USING (profile_id)
+  WHERE CASE WHEN s.remote_only THEN o.is_remote ELSE s.location = '' OR o.location = s.location END
+    AND o.posted_ts >= TIMESTAMP '{fx.REF_TS}' - to_days(s.max_days_old))""",
+            "cur0 AS (SELECT * FROM wanted WHERE batch_id = 0)"]
+    for k in (1, 2, 3):
+        ctes.append(f"m{k} AS (SELECT * FROM wanted w WHERE batch_id = {k} AND NOT EXISTS (SELECT 1 FROM cur{k - 1} c "
+                    "WHERE c.profile_id = w.profile_id AND c.job_url = w.job_url))")
+        ctes.append(f"n{k} AS MATERIALIZED {O.keep_last_sql(f'm{k}', keys)}")
+        ctes.append(f"u{k} AS (SELECT * FROM cur{k - 1} UNION ALL SELECT * FROM n{k})")
+        ctes.append(f"v{k} AS {O.keep_last_sql(f'u{k}', ['profile_id', 'job_url'])}")
+        ctes.append(f"cur{k} AS MATERIALIZED {O.keep_last_sql(f'v{k}', keys)}")
+    score, missing, _ = _score_sql("o.description", "s.skills")
+    news = " UNION ALL ".join(f"SELECT * FROM n{k}" for k in (1, 2, 3))
+    return O.with_(*ctes, O.RESUMES) + f"""
+SELECT 'result' AS outcome, profile_id, batch_id, seq, job_url AS detail, {score} AS match_score
+FROM ({news}) o JOIN profiles s USING (profile_id) JOIN resumes r USING (profile_id) WHERE length(o.description) > 0
+UNION ALL SELECT 'rejected', NULL, batch_id, seq, CASE WHEN title IS NULL THEN 'missing_title'
+  WHEN company IS NULL THEN 'missing_company' WHEN location IS NULL THEN 'missing_location'
+  WHEN job_url IS NULL THEN 'missing_job_url' WHEN site IS NULL THEN 'missing_site'
+  WHEN NOT regexp_matches(job_url, '^https?://[^/?#]+') THEN 'bad_url' ELSE 'url_too_long' END, NULL
+FROM placed WHERE batch_id > 0 AND NOT coalesce({VALID}, false)
+UNION ALL SELECT 'current', profile_id, batch_id, seq, job_url, NULL FROM cur3"""
+
+
+@register("run_searches", _searches_sql())
+def q_run_searches(spark, sf):
+    """Three batches over the whole search table: results, refused offers and the final history."""
+    from .searches import fold_searches, wanted_pairs
+    o, searches = fx.placed_offers(spark, sf), fx.profiles(spark, sf)
+    start = wanted_pairs(ofr.valid_offers(o.where("batch_id = 0")), searches, fx.REF_TS)
+    runs = fold_searches([o.where(F.col("batch_id") == k) for k in (1, 2, 3)], start, searches,
+                         fx.resumes(spark, sf), fx.REF_TS)
+    none = F.lit(None).cast("int").alias("match_score")
+    parts = [runs[-1].current.select(F.lit("current").alias("outcome"), "profile_id", "batch_id", "seq",
+                                     F.col("job_url").alias("detail"), none)]
+    for run in runs:
+        parts.append(run.results.select(F.lit("result").alias("outcome"), "profile_id", "batch_id", "seq",
+                                        F.col("url").alias("detail"), F.col("analysis.match_score").alias("match_score")))
+        parts.append(run.rejects.select(F.lit("rejected").alias("outcome"), F.lit(None).cast("long").alias("profile_id"),
+                                        "batch_id", "seq", F.col("reject_reason").alias("detail"), none))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # ---------------------------------------------------------------------------
 # 2.8 crawl plan
 # ---------------------------------------------------------------------------
@@ -623,7 +720,7 @@ def _search_plan_sql() -> str:
     qp = "replace(url_encode(kw), '%20', '+')"
     nfj = _slug_sql("NoFluffJobs")
     tp = _slug_sql("TheProtocol")
-    return O.with_(O.PROFILES, O.COMPILED, f"tp AS (SELECT *, unnest({_topics_sql('groups')}) AS topic FROM compiled)") + f"""
+    return O.with_(O.LEVELLED, O.COMPILED, f"tp AS (SELECT *, unnest({_topics_sql('groups')}) AS topic FROM compiled)") + f"""
 SELECT DISTINCT profile_id, site, url FROM (
   SELECT profile_id, 'LinkedIn' AS site, 'https://www.linkedin.com/jobs/search/?keywords=' || {qp} || '&geoId=' || {geo}
      || '&f_TPR=r2592000&f_E=1%2C2&f_F=it&refresh=true' || CASE WHEN {rem} THEN '&f_WT=2' ELSE '' END AS url
@@ -651,7 +748,7 @@ SELECT DISTINCT profile_id, site, url FROM (
 
 @register("search_plan", _search_plan_sql())
 def q_search_plan(spark, sf):
-    return se.search_plan(se.compiled_profiles(fx.profiles(spark, sf)))
+    return se.search_plan(se.compiled_profiles(fx.levelled_profiles(spark, sf)))
 
 
 # ---------------------------------------------------------------------------
@@ -768,14 +865,18 @@ def q_src_pages(spark, sf):
 
 @register("links_to_details", O.with_(
     PAGE_LINKS_SQL,
-    "det AS (SELECT page_id AS detail_page_id, split_part(url, '?', 1) AS job_url FROM pages)") + """
+    f"""det AS (SELECT page_id AS detail_page_id, split_part(url, '?', 1) AS job_url FROM pages
+      UNION ALL SELECT doc_id + {2 * sp.LISTING_ID}, CASE WHEN s = 0 AND v = 2 THEN '{sp.WALL_URL}'
+        ELSE {O._list(sp.DETAIL_URLS)}[s + 1] END || doc_id FROM site_docs)""") + """
 SELECT l.page_id, l.pos, l.job_url, d.detail_page_id FROM (
   SELECT page_id, pos, CASE WHEN starts_with(href, 'http') THEN href
     ELSE regexp_extract(page_url, '^(https?://[^/?#]+)', 1) || href END AS job_url FROM page_links) l
 LEFT JOIN det d ON d.job_url = split_part(l.job_url, '?', 1)""")
 def q_links_details(spark, sf):
     from ..operators.pages import links_to_details
-    return links_to_details(_page_links_df(spark, sf), _pages(spark, sf))
+    details = _pages(spark, sf).select("page_id", "url").unionByName(
+        sp.detail_pages(spark, sf).select("page_id", "url"))
+    return links_to_details(_page_links_df(spark, sf), details)
 
 
 def _elements(spark, sf):
@@ -856,14 +957,81 @@ _SEC = "regexp_extract_all(html, '(?s)<div[^>]*data-test=\"section-[^\"]*\"[^>]*
 _FB = ("regexp_extract(html, '(?s)<div[^>]*(id=\"offer-view\"|class=\"offer-view\")[^>]*>(.*?)</div>', 2)")
 
 
-@register("join_sections", f"""
+_D = O.strip_sql("text")
+
+
+@register("join_sections", O.with_(sp.SITE_DOCS_SQL) + f"""
 SELECT page_id, CASE WHEN len({_SEC}) > 0
   THEN array_to_string(list_transform({_SEC}, lambda b: {_text_nodes_sql('b')}), chr(10) || chr(10))
   WHEN regexp_matches(html, '(?s)<div[^>]*(id="offer-view"|class="offer-view")[^>]*>')
-  THEN {_text_nodes_sql(_FB)} ELSE '' END AS description FROM pages""")
+  THEN {_text_nodes_sql(_FB)} ELSE '' END AS description FROM pages
+UNION ALL SELECT doc_id + {2 * sp.LISTING_ID},
+  CASE WHEN s <> 5 THEN '' WHEN v = 0 THEN {_D} || chr(10) || chr(10) || 'second' ELSE {_D} END FROM site_docs""")
 def q_join_sections(spark, sf):
-    from ..operators.pages import join_sections
-    return join_sections(_elements(spark, sf))
+    from ..operators.pages import join_sections, parse_elements
+    cols = ["page_id", "html"]
+    pages = _pages(spark, sf).select(*cols).unionByName(sp.detail_pages(spark, sf).select(*cols))
+    return join_sections(parse_elements(pages, ("div",)))
+
+
+_DESCRIBED_SQL = f"""described AS (SELECT *, CASE
+    WHEN s = 0 THEN CASE WHEN v < 2 THEN d ELSE '' END
+    WHEN s = 1 THEN CASE WHEN v IN (0, 2) AND length(d) > 200 AND length(d) < 15000 AND NOT contains(d, 'Sign in') THEN d
+      ELSE '' END
+    WHEN s = 5 AND v = 0 THEN d || chr(10) || chr(10) || 'second'
+    WHEN s = 5 OR v < 3 THEN d ELSE '' END AS found
+  FROM (SELECT *, {_D} AS d, {O._list(sp.SITES)}[s + 1] AS site FROM site_docs))"""
+
+
+@register("site_descriptions", O.with_(sp.SITE_DOCS_SQL, _DESCRIBED_SQL) + f"""
+SELECT page_id, site, generation, md5(description) AS description_md5 FROM (
+  SELECT doc_id + {2 * sp.LISTING_ID} AS page_id, site, 'current' AS generation, CASE WHEN s = 0 AND v = 2
+    THEN 'Błąd: LinkedIn wyświetlił ekran logowania. Nie można pobrać opisu.' ELSE found END AS description FROM described
+  UNION ALL SELECT doc_id + {2 * sp.LISTING_ID}, site, 'legacy',
+    CASE WHEN s = 0 THEN 'Opis dostępny bezpośrednio na LinkedIn (Guest Mode).'
+         WHEN found = '' OR (s = 1 AND contains(found, 'Offers with salary')) THEN 'Brak opisu dla ' || site || '.'
+         ELSE found END FROM described)""")
+def q_site_descriptions(spark, sf):
+    from ..operators.pages import site_descriptions
+    details = sp.detail_pages(spark, sf)
+    both = [site_descriptions(details, legacy=g == "legacy").withColumn("generation", F.lit(g))
+            for g in ("current", "legacy")]
+    return both[0].unionByName(both[1]).select("page_id", "site", "generation",
+                                               F.md5("description").alias("description_md5"))
+
+
+_T1, _CO, _LA = O.strip_sql("t1"), O.strip_sql("source"), O.strip_sql("lang")
+_CARD_ROWS_SQL = f"""cards AS (
+  SELECT *, {_T1} AS t, {_CO} AS co, {_LA} AS la, CAST(doc_id AS VARCHAR) AS n FROM site_docs),
+offered AS (
+  SELECT doc_id, g, {O._list(sp.SITES)}[s + 1] AS site, CASE s
+      WHEN 0 THEN 'https://linkedin.example.org/jobs/view/' || n
+      WHEN 1 THEN 'https://justjoin.it/job-offer/' || n WHEN 2 THEN 'https://nofluffjobs.com/pl/job/' || n
+      WHEN 3 THEN 'https://bulldogjob.pl/companies/jobs/' || n || CASE WHEN v = 0 THEN '?a=1&b=2' ELSE '' END
+      WHEN 4 THEN 'https://theprotocol.it/szczegoly/praca/' || n
+      ELSE 'https://it.pracuj.pl/o/' || n || CASE WHEN g = 'current' THEN '' WHEN v = 2 THEN '?s=2' ELSE '?s=1' END
+    END AS job_url,
+    CASE WHEN s = 0 AND v = 2 THEN CASE g WHEN 'current' THEN 'Unknown' ELSE 'Nieznane' END
+      WHEN s = 1 AND v = 0 THEN {O.strip_sql("t1 || CASE g WHEN 'current' THEN ' 20 000' ELSE ' 20 000 PLNs' END")}
+      WHEN s = 1 AND g = 'current' THEN {O.strip_sql("split_part(t1, 'PLN', 1)")}
+      WHEN s = 4 AND v = 2 THEN t || 'x' ELSE t END AS title,
+    CASE s WHEN 0 THEN CASE WHEN v <> 2 THEN co WHEN g = 'current' THEN 'Unknown' ELSE 'Nieznana' END
+      WHEN 1 THEN 'JJIT Listing' WHEN 2 THEN 'NFJ Listing' WHEN 3 THEN 'BulldogJob' WHEN 4 THEN 'TheProtocol'
+      ELSE 'Pracuj.pl Listing' END AS company,
+    CASE WHEN s = 0 AND g = 'legacy' AND v <> 2 THEN la ELSE 'Katowice' END AS location
+  FROM cards, (VALUES ('current'), ('legacy')) t(g)
+  WHERE s = 0 OR (s = 1 AND v < 3) OR (s = 2 AND v IN (0, 3)) OR (s = 3 AND v < 2) OR (s = 4 AND v IN (0, 2))
+     OR (s = 5 AND (v IN (0, 3) OR (v = 2 AND g = 'legacy'))))"""
+
+
+@register("site_cards", O.with_(sp.SITE_DOCS_SQL, _CARD_ROWS_SQL) + f"""
+SELECT doc_id + {sp.LISTING_ID} AS page_id, g AS generation, site, job_url, title, company, location FROM offered""")
+def q_site_cards(spark, sf):
+    from ..operators.pages import SITE_CARD_RULES, SITE_CARD_RULES_LEGACY, card_offers, page_cards
+    listing = sp.listing_pages(spark, sf)
+    both = [card_offers(page_cards(listing, rules=rules), rules=rules, search_place="Katowice").withColumn(
+        "generation", F.lit(g)) for g, rules in (("current", SITE_CARD_RULES), ("legacy", SITE_CARD_RULES_LEGACY))]
+    return both[0].unionByName(both[1]).select("page_id", "generation", "site", "job_url", "title", "company", "location")
 
 
 # A card rule for the test pages: every link is a card, title by h2, span,
@@ -883,10 +1051,11 @@ ANCHOR_SQL = """anchors AS (
        range(1, len(h) + 1) r(i))"""
 
 
-def _anchor_cards(spark, sf):
+def _anchor_cards(spark, sf, more=None):
     from ..operators.pages import page_cards
     from pyspark.sql import Window
-    cards = page_cards(_pages(spark, sf), ANCHOR_CARDS)
+    pages = _pages(spark, sf).select("page_id", "html")
+    cards = page_cards(pages if more is None else pages.unionByName(more), ANCHOR_CARDS)
     w = Window.partitionBy("page_id").orderBy("pos")  # cards of one page: bounded by the page
     return cards.withColumn("link_no", (F.row_number().over(w) - 1).cast("long"))
 
@@ -897,10 +1066,13 @@ def q_page_cards(spark, sf):
     return _anchor_cards(spark, sf).select("page_id", "link_no", "href", "title", "company")
 
 
-@register("link_title", O.with_(ANCHOR_SQL) + "SELECT page_id, link_no, " +
-          O.strip_sql("split_part(split_part(title, chr(10), 1), 'PLN', 1)") + " AS title FROM anchors")
+@register("link_title", O.with_(ANCHOR_SQL, sp.SITE_DOCS_SQL) + "SELECT page_id, link_no, " +
+          O.strip_sql("split_part(split_part(title, chr(10), 1), 'PLN', 1)") + f""" AS title FROM anchors
+UNION ALL SELECT doc_id + {sp.LISTING_ID}, 0,
+  {O.strip_sql("split_part(t1 || CASE WHEN v = 0 THEN ' 20 000' ELSE '' END, 'PLN', 1)")} FROM site_docs WHERE s = 1""")
 def q_link_title(spark, sf):
-    cards = _anchor_cards(spark, sf)
+    listing = sp.listing_pages(spark, sf).where("site = 'JustJoinIT'").select("page_id", "html")
+    cards = _anchor_cards(spark, sf, listing)
     return cards.select("page_id", "link_no", tx.clean_listing_title("title").alias("title"))
 
 
@@ -957,15 +1129,19 @@ def q_snk_working(spark, sf):
     return spark.read.schema(fs.schema).json(path)
 
 
-@register("snk_results", ORACLES["to_result"])
+@register("snk_results", O.with_(O.OFFERS, O.PROFILES, O.COMPILED, MATCHED_PAIRS, O.RESUMES, SCORED_SQL) + """
+SELECT o.batch_id, profile_id, seq, s.company, s.title, s.job_url AS url, s.location, match_score, missing_skills, advice
+FROM scored s JOIN offers o USING (seq)""")
 def q_snk_results(spark, sf):
+    """Two appends by batch, the second one repeating a batch of the first."""
     from ..session import scratch_path
     from ..sources import io
     path = scratch_path(spark, "results")
     res = sc.to_result(_scored_pairs(spark, sf))
-    io.append_results(res, path, partition="profile_id")
+    io.append_results(res.where("batch_id < 2"), path)
+    io.append_results(res.where("batch_id > 0"), path)
     back = spark.read.parquet(path)
-    return back.select("profile_id", "seq", "company", "title", "url", "location",
+    return back.select(F.col("batch_id").cast("long"), "profile_id", "seq", "company", "title", "url", "location",
                        F.col("analysis.match_score").alias("match_score"),
                        F.array_join("analysis.missing_skills", ",").alias("missing_skills"),
                        F.col("analysis.advice").alias("advice"))
@@ -1005,17 +1181,14 @@ def q_src_resumes(spark, sf):
     return io.read_resumes(spark, path).select("profile_id", F.md5("cv_text").alias("cv_md5"))
 
 
-@register("snk_report", ORACLES["report_html"])
+@register("snk_report", f"SELECT profile_id, html FROM ({ORACLES['report_html']})")
 def q_snk_report(spark, sf):
+    """The lines read back, lost and doubled ones included; their order in the files is checked in tests."""
     from ..session import scratch_path
     from ..sources import io
     path = scratch_path(spark, "report")
-    lines = q_report(spark, sf)
-    io.write_report(lines, path)
-    back = spark.read.text(path).withColumn("_f", F.input_file_name())
-    # order inside the written files is checked in tests; here the content
-    return lines.join(back.select(F.col("value").alias("html"), F.col("profile_id").cast("long")).distinct(),
-                      ["profile_id", "html"], "left_semi")
+    io.write_report(q_report(spark, sf), path)
+    return spark.read.text(path).select(F.col("profile_id").cast("long"), F.col("value").alias("html"))
 
 
 # ---------------------------------------------------------------------------
@@ -1053,7 +1226,7 @@ def _search_plan_legacy_sql() -> str:
     def topics(rule_set):
         return f"(SELECT *, unnest({_topics_sql('groups', rule_set)}) AS t FROM compiled)"
 
-    return O.with_(O.PROFILES, O.COMPILED) + f"""
+    return O.with_(O.LEVELLED, O.COMPILED) + f"""
 SELECT DISTINCT profile_id, site, url FROM (
   SELECT profile_id, 'LinkedIn' AS site, 'https://www.linkedin.com/jobs/search/?keywords=' || {qp} || '&geoId='
      || CASE WHEN {kato} THEN '90009829' ELSE '105072130' END
@@ -1090,4 +1263,4 @@ SELECT DISTINCT profile_id, site, url FROM (
 
 @register("search_plan_legacy", _search_plan_legacy_sql())
 def q_search_plan_legacy(spark, sf):
-    return se.search_plan(se.compiled_profiles(fx.profiles(spark, sf)), legacy=True)
+    return se.search_plan(se.compiled_profiles(fx.levelled_profiles(spark, sf)), legacy=True)

@@ -124,3 +124,25 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("profile_id") >= 100, F.col("profile_id") - 100).otherwise(F.col("profile_id")).alias("_item"),
     )
     return p.join(b, "_item").select("profile_id", "cv_text")
+
+
+def placed_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers at the places that the searches name, some of them broken
+    (FIXTURES.md 2.6): every rule of the offer contract fails somewhere."""
+    seq = F.col("seq")
+    none = F.lit(None).cast("string")
+    bad_url = (F.when(seq % 37 == 5, none).when(seq % 41 == 7, F.lit("ftp://jobs.example.org/x"))
+               .when(seq % 43 == 9, F.concat("job_url", F.lit("/"), F.repeat(F.lit("x"), F.lit(2083)))))
+    ok_url = ~((seq % 37 == 5) | (seq % 41 == 7) | (seq % 43 == 9))
+    return offers(spark, sf_dir).withColumns({
+        "title": F.when(seq % 47 != 11, F.col("title")),
+        "company": F.when(seq % 53 != 13, F.col("company")),
+        "location": F.when(seq % 59 == 17, none).when(seq % 3 == 0, F.lit("Katowice")).otherwise(F.lit("Warszawa")),
+        "site": F.when(seq % 61 != 19, F.col("site")),
+        "job_url": F.when(ok_url, F.col("job_url")).otherwise(bad_url)})
+
+
+def levelled_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All searches; every third asks for juniors."""
+    return profiles(spark, sf_dir).withColumn("experience_levels", F.when(
+        F.col("profile_id") % 3 == 0, F.array(F.lit("Junior"), F.lit("Regular"))).otherwise(F.col("experience_levels")))

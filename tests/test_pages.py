@@ -1,7 +1,3 @@
-import re
-
-from pyspark.sql import functions as F
-
 from offerflow.operators import pages as pg
 
 PAGE = """<html><head><title>T &amp; x</title><style>p{color:red}</style>
@@ -55,12 +51,64 @@ def test_join_sections(spark):
     assert got == {1: "One\n\nTwo", 2: "FB"}
 
 
-def test_page_links_regex_oracle(spark):
-    html = '<a href="/job-offer/1">x</a> <a class="c" href="/pl/job/2?job-apply">y</a><A HREF="/no">' \
-           '<a href="/companies/jobs/3">z</a><a href="/szczegoly/praca/4">w</a>'
-    rows = pg.page_links(pages_df(spark, [(1, "http://h/p", html)])).orderBy("pos").collect()
-    assert [r["href"] for r in rows] == re.findall(r'<a\s[^>]*?href="([^"]*)"', html)
-    assert [r["site"] for r in rows] == ["JustJoinIT", None, "BulldogJob", "TheProtocol"]
+def test_page_links_are_parsed_attributes(spark):
+    html = ("""<a href="/job-offer/1?a=1&amp;b=2">x</a><A class=c HREF='/pl/job/2'>y</A><a data-href="/no">n</a>"""
+            """<!-- <a href="/comment"> --><script>var a = '<a href="/script">';</script>"""
+            """<a href="/pl/job/2/job-apply">z</a><a href=/companies/jobs/3>q</a><a href="/szczegoly/praca/4">w</a>"""
+            """<a title=" href='/fake'" href="/about">v</a><area href="/area"><a href>e</a>""")
+    rows = pg.page_links(pages_df(spark, [(1, "http://h/p", html), (2, "u", None), (3, "v", "")])).orderBy("pos").collect()
+    assert [(r["href"], r["site"]) for r in rows] == [
+        ("/job-offer/1?a=1&b=2", "JustJoinIT"), ("/pl/job/2", "NoFluffJobs"), ("/pl/job/2/job-apply", None),
+        ("/companies/jobs/3", "BulldogJob"), ("/szczegoly/praca/4", "TheProtocol"), ("/about", None), ("", None)]
+
+
+def test_descriptions_of_all_sites_in_one_pass(spark):
+    big = "b" * 250
+    rows = [
+        (1, "https://li/j", "LinkedIn", '<p class="jobs-description">A</p><p class="description__text">B</p>'),
+        (2, "https://li/authwall?x", "LinkedIn", "<p>join</p>"),
+        (3, "https://li/j", "LinkedIn", "<p>join</p>"),
+        (4, "u", "JustJoinIT", f"<div><div>{big}</div></div><div>Offers with salary {big}</div>"),
+        (5, "u", "Pracuj.pl", '<div data-test="section-1">One</div><div data-test="section-2">Two</div>'),
+        (6, "u", "Pracuj.pl", '<div class="offer-view">Class</div><div id="offer-view">Id</div>'),
+        (7, "u", "TheProtocol", "<article>Art<p>icle</article>"),
+        (8, "u", "elsewhere", "<article>x</article>"),
+        (9, "u", None, None),
+        (10, "u", "BulldogJob", None),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, site string, html string")
+    got = {r["page_id"]: r["description"] for r in pg.site_descriptions(df).collect()}
+    assert got == {1: "A", 2: "Błąd: LinkedIn wyświetlił ekran logowania. Nie można pobrać opisu.", 3: "",
+                   4: "Offers with salary " + big, 5: "One\n\nTwo", 6: "Id", 7: "Art\nicle", 8: "", 9: "", 10: ""}
+    old = {r["page_id"]: r["description"] for r in pg.site_descriptions(df, legacy=True).collect()}
+    assert old[1] == old[2] == "Opis dostępny bezpośrednio na LinkedIn (Guest Mode)."
+    assert old[4] == big and old[5] == "One\n\nTwo" and old[10] == "Brak opisu dla BulldogJob."
+
+
+def test_cards_of_all_sites_in_one_pass(spark):
+    legacy = """<li class="result-card"><a class="result-card__full-card-link" href="https://li/j/3?x=1">L</a>
+      <span class="result-card__location"> Katowice, <b>PL</b> </span></li>"""
+    rows = [(1, "LinkedIn", legacy), (2, "NoFluffJobs", '<a href="/pl/job/1"><h3>N <i>x</i></h3></a><a href="/pl/job/2">-</a>'),
+            (3, "unknown", legacy), (4, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, site string, html string")
+
+    def offers(rules):
+        cards = pg.page_cards(df, rules=rules)
+        out = pg.card_offers(cards, rules=rules, search_place="Gliwice").orderBy("page_id")
+        return [(r["site"], r["job_url"], r["title"], r["company"], r["location"]) for r in out.collect()]
+
+    nofluff = ("NoFluffJobs", "https://nofluffjobs.com/pl/job/1", "Nx", "NFJ Listing", "Gliwice")
+    assert offers(None) == [("LinkedIn", "https://li/j/3", "Unknown", "Unknown", "Gliwice"), nofluff]
+    assert offers(pg.SITE_CARD_RULES_LEGACY) == [
+        ("LinkedIn", "https://li/j/3", "Nieznane", "Nieznana", "Katowice, PL"), nofluff]
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 500 + "core" + "</div>" * 499
+    df = pages_df(spark, [(1, "u", deep), (2, "v", "<div>" + "long text " * 50000 + "</div>")])
+    texts = pg.parse_elements(df, ("div",)).where("page_id = 1 and tag = 'div'").select("text").distinct().collect()
+    assert [r["text"] for r in texts] == ["core"]
+    assert pg.longest_block(pg.parse_elements(df, ("div",)), hi=10**6).where("length(description) > 400000").count() == 1
 
 
 LISTING = """<html><body>
