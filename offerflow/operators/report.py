@@ -66,12 +66,14 @@ REPORT_TAIL = "</body></html>"
 
 def report_lines(results: DataFrame, order: str = "seq", escape: bool = True) -> DataFrame:
     """(profile_id, ord, html): header (ord -1), one block per result in
-    input order, footer (ord = 2^62)."""
+    input order, footer (ord = 2^62). Results are read twice, for the lines and for
+    their number: pass a stored table, not a plan that scores."""
     blocks = results.select("profile_id", F.col(order).cast("long").alias("ord"),
                             report_block_col(escape).alias("html"))
     counts = results.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n"))
     head_a, head_b = REPORT_HEAD.split("{n}")
-    head = counts.select("profile_id", F.lit(-1).cast("long").alias("ord"),
-                         F.concat(F.lit(head_a), F.col("n").cast("string"), F.lit(head_b)).alias("html"))
-    tail = counts.select("profile_id", F.lit(1 << 62).cast("long").alias("ord"), F.lit(REPORT_TAIL).alias("html"))
-    return head.unionByName(blocks).unionByName(tail)
+    edges = counts.select("profile_id", F.inline(F.array(
+        F.struct(F.lit(-1).cast("long").alias("ord"),
+                 F.concat(F.lit(head_a), F.col("n").cast("string"), F.lit(head_b)).alias("html")),
+        F.struct(F.lit(1 << 62).cast("long").alias("ord"), F.lit(REPORT_TAIL).alias("html")))))
+    return edges.unionByName(blocks)

@@ -625,7 +625,7 @@ def q_report(spark, sf):
     res = sc.to_result(_scored_pairs(spark, sf)).select(
         "profile_id", "seq", "title", "company", "url", F.col("analysis.match_score").alias("match_score"),
         F.col("analysis.advice").alias("advice"))
-    return rpt.report_lines(res)
+    return rpt.report_lines(res.checkpoint())
 
 
 # ---------------------------------------------------------------------------
@@ -797,9 +797,11 @@ verdicts AS (SELECT seq,
 SELECT seq, match_score, CASE WHEN NOT ok_json THEN 'not_json' WHEN s_txt IS NULL THEN 'missing_score'
   WHEN match_score IS NULL THEN 'score_not_integer' WHEN match_score < 0 OR match_score > 100 THEN 'score_out_of_range'
   WHEN skills_j IS NULL OR json_type(skills_j) = 'NULL' THEN 'missing_skills_null'
-  WHEN advice IS NULL THEN 'missing_advice' END AS verdict_error FROM verdicts""")
+  WHEN advice IS NULL THEN 'missing_advice' END AS verdict_error,
+  array_to_string(from_json(skills_j, '["VARCHAR"]'), ',') AS missing_skills, advice FROM verdicts""")
 def q_parse_verdict(spark, sf):
-    return sc.parse_verdict(_raw_verdicts(offers_df(spark, sf))).select("seq", "match_score", "verdict_error")
+    return sc.parse_verdict(_raw_verdicts(offers_df(spark, sf))).select(
+        "seq", "match_score", "verdict_error", F.array_join("missing_skills", ",").alias("missing_skills"), "advice")
 
 
 def stub_scorer(pdf):
@@ -1095,16 +1097,28 @@ def q_extractor(spark, sf):
 # 2.1 sources and sinks (round trips through the shared folder)
 # ---------------------------------------------------------------------------
 
-@register("src_history", O.with_(O.OFFERS) +
-          "SELECT DISTINCT job_url FROM offers WHERE batch_id = 0 AND job_url IS NOT NULL")
+@register("src_history", O.with_(
+    O.OFFERS, "imported AS (SELECT * REPLACE (-1 AS batch_id) FROM offers WHERE batch_id = 0)",
+    "both_ AS (SELECT * FROM imported UNION ALL SELECT * FROM offers WHERE batch_id = 1)",
+    f"p1 AS {O.keep_last_sql('both_', ['job_url'])}") +
+    f"SELECT title, job_url, md5(description) AS description_md5, batch_id FROM {O.keep_last_sql('p1', O.DEDUPE_KEYS)}")
 def q_src_history(spark, sf):
+    """The history as JSON arrays of up to 1,000 offers a file, read back, in file order, and merged with a batch."""
     from ..session import scratch_path
     from ..sources import io
     path = scratch_path(spark, "history_json")
-    hist = offers_df(spark, sf).where("batch_id = 0").select(
-        "title", "company", "location", "job_url", "site", "description", "posted_at")
-    hist.write.mode("overwrite").json(path)
-    return io.history_seen(io.read_history(spark, path, array=False))
+    cols = ["title", "company", "location", "job_url", "site", "description", "posted_at"]
+    offers = offers_df(spark, sf)
+    files = (offers.where("batch_id = 0").groupBy(
+        F.lpad(F.floor(F.col("seq") / 1000).cast("string"), 12, "0").alias("part"))
+             .agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("seq", *cols))), lambda o: F.struct(
+                 *[o[c].alias(c) for c in cols]))).alias("value")))
+    files.repartition("part").write.mode("overwrite").partitionBy("part").text(path)
+    good, rejects = io.import_history(spark, path)
+    if not rejects.isEmpty():
+        raise ValueError("the history written here holds records that cannot be read")
+    merged = st.merge_history(good, offers.where("batch_id = 1").select(*good.columns))
+    return merged.select("title", "job_url", F.md5("description").alias("description_md5"), "batch_id")
 
 
 @register("snk_history", ORACLES["merge_history"])

@@ -9,7 +9,7 @@ once and kept as Parquet afterwards.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,19 @@ def read_history(spark: SparkSession, path: str, array: bool = True) -> DataFram
     return good
 
 
+def import_history(spark: SparkSession, path: str, array: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(offers with an arrival order, rejected raw records) of an offer history:
+    batch -1, in the order of files and of records within a file."""
+    good, bad = split_corrupt(read_json_records(spark, path, HISTORY_JSON, array))
+    cols = [f.name for f in HISTORY_JSON.fields if f.name != "_corrupt_record"]
+    numbered = good.select(*cols, F.lit(-1).cast("long").alias("batch_id"), F.input_file_name().alias("_file"),
+                           F.monotonically_increasing_id().alias("seq"))
+    # the files' names only: one small window gives them their ranks
+    names = numbered.select("_file").distinct().select("_file", F.row_number().over(Window.orderBy("_file")).cast(
+        "long").alias("source_rank"))
+    return numbered.join(names, "_file").select(*cols, "batch_id", "source_rank", "seq"), bad
+
+
 def read_results(spark: SparkSession, path: str, array: bool = True) -> DataFrame:
     good, _ = split_corrupt(read_json_records(spark, path, RESULT_JSON, array))
     return good
