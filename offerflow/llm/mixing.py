@@ -2,7 +2,9 @@
 
 Documents are counted into cells (source, language, topic) by tokens. The cell
 weights are raked: scaled to the target of each source, then each language,
-then each topic, and again, until the marginals agree. Where ``targets`` gives
+then each topic, and again, until the largest relative error of a marginal is at most
+``TOLERANCE``. Targets that the occurring cells cannot meet end the sweeps when
+the error no longer falls; the error that is left is logged as a warning. Where ``targets`` gives
 none for a dimension, a share is the observed token share to a power (below 1
 lifts rare values), normalised. A document's probability is its cell's raked
 weight per token, scaled so that the largest is 1: expected tokens then meet
@@ -10,8 +12,9 @@ the marginals, and no document is taken twice. The draw is a hash of the id, so
 it is the same on every run and partitioning.
 
 Only narrow rows are shuffled; cell counts combine before the shuffle, so one
-source with a third of all rows is one row per task. Cells and factors are
-Spark tables, joined on their keys.
+source with a third of all rows is one row per task. Up to ``LOCAL_CELLS`` cells are
+raked in the driver; more are Spark tables, joined with their factors on their
+keys.
 
 Defined results: null sources, languages and topics are a value of their own;
 documents without tokens weigh nothing and have their cell's probability (1 in
@@ -21,14 +24,27 @@ occur are left out and the rest normalised; an empty table gives no rows.
 
 from __future__ import annotations
 
+import logging
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerflow.llm.common import saved
 
+log = logging.getLogger(__name__)
+
 DIMENSIONS = ("source", "lang", "topic")
 POWER = 0.7
+#: Sweeps at least.
 SWEEPS = 8
+#: Largest relative error of a marginal that counts as met.
+TOLERANCE = 1e-6
+#: Sweeps in which the error must fall by a hundredth, or the targets count as out of reach.
+PATIENCE = 100
+#: Cells that are raked in the driver, at most (some 20 MB).
+LOCAL_CELLS = 100_000
 #: Stands for null in cells and targets.
 NONE = "(none)"
 
@@ -64,20 +80,71 @@ def target_shares(cells: DataFrame, dimension: str, targets: dict[str, float] |
     return raw.select(dimension, (F.col("raw") / F.lit(total)).alias("share"))
 
 
+def settled(errors: list[float], least: int) -> bool:
+    """Whether the sweeps with these largest relative errors were enough."""
+    if len(errors) < least:
+        return False
+    return errors[-1] <= TOLERANCE or (len(errors) > PATIENCE and not errors[-1] < 0.99 * errors[-1 - PATIENCE])
+
+
+def rake_here(now: pa.Table, least: int) -> tuple[pa.Table, list[float]]:
+    """``now`` with raked weights, and the largest relative error after each sweep."""
+    now = now.sort_by([(d, "ascending") for d in DIMENSIONS])
+    weight = now["weight"].to_numpy().copy()
+    places, shares = [], []
+    for d in DIMENSIONS:
+        values, first, place = np.unique(np.array(now[d].to_pylist(), object), return_index=True, return_inverse=True)
+        places.append((place, len(values)))
+        shares.append(now[f"share_{d}"].to_numpy()[first])
+
+    def factors(d):
+        return shares[d] / np.bincount(places[d][0], weight, places[d][1])
+
+    errors: list[float] = []
+    with np.errstate(all="ignore"):
+        while len(weight) and not settled(errors, least):
+            for d in range(len(DIMENSIONS)):
+                weight = weight * factors(d)[places[d][0]]
+            errors.append(float(max(np.abs(1 / factors(d) - 1).max() for d in range(len(DIMENSIONS)))))
+    return now.set_column(now.column_names.index("weight"), "weight", pa.array(weight)), errors
+
+
+def rake_tables(now: DataFrame, least: int) -> tuple[DataFrame, list[float]]:
+    """The same over Spark tables, one aggregate per sweep for the error."""
+    errors: list[float] = []
+    while not settled(errors, least):
+        for d in DIMENSIONS:
+            sums = now.groupBy(d).agg(F.sum("weight").alias("sum"))
+            now = now.join(sums, d).withColumn("weight", F.col("weight") * F.col(f"share_{d}") / F.col("sum")).drop("sum")
+        now = saved(now, "raked")  # the plan stays one sweep deep
+        off = F.abs(F.col("sum") / F.col("share") - 1)
+        sides = now.select(F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col(d).alias("v"), F.col(f"share_{d}").alias("share"))
+                                               for d in DIMENSIONS))).alias("side"), "weight")
+        sums = sides.groupBy("side.d", "side.v").agg(F.sum("weight").alias("sum"), F.max("side.share").alias("share"))
+        errors.append(sums.agg(F.max(off)).first()[0])  # one number
+    return now, errors
+
+
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER,
-         sweeps: int = SWEEPS) -> DataFrame:
+         sweeps: int = SWEEPS, local_cells: int = LOCAL_CELLS) -> tuple[DataFrame, list[float]]:
     """(source, lang, topic, tokens, weight): weights adding to 1 whose marginals
-    are the targets, as far as the cells that occur allow."""
+    are the targets, as far as the cells that occur allow; and the largest
+    relative error of a marginal after each sweep. ``sweeps`` are made at least."""
     now = cells.where("tokens > 0")
     for d in DIMENSIONS:
         now = now.join(target_shares(cells, d, (targets or {}).get(d), power).withColumnRenamed("share", f"share_{d}"), d)
     now = saved(now.withColumn("weight", F.col("tokens").cast("double")), "raked")
-    for _ in range(sweeps):
-        for d in DIMENSIONS:
-            sums = now.groupBy(d).agg(F.sum("weight").alias("sum"))
-            now = now.join(sums, d).withColumn("weight", F.col("weight") * F.col(f"share_{d}") / F.col("sum")).drop("sum")
-        now = saved(now, "raked")  # the plan stays one sweep deep
-    return now.select(*DIMENSIONS, "tokens", "weight")
+    n = now.count()
+    if n <= local_cells:
+        table, errors = rake_here(now.toArrow(), sweeps)
+        now = saved(cells.sparkSession.createDataFrame(table), "raked") if n else now
+    else:
+        now, errors = rake_tables(now, sweeps)
+    if errors and not errors[-1] <= TOLERANCE:
+        log.warning("raking: targets out of reach, marginals off by up to %.3g after %d sweeps", errors[-1], len(errors))
+    else:
+        log.info("raking: %d sweeps, marginals off by up to %.3g", len(errors), errors[-1] if errors else 0.0)
+    return now.select(*DIMENSIONS, "tokens", "weight"), errors
 
 
 def mixture(docs: DataFrame, topics: DataFrame, targets: dict[str, dict[str, float]] | None = None,
@@ -85,7 +152,7 @@ def mixture(docs: DataFrame, topics: DataFrame, targets: dict[str, dict[str, flo
     """(doc_id, source, lang, topic, tokens, probability, selected) of every document."""
     rows = saved(counted(docs, topics), "counted")
     cells = saved(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
-    raked = rake(cells, targets, power, sweeps).withColumn("ratio", F.col("weight") / F.col("tokens"))
+    raked = rake(cells, targets, power, sweeps)[0].withColumn("ratio", F.col("weight") / F.col("tokens"))
     top = raked.agg(F.max("ratio")).first()[0]  # one number
     rates = raked.select(*DIMENSIONS, F.round(F.col("ratio") / F.lit(top), 9).alias("rate"))
     # Every occurring cell has a rate; one that targets leave out has 0, one without tokens 1.

@@ -214,6 +214,39 @@ def test_raking_meets_marginals_and_given_targets(spark):
     assert mixing.mixture(docs.limit(0), topics).collect() == []
 
 
+def test_raking_goes_on_until_sources_of_one_language_meet_their_targets(spark):
+    """Sources hold mostly one language and topic, one is hot: 8 sweeps are far off."""
+    n, langs, topics = 20, 6, 4
+    cells = [(f"s{s}", f"l{i}", f"t{j}", max(1, int((5e7 if s == 0 else 1e6) * (1 if i == s % langs else 0.01) * (1 if j == s % topics else 0.1))))
+             for s in range(n) for i in range(langs) for j in range(topics)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    targets = {"source": {f"s{s}": 1 + s % 3 for s in range(n)}, "lang": {f"l{i}": 1 + i % 3 for i in range(langs)}}
+    raked, errors = mixing.rake(df, targets)
+    assert len(errors) > 8 and errors[7] > 1e-3 and errors[-1] <= mixing.TOLERANCE
+    out = raked.toPandas()
+    assert len(out) == len(cells)
+    for d in ("source", "lang"):
+        raw = {k: v for k, v in targets[d].items()}
+        got = out.groupby(d).weight.sum()
+        assert all(abs(got[k] / (v / sum(raw.values())) - 1) <= 2 * mixing.TOLERANCE for k, v in raw.items())
+
+
+def test_raking_of_tables_equals_raking_in_the_driver(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 900), ("a", "y", "t", 100), ("b", "x", "t", 60), ("b", "y", "t", 300)],
+                                  "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 1, "b": 1}, "lang": {"x": 1, "y": 3}}
+    (one, errors), (two, others) = mixing.rake(cells, targets, sweeps=2), mixing.rake(cells, targets, sweeps=2, local_cells=0)
+    assert len(errors) == len(others) > 2 and errors == pytest.approx(others, rel=1e-6)
+    assert {r[:3]: r.weight for r in one.collect()} == pytest.approx({r[:3]: r.weight for r in two.collect()}, rel=1e-9)
+
+
+def test_raking_ends_where_targets_cannot_be_met(spark, caplog):
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, tokens long")
+    _, errors = mixing.rake(cells, {"source": {"a": 1, "b": 1}, "lang": {"x": 3, "y": 1}})
+    assert len(errors) == mixing.PATIENCE + 1 and errors[-1] > 0.1 and "out of reach" in caplog.text
+    assert mixing.rake(cells.limit(0))[0].collect() == []
+
+
 # ---- pipeline
 
 def test_pipeline_is_its_stages_one_after_another(spark):
