@@ -4,6 +4,11 @@ Every line of ``MIN_WORDS`` words or more is hashed (surrounding white space
 aside). A shorter or blank line counts only in its place: its hash takes in the
 nearest longer line before it (or else after it) and what stands between, so
 "The end." alone never matches, but goes when the passage around it goes.
+Shorter lines in a row (verse, lists, tables) also count by their own content:
+every smallest run of them that starts at a line and together reaches
+``MIN_WORDS`` is hashed, whatever stands before it, and is deleted whole where
+an earlier document has it. Where words have no spaces between them (Chinese,
+Japanese, Thai and the like), two letters count as a word.
 
 A line that occurs in more than one document belongs to the earliest (smallest
 id). Each later document is paired with the owners of its shared lines, rarest
@@ -27,6 +32,7 @@ it; empty tables give empty results; other columns pass through.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from hashlib import sha256
 
@@ -39,13 +45,49 @@ from pyspark.sql import functions as F
 from offerflow.llm.common import map_texts, saved
 
 MIN_WORDS = 5
+#: Letters of scripts that put no spaces between words: Thai, Lao, Tibetan, Burmese,
+#: Khmer, kana, Han.
+UNSPACED = re.compile("[\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u3400-\u4DBF"
+                      "\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\U00020000-\U0003FFFF]")
+#: So many of them count as a word.
+LETTERS = 2
+
+
+def sizes(text: str | None) -> tuple[list[bytes], list[int]]:
+    """The lines without surrounding white space, and the words of each."""
+    lines = [x.strip() for x in (text or "").encode().split(b"\n")]
+    counts = [len(x.split()) for x in lines]
+    for i, x in enumerate(lines):
+        if not x.isascii():
+            counts[i] = max(counts[i], len(UNSPACED.findall(x.decode())) // LETTERS)
+    return lines, counts
+
+
+def window_keys(text: str | None, min_words: int = MIN_WORDS) -> dict[int, tuple[int, int, int]]:
+    """First line -> (key, words, lines) of each smallest run of lines under
+    ``min_words`` words that together reach them."""
+    lines, counts = sizes(text)
+    out: dict[int, tuple[int, int, int]] = {}
+    start = end = words = 0  # the run is lines[start:end]
+    while end < len(lines):
+        if counts[end] >= min_words:
+            start, end, words = end + 1, end + 1, 0
+            continue
+        words += counts[end]
+        end += 1
+        while words >= min_words:
+            if counts[start]:  # the same run without leading blank lines
+                key = xxhash.xxh3_64_intdigest(b"\n".join(lines[start:end]), seed=1) - (1 << 63)
+                out[start] = (key, words, end - start)
+            words -= counts[start]
+            start += 1
+    return out
 
 
 def line_keys(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int | None, int]]:
     """(key, words) of each line; the key is None where nothing around a short
     line tells it from others like it."""
-    lines = [x.strip() for x in (text or "").encode().split(b"\n")]
-    counts = [len(x.split()) for x in lines]
+    lines, counts = sizes(text)
     out: list[tuple[int | None, int]] = [(None, n) for n in counts]
     before, first = None, None
     for i, (line, n) in enumerate(zip(lines, counts, strict=True)):
@@ -157,11 +199,12 @@ def blocks(pairs: list[tuple[int, int]], words: dict[int, int], least: int) -> l
 
 def shared_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, lines, keys, partners): per later document the numbers (from 0)
-    and keys of the lines to delete, and the earlier documents that have them."""
+    and keys of the lines to delete, and the earlier documents that have them. A
+    run of short lines has its window key and the number of its first line."""
 
     def spread(batches):
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if doc_id is None or not text:
                     continue
@@ -169,26 +212,34 @@ def shared_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 for i, (key, n) in enumerate(line_keys(text, min_words)):
                     if key is not None:
                         places.setdefault(key, [n, []])[1].append(i)
-                cols[0] += places
-                cols[1] += [doc_id] * len(places)
-                cols[2] += (n for n, _ in places.values())
-                cols[3] += (at for _, at in places.values())
+                runs: dict[int, list] = {}
+                for i, (key, n, size) in window_keys(text, min_words).items():
+                    runs.setdefault(key, [n, [], size])[1].append(i)
+                for found, size in ((places, 0), (runs, None)):
+                    cols[0] += found
+                    cols[1] += [doc_id] * len(found)
+                    cols[2] += (x[0] for x in found.values())
+                    cols[3] += (x[1] for x in found.values())
+                    cols[4] += (x[2] if size is None else size for x in found.values())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())), strict=True)], ["key", "doc", "words", "at"])
+                cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32()), strict=True)], ["key", "doc", "words", "at", "run"])
 
-    lines = docs.select("doc_id", "text").mapInArrow(spread, "key long, doc long, words int, at array<int>")
+    lines = docs.select("doc_id", "text").mapInArrow(spread, "key long, doc long, words int, at array<int>, run int")
     owners = lines.groupBy("key").agg(F.min("doc").alias("owner"), F.count("*").alias("df")).where("df > 1")
     shared = saved(lines.join(owners, "key"), "shared-lines")
     first = shared.where("doc = owner").select("key", F.col("at").alias("there"))
     matches = (shared.where("doc <> owner").join(first, "key").groupBy("doc")
-               .agg(F.collect_list(F.struct("owner", "df", "key", "words", "at", "there")).alias("m")))
+               .agg(F.collect_list(F.struct("owner", "df", "key", "words", "at", "there", "run")).alias("m")))
 
     def delete(batches):
         for batch in batches:
             cols: list[list] = [[], [], [], []]
             for doc, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, by = {}, {}
+                words, by, runs = {}, {}, []
                 for m in found:
+                    if m["run"]:  # long enough by itself, so there is nothing to align
+                        runs += ((p, m["key"], m["run"], m["owner"]) for p in m["at"])
+                        continue
                     rarest, d, o = by.setdefault(m["owner"], [m["df"], {}, {}])
                     by[m["owner"]][0] = min(rarest, m["df"])
                     for p in m["at"]:
@@ -203,16 +254,18 @@ def shared_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     if cut:
                         partners.append(owner)
                         gone |= {p: d[p] for p in cut}
+                within = {p + i for p, _, size, _ in runs for i in range(size)}
                 # A short line shared with one owner may continue a block shared with another.
-                if gone:
+                if gone or runs:
                     every = {p: k for _, d, _ in by.values() for p, k in d.items()}
                     for p in sorted(every.keys() - gone.keys()):
-                        if p - 1 in gone or p + 1 in gone:
+                        if any(x in gone or x in within for x in (p - 1, p + 1)):
                             gone[p] = every[p]
+                    cut = sorted([*gone.items(), *((p, key) for p, key, _, _ in runs)])
                     cols[0].append(doc)
-                    cols[1].append(sorted(gone))
-                    cols[2].append([gone[p] for p in sorted(gone)])
-                    cols[3].append(sorted(partners))
+                    cols[1].append([p for p, _ in cut])
+                    cols[2].append([key for _, key in cut])
+                    cols[3].append(sorted({*partners, *(owner for *_, owner in runs)}))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                 cols, (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)],
                 ["doc_id", "lines", "keys", "partners"])
@@ -228,7 +281,13 @@ def without(text: str | None, lines: list[int] | None, keys: list[int] | None) -
     if not lines:
         return text, len(rows), 0
     real = line_keys(text)
-    gone = {p for p, k in zip(lines, keys, strict=True) if p < len(real) and real[p][0] == k}
+    runs = window_keys(text)
+    gone = set()
+    for p, k in zip(lines, keys, strict=True):
+        if p < len(real) and real[p][0] == k:
+            gone.add(p)
+        elif p in runs and runs[p][0] == k:
+            gone.update(range(p, p + runs[p][2]))
     return "\n".join(x for i, x in enumerate(rows) if i not in gone), len(rows), len(gone)
 
 

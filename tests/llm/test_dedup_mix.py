@@ -82,6 +82,20 @@ def test_line_dedup_equals_plain_rule_and_repeated_rows(spark, table):
     assert line_dedup.dedup_report(docs.limit(0)).collect() == []
 
 
+def test_runs_of_short_lines_match_whatever_stands_around_them(table):
+    verse = "O wild west\nwind\n\nthou breath\nof autumn's\nbeing"
+    han = "\u5929\u5730\u7384\u9ec4\n\u5b87\u5b99\u6d2a\u8352\n\u65e5\u6708\u76c8\u6603"
+    texts = ["The first title has five words\n" + verse + "\nfoo", "Quite another title stands above it\nbar baz\n" + verse + "\nend",
+             verse, verse, han, "\u522b\u7684\n" + han, "Tiny.\nbar baz", "Tiny.\nbar baz",
+             "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d\u4e03\u516b\u4e5d\u5341", "x\n\u4e00\u4e8c\u4e09\u56db\u4e94\u516d\u4e03\u516b\u4e5d\u5341"]
+    out = by_id(line_dedup.dedup_report(table(texts)))
+    assert [out[i].n_removed for i in range(10)] == [0, 6, 6, 6, 0, 3, 0, 0, 0, 1]
+    assert out[1].partners == [0] and out[3].partners == [0] and out[5].partners == [4]
+    kept = by_id(line_dedup.remove_shared(table(texts)))
+    assert kept[1].text == "Quite another title stands above it\nbar baz\nend" and 2 not in kept and 3 not in kept
+    assert kept[5].text == "\u522b\u7684" and kept[7].text == "Tiny.\nbar baz" and kept[9].text == "x"
+
+
 def test_patience_keeps_order_and_aligns_unique_lines():
     d, o = dict(enumerate([1, 2, 3, 4, 5])), dict(enumerate([9, 1, 4, 3, 5]))
     pairs = line_dedup.patience(d, o)
