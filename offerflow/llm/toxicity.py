@@ -9,10 +9,11 @@ cost one pass: (sum v)^2 - sum v^2.
 
 Trained by logistic loss with per-weight step sizes on a bounded sample of
 labelled documents; only hashed term sets of that sample reach the driver.
-Terms that fewer than ``least_docs`` sampled documents hold, or whose toxic
-share differs from the sample's by under ``least_z`` standard errors, have no
-weight: sums over the thousands of indifferent terms of a long text would only
-add noise.
+Terms that fewer than ``least_docs`` sampled documents hold have no weight, nor
+have terms that tell nothing: their toxic share differs from the sample's by
+under ``least_z`` standard errors, and they are in no pair (``joint_terms``)
+whose toxic share differs from what its two terms say one by one. Sums over the
+thousands of indifferent terms of a long text would only add noise.
 The model (2^18 x (factors + 1) single-precision numbers) is of fixed size and
 is broadcast; scoring is one pass without a shuffle.
 
@@ -70,6 +71,55 @@ class Machine:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.raw(term_ids(text)), -35, 35))))
 
 
+def joint_terms(rows: list[tuple[np.ndarray, int]], least_toxic: int = 5, chance: float = 0.01, block: int = 512) -> np.ndarray:
+    """Columns of pairs that are toxic more or less often than their terms' own
+    log odds add up to. A pair counts when the Chernoff bound of its difference is
+    below ``chance`` over all pairs tested; equal term sets count once. Terms of
+    fewer than ``least_toxic`` toxic documents are not tested: so few documents
+    could hardly pass. All pairs are counted, block by block, from one bit per
+    term and document."""
+    once = {(x.tobytes(), t): (x, t) for x, t in rows}
+    rows = sorted(once.values(), key=lambda r: (-r[1], r[0].tobytes()))
+    n, bad_n = len(rows), sum(t for _, t in rows)
+    every = np.bincount(np.concatenate([x for x, _ in rows]), minlength=1 << BITS)
+    toxic = np.bincount(np.concatenate([np.empty(0, np.int64), *(x for x, t in rows if t)]).astype(np.int64), minlength=1 << BITS)
+    terms = np.flatnonzero(toxic >= least_toxic)
+    if len(terms) < 2 or bad_n == n:
+        return terms[:0]
+    share = bad_n / n
+    base = np.log(share / (1 - share))
+    own = (toxic[terms] + 10 * share) / (every[terms] + 10)  # of rare terms nearer to the share of all
+    odds = np.log(own / (1 - own))
+    level = np.log(len(terms) * (len(terms) - 1) / 2 / chance)
+    place = np.full(1 << BITS, -1, np.int64)
+    place[terms] = np.arange(len(terms))
+    bits = np.zeros((len(terms), (n + 7) // 8), np.uint8)
+    for d, (x, _) in enumerate(rows):
+        p = place[x]
+        bits[p[p >= 0], d >> 3] |= 128 >> (d & 7)
+
+    def dense(at):
+        return np.unpackbits(bits[at:at + block], axis=1, count=n).astype(np.float32)
+
+    found = np.zeros(len(terms), bool)
+    for a in range(0, len(terms), block):
+        left = dense(a)
+        for b in range(a, len(terms), block):
+            right = left if a == b else dense(b)
+            both = left @ right.T
+            i, j = np.nonzero(both >= least_toxic)
+            if a == b:
+                i, j = i[i < j], j[i < j]
+            docs = both[i, j].astype(float)
+            seen = (left[:, :bad_n] @ right[:, :bad_n].T)[i, j] / docs
+            want = 1.0 / (1.0 + np.exp(-np.clip(odds[a + i] + odds[b + j] - base, -20, 20)))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                away = np.where(seen > 0, seen * np.log(seen / want), 0) + np.where(seen < 1, (1 - seen) * np.log((1 - seen) / (1 - want)), 0)
+            told = docs * away >= level
+            found[a + i[told]] = found[b + j[told]] = True
+    return terms[found]
+
+
 def fit(rows: list[tuple[np.ndarray, int]], factors: int = 4, epochs: int = 15, rate: float = 0.15,
         decay: float = 1e-4, batch: int = 64, least_docs: int = 3, least_z: float = 3.0, toxic_weight: float = 2.0,
         seed: int = 5) -> Machine:
@@ -80,7 +130,9 @@ def fit(rows: list[tuple[np.ndarray, int]], factors: int = 4, epochs: int = 15,
     toxic = np.bincount(np.concatenate([x for x, t in rows if t]), minlength=1 << BITS)
     share = sum(t for _, t in rows) / len(rows)
     z = np.abs(toxic - every * share) / np.sqrt(np.maximum(every, 1) * share * (1 - share))
-    used = np.flatnonzero((every >= least_docs) & (z >= least_z))
+    telling = z >= least_z
+    telling[joint_terms(rows)] = True
+    used = np.flatnonzero((every >= least_docs) & telling)
     if not len(used):
         return Machine()
     place = np.full(1 << BITS, -1, np.int64)

@@ -122,6 +122,25 @@ def test_factorization_machine_learns_a_pair():
     assert both > 0.7 > 0.3 > max(one, other)
 
 
+def test_factorization_machine_learns_a_pair_whose_words_tell_nothing_alone():
+    """Each word is as likely toxic as any; only both together always are."""
+    rng = np.random.default_rng(3)
+    noise = [f"w{i}" for i in range(300)]
+    rows = []
+    for _ in range(12000):
+        a, b = rng.random(2) < 0.1
+        words = [w for w, has in (("glarb", a), ("mooks", b)) if has]
+        words += rng.choice(noise, 20, replace=False).tolist()
+        rows.append((toxicity.term_ids(" ".join(words)), int(a and b or (not a and not b and rng.random() < 0.111))))
+    share, single = np.mean([t for _, t in rows]), toxicity.term_ids("glarb")
+    held = [t for x, t in rows if np.isin(single, x).all()]
+    assert abs(np.mean(held) - share) < 3 * np.sqrt(share * (1 - share) / len(held))  # no effect of its own
+    assert set(toxicity.joint_terms(rows)) == set(toxicity.term_ids("glarb mooks"))
+    m = toxicity.fit(rows)
+    pair, *alone = (m.score(f"{x} w1 w2 w3") for x in ("glarb mooks", "glarb", "mooks", ""))
+    assert pair > 0.7 and max(alone) < 0.3
+
+
 def test_toxicity_held_out(spark):
     docs, labels = read(spark, SF.replace("0.01", "0.1"), "documents"), read(spark, SF.replace("0.01", "0.1"), "labels")
     out = toxicity.score_toxicity(docs, labels).join(labels.where("toxic is not null"), "doc_id").where("held_out").toPandas()
