@@ -36,6 +36,12 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have at most ``rows`` rows;
+    else unmarked, and adaptive execution joins it by shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def map_texts(docs: DataFrame, columns: list[str], row: Callable[..., tuple], schema: str | StructType,
               setup: Callable[[], object] | None = None) -> DataFrame:
     """One output row per document: ``row(state, *values)`` over Arrow batches.

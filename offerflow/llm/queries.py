@@ -2,7 +2,7 @@
 
 Each query applies one operator, with production parameters, to its whole
 table and returns the full result. Oracles exist where SQL can state the result
-exactly (op5, op8, op10); the others are tested against brute force, public
+exactly (op5, op8, op10 to op13); the others are tested against brute force, public
 libraries or held-out labels in tests/llm.
 """
 
@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from offerflow.llm import (
     bpe,
     embedding_dedup,
+    exact_dedup,
     jaccard_join,
+    lexical_search,
     license_scan,
     line_dedup,
     lm_score,
+    merkle,
     mixing,
     quality_rules,
     token_counts,
@@ -71,6 +74,18 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_docs(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_report(read(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_copies(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
@@ -82,6 +97,9 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 
@@ -146,4 +164,71 @@ SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id =
 FROM embeddings e LEFT JOIN comp c ON c.a = e.vec_id LEFT JOIN deg d ON d.a = e.vec_id
 """
 
-ORACLES = {"op5_mixing": _raking_sql(), "op8_ngram_jaccard": _JACCARD_SQL, "op10_embedding_dedup": _COSINE_SQL}
+_SEARCH_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+size AS MATERIALIZED (SELECT count(*)::BIGINT AS nn, sum(len(ws))::BIGINT AS ll FROM t WHERE len(ws) > 0),
+tf AS MATERIALIZED (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ws) AS term FROM t) GROUP BY rid, term),
+w AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, size GROUP BY term, nn),
+doc AS MATERIALIZED (SELECT rid, doc_id, 25 + (75 * len(ws)::BIGINT * nn) // ll AS m FROM t, size WHERE len(ws) > 0),
+item AS MATERIALIZED (SELECT iid, item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT row_number() OVER () AS iid, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+score AS (SELECT iid, item_id, doc_id, rid, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM item JOIN w USING (term) JOIN tf USING (term) JOIN doc USING (rid) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+    FROM score WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def _manifest_sql(levels: int = 18) -> str:
+    """The trees level by level (3^18 leaves at most); per leaf and level the siblings left and right."""
+    frame = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+    row = lambda text: " || ".join(frame(c) for c in ("doc_id", "source", "lang", "n_chars", text))
+    # CRC-32 bit by bit over the digits of the id
+    crc = ("xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), "
+           "lambda z, b: list_reduce(list_concat([xor(z, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), "
+           "lambda y, e: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)")
+    ctes = [f"rows AS MATERIALIZED (SELECT *, sha256({row('text')}) AS leaf, CASE WHEN {crc} % 2 = 0 THEN "
+            f"sha256({row('cut')}) END AS bad FROM (SELECT *, replace(text, chr(10), '') AS cut FROM documents))",
+            "l0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, "
+            "count(*) OVER (PARTITION BY source) AS size, leaf AS d FROM rows)"]
+
+    def tower(first: str, name: str, key: str) -> None:
+        """Levels above ``first``, and per node of the first level its siblings and position on each."""
+        ctes.append(f"{name}0 AS MATERIALIZED (SELECT {key}, pos, size, d FROM {first})")
+        for k in range(levels):
+            ctes.append(f"{name}{k + 1} AS MATERIALIZED (SELECT {key}, pos // 3 AS pos, (any_value(size) + 2) // 3 AS size, "
+                        f"sha256(string_agg(d, '' ORDER BY pos)) AS d FROM {name}{k} WHERE size > 1 GROUP BY {key}, pos // 3)")
+        every = " UNION ALL ".join(f"SELECT {k} AS lvl, * FROM {name}{k}" for k in range(levels + 1))
+        ctes.append(f"{name} AS MATERIALIZED (SELECT * FROM ({every}))")
+        ctes.append(f"{name}_sib AS MATERIALIZED (SELECT lvl, {key}, pos, "
+                    f"coalesce(string_agg(d, '') OVER (PARTITION BY {key}, lvl, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, "
+                    f"coalesce(string_agg(d, '') OVER (PARTITION BY {key}, lvl, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r "
+                    f"FROM {name} WHERE size > 1)")
+
+    tower("l0", "n", "source")
+    ctes.append("sub AS MATERIALIZED (SELECT source, 0 AS one, d, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, "
+                "count(*) OVER () AS size FROM n WHERE size = 1)")
+    tower("sub", "u", "one")
+    ctes.append("f0 AS (SELECT l0.doc_id, l0.leaf, s.d AS subroot, s.pos AS spos, l0.source, l0.pos, coalesce(l0.bad, l0.leaf) AS acc, '' AS proof "
+                "FROM l0 JOIN sub s ON s.source IS NOT DISTINCT FROM l0.source)")
+    n = 0
+    for tree, match, at in (("n", "x.source IS NOT DISTINCT FROM f.source", "pos"), ("u", "true", "spos")):
+        for k in range(levels):
+            ctes.append(f"f{n + 1} AS MATERIALIZED (SELECT f.doc_id, f.leaf, f.subroot, f.spos, f.source, f.pos, "
+                        "CASE WHEN x.lvl IS NULL THEN acc ELSE sha256(x.l || acc || x.r) END AS acc, proof || coalesce(x.l || x.r, '') AS proof "
+                        f"FROM f{n} f LEFT JOIN {tree}_sib x ON {match} AND x.lvl = {k} AND x.pos = f.{at} // {3 ** k})")
+            n += 1
+    return ("WITH " + ",\n".join(ctes) + "\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, "
+            f"acc = root AS verified FROM f{n}, (SELECT d AS root FROM u WHERE size = 1)")
+
+
+_COPIES_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY x ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(x) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents) WINDOW same AS (PARTITION BY x)
+"""
+
+ORACLES = {"op5_mixing": _raking_sql(), "op8_ngram_jaccard": _JACCARD_SQL, "op10_embedding_dedup": _COSINE_SQL,
+           "op11_lexical_search": _SEARCH_SQL, "op12_merkle_manifest": _manifest_sql(), "op13_exact_dedup": _COPIES_SQL}
