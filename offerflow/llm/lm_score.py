@@ -101,9 +101,11 @@ def chunks_of(docs: DataFrame, chunk_tokens: int) -> DataFrame:
             vocabulary, tokens = np.unique(h, return_inverse=True)
             sizes = np.array([len(p) for p in parts], "<u4").tobytes()
             tokens = np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-            name = xxhash.xxh3_64_intdigest(repr(ids).encode() + sizes + tokens) >> 1
+            vocabulary = vocabulary.tobytes()
+            # all that a chunk holds: chunks of one name are the same texts and get the same answers
+            name = xxhash.xxh3_64_intdigest(b"".join([repr(ids).encode(), sizes, vocabulary, tokens])) >> 1
             return pa.RecordBatch.from_pylist([{"chunk": name, "kind": kind, "n": len(h), "ids": ids, "sizes": sizes,
-                                                "vocabulary": vocabulary.tobytes(), "tokens": tokens}], _CHUNK)
+                                                "vocabulary": vocabulary, "tokens": tokens}], _CHUNK)
 
         for batch in batches:
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):

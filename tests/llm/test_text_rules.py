@@ -155,6 +155,24 @@ def test_toxicity_edges(spark, table):
     assert {r.score for r in out.values()} == {0.5} and toxicity.score_toxicity(table([]), none).collect() == []
 
 
+def plain_em(hist, uniform, rounds=60):
+    """Mixture weights per context bucket, one token class after another."""
+    part = lambda step: 0.0 if step < 0 else 2.0 ** (-step / lm_score.FINE)
+    weights = {b: [1 / 3] * 3 if b else [0.5, 0.5, 0.0] for b in range(64)}
+    used = {b for b, _, _ in hist}
+    for _ in range(rounds if hist else 0):
+        got = {b: [0.01, 0.01, 0.01 if b else 0.0] for b in range(64)}
+        for (b, s2, s1), times in hist.items():
+            joint = [w * p for w, p in zip(weights[b], (uniform, part(s1), part(s2)))]
+            for k in range(3):
+                got[b][k] += times * joint[k] / sum(joint)
+        weights = {b: [x / sum(g) for x in g] for b, g in got.items()}
+    for b in range(2, 64):
+        if hist and b not in used and used & set(range(1, b)):
+            weights[b] = weights[b - 1]
+    return weights
+
+
 def plain_lm(rows):
     """Unigram base and deleted interpolation over all words, without Spark."""
     tokens = {i: (t or "").encode().lower().split() + [b"\n"] for i, t in rows}
@@ -178,7 +196,7 @@ def plain_lm(rows):
                 ch = one[h] - own1[h]
                 p2 = (two[h, w] - own2[h, w]) / ch if ch else 0.0
                 hist[math.ceil(math.log2(ch + 1)), step(p2), step((one[w] - own1[w]) / max(kept_n, 1))] += 1
-    weights = lm_score.fit_weights(sorted((*k, float(c)) for k, c in hist.items()) if kept_n else [], 1 / (kept_v + 1))
+    weights = plain_em(hist if kept_n else {}, 1 / (kept_v + 1))
     out = {}
     for i, ws in tokens.items():
         score = base = 0.0
@@ -203,6 +221,22 @@ def test_lm_scores_equal_plain_counts(spark, table, chunk):
         assert math.isclose(r.base_score, w[4], abs_tol=1e-9) and math.isclose(r.score, w[5], abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("doc_id", [2, None])
+def test_lm_scores_of_rows_that_share_an_id(spark, doc_id):
+    """Texts of one id, alike in shape but not in words, whatever the partitions."""
+    texts = ["a", "b", "c", "a", "a", "d", "a b", "c d", "", None]
+    docs = spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string")
+    results = [sorted(tuple(r)[1:] for r in lm_score.score_texts(docs.repartition(n), chunk_tokens=c).collect())
+               for n, c in ((1, 10 ** 6), (1, 2), (6, 10 ** 6), (10, 1))]
+    for other in results[1:]:
+        assert len(other) == len(texts)
+        for x, y in zip(results[0], other, strict=True):
+            assert x[:4] == y[:4] and x[4:] == pytest.approx(y[4:], abs=1e-9)
+    count, n, v = Counter("a b c a a d a b c d".split()) + Counter({"\n": 10}), 20, 5
+    base = lambda t: sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*(t or "").split(), "\n"])
+    assert sorted(r[4] for r in results[0]) == pytest.approx(sorted(map(base, texts)))
+
+
 def test_lm_edges_and_gain(spark, table):
     assert lm_score.score_texts(table([])).collect() == []
     repeated = table(["same words here"] * 7)
