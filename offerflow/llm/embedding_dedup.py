@@ -107,6 +107,8 @@ def links_between(x: np.ndarray, y: np.ndarray, cosine: float, same: bool):
     """Index arrays (i, j) of all pairs with cosine >= the threshold, exact."""
     left, right = [], []
     limit = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
+    # times a power of two: exact, and no square leaves the range of doubles
+    x, y = (np.ldexp(v, -np.frexp(np.abs(v).max(1, initial=0))[1][:, None]) for v in (x, y))
     ux, uy = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
 
@@ -176,6 +178,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, cells: int = 8, bl
             & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
             & F.exists("v", lambda c: c != 0))
     good = F.coalesce(good, F.lit(False))
+    # Times a power of two, in two steps as it may pass the range of doubles itself: cosines stay as they are.
+    power = F.floor(F.log2(F.array_max(F.transform("v", F.abs)))).cast("int")
+    rows = rows.withColumn("power", F.when(good, power)).select(
+        "vec_id", "label", F.when(good, F.transform("v", lambda c: c * F.expr("pow(2D, -(power div 2))") * F.expr(
+            "pow(2D, -(power - power div 2))"))).alias("v"))
+    good = F.col("v").isNotNull()
     alive = rows.where(good).distinct()
     classes = saved(alive.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
                     .withColumn("dim", F.size("v")), "vectors")
