@@ -36,6 +36,18 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that ``df`` does not have, one per stem."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it is counted to have at most ``rows`` rows;
     else unmarked, and adaptive execution joins it by shuffles."""

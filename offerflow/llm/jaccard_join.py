@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerflow.llm.common import Remembered, map_texts, saved
+from offerflow.llm.common import Remembered, map_texts, saved, unused
 from offerflow.llm.components import components
 from offerflow.llm.embedding_dedup import forest
 
@@ -145,18 +145,25 @@ def _sides(side: np.ndarray, i: int, j: int):
 
 def jaccard_links(docs: DataFrame, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL,
                   block: int = BLOCK) -> DataFrame:
-    """(doc_id, cls, n_shingles, copies, n_links, class_id) of every document row."""
+    """(doc_id, n_shingles, copies, n_links, class_id) of every document row."""
+    return _links(docs, trees, deepest, recall, block).drop("text_hash", "group")
+
+
+def _links(docs: DataFrame, trees: int, deepest: int, recall: float, block: int) -> DataFrame:
+    """The same with ``text_hash``, which tells rows of one id apart, and ``group``, which
+    tells classes apart that share their smallest id (null without shingles)."""
     depth = prefix_depth(trees, deepest, THRESHOLD[0] / THRESHOLD[1], recall)
     family = hash_family(trees * depth)
 
-    def sign(_, doc_id, text):
+    def sign(_, doc_id, text, text_hash):
         items = shingles(text)
         if doc_id is None or not len(items):
-            return doc_id, None, len(items), None
+            return doc_id, text_hash, None, len(items), None
         raw = items.tobytes()
-        return doc_id, xxhash.xxh3_64_intdigest(raw) - (1 << 63), len(items), signature(items, family).tobytes()
+        return doc_id, text_hash, xxhash.xxh3_64_intdigest(raw) - (1 << 63), len(items), signature(items, family).tobytes()
 
-    signed = saved(map_texts(docs, ["doc_id", "text"], sign, "doc_id long, cls long, n_shingles int, sig binary"), "signatures")
+    signed = saved(map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), ["doc_id", "text", "text_hash"],
+                             sign, "doc_id long, text_hash long, cls long, n_shingles int, sig binary"), "signatures")
     classes = saved(signed.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
 
@@ -233,14 +240,16 @@ def jaccard_links(docs: DataFrame, trees: int = TREES, deepest: int = DEEPEST, r
         .mapInArrow(verify, "cls long, other long, links long"), "links")
     counts = found.where("other is null").groupBy("cls").agg(F.sum("links").alias("links"))
     names = classes.select("cls", "rep", "copies")
-    edges = (found.where("other is not null").select("cls", "other").join(names.select("cls", F.col("rep").alias("a")), "cls")
-             .join(names.select(F.col("cls").alias("other"), F.col("rep").alias("b")), "other").select("a", "b"))
-    groups = components(edges, "jaccard-components")
-    per_class = (names.join(counts, "cls", "left").join(groups, F.col("rep") == F.col("node"), "left")
+    # Components of classes, each named by the smallest id in it: an id may be in several.
+    groups = components(found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")), "jaccard-components")
+    groups = groups.select(F.col("node").alias("cls"), F.col("component").alias("group"))
+    lowest = groups.join(names, "cls").groupBy("group").agg(F.min("rep").alias("low"))
+    groups = groups.join(lowest, "group")
+    per_class = (names.join(counts, "cls", "left").join(groups, "cls", "left")
                  .select("cls", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                         F.coalesce("component", "rep").alias("class_id")))
-    return signed.select("doc_id", "cls", "n_shingles").join(per_class, "cls", "left").select(
-        "doc_id", "n_shingles", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
+                         F.coalesce("group", "cls").alias("group"), F.coalesce("low", "rep").alias("class_id")))
+    return signed.select("doc_id", "text_hash", "cls", "n_shingles").join(per_class, "cls", "left").select(
+        "doc_id", "text_hash", "group", "n_shingles", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
@@ -248,7 +257,25 @@ _TICKET = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, without those of a class that has a smaller
-    id. Rows with a null id stay."""
-    gone = (jaccard_links(docs).where("class_id < doc_id").select(F.col("doc_id").alias("__gone_id")).distinct())
-    return docs.join(gone, docs["doc_id"] == F.col("__gone_id"), "left_anti")
+    """The documents, all columns, one row of each class: the one with the smallest
+    id (of several texts with that id, the one with the smallest hash; of rows
+    that repeat id and text, one). Rows without an id or without words stay."""
+    rows = _links(docs, TREES, DEEPEST, RECALL, BLOCK).where("group is not null")
+    texts = saved(rows.groupBy("doc_id", "text_hash").agg(F.min("group").alias("group"), F.count("*").alias("rows")), "class-texts")
+    first = texts.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    verdicts = saved(texts.join(first, "group").select(
+        "doc_id", "text_hash", "rows", (F.struct("doc_id", "text_hash") == F.col("first")).alias("stays")), "class-verdicts")
+    gone_id, gone_text, own_text = unused(docs, "gone_id", "gone_text", "own_text")
+
+    def those(which: str) -> DataFrame:
+        return verdicts.where(which).select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_text))
+
+    keyed = docs.withColumn(own_text, F.xxhash64("text"))
+    same = (F.col("doc_id") == F.col(gone_id)) & (F.col(own_text) == F.col(gone_text))
+    kept = keyed.join(those("not stays"), same, "left_anti")
+    if verdicts.where("stays and rows > 1").limit(1).count():  # rows that repeat: one of each
+        again = those("stays and rows > 1")
+        one = (kept.join(again, same, "left_semi").groupBy("doc_id", own_text)
+               .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(gone_id)).select(f"{gone_id}.*"))
+        return kept.join(again, same, "left_anti").select(*docs.columns).unionByName(one)
+    return kept.select(*docs.columns)

@@ -24,8 +24,8 @@ Spark shuffles line hashes with their positions, joins them with their owners
 splits) and gathers each later document's own matches, no more than its lines.
 
 Defined results: null texts and rows with a null id are left as they are; rows
-that share an id never take lines from one another, and a line is deleted only
-if the text at hand really has it there; the order of other lines is kept; a
+that share an id never take lines from one another, and each text of such an id
+loses its own lines; a line is deleted only if the text at hand really has it there; the order of other lines is kept; a
 document of which no word is left has an empty text, and ``remove_shared`` drops
 it; empty tables give empty results; other columns pass through.
 """
@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerflow.llm.common import map_texts, saved
+from offerflow.llm.common import map_texts, saved, unused
 
 MIN_WORDS = 5
 #: Letters of scripts that put no spaces between words: Thai, Lao, Tibetan, Burmese,
@@ -198,14 +198,14 @@ def blocks(pairs: list[tuple[int, int]], words: dict[int, int], least: int) -> l
 
 
 def shared_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, lines, keys, partners): per later document the numbers (from 0)
+    """(doc_id, text_hash, lines, keys, partners): per later document the numbers (from 0)
     and keys of the lines to delete, and the earlier documents that have them. A
     run of short lines has its window key and the number of its first line."""
 
     def spread(batches):
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            cols: list[list] = [[], [], [], [], [], []]
+            for doc_id, text, text_hash in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if doc_id is None or not text:
                     continue
                 places: dict[int, list] = {}
@@ -221,20 +221,25 @@ def shared_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     cols[2] += (x[0] for x in found.values())
                     cols[3] += (x[1] for x in found.values())
                     cols[4] += (x[2] if size is None else size for x in found.values())
+                    cols[5] += [text_hash] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32()), strict=True)], ["key", "doc", "words", "at", "run"])
+                cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int64()), strict=True)],
+                ["key", "doc", "words", "at", "run", "text"])
 
-    lines = docs.select("doc_id", "text").mapInArrow(spread, "key long, doc long, words int, at array<int>, run int")
+    lines = docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(
+        spread, "key long, doc long, words int, at array<int>, run int, text long")
     owners = lines.groupBy("key").agg(F.min("doc").alias("owner"), F.count("*").alias("df")).where("df > 1")
     shared = saved(lines.join(owners, "key"), "shared-lines")
-    first = shared.where("doc = owner").select("key", F.col("at").alias("there"))
-    matches = (shared.where("doc <> owner").join(first, "key").groupBy("doc")
-               .agg(F.collect_list(F.struct("owner", "df", "key", "words", "at", "there", "run")).alias("m")))
+    # a document is an id and a text: of several texts with the owner's id the one with the smallest hash is aligned with
+    first = shared.where("doc = owner").groupBy("key").agg(F.min_by("at", "text").alias("there"))
+    # a set: rows that repeat id and text send the same matches
+    matches = (shared.where("doc <> owner").join(first, "key").groupBy("doc", "text")
+               .agg(F.collect_set(F.struct("owner", "df", "key", "words", "at", "there", "run")).alias("m")))
 
     def delete(batches):
         for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for doc, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            cols: list[list] = [[], [], [], [], []]
+            for doc, text_hash, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words, by, runs = {}, {}, []
                 for m in found:
                     if m["run"]:  # long enough by itself, so there is nothing to align
@@ -266,11 +271,12 @@ def shared_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     cols[1].append([p for p, _ in cut])
                     cols[2].append([key for _, key in cut])
                     cols[3].append(sorted({*partners, *(owner for *_, owner in runs)}))
+                    cols[4].append(text_hash)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                cols, (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)],
-                ["doc_id", "lines", "keys", "partners"])
+                cols, (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()), strict=True)],
+                ["doc_id", "lines", "keys", "partners", "text_hash"])
 
-    return matches.mapInArrow(delete, "doc_id long, lines array<int>, keys array<long>, partners array<long>")
+    return matches.mapInArrow(delete, "doc_id long, lines array<int>, keys array<long>, partners array<long>, text_hash long")
 
 
 def without(text: str | None, lines: list[int] | None, keys: list[int] | None) -> tuple[str | None, int, int]:
@@ -291,10 +297,13 @@ def without(text: str | None, lines: list[int] | None, keys: list[int] | None) -
     return "\n".join(x for i, x in enumerate(rows) if i not in gone), len(rows), len(gone)
 
 
-def _with_blocks(docs: DataFrame) -> DataFrame:
-    found = shared_blocks(docs).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"),
-                                       F.col("keys").alias("__keys"), F.col("partners").alias("__partners"))
-    return docs.join(found, docs["doc_id"] == F.col("__id"), "left").drop("__id")
+def _with_blocks(docs: DataFrame, *names: str) -> DataFrame:
+    """The rows with their lines, keys and partners to delete, under names that ``docs`` does not have."""
+    id_, hash_, own = unused(docs, *(f"{n}_" for n in ("doc_id", "text_hash", "own_hash")))
+    found = shared_blocks(docs).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_),
+                                       *(F.col(c).alias(n) for c, n in zip(("lines", "keys", "partners"), names)))
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    return keyed.join(found, (F.col("doc_id") == F.col(id_)) & (F.col(own) == F.col(hash_)), "left").drop(id_, hash_, own)
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
@@ -304,7 +313,7 @@ def dedup_report(docs: DataFrame) -> DataFrame:
         kept, before, gone = without(text, lines, keys)
         return doc_id, before, gone, partners or [], sha256((kept or "").encode()).hexdigest()
 
-    return map_texts(_with_blocks(docs.select("doc_id", "text")), ["doc_id", "text", "__lines", "__keys", "__partners"], row,
+    return map_texts(_with_blocks(docs.select("doc_id", "text"), "lines", "keys", "partners"), ["doc_id", "text", "lines", "keys", "partners"], row,
                      "doc_id long, n_lines long, n_removed long, partners array<long>, text_sha256 string")
 
 
@@ -314,11 +323,12 @@ def remove_shared(docs: DataFrame) -> DataFrame:
     names = docs.columns
     at = names.index("text")
     size = names.index("n_chars") if "n_chars" in names else None
+    cut = unused(docs, "lines", "keys")
 
     def run(batches):
         for batch in batches:
             cols = [batch.column(i) for i in range(len(names))]
-            lines, keys = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("__lines", "__keys"))
+            lines, keys = (batch.column(batch.schema.names.index(c)).to_pylist() for c in cut)
             texts = cols[at].to_pylist()
             keep = [True] * len(texts)
             for i, (a, k) in enumerate(zip(lines, keys, strict=True)):
@@ -332,4 +342,4 @@ def remove_shared(docs: DataFrame) -> DataFrame:
                 cols[size] = pc.if_else(pa.array([bool(a) for a in lines]), new, cols[size])
             yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
 
-    return _with_blocks(docs).drop("__partners").mapInArrow(run, docs.schema)
+    return _with_blocks(docs, *cut).mapInArrow(run, docs.schema)

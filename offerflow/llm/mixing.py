@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerflow.llm.common import saved
+from offerflow.llm.common import saved, unused
 
 log = logging.getLogger(__name__)
 
@@ -165,8 +165,9 @@ def mixture(docs: DataFrame, topics: DataFrame, targets: dict[str, dict[str, flo
 
 def sampled(docs: DataFrame, topics: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The drawn documents, all columns. Rows that share an id and a cell draw alike."""
+    i, s, lang, n = unused(docs, "gone_id", "gone_source", "gone_lang", "gone_tokens")
     gone = mixture(docs, topics, targets).where("not selected").select(
-        F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("source").alias("__s"), F.col("lang").alias("__l"), "tokens").distinct()
-    same = ((F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("__id")) & (F.coalesce(docs["source"], F.lit(NONE)) == F.col("__s"))
-            & (F.coalesce(docs["lang"], F.lit(NONE)) == F.col("__l")))
+        F.coalesce("doc_id", F.lit(-1)).alias(i), F.col("source").alias(s), F.col("lang").alias(lang), F.col("tokens").alias(n)).distinct()
+    same = ((F.coalesce(docs["doc_id"], F.lit(-1)) == F.col(i)) & (F.coalesce(docs["source"], F.lit(NONE)) == F.col(s))
+            & (F.coalesce(docs["lang"], F.lit(NONE)) == F.col(lang)))
     return docs.join(gone, same, "left_anti")

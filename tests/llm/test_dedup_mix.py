@@ -96,6 +96,18 @@ def test_runs_of_short_lines_match_whatever_stands_around_them(table):
     assert kept[5].text == "\u522b\u7684" and kept[7].text == "Tiny.\nbar baz" and kept[9].text == "x"
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    """Each text of an id loses its own shared lines; rows that repeat whole lose the same."""
+    a, b = "a first line that several texts have", "a second line that several texts have"
+    rows = [(1, a + "\n" + b, "x", "y"), (2, a + "\nonly here", "x", "y"), (2, b + "\nand only there", "x", "y")] + [(3, b, "x", "y")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lines string, __gone_id string").repartition(4)
+    got = sorted((r.doc_id, r.n_removed, r.partners) for r in line_dedup.dedup_report(docs).collect())
+    assert got == [(1, 0, []), (2, 1, [1]), (2, 1, [1])] + [(3, 1, [1])] * 3
+    kept = line_dedup.remove_shared(docs)
+    assert sorted(tuple(r)[:2] for r in kept.collect()) == [(1, a + "\n" + b), (2, "and only there"), (2, "only here")]
+    assert kept.columns == docs.columns
+
+
 def test_patience_keeps_order_and_aligns_unique_lines():
     d, o = dict(enumerate([1, 2, 3, 4, 5])), dict(enumerate([9, 1, 4, 3, 5]))
     pairs = line_dedup.patience(d, o)
@@ -151,6 +163,17 @@ def test_jaccard_edges(spark, table):
     assert jaccard_join.jaccard_links(docs.limit(0)).collect() == []
 
 
+def test_one_of_each_of_rows_that_share_an_id(spark):
+    t, u = "one text of some more than five words", "another text with quite different words in it"
+    rows = [(1, t, "a"), (2, t, "b"), (2, u, "c"), (3, t, "d"), (4, u, "e"), (5, "five", "f"), (5, "five", "g"), (None, t, "h"), (6, None, "i"), (6, None, "i"),
+            (6, "", "j"), (6, "words of six", "k"), (6, "other words", "l"), (7, "other words", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id string").repartition(4)
+    kept = jaccard_join.one_of_each(docs)
+    got = sorted(((r.doc_id or 0, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(0, t), (1, t), (2, u), (5, "five"), (6, None), (6, None), (6, ""), (6, "words of six"), (6, "other words")], key=str)
+    assert kept.columns == docs.columns
+
+
 def test_prefix_depth_meets_the_recall():
     depth = jaccard_join.prefix_depth()
     assert 1 - (1 - 0.8 ** depth) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard_join.TREES
@@ -186,6 +209,16 @@ def test_vector_links_equal_all_pairs(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_vectors_near_the_ends_of_the_range(spark):
+    rows = [(1, [1e-200, 0.0], 0), (2, [5e-324, 0.0], 0), (3, [1e200, 0.0], 0), (4, [1.7e308, 1e150], 0), (5, [0.0, 1e-300], 0),
+            (6, [1.0, 1e-200], 0), (7, [1e-160, 1e-160], 0), (8, [3e170, 3.1e170], 0), (9, [0.0, 0.0], 0)]
+    got = by_id(embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "vec_id")
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {
+        1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 6: (4, 1), 5: (0, 5), 7: (1, 7), 8: (1, 7), 9: (0, 9)}
+    i, j = embedding_dedup.links_between(np.array([[1e200, 0], [2e200, 0], [0, 1e-200]]), np.array([[1e-200, 0.0]]), 0.98, False)
+    assert sorted(i.tolist()) == [0, 1] and j.tolist() == [0, 0]
+
+
 def test_cover_tree_bounds_and_walk():
     rng = np.random.default_rng(12)
     x = np.concatenate([c + rng.normal(scale=0.03, size=(100, 5)) for c in rng.normal(size=(8, 5))])
