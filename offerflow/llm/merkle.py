@@ -147,8 +147,9 @@ def proofs(docs: DataFrame, also: Column | None = None, arity: int = ARITY) -> D
     concatenated digests (binary); ``also``, a column over ``docs``, comes along."""
     g = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), "source"))
     also = F.lit(None).cast("binary") if also is None else also
-    rows = docs.select(g.alias("g"), F.col("doc_id").cast("long").alias("doc_id"),
-                       leaf([F.col(c) for c in FIELDS]).alias("digest"), also.alias("also"))
+    # stored, as the sampling of the ranges below would hash every text once more
+    rows = saved(docs.select(g.alias("g"), F.col("doc_id").cast("long").alias("doc_id"),
+                             leaf([F.col(c) for c in FIELDS]).alias("digest"), also.alias("also")), "manifest-digests")
     leaves = numbered(rows, ["doc_id", "digest"], "manifest-rows").select(
         "g", "pos", "size", "digest", F.struct("doc_id", "also").alias("item"))
     steps, tops, levels = build(leaves, "manifest", arity)
