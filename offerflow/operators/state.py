@@ -38,7 +38,7 @@ def keep_one(df: DataFrame, keys: Sequence, keep: str = "last", order: Sequence[
     names = [f"_k{i}" for i in range(len(keys))]
     keyed = df.select("*", *[c.alias(n) for c, n in zip(_cols(keys), names)])
     winners = keyed.groupBy(*names).agg(pick.alias("_w")).select(*names, *[F.col(f"_w.{c}").alias(c) for c in order])
-    return _join_null_safe(keyed, winners, [*names, *order], "left_semi").drop(*names)
+    return join_null_safe(keyed, winners, [*names, *order], "left_semi").drop(*names)
 
 
 def stamp_import(history: DataFrame) -> DataFrame:
@@ -91,14 +91,17 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def _join_null_safe(big: DataFrame, small: DataFrame, cols: Sequence[str], how: str) -> DataFrame:
-    """Semi / anti join of big with small on cols, nulls comparing equal (as pandas keys do)."""
-    s = small.select(*[F.col(c).alias(f"_s_{c}") for c in cols])
+def join_null_safe(big: DataFrame, small: DataFrame, cols: Sequence[str], how: str, also=None,
+                   more: Sequence[str] = ()) -> DataFrame:
+    """Semi / anti join of big with small on cols, nulls comparing equal (as pandas keys do).
+
+    ``also``: a further condition, given the small side with its columns ``more``."""
+    s = small.select(*[F.col(c).alias(f"_s_{c}") for c in cols], *more)
     cond = None
     for c in cols:
         e = big[c].eqNullSafe(s[f"_s_{c}"])
         cond = e if cond is None else cond & e
-    return big.join(s, cond, how)
+    return big.join(s, cond & also(s) if also else cond, how)
 
 
 _KEY_COLS = ["_key0", "_key1", "_key2"]
@@ -123,21 +126,36 @@ def merge_history(history: DataFrame, new: DataFrame, history_is_merged: bool =
     """
     if not set(ORDER) <= set(history.columns):
         history = stamp_import(history)
-    url_key, all_keys = [*scope, "job_url"], [*scope, *_KEY_COLS]
+    if not history_is_merged:
+        return _both_passes(union_sources(history, new), scope)
+    touched, untouched = _touched(history, new, scope)
+    return union_sources(untouched, _both_passes(union_sources(touched, new), scope))
 
-    def both_passes(rows):
-        return keep_one(keep_one(rows, url_key, "last"), [*scope, *dedupe_keys()], "last")
 
-    if not history_is_merged:
-        return both_passes(union_sources(history, new))
+def _both_passes(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
+    return keep_one(keep_one(rows, [*scope, "job_url"], "last"), [*scope, *dedupe_keys()], "last")
+
+
+def _touched(history: DataFrame, new: DataFrame, scope: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of a merged history that share a URL or a key with a new row, and the others."""
+    url_key, all_keys = [*scope, "job_url"], [*scope, *_KEY_COLS]
     hk, nk = _keyed(history), _keyed(new)
     urls, keys = nk.select(*url_key), nk.select(*all_keys)
-    not_url = _join_null_safe(hk, urls, url_key, "left_anti")
-    untouched = _join_null_safe(not_url, keys, all_keys, "left_anti")
-    touched = union_sources(_join_null_safe(hk, urls, url_key, "left_semi"),
-                            _join_null_safe(not_url, keys, all_keys, "left_semi"))
-    merged_part = both_passes(union_sources(touched.drop(*_KEY_COLS), new))
-    return union_sources(untouched.drop(*_KEY_COLS), merged_part)
+    not_url = join_null_safe(hk, urls, url_key, "left_anti")
+    untouched = join_null_safe(not_url, keys, all_keys, "left_anti")
+    touched = union_sources(join_null_safe(hk, urls, url_key, "left_semi"),
+                            join_null_safe(not_url, keys, all_keys, "left_semi"))
+    return touched.drop(*_KEY_COLS), untouched.drop(*_KEY_COLS)
+
+
+def merge_changes(history: DataFrame, new: DataFrame, scope: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """What merging ``new`` into a merged history changes: (rows added, rows dropped).
+    Both are checkpointed, as they are small (the batch's size) and each is read once more."""
+    touched, _ = _touched(history, new, scope)
+    both = union_sources(touched.withColumn("_new", F.lit(False)), new.withColumn("_new", F.lit(True))).checkpoint(eager=True)
+    kept = _both_passes(both, scope).checkpoint(eager=True)
+    dropped = join_null_safe(both.where("not _new"), kept.where("not _new"), ORDER, "left_anti")
+    return kept.where("_new").drop("_new"), dropped.drop("_new")
 
 
 def append_history(history: DataFrame, new: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators.offers import valid_offers
 from ..operators.scoring import score_band_col, score_offers
 from ..operators.search import match_predicate
 from ..operators.state import dedupe_batch, merge_history, new_offers, seen_urls, union_sources
+from ..sources.history_log import HistoryLog
 
 # The search of fixture profile 1 (FIXTURES.md 2.2), used by the flagship.
 FLAGSHIP_GROUPS = [["the", "la", "de"], ["tion", "ing", "er"]]
@@ -48,7 +49,7 @@ def incremental_run(batch: DataFrame, state: RunState, groups: Sequence[Sequence
     """validate -> title match -> drop seen URLs -> dedupe -> merge history.
 
     The returned state is lazy; materialise it before the next run
-    (``fold_runs`` checkpoints it, the stream writes a snapshot), so that a
+    (``fold_runs`` checkpoints it; ``run_on_log`` writes changes to a log), so that a
     chain of runs never grows one plan."""
     b = valid_offers(batch.select(*OFFER_COLS))
     matched = b.where(match_predicate("title", groups, excludes, "word"))
@@ -67,6 +68,18 @@ def incremental_run(batch: DataFrame, state: RunState, groups: Sequence[Sequence
     return fresh, RunState(current, seen, state.forgetful, merged=True)
 
 
+def run_on_log(log: HistoryLog, batch: DataFrame, groups, excludes, forgetful: bool = True, **info) -> DataFrame:
+    """One incremental run over a history log: the run's new offers. Writes what the
+    batch changes; ``info`` is noted with the commit."""
+    matched = valid_offers(batch.select(*OFFER_COLS)).where(match_predicate("title", groups, excludes, "word"))
+    seen = seen_urls(log.read()) if forgetful else log.seen()
+    fresh = dedupe_batch(new_offers(matched, seen)).checkpoint(eager=True)  # read by the merge and the caller
+    ledger = None if forgetful else new_offers(seen_urls(matched), seen)
+    log.append(fresh, ledger, **info)
+    log.compact()
+    return fresh
+
+
 def fold_runs(batches: Sequence[DataFrame], state: RunState, groups, excludes,
               cut_every: int = 1) -> tuple[list[DataFrame], RunState]:
     """Apply incremental_run batch after batch. The plan of a fold grows with

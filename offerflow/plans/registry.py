@@ -1123,14 +1123,65 @@ def q_src_history(spark, sf):
 
 @register("snk_history", ORACLES["merge_history"])
 def q_snk_history(spark, sf):
+    """The raw history as a log's first version, a batch merged into it, read back."""
+    log = _history_log(spark, sf, "history")
+    log.append(_logged_offers(spark, sf).where("batch_id > 0"))
+    return log.read().select("seq", "job_url")
+
+
+def _logged_offers(spark, sf):
+    from .pipeline import OFFER_COLS
+    return offers_df(spark, sf).select(*OFFER_COLS)
+
+
+def _history_log(spark, sf, name: str):
     from ..session import scratch_path
-    from ..sources import io
-    base = scratch_path(spark, "history")
+    from ..sources.history_log import HistoryLog
+    o = _logged_offers(spark, sf)
+    log = HistoryLog(spark, scratch_path(spark, name), o.schema)
+    log.create(o.where("batch_id = 0"))
+    return log
+
+
+LOG_BATCHES = 20
+
+
+def _log_sql() -> str:
+    """The history merged with 20 batches, one after another."""
+    ctes = [O.OFFERS, "c0 AS (SELECT * FROM offers WHERE batch_id = 0)"]
+    for k in range(LOG_BATCHES):
+        ctes.append(f"u{k} AS (SELECT * FROM c{k} UNION ALL SELECT * FROM offers WHERE batch_id > 0 AND seq // 4 % {LOG_BATCHES} = {k})")
+        ctes.append(f"v{k} AS {O.keep_last_sql(f'u{k}', ['job_url'])}")
+        ctes.append(f"c{k + 1} AS MATERIALIZED {O.keep_last_sql(f'v{k}', O.DEDUPE_KEYS)}")
+    return O.with_(*ctes) + f"SELECT seq, batch_id, job_url FROM c{LOG_BATCHES}"
+
+
+@register("history_log", _log_sql())
+def q_history_log(spark, sf):
+    """20 batches, each written as what it changes, with compaction on the way and old versions pruned."""
+    log = _history_log(spark, sf, "history_log")
+    new = _logged_offers(spark, sf).where("batch_id > 0")
+    for k in range(LOG_BATCHES):
+        log.append(new.where(F.floor(F.col("seq") / 4) % LOG_BATCHES == k))
+        log.compact()
+    log.prune()
+    return log.read().select("seq", "batch_id", "job_url")
+
+
+@register("seen_ledger", O.with_(O.OFFERS, HIST_URLS) + """
+SELECT seq, job_url, EXISTS (SELECT 1 FROM hist h WHERE h.job_url = o.job_url) AS is_seen FROM offers o WHERE batch_id > 0""")
+def q_seen_ledger(spark, sf):
+    """The history's addresses committed in four parts; new and known offers by the buckets whose filters answer."""
+    from ..session import scratch_path
+    from ..sources.seen_ledger import SeenLedger
     o = offers_df(spark, sf)
-    io.write_snapshot(o.where("batch_id = 0").select(*[c for c in o.columns if c != "posted_ts"]), base, 0)
-    merged = st.merge_history(io.read_snapshot(spark, base, 0), o.where("batch_id > 0").drop("posted_ts"))
-    io.write_snapshot(merged, base, 1)
-    return io.read_snapshot(spark, base).select("seq", "job_url")
+    ledger = SeenLedger(spark, scratch_path(spark, "seen_ledger"))
+    for k in range(4):
+        ledger.add(o.where((F.col("batch_id") == 0) & (F.floor(F.col("seq") / 4) % 4 == k)))
+    batch = o.where("batch_id > 0")
+    parts = [part.select("seq", "job_url", F.lit(seen).alias("is_seen"))
+             for part, seen in ((ledger.new_offers(batch), False), (ledger.known_offers(batch), True))]
+    return parts[0].unionByName(parts[1])
 
 
 @register("snk_working_set", ORACLES["flagship"])

@@ -1,13 +1,12 @@
 """Offer files as a stream: each micro-batch runs the incremental pipeline
-against state kept as snapshot tables in a shared folder.
-
-``readStream`` (file source) -> ``foreachBatch`` -> for every ``batch_id``
-present, in order: ``incremental_run`` over the latest snapshot, then a new
-snapshot ``v=<n>``, numbered one by one whatever the batch ids are. The first
-attempt of an epoch records the snapshot that it starts from, so a replay after
-a failure starts there again and rewrites the same snapshots with the same rows
-(idempotent). With ``forgetful=False`` the ledger of all matched URLs is a
-snapshot of its own, written before the offers that it goes with.
+against state kept as a log in a shared folder.
+
+``readStream`` (file source) -> ``foreachBatch`` -> for every ``batch_id`` present,
+in order (null first): one run over the newest version of the history log,
+which writes what the batch changes and notes (epoch, batch) in the commit. A
+replay after a failure skips what is noted and goes on behind it, so every batch
+of an epoch counts once and the rows are the same. An epoch writes as much as it
+changes, whatever the history's size, and old versions are pruned.
 Keep-last dedupe can replace an earlier row, so this is not
 ``dropDuplicates`` state: the state is a table.
 """
@@ -20,60 +19,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.pipeline import OFFER_COLS, RunState, incremental_run
 from ..operators.state import ORDER, seen_urls, stamp_import
-from ..sources.io import _fs, latest_snapshot, read_snapshot, write_snapshot
+from ..plans.pipeline import OFFER_COLS, run_on_log
+from ..schemas import OFFER
+from ..sources.history_log import HistoryLog
+
+#: Versions that readers may still hold.
+KEPT_VERSIONS = 4
+#: Name of the batch of rows without a batch id.
+NO_ID = "none"
+
 
 def offer_stream_schema(df: DataFrame) -> T.StructType:
     return df.select(*OFFER_COLS).schema
 
 
-def _ledger_dir(state_dir: str) -> str:
-    return f"{state_dir.rstrip('/')}/ledger"
+def state_log(spark: SparkSession, state_dir: str) -> HistoryLog:
+    by_name = {f.name: f for f in OFFER.fields}
+    return HistoryLog(spark, state_dir, T.StructType([by_name[c] for c in OFFER_COLS]))
 
 
 def seed_state(history: DataFrame, state_dir: str) -> None:
-    """Snapshot 0: the stored history before any run, and its URLs."""
+    """The stored history before any run, and its URLs."""
     if not set(ORDER) <= set(history.columns):
         history = stamp_import(history)
-    write_snapshot(seen_urls(history), _ledger_dir(state_dir), 0)
-    write_snapshot(history.select(*OFFER_COLS), state_dir, 0)
-
-
-def _epoch_start(spark: SparkSession, state_dir: str, epoch_id: int) -> int:
-    """The snapshot an epoch starts from (-1: none), recorded on its first attempt
-    as the name of an empty folder."""
-    fs, base = _fs(spark, f"{state_dir.rstrip('/')}/epochs")
-    prefix = f"epoch={epoch_id}-from="
-    if fs.exists(base):
-        for status in fs.listStatus(base):
-            name = status.getPath().getName()
-            if name.startswith(prefix):
-                return int(name[len(prefix):])
-    start = latest_snapshot(spark, state_dir)
-    start = -1 if start is None else start
-    fs.mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base, f"{prefix}{start}"))
-    return start
+    state_log(history.sparkSession, state_dir).create(history, seen=seen_urls(history))
+
+
+def read_state(spark: SparkSession, state_dir: str, version: int | None = None) -> DataFrame:
+    return state_log(spark, state_dir).read(version)
+
+
+def _batches(data: DataFrame, after: str | None):
+    """(name, rows) of each batch id of a micro-batch behind ``after``, in order, null
+    first, found one by one."""
+    last = None
+    if after is None and data.where("batch_id is null").limit(1).count():
+        yield NO_ID, data.where("batch_id is null")
+    elif after not in (None, NO_ID):
+        last = int(after)
+    while True:
+        later = data if last is None else data.where(F.col("batch_id") > last)
+        last = later.agg(F.min("batch_id")).first()[0]
+        if last is None:
+            return
+        yield str(last), data.where(F.col("batch_id") == last)
 
 
 def _run_epoch(batch_df: DataFrame, epoch_id: int, state_dir: str, groups, excludes, forgetful: bool) -> None:
-    spark = batch_df.sparkSession
     data = batch_df.select(*OFFER_COLS)
-    version = _epoch_start(spark, state_dir, epoch_id)
-    current = read_snapshot(spark, state_dir, version) if version >= 0 else data.limit(0)
-    # The distinct batch ids of one micro-batch: a handful of values.
-    for b in sorted(r[0] for r in data.select("batch_id").distinct().collect()):
-        if forgetful or version < 0:
-            seen = seen_urls(current)
-        else:
-            seen = read_snapshot(spark, _ledger_dir(state_dir), version)
-        state = RunState(current, seen, forgetful, merged=version > 0)
-        _, state = incremental_run(data.where(F.col("batch_id") == b), state, groups, excludes, materialize=True)
-        version += 1
-        if not forgetful:
-            write_snapshot(state.seen.select("job_url"), _ledger_dir(state_dir), version)
-        write_snapshot(state.current, state_dir, version)
-        current = read_snapshot(spark, state_dir, version)  # lineage cut: read the written table
+    log = state_log(batch_df.sparkSession, state_dir)
+    if not log.exists():
+        log.create(data.limit(0), merged=True)
+    done = log.noted(epoch=epoch_id)
+    for name, rows in _batches(data, done.info["upto"] if done else None):
+        run_on_log(log, rows, groups, excludes, forgetful, epoch=epoch_id, upto=name)
+    log.prune(KEPT_VERSIONS)
 
 
 def stream_ingest(spark: SparkSession, source_dir: str, schema: T.StructType, state_dir: str,
@@ -93,4 +94,4 @@ def stream_ingest(spark: SparkSession, source_dir: str, schema: T.StructType, st
         raise TimeoutError("stream_ingest did not finish in time")
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
-    return read_snapshot(spark, state_dir)
+    return read_state(spark, state_dir)

@@ -143,7 +143,7 @@ def _stream(spark, tmp_path, batches, forgetful):
     ingest.seed_state(spark.createDataFrame([], SCHEMA), state)
     for epoch, rows in [*enumerate(batches), (len(batches) - 1, batches[-1])]:
         ingest._run_epoch(spark.createDataFrame(rows, SCHEMA), epoch, state, [], [], forgetful)
-    return sorted(r["seq"] for r in ingest.read_snapshot(spark, state).collect())
+    return sorted(r["seq"] for r in ingest.read_state(spark, state).collect())
 
 
 def test_stream_state_over_epochs_with_dates_as_batch_ids(spark, tmp_path):
