@@ -705,6 +705,67 @@ def q_run_searches(spark, sf):
     return out
 
 
+def flaky_scorer(pdf):
+    """A user scorer that fails some offers the first time, some twice, some always; scores follow the text's length."""
+    import pandas as pd
+
+    bad = (((pdf["seq"] % 3 == 0) & (pdf["attempts"] == 0)) | ((pdf["seq"] % 5 == 1) & (pdf["attempts"] < 2)) | (pdf["seq"] % 7 == 2))
+    return pd.DataFrame({"match_score": (pdf["description"].str.len() % 101).where(~bad), "missing_skills": [[] for _ in range(len(pdf))],
+                         "advice": "ok", "error": pd.Series("try " + (pdf["attempts"] + 1).astype(str)).where(bad, None)})
+
+
+def _retry_sql() -> str:
+    ctes = ORACLES["run_searches"]
+    head = ctes[:ctes.index("\nSELECT 'result' AS outcome")]
+    empty = ("SELECT NULL::BIGINT AS profile_id, NULL AS job_url, NULL AS status, 0 AS attempts, NULL AS last_error, "
+             "NULL::BIGINT AS seq, NULL AS description, NULL::INTEGER AS match_score, 0 AS run WHERE false")
+    parts = [f"l0 AS ({empty})"]
+    for k in (1, 2, 3):
+        fails = "(seq % 3 = 0 AND attempts = 0) OR (seq % 5 = 1 AND attempts < 2) OR seq % 7 = 2"
+        parts.append(f"f{k} AS {O.keep_last_sql(f'n{k}', ['profile_id', 'job_url'])}")
+        parts.append(f"t{k} AS {O.keep_last_sql(f'(SELECT * FROM placed WHERE {VALID} AND batch_id = {k} AND length(description) > 0)', ['job_url'])}")
+        parts.append(f"""e{k} AS (SELECT profile_id, job_url, coalesce(f.seq, l.seq) AS seq, coalesce(l.attempts, 0) AS attempts,
+            coalesce(nullif(f.description, ''), t.description, l.description) AS text
+          FROM f{k} f FULL JOIN l{k - 1} l USING (profile_id, job_url) LEFT JOIN t{k} t USING (job_url)
+          WHERE coalesce(l.status, '') <> 'scored')""")
+        parts.append(f"""o{k} AS MATERIALIZED (SELECT profile_id, job_url, CASE WHEN text IS NULL OR cv_text IS NULL THEN 'waiting' WHEN {fails} THEN 'failed'
+            ELSE 'scored' END AS status, CASE WHEN text IS NULL OR cv_text IS NULL THEN attempts ELSE attempts + 1 END AS attempts,
+            CASE WHEN text IS NULL THEN 'no_description' WHEN cv_text IS NULL THEN 'no_cv' WHEN {fails} THEN 'try ' || (attempts + 1) END AS last_error, seq,
+            CASE WHEN text IS NULL OR cv_text IS NULL OR {fails} THEN text END AS description,
+            CASE WHEN text IS NOT NULL AND cv_text IS NOT NULL AND NOT ({fails}) THEN length(text) % 101 END AS match_score, {k} AS run
+          FROM e{k} LEFT JOIN resumes USING (profile_id))""")
+        parts.append(f"l{k} AS MATERIALIZED (SELECT * FROM l{k - 1} l WHERE NOT EXISTS (SELECT 1 FROM o{k} o WHERE o.profile_id = l.profile_id "
+                     f"AND o.job_url = l.job_url) UNION ALL SELECT * FROM o{k})")
+    results = " UNION ALL ".join(f"SELECT 'result', run, profile_id, job_url, seq, NULL, NULL, NULL, match_score FROM o{k} WHERE status = 'scored'"
+                                 for k in (1, 2, 3))
+    return head + ",\n" + ",\n".join(parts) + f"""
+SELECT 'pair' AS outcome, 0 AS run, profile_id, job_url, seq, status, attempts, last_error, NULL AS match_score FROM l3 UNION ALL {results}"""
+
+
+@register("retry_ledger", _retry_sql())
+def q_retry_ledger(spark, sf):
+    """Three batches over the whole search table with a scorer that fails now and then: every pair's last
+    state, and the results in the run that gave them."""
+    from ..session import scratch_path
+    from ..sources.attempt_log import AttemptLog
+    from .searches import fold_searches, wanted_pairs
+    o, searches = fx.placed_offers(spark, sf), fx.profiles(spark, sf)
+    start = wanted_pairs(ofr.valid_offers(o.where("batch_id = 0")), searches, fx.REF_TS)
+    log = AttemptLog(spark, scratch_path(spark, "attempts"))
+    log.create()
+    runs = fold_searches([o.where(F.col("batch_id") == k) for k in (1, 2, 3)], start, searches,
+                         fx.resumes(spark, sf), fx.REF_TS, flaky_scorer, log)
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    out = log.read().select(F.lit("pair").alias("outcome"), F.lit(0).alias("run"), "profile_id", "job_url", "seq", "status",
+                            "attempts", "last_error", none("match_score", "int"))
+    for k, run in enumerate(runs, 1):
+        out = out.unionByName(run.results.select(
+            F.lit("result").alias("outcome"), F.lit(k).alias("run"), "profile_id", F.col("url").alias("job_url"), "seq",
+            none("status", "string"), none("attempts", "int"), none("last_error", "string"),
+            F.col("analysis.match_score").alias("match_score")))
+    return out
+
+
 # ---------------------------------------------------------------------------
 # 2.8 crawl plan
 # ---------------------------------------------------------------------------

@@ -15,10 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.attempts import due, outcomes
 from ..operators.offers import place_and_age, rejected_offers, valid_offers
 from ..operators.scoring import ScorerFn, dead_letter, score_offers, scored_ok, to_result
 from ..operators.search import compiled_profiles, match_profiles
 from ..operators.state import dedupe_batch, merge_history, new_offers, seen_urls
+from ..sources.attempt_log import AttemptLog
 
 SCOPE = ["profile_id"]
 STATE_COLS = ["profile_id", "seq", "batch_id", "source_rank", "title", "company", "location", "job_url"]
@@ -44,29 +46,40 @@ def wanted_pairs(offers: DataFrame, searches: DataFrame, ref_ts: str) -> DataFra
 
 
 def run_searches(batch: DataFrame, current: DataFrame, searches: DataFrame, resumes: DataFrame, ref_ts: str,
-                 history_is_merged: bool = True, scorer: ScorerFn | None = None) -> SearchRun:
+                 history_is_merged: bool = True, scorer: ScorerFn | None = None, attempts: AttemptLog | None = None,
+                 max_attempts: int | None = None) -> SearchRun:
     """One batch of offers against every saved search.
 
-    ``current`` holds STATE_COLS. The new pairs are checkpointed, as history,
-    scores and the caller read them; the returned state is lazy."""
+    ``current`` holds STATE_COLS. The new pairs and the scored rows are
+    checkpointed, as several readers follow and a scorer may cost money or answer
+    anew each time; the returned state is lazy. With ``attempts``, pairs whose
+    scoring failed or that had no description are due again, and pairs that are
+    scored never are; the run's outcomes are committed to it."""
     good = valid_offers(batch)
     pairs = wanted_pairs(good, searches, ref_ts)
     fresh = dedupe_batch(new_offers(pairs, seen_urls(current, scope=SCOPE), SCOPE), scope=SCOPE).checkpoint(eager=True)
     after = merge_history(current, fresh, history_is_merged, SCOPE).select(*STATE_COLS)
-    texts = good.select("seq", "description").where(F.length("description") > 0)
-    scored = score_offers(fresh.join(resumes.select("profile_id", "cv_text"), "profile_id")
-                          .join(searches.select("profile_id", "skills"), "profile_id").join(texts, "seq"), scorer)
+    texts = good.select("seq", "description")
+    if attempts is None:
+        todo = fresh.join(texts.where(F.length("description") > 0), "seq")
+    else:
+        todo = due(fresh.join(texts, "seq"), attempts.read(), good, max_attempts).checkpoint(eager=True)
+    scored = score_offers(todo.join(resumes.select("profile_id", "cv_text"), "profile_id")
+                          .join(searches.select("profile_id", "skills"), "profile_id"), scorer).checkpoint(eager=True)
+    if attempts is not None:
+        attempts.upsert(outcomes(todo, scored))
     return SearchRun(rejected_offers(batch), fresh, to_result(scored_ok(scored)), dead_letter(scored), after)
 
 
 def fold_searches(batches: Sequence[DataFrame], current: DataFrame, searches: DataFrame, resumes: DataFrame,
-                  ref_ts: str, scorer: ScorerFn | None = None) -> list[SearchRun]:
+                  ref_ts: str, scorer: ScorerFn | None = None, attempts: AttemptLog | None = None,
+                  max_attempts: int | None = None) -> list[SearchRun]:
     """Batch after batch; the state is checkpointed between runs. ``current`` may be
     any history: the first run merges it whole."""
     current = current.select(*STATE_COLS).checkpoint(eager=True)  # read by the seen check and the merge
     runs = []
     for batch in batches:
-        run = run_searches(batch, current, searches, resumes, ref_ts, history_is_merged=bool(runs), scorer=scorer)
+        run = run_searches(batch, current, searches, resumes, ref_ts, bool(runs), scorer, attempts, max_attempts)
         run.current = current = run.current.checkpoint(eager=True)
         runs.append(run)
     return runs

@@ -81,6 +81,25 @@ PROFILE = T.StructType(
     ]
 )
 
+# One (search, address) pair in the table of attempts at scoring; the offer and its
+# text are kept while the pair is not scored.
+ATTEMPT = T.StructType(
+    [
+        T.StructField("profile_id", L),
+        T.StructField("job_url", S),
+        T.StructField("status", S),
+        T.StructField("attempts", T.IntegerType()),
+        T.StructField("last_error", S),
+        T.StructField("batch_id", L),
+        T.StructField("source_rank", L),
+        T.StructField("seq", L),
+        T.StructField("title", S),
+        T.StructField("company", S),
+        T.StructField("location", S),
+        T.StructField("description", S),
+    ]
+)
+
 COMPILED = T.StructType(
     [
         T.StructField("groups", T.ArrayType(T.ArrayType(S))),

@@ -136,3 +136,78 @@ def test_registered_inputs_fire_every_branch(spark):
     sites = {r["site"] for r in q["page_links"](spark, SF_SMALL).select("site").distinct().collect()}
     assert sites == {None, "JustJoinIT", "NoFluffJobs", "BulldogJob", "TheProtocol"}
     assert q["site_cards"](spark, SF_SMALL).select("site").distinct().count() == 6
+
+
+def attempt_log(spark, name, results=None):
+    from offerflow.session import scratch_path
+    from offerflow.sources.attempt_log import AttemptLog
+
+    log = AttemptLog(spark, scratch_path(spark, name))
+    log.create(results)
+    return log
+
+
+def counting(path, fails):
+    """A scorer that notes each call in a file and fails where ``fails(title, attempts)``."""
+    def scorer(pdf):
+        with open(path, "a") as f:
+            f.writelines(f"{r.profile_id} {r.title}\n" for r in pdf.itertuples())
+        bad = [fails(r.title, r.attempts) for r in pdf.itertuples()]
+        return pdf.assign(match_score=7, missing_skills=[[]] * len(pdf), advice="ok", error=["no" if b else None for b in bad])[
+            ["match_score", "missing_skills", "advice", "error"]]
+    return scorer
+
+
+def test_failed_and_late_offers_are_scored_later_and_scored_ones_never_again(spark, tmp_path):
+    calls = tmp_path / "calls"
+    batches = [
+        [offer(0, 1, "Data fails once", "a", desc="text a"), offer(1, 1, "Data good", "b", desc="text b"),
+         offer(2, 1, "Data late", "c", desc=None), offer(3, 1, "Data never", "d", desc="text d"), offer(4, 1, "Data empty", "e", desc="")],
+        # c again, now with a text: no longer new, yet it was never scored; b again: scored for good
+        [offer(10, 2, "Data late", "c", desc="text c"), offer(11, 2, "Data good", "b", desc="other text")],
+        [offer(20, 3, "Cook", "z", desc="nothing")]]
+    s = searches_of(spark).where("profile_id = 3")
+    cvs = spark.createDataFrame([(3, "cv")], "profile_id long, cv_text string")
+    log = attempt_log(spark, "attempts-test")
+    frames = [offers_of(spark, b) for b in batches]
+    runs = fold_searches(frames, wanted_pairs(frames[0].limit(0), s, REF), s, cvs, REF,
+                         counting(str(calls), lambda title, tried: title == "Data never" or title == "Data fails once" and tried == 0), log)
+    titles = lambda df: sorted(r["title"] for r in df.collect())
+    assert [titles(r.results) for r in runs] == [["Data good"], ["Data fails once", "Data late"], []]
+    assert [titles(r.failed) for r in runs] == [["Data fails once", "Data never"], ["Data never"], ["Data never"]]
+    table = {r["title"]: (r["status"], r["attempts"], r["last_error"], r["description"]) for r in log.read().collect()}
+    assert table == {"Data fails once": ("scored", 2, None, None), "Data good": ("scored", 1, None, None),
+                     "Data late": ("scored", 1, None, None), "Data never": ("failed", 3, "no", "text d"),
+                     "Data empty": ("waiting", 0, "no_description", None)}
+    # results and failures are read above: the scorer still ran once per attempt
+    assert sorted(calls.read_text().splitlines()) == sorted(
+        ["3 Data good", "3 Data late"] + ["3 Data fails once"] * 2 + ["3 Data never"] * 3)
+
+
+def test_attempts_end_and_stored_results_are_skipped(spark, tmp_path):
+    calls = tmp_path / "calls"
+    o = offers_of(spark, [offer(0, 1, "Data a", "a"), offer(1, 1, "Data b", "b")])
+    s = searches_of(spark).where("profile_id = 3")
+    results = spark.createDataFrame([(3, "https://x/a"), (3, None), (2, "https://x/b"), (3, "https://x/a")], "profile_id long, url string")
+    log = attempt_log(spark, "attempts-seeded", results)
+    cvs = spark.createDataFrame([(3, "cv")], "profile_id long, cv_text string")
+    empty = o.limit(0)
+    fold_searches([o, empty, empty, empty], wanted_pairs(empty, s, REF), s, cvs, REF, counting(str(calls), lambda *_: True), log, max_attempts=2)
+    assert calls.read_text().splitlines() == ["3 Data b"] * 2
+    assert sorted((r["profile_id"], r["job_url"], r["status"], r["attempts"]) for r in log.read().collect()) == [
+        (2, "https://x/b", "scored", 1), (3, "https://x/a", "scored", 1), (3, "https://x/b", "failed", 2)]
+    # a pair without a CV waits for one
+    log = attempt_log(spark, "attempts-cv")
+    run, = fold_searches([o], wanted_pairs(empty, s, REF), s, cvs.limit(0), REF, None, log)
+    assert run.results.count() == 0 and {r["last_error"] for r in log.read().collect()} == {"no_cv"}
+
+
+def test_registered_retries_fire_every_outcome(spark):
+    import __spark_entry__ as E
+
+    rows = E.queries()["retry_ledger"](spark, "/root/testdata/sf0.01").collect()
+    pairs = [r for r in rows if r["outcome"] == "pair"]
+    assert {r["status"] for r in pairs} == {"scored", "failed", "waiting"} and {r["attempts"] for r in pairs} >= {0, 1, 2, 3}
+    scored = [(r["profile_id"], r["job_url"]) for r in rows if r["outcome"] == "result"]
+    assert len(scored) == len(set(scored)) == sum(r["status"] == "scored" for r in pairs)
+    assert {r["run"] for r in rows} == {0, 1, 2, 3}
