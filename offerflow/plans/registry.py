@@ -1097,6 +1097,72 @@ def q_site_cards(spark, sf):
     return both[0].unionByName(both[1]).select("page_id", "generation", "site", "job_url", "title", "company", "location")
 
 
+CRAWLS = ((1, "page_id % 5 < 2"), (2, "true"))  # an early crawl of some pages, a later one of all
+
+
+def _crawl_sql(select: str) -> str:
+    """Two crawls of the plan's listing pages; the second knows the first one's addresses."""
+    plan = _search_plan_sql()
+    head, body = plan[:plan.index("\nSELECT DISTINCT profile_id, site, url FROM (")], plan[plan.index("\nSELECT DISTINCT profile_id"):]
+    pairs = MATCHED_PAIRS.replace("FROM offers WHERE title", "FROM site_cards WHERE title")
+    ctes = [f"plan AS MATERIALIZED ({body})", sp.SITE_DOCS_SQL, _DESCRIBED_SQL, _CARD_ROWS_SQL, f"""
+numbered AS (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY url) - 1 AS k, count(*) OVER (PARTITION BY site) AS n
+  FROM (SELECT DISTINCT site, url FROM plan)),
+own AS (SELECT doc_id, doc_id // 6 AS turn, {O._list(sp.SITES)}[s + 1] AS site FROM site_docs),
+pages_of AS MATERIALIZED (SELECT o.doc_id, o.doc_id + {sp.LISTING_ID} AS page_id, o.site, u.url FROM own o JOIN numbered u ON u.site = o.site AND u.k = o.turn % u.n
+  WHERE o.turn % 9 <> 8),
+site_cards AS MATERIALIZED (SELECT f.doc_id AS seq, p.page_id, p.site, p.url, f.job_url, f.title, f.company FROM offered f JOIN pages_of p USING (doc_id)
+  WHERE f.g = 'current')""", pairs, """
+matched AS MATERIALIZED (SELECT m.profile_id, c.page_id, c.seq, c.site, c.job_url, c.title, c.company, coalesce(s.location, '') AS location
+  FROM pairs m JOIN site_cards c USING (seq) JOIN plan p ON p.profile_id = m.profile_id AND p.site = c.site AND p.url = c.url JOIN profiles s ON s.profile_id = m.profile_id)"""]
+    known = "SELECT NULL::BIGINT AS profile_id, NULL AS job_url WHERE false"
+    for k, pages in CRAWLS:
+        ctes.append(f"seen{k} AS ({known})")
+        ctes.append(f"cards{k} AS (SELECT * FROM site_cards WHERE {pages})")
+        ctes.append(f"matches{k} AS MATERIALIZED (SELECT m.*, EXISTS (SELECT 1 FROM seen{k} x WHERE x.profile_id = m.profile_id AND x.job_url = m.job_url) AS is_seen, "
+                    f"NOT ({VALID}) AS refused FROM matched m WHERE {pages})")
+        # the last repeat of a search's offer stays
+        ctes.append(f"fresh{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id, {', '.join(O.DEDUPE_KEYS)} ORDER BY page_id DESC) AS rn "
+                    f"FROM matches{k} WHERE NOT is_seen AND NOT refused) WHERE rn = 1)")
+        ctes.append(f"added{k} AS MATERIALIZED (SELECT f.*, CASE WHEN d.s = 0 AND d.v = 2 THEN 'signin_wall' WHEN {O.strip_sql('d.found')} = '' THEN 'missing' "
+                    f"ELSE 'ok' END AS status, d.found FROM fresh{k} f JOIN described d ON d.doc_id = f.seq)")
+        known = f"SELECT profile_id, job_url FROM added{k}"
+    return head + ",\n" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(select.format(k=k) for k, _ in CRAWLS)
+
+
+def _crawls(spark, sf):
+    from .crawl import crawl_offers
+    searches = fx.levelled_profiles(spark, sf)
+    plan = se.search_plan(se.compiled_profiles(searches)).checkpoint()  # the pages' addresses and the crawls read it
+    listing, details = sp.asked_listing_pages(spark, sf, plan), sp.detail_pages(spark, sf)
+    seen = None
+    for k, pages in CRAWLS:
+        crawl = crawl_offers(listing.where(pages), details, searches, seen, plan)
+        crawl.offers = crawl.offers.checkpoint()
+        seen = crawl.offers.select("profile_id", "job_url")
+        yield k, crawl
+
+
+@register("site_offers", _crawl_sql("""
+SELECT {k} AS crawl, profile_id, page_id, site, job_url, title, company, location, status, CASE WHEN status = 'ok' THEN md5(found) END AS description_md5 FROM added{k}"""))
+def q_site_offers(spark, sf):
+    """Listing pages of every search's plan through cards, match, seen check, detail pages and status, in two crawls."""
+    out = [c.offers.select(F.lit(k).alias("crawl"), "profile_id", "page_id", "site", "job_url", "title", "company", "location", "status",
+                           F.md5("description").alias("description_md5")) for k, c in _crawls(spark, sf)]
+    return out[0].unionByName(out[1])
+
+
+@register("crawl_funnel", _crawl_sql("""
+SELECT {k} AS crawl, site, sum(cards) AS cards, sum(matched) AS matched, sum(seen) AS seen, sum(refused) AS refused, sum(added) AS added, sum(described) AS described FROM (
+  SELECT site, 1 AS cards, 0 AS matched, 0 AS seen, 0 AS refused, 0 AS added, 0 AS described FROM cards{k}
+  UNION ALL SELECT site, 0, 1, is_seen::INTEGER, (NOT is_seen AND refused)::INTEGER, 0, 0 FROM matches{k}
+  UNION ALL SELECT site, 0, 0, 0, 0, 1, (status = 'ok')::INTEGER FROM added{k}) GROUP BY ROLLUP (site)"""))
+def q_crawl_funnel(spark, sf):
+    from .crawl import crawl_funnel
+    out = [crawl_funnel(c).select(F.lit(k).alias("crawl"), "*") for k, c in _crawls(spark, sf)]
+    return out[0].unionByName(out[1])
+
+
 # A card rule for the test pages: every link is a card, title by h2, span,
 # else the link text (the JustJoinIT fallback chain without its marker).
 ANCHOR_CARDS = dict(site="Anchors", container=[("a", "href", None, "any")], link=None,

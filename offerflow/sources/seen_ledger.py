@@ -1,10 +1,8 @@
 """Addresses seen so far, kept in hash buckets with a Bloom filter each.
 
 An address belongs to a bucket by its hash; a commit writes one file per bucket
-(``v=<n>/bucket=<b>``, sorted) and, beside it, that file's filter: blocks of 32,768
-bits, of which an address sets ``PROBES`` in one block (about 16 bits a key). A batch
-asks the filters first: an equality join of its addresses with the blocks, all in
-built-in functions. Only the bucket files whose filter answers are read, and joined
+(``v=<n>/bucket=<b>``, sorted) and, beside it, that file's Bloom filter. A batch
+asks the filters first, by an equality join of its addresses with their blocks. Only the bucket files whose filter answers are read, and joined
 bucket by bucket with the batch's few candidates as the broadcast side, so the
 ledger itself is never shuffled. Filters have false positives, which the join
 sorts out, and no false negatives.
@@ -20,12 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bloom import BLOCK_KEYS, bits_of, block_of, holds, probes
 from .log_table import LogTable, Manifest
 
 BUCKETS = 32
-BLOCK_BITS = 32_768  # what one bitmap aggregate holds
-BLOCK_KEYS = 2_048
-PROBES = 4
 #: Commits that are asked one by one before they become one.
 COMMITS = 8
 #: Candidates of a bucket that are broadcast, at most; beyond, adaptive execution joins.
@@ -42,21 +38,6 @@ def bucket_of(url: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
 
 
-def _block_of(url: Column, blocks: int | Column) -> Column:
-    return F.pmod(F.xxhash64(url, F.lit(1)), blocks).cast("long")
-
-
-def _probes(url: Column) -> Column:
-    """PROBES bit positions from one more hash, 15 bits each."""
-    h = F.xxhash64(url, F.lit(2))
-    return F.array(*[F.shiftright(h, 15 * k).bitwiseAND(F.lit(BLOCK_BITS - 1)) for k in range(PROBES)])
-
-
-def _holds(bits: Column, probes: Column) -> Column:
-    byte = lambda p: F.conv(F.hex(F.substring(bits, (F.shiftright(p, 3) + 1).cast("int"), 1)), 16, 10).cast("int")
-    return F.forall(probes, lambda p: F.getbit(byte(p), p.bitwiseAND(F.lit(7)).cast("int")) == 1)
-
-
 @dataclass
 class Found:
     """The known addresses of a batch, and what was read to find them."""
@@ -79,10 +60,7 @@ class SeenLedger:
     def _write(self, n: int, urls: DataFrame) -> int:
         rows = urls.select("job_url", bucket_of(F.col("job_url"), self.buckets).alias("bucket"))
         count = self.log.put("urls", n, rows.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "job_url"), by="bucket")
-        url = F.col("job_url")
-        bits = (self.log.get("urls", [n]).select("bucket", _block_of(url, F.lit(self._blocks(count))).alias("block"),
-                                                 F.explode(F.array_distinct(_probes(url))).alias("at"))
-                .groupBy("bucket", "block").agg(F.bitmap_construct_agg("at").alias("bits")))
+        bits = bits_of(self.log.get("urls", [n]), "job_url", self._blocks(count), "bucket")
         self.log.put("filters", n, bits)
         return count
 
@@ -125,9 +103,9 @@ class SeenLedger:
         asked = offers.select("job_url").where("job_url is not null").distinct().withColumn("bucket", bucket_of(url, self.buckets))
         commits = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(self._blocks(n)).cast("long").alias("blocks"))
                             for v, n in m.rows("urls").items()])
-        asked = asked.select("*", F.inline(commits)).select("job_url", "bucket", "v", _block_of(url, F.col("blocks")).alias("block"))
+        asked = asked.select("*", F.inline(commits)).select("job_url", "bucket", "v", block_of(url, F.col("blocks")).alias("block"))
         answered = (asked.join(self.log.get("filters", m.rows("filters")), ["v", "bucket", "block"])
-                    .where(_holds(F.col("bits"), _probes(url))).select("job_url", "v", "bucket").checkpoint(eager=True))
+                    .where(holds(F.col("bits"), probes(url))).select("job_url", "v", "bucket").checkpoint(eager=True))
         hits = answered.groupBy("v", "bucket").count().collect()  # at most commits x buckets numbers
         out, read = none, 0
         by_bucket: dict[int, list] = {}

@@ -8,7 +8,7 @@ of a page is the document's, escaped. FIXTURES.md 2.5 lists the forms.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .fixtures import table
@@ -103,14 +103,31 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, url, site, html): one detail page per document."""
+    """(page_id, url, requested_url, site, html): one detail page per document. A
+    login wall has an address of its own."""
     docs, number, site, form, text = _parts(spark, sf_dir)
-    base = F.when((site == 0) & (form == 2), F.lit(WALL_URL)).otherwise(_of_site(DETAIL_URLS, site))
-    return docs.select((F.col("doc_id") + 2 * LISTING_ID).alias("page_id"), F.concat(base, number).alias("url"),
+    asked = F.concat(_of_site(DETAIL_URLS, site), number)
+    url = F.when((site == 0) & (form == 2), F.concat(F.lit(WALL_URL), number)).otherwise(asked)
+    return docs.select((F.col("doc_id") + 2 * LISTING_ID).alias("page_id"), url.alias("url"), asked.alias("requested_url"),
                        _of_site(SITES, site).alias("site"),
                        _form(DETAIL_FORMS, site, form, {"D": _escaped(text)}).alias("html"))
 
 
+def asked_listing_pages(spark: SparkSession, sf_dir: str, plan: DataFrame) -> DataFrame:
+    """The listing pages under addresses that a crawl plan asks for: page after page,
+    the addresses of its site in order; every ninth page keeps its own address."""
+    asked = plan.select("site", "url").distinct()
+    order = Window.partitionBy("site").orderBy("url")  # one row per address of a plan
+    urls = asked.groupBy("site").agg(F.count("*").alias("n")).join(
+        asked.withColumn("k", F.row_number().over(order) - 1), "site").select("site", "n", "k", F.col("url").alias("asked"))
+    doc = F.col("page_id") - LISTING_ID
+    pages = listing_pages(spark, sf_dir).withColumn("turn", F.floor(doc / 6))
+    sizes = urls.select("site", "n").distinct()
+    return (pages.join(sizes, "site", "left").withColumn("k", F.col("turn") % F.col("n")).join(urls.drop("n"), ["site", "k"], "left")
+            .select("page_id", F.when(F.col("turn") % 9 == 8, F.col("url")).otherwise(F.coalesce("asked", "url")).alias("url"),
+                    "site", "html"))
+
+
 #: DuckDB: the documents with site number, form, first line.
 SITE_DOCS_SQL = """site_docs AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, split_part(coalesce(text, ''), chr(10), 1) AS t1,
