@@ -167,144 +167,141 @@ def seniority_flag(compiled: DataFrame, legacy: bool = False) -> DataFrame:
 
 _WORD_ONLY = r"^[\p{L}\p{N}_]+$"
 _GRAM_MAX = 3
-_EXCLUDE_BIT = 1 << 62
-_EMPTY_GROUPS = "array<array<string>>"
+_TERM = "struct<kw:string,check:string,pat:string>"
 
 
-def _term_table(compiled: DataFrame, mode: str) -> DataFrame:
-    """One row per (search, term) with its join key and its check.
-
-    ``kt``/``k`` is the key joined to the title side: ``w`` + the keyword for
-    whole-word short terms (title tokens), ``n`` + its first min(len, 3)
-    characters for everything verified on the text (title n-grams), ``a`` +
-    "" for a search without groups (one key per offer). ``check`` says what
-    confirms a candidate; ``bit`` is the group bit (bit 62 for excludes);
-    ``full`` the mask a search needs.
-    """
-    empty_gg = F.array().cast(_EMPTY_GROUPS)
-    prof = compiled.select("profile_id", F.coalesce("groups", empty_gg).alias("groups"),
-                           F.coalesce("excludes", F.array().cast("array<string>")).alias("excludes"))
-    prof = prof.withColumn("n_groups", F.size("groups"))
-    g = (prof.select("profile_id", "n_groups", F.posexplode("groups").alias("group_no", "gw"))
-         .select("profile_id", "n_groups", "group_no", F.explode("gw").alias("kw"), F.lit(False).alias("ex")))
-    x = prof.select("profile_id", "n_groups", F.lit(0).alias("group_no"), F.explode("excludes").alias("kw"),
-                    F.lit(True).alias("ex"))
-    terms = g.unionByName(x).where(F.col("kw").isNotNull())
-    kw = F.col("kw")
+def _term(kw: Column, mode: str) -> Column:
+    """A keyword with its check: ``word`` (a short whole word), ``pattern`` (a short one
+    with symbols, whole by its edges) or ``contains``; ``pat`` states the first two as
+    a pattern."""
     short, word = F.length(kw) <= 3, kw.rlike(_WORD_ONLY)
-    whole = ~F.col("ex") & F.lit(mode == "word")
-    check = (F.when(whole & short & word, F.lit("none"))
-             .when(whole & short, F.lit("pattern"))
-             .otherwise(F.lit("contains")))
+    whole = F.lit(mode == "word")
+    check = (F.when(whole & short & word, F.lit("word")).when(whole & short, F.lit("pattern")).otherwise(F.lit("contains")))
     edge = lambda ahead, inner: F.when(kw.rlike(inner), F.lit(f"(?{ahead}!{_W})")).otherwise(F.lit(f"(?{ahead}={_W})"))
     pat = F.when(kw == "", F.lit(_W)).otherwise(F.concat(
         edge("<", f"^{_W}"), F.regexp_replace(kw, r"([^\p{L}\p{N}_])", r"\\$1"), edge("", f"{_W}$")))
-    terms = terms.select(
-        "profile_id", "n_groups", "kw", check.alias("check"),
-        F.when(check == "none", F.lit("w")).otherwise(F.lit("n")).alias("kt"),
-        F.when(check == "none", kw).otherwise(F.substring(kw, 1, _GRAM_MAX)).alias("k"),
-        F.when(check == "pattern", pat).alias("pat"),
-        F.when(F.col("ex"), F.lit(_EXCLUDE_BIT)).otherwise(F.expr("shiftleft(1L, group_no)")).alias("bit"),
-        F.col("group_no"), F.col("ex"))
-    # Searches without groups: every offer with a title is a candidate.
-    every = prof.where(F.col("n_groups") == 0).select(
-        "profile_id", "n_groups", F.lit(None).cast("string").alias("kw"), F.lit("none").alias("check"),
-        F.lit("a").alias("kt"), F.lit("").alias("k"), F.lit(None).cast("string").alias("pat"),
-        F.lit(0).cast("long").alias("bit"), F.lit(0).alias("group_no"), F.lit(False).alias("ex"))
-    return terms.unionByName(every)
-
-
-def _term_stats(terms: DataFrame) -> dict:
-    """One small job over the term table: the n-gram lengths the title side must
-    produce, whether words are needed, and the widest search."""
-    row = terms.agg(
-        F.collect_set(F.when(F.col("kt") == "n", F.length("k"))).alias("gram_lengths"),
-        F.count_if(F.col("kt") == "w").alias("n_word"),
-        F.max("n_groups").alias("max_g"),
-    ).first()
-    return row.asDict()
-
-
-def _gram_at(n: int):
-    """The n characters from position i (from 1) of the column ``ch``."""
-    return lambda i: F.concat(*[F.element_at("ch", i + k) for k in range(n)])
-
-
-def _title_keys(offers: DataFrame, key: str, gram_lengths: Sequence[int], tokens: bool) -> DataFrame:
-    """(key, kt, k) from one pass over the titles: the distinct title tokens
-    (kt ``w``) and the distinct substrings of the given lengths, three characters
-    at most (kt ``n``; a length 0 gives the single gram ""). The title itself
-    does not ride along."""
+    return F.struct(kw.alias("kw"), check.alias("check"), F.when(whole & short, pat).alias("pat"))
+
+
+def _searches(compiled: DataFrame, mode: str) -> DataFrame:
+    """(profile_id, groups of terms, excludes), nulls left out."""
+    groups = F.coalesce("groups", F.array().cast("array<array<string>>"))
+    terms = F.transform(groups, lambda g: F.transform(F.filter(g, lambda k: k.isNotNull()), lambda k: _term(k, mode)))
+    return compiled.select("profile_id", terms.cast(f"array<array<{_TERM}>>").alias("groups"),
+                           F.filter(_arr("excludes"), lambda e: e.isNotNull()).alias("excludes"))
+
+
+def _hit(lt: Column, t: Column) -> Column:
+    return F.when(t["check"] == "contains", lt.contains(t["kw"])).otherwise(F.rlike(lt, t["pat"]))
+
+
+def _holds(lt: Column, groups: Column, excludes: Column) -> Column:
+    """Every group has a term in the title, and no exclude is in it."""
+    return (F.forall(groups, lambda g: F.exists(g, lambda t: _hit(lt, t))) & ~F.exists(excludes, lambda e: lt.contains(e)))
+
+
+_RUNS = rf"{_W}+|[^\p{{L}}\p{{N}}_]+"
+
+
+def _piece(kw: Column) -> Column:
+    """The part of a keyword that one run of a title must hold: its longest run of word
+    characters, else its longest run of others, else "" (the empty keyword)."""
+    longest = lambda pattern: F.array_max(F.transform(
+        F.regexp_extract_all(kw, F.lit(pattern), 0), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
+    return F.coalesce(longest(f"{_W}+"), longest(r"[^\p{L}\p{N}_]+"), F.lit(""))
+
+
+def _grams(text: Column, lengths: Sequence[int]) -> Column:
+    """The substrings of the given lengths; the look-ahead finds overlapping ones in one pass."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in lengths]))
+
+
+def _title_runs(titles: DataFrame, key: str, others: bool) -> DataFrame:
+    """(key, run): the distinct runs of word characters of each title (with ``others`` also
+    the runs between them), and "" of every title."""
     lt = F.lower(F.col("title"))
-    base = offers.select(key, lt.alias("lt"), F.split(lt, "").alias("ch"))
-    tagged = lambda arr, tag: F.transform(arr, lambda v: F.struct(F.lit(tag).alias("kt"), v.alias("k")))
-    parts = []
-    if tokens:
-        toks = F.filter(F.array_distinct(F.split("lt", r"[^\p{L}\p{N}_]+")), lambda v: F.length(v) > 0)
-        parts.append(tagged(toks, "w"))
-    for n in sorted(set(gram_lengths)):
-        if n == 0:
-            grams = F.array(F.lit(""))
-        else:
-            # from the list of characters: a substring call would count from the start each time
-            idx = F.when(F.length("lt") >= n, F.sequence(F.lit(1), F.length("lt") - n + 1)).otherwise(
-                F.array().cast("array<int>"))
-            grams = F.array_distinct(F.transform(idx, _gram_at(n)))
-        parts.append(tagged(grams, "n"))
-    allk = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return base.select(F.col(key), F.inline(allk))
+    runs = F.regexp_extract_all(lt, F.lit(_RUNS if others else f"{_W}+"), 0)
+    return titles.select(F.col(key), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), runs))).alias("run"))
+
+
+def _vocabulary(runs: DataFrame, keywords: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """(run, kw, check, pat, titles): the distinct runs that hold a keyword's piece, and
+    the number of titles with the run. Keywords meet the vocabulary, which grows
+    slower than the titles, by equality on the run or on the piece's first gram."""
+    words = runs.groupBy("run").agg(F.count("*").alias("titles"))
+    run, piece = F.col("run"), F.col("piece")
+    keyed = keywords.withColumn("k", F.when(F.col("whole"), F.concat(F.lit("="), piece)).otherwise(F.substring(piece, 1, _GRAM_MAX)))
+    keys = F.concat(F.array(F.concat(F.lit("="), run)), _grams(run, lengths)) if lengths else F.array(F.concat(F.lit("="), run))
+    return (words.select("run", "titles", F.explode(keys).alias("k")).join(keyed, "k")
+            .where(F.when(F.col("whole"), run == piece).otherwise(F.contains(run, piece)))
+            .select("run", "kw", "check", "pat", "titles"))
+
+
+def _candidates(titles: DataFrame, searches: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """((key, lt, kw, check) of titles that hold a keyword of an anchor group,
+    (profile_id, kw, check) of the anchors)."""
+    terms = (searches.select("profile_id", F.posexplode("groups").alias("group_no", "g"))
+             .select("profile_id", "group_no", F.inline("g")))
+    piece = F.col("piece")
+    keywords = terms.select("kw", "check", "pat").distinct().withColumn("piece", _piece(F.col("kw"))).withColumn(
+        "whole", (F.col("check") == "word") | (piece == ""))
+    # One small job over the searches: is a piece without word characters, and how long are the first grams?
+    kinds = keywords.agg(F.max((piece != "") & ~piece.rlike(_W)).alias("others"), F.collect_set(
+        F.when(~F.col("whole"), F.least(F.length("piece"), F.lit(_GRAM_MAX)))).alias("lengths")).first()
+    runs = _title_runs(titles, key, bool(kinds["others"]))
+    # Small beside the titles, and read by the choice of anchors and by the candidates.
+    held = _vocabulary(runs, keywords, sorted(kinds["lengths"])).checkpoint(eager=True)
+    most = held.groupBy("kw", "check").agg(F.sum("titles").alias("n"))
+    # a search's terms are one row, from which the cheapest group is picked
+    weighed = (terms.join(most, ["kw", "check"], "left").groupBy("profile_id").agg(F.collect_list(
+        F.struct("group_no", F.coalesce("n", F.lit(0)).alias("n"), "kw", "check")).alias("t")))
+    cost = lambda g: F.aggregate(F.filter("t", lambda x: x["group_no"] == g), F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    cheapest = F.array_min(F.transform(F.array_distinct(F.transform("t", lambda x: x["group_no"])),
+                                       lambda g: F.struct(cost(g).alias("cost"), g.alias("g"))))["g"]
+    anchors = (weighed.withColumn("g", cheapest).select("profile_id", F.inline(F.filter("t", lambda x: x["group_no"] == F.col("g"))))
+               .select("profile_id", "kw", "check").distinct())
+    wanted = held.drop("titles").join(anchors, ["kw", "check"], "left_semi")
+    near = runs.join(wanted, "run").select(key, "kw", "check", "pat").distinct()
+    sure = (F.col("check") == "word") | _hit(F.col("lt"), F.struct("kw", "check", "pat"))
+    return near.join(titles.select(F.col(key), F.lower("title").alias("lt")), key).where(sure).select(key, "lt", "kw", "check"), anchors
 
 
 def match_profiles(offers: DataFrame, compiled: DataFrame, key: str = "seq", mode: str = "word") -> DataFrame:
     """All (profile_id, key) pairs where the offer title satisfies the search.
 
-    ``compiled`` holds profile_id, groups, excludes. The distinct keywords of
-    all searches meet the titles' distinct words and short grams by *equality*
-    on (kt, k), so only grams that some keyword begins with go on; a candidate
-    (offer, keyword) is confirmed once on the title (``contains``, or the exact
-    edge pattern for short symbol terms), however many searches share the
-    keyword. Confirmed keywords join their (search, group) rows, and one
-    aggregate per (offer, search), combined map side, ORs the group bits:
-    match iff every group bit and no exclude bit is set. The plan is the same
-    at any number of terms; adaptive execution picks join strategies by size
-    and splits hot grams. Searches without groups match every offer by their
-    meaning; they join apart, on a salt of the offer's key.
+    ``compiled`` holds profile_id, groups, excludes. A keyword inside a title lies,
+    run by run (word characters or others), inside the title's runs, so keywords meet
+    the distinct runs of all titles, by equality on a run or a short gram, and never
+    the titles' own grams. A conjunction fails with its first failing group, so each
+    search has an anchor: the group whose keywords the fewest titles can hold. Titles
+    meet the runs of anchor keywords, a candidate (offer, keyword) is confirmed once
+    on the title, however many searches share the keyword, and only confirmed
+    candidates are tested on their search's other groups and excludes.
+    The plan is the same at any number of terms and groups; adaptive execution
+    picks join strategies by size and splits hot keys. Searches without groups
+    match every offer by their meaning; they join apart, on a salt of the
+    offer's key.
     """
     from ..plans.partitioning import shuffle_partitions, spread
 
-    terms = _term_table(compiled, mode)
-    words = terms.where("kt <> 'a'")
-    stats = _term_stats(words)
+    searches = _searches(compiled, mode)
     # Titles are spread by key before the explode: that is the CPU work.
     titles = spread(offers.where(F.col("title").isNotNull()).select(key, "title"), key)
+    found, anchors = _candidates(titles, searches, key)
+    lt = F.col("lt")
+    pairs = (found.join(anchors.join(searches, "profile_id"), ["kw", "check"])
+             .where(_holds(lt, F.col("groups"), F.col("excludes"))).select("profile_id", key).distinct())
     n = shuffle_partitions(offers)
-    every = terms.where("kt = 'a'").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    hits = (titles.select(key, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("salt")).join(every, "salt")
-            .select(key, "profile_id", "n_groups", "bit", "group_no", "ex", F.lit(True).alias("whole")))
-    if stats["n_word"] or stats["gram_lengths"]:
-        keywords = words.select("kw", "check", "kt", "k", "pat").distinct()
-        found = _title_keys(titles, key, stats["gram_lengths"] or [], bool(stats["n_word"])).join(keywords, ["kt", "k"])
-        sure = found.where("check = 'none'").select(key, "kw", "check")
-        lt = F.lower(F.col("title"))
-        text = titles.select(F.col(key), lt.alias("lt"))
-        seen = (found.where("check <> 'none'").join(text, key)
-                .where(F.when(F.col("check") == "contains", F.expr("contains(lt, kw)")).otherwise(F.expr("lt RLIKE pat")))
-                .select(key, "kw", "check"))
-        hits = hits.unionByName(sure.unionByName(seen).join(words, ["kw", "check"]).select(
-            key, "profile_id", "n_groups", "bit", "group_no", "ex", F.lit(False).alias("whole")))
-    if (stats["max_g"] or 0) <= 61:
-        # bit g set when group g has a hit, bit 62 when an exclude hits
-        agg = hits.groupBy(key, "profile_id").agg(F.bit_or("bit").alias("mask"), F.max("n_groups").alias("n_groups"))
-        full = F.expr("shiftleft(1L, n_groups) - 1")
-        cond = ((F.col("mask").bitwiseAND(full) == full)
-                & (F.col("mask").bitwiseAND(F.lit(_EXCLUDE_BIT)) == 0))
-    else:
-        # very wide searches: distinct group count instead of a mask
-        agg = hits.groupBy(key, "profile_id").agg(
-            F.count_distinct(F.when(~F.col("ex") & ~F.col("whole"), F.col("group_no"))).alias("n_hit"),
-            F.max(F.col("ex").cast("int")).alias("n_ex"), F.max("n_groups").alias("n_groups"))
-        cond = (F.col("n_hit") == F.col("n_groups")) & (F.col("n_ex") == 0)
-    return agg.where(cond).select("profile_id", key)
+    every = (searches.where(F.size("groups") == 0).select("profile_id", "excludes")
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))))
+    whole = (titles.select(key, F.lower("title").alias("lt"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("salt"))
+             .join(every, "salt").where(~F.exists("excludes", lambda e: lt.contains(e))).select("profile_id", key))
+    return pairs.unionByName(whole)
+
+
+def anchor_candidates(offers: DataFrame, compiled: DataFrame, key: str = "seq", mode: str = "word") -> DataFrame:
+    """(key, lt, kw, check): the titles (lower-cased) that ``match_profiles`` tests further."""
+    return _candidates(offers.where(F.col("title").isNotNull()).select(key, "title"), _searches(compiled, mode), key)[0]
 
 
 # ---------------------------------------------------------------------------

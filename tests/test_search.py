@@ -122,8 +122,7 @@ def test_match_profiles_shuffle_path(spark):
 
 
 def test_match_profiles_wide_searches(spark):
-    """Searches with more groups than the bit mask holds (> 61) take the
-    distinct-group-count path; same answer as the brute force."""
+    """Searches of very many groups; same answer as the brute force."""
     titles = _random_titles(300, seed=13) + ["the la de data ml engineer er " * 3]
     offers = spark.createDataFrame(list(enumerate(titles)), "seq long, title string")
     many = [["the", "la"], ["de", "data"], ["er"], ["ml", "c++"], ["engineer"]] * 13  # 65 groups
@@ -134,6 +133,38 @@ def test_match_profiles_wide_searches(spark):
     assert got == want and any(pid == 10 for pid, _ in want)
 
 
+ODD = ["machine learning", "c++ dev", "++", "la-la", ", ", " ", "", "a", "é", "l'a", "x_1", "st-ża", "data engineer", "#", "-la", "la-", "12"]
+
+
+@pytest.mark.parametrize("mode", ["word", "substring"])
+def test_match_profiles_of_keywords_across_words_and_symbols(spark, mode):
+    """Keywords of several runs, of symbols only, empty ones, nulls, and groups without keywords."""
+    rnd = random.Random(17)
+    vocab = [*ODD, "learning", "machine", "dev", "Data", "lala", "ÉA", "ab12", "c++ ", "#1"]
+    titles = ["".join(rnd.choice([rnd.choice(vocab), rnd.choice(vocab).upper(), " ", "-"]) for _ in range(rnd.randint(0, 7))) for _ in range(400)]
+    titles += ["", " ", "---", "\u00b2", "é#x", "la\u0301"]
+    prof = [(i, [[k]], []) for i, k in enumerate(ODD)]
+    prof += [(100 + i, [rnd.sample(ODD, rnd.randint(1, 3)) for _ in range(rnd.randint(1, 3))], rnd.sample(ODD[:4], rnd.randint(0, 1))) for i in range(40)]
+    prof += [(200, [["la"], []], []), (201, [], ["la"]), (202, [[]], [])]
+    offers = spark.createDataFrame([*enumerate(titles), (9999, None)], "seq long, title string")
+    nulls = [(300, None, None), (301, [[None, "la"], ["a", None]], [None, "#"]), (302, [[None]], [])]
+    table = spark.createDataFrame(prof + nulls, "profile_id long, groups array<array<string>>, excludes array<string>")
+    got = {(r["profile_id"], r["seq"]) for r in se.match_profiles(offers, table, mode=mode).collect()}
+    prof += [(300, [], []), (301, [["la"], ["a"]], ["#"]), (302, [[]], [])]
+    assert got == {(pid, i) for pid, g, ex in prof for i, t in enumerate(titles) if matches(t, g, ex, mode)}
+
+
+def test_only_candidates_of_the_rarest_group_are_tested(spark):
+    """Half of the titles hold a common keyword, a few the rare one: only these are looked at again."""
+    titles = [f"common word {i}" if i % 2 else f"other word {i}" for i in range(2000)] + ["common rarely", "rarely seen"]
+    offers = spark.createDataFrame(list(enumerate(titles)), "seq long, title string")
+    prof = spark.createDataFrame([(k, g, []) for k, g in enumerate([[["common"], ["rare"]], [["rare"], ["word", "common"]], [["word"], ["absent"]]])],
+                                 "profile_id long, groups array<array<string>>, excludes array<string>")
+    looked = se.anchor_candidates(offers, prof)
+    assert sorted((r["seq"], r["kw"]) for r in looked.collect()) == [(2000, "rare"), (2001, "rare")]
+    assert {tuple(r) for r in se.match_profiles(offers, prof).collect()} == {(0, 2000), (1, 2000)}
+
+
 def test_seniority_and_topics(spark):
     prof = spark.createDataFrame([(1, [["ml engineer", "python"], ["junior"]], []), (2, [["html"]], []),
                                   (3, [], [])], "profile_id long, groups array<array<string>>, excludes array<string>")
