@@ -31,14 +31,35 @@ def _cols(keys) -> list[Column]:
     return [F.col(k) if isinstance(k, str) else k for k in keys]
 
 
+#: Arrival numbers: batch ids and source ranks take these signed ranges, numbers any LONG.
+BATCH_RANGE, SOURCE_RANGE = 1 << 52, 1 << 9
+
+
+def arrival(batch: str = "batch_id", source: str = "source_rank", seq: str = "seq") -> Column:
+    """(batch_id, source_rank, seq) as one DECIMAL(38) that orders alike, nulls first.
+
+    A decimal is a fixed-width buffer, so its maximum is kept by a hash aggregate, where
+    a struct's would be sorted. Ids outside the ranges are an error, never misplaced."""
+
+    def part(c: str, half: int) -> Column:
+        v = F.col(c).cast("long")
+        return (F.when(v.isNull(), F.lit(-half)).when((v > -half) & (v < half), v)
+                .otherwise(F.raise_error(F.concat(F.lit(f"{c} out of range: "), v.cast("string"))).cast("long")))
+
+    pair = part(batch, BATCH_RANGE) * (2 * SOURCE_RANGE) + part(source, SOURCE_RANGE)
+    number = F.coalesce(F.col(seq).cast("long"), F.lit(-(1 << 63)))
+    wide = lambda c: c.cast("decimal(19,0)")
+    return (wide(pair) * F.lit(1 << 62).cast("decimal(19,0)") * F.lit(4).cast("decimal(1,0)") + wide(number)).cast("decimal(38,0)")
+
+
 def keep_one(df: DataFrame, keys: Sequence, keep: str = "last", order: Sequence[str] = ORDER) -> DataFrame:
     """One row per key: the last (or first) in arrival order."""
-    o = F.struct(*[F.col(c) for c in order])
-    pick = F.max(o) if keep == "last" else F.min(o)
+    o = arrival() if tuple(order) == ORDER else F.struct(*[F.col(c) for c in order])
+    pick = F.max("_o") if keep == "last" else F.min("_o")
     names = [f"_k{i}" for i in range(len(keys))]
-    keyed = df.select("*", *[c.alias(n) for c, n in zip(_cols(keys), names)])
-    winners = keyed.groupBy(*names).agg(pick.alias("_w")).select(*names, *[F.col(f"_w.{c}").alias(c) for c in order])
-    return join_null_safe(keyed, winners, [*names, *order], "left_semi").drop(*names)
+    keyed = df.select("*", *[c.alias(n) for c, n in zip(_cols(keys), names)], o.alias("_o"))
+    winners = keyed.groupBy(*names).agg(pick.alias("_o"))
+    return join_null_safe(keyed, winners, [*names, "_o"], "left_semi").drop(*names, "_o")
 
 
 def stamp_import(history: DataFrame) -> DataFrame:

@@ -159,3 +159,18 @@ def test_stream_state_over_epochs_with_dates_as_batch_ids(spark, tmp_path):
         frames = [spark.createDataFrame(b, SCHEMA) for b in batches]
         _, state = fold_runs(frames, initial_state(spark.createDataFrame([], SCHEMA), forgetful), [], [])
         assert sorted(r["seq"] for r in state.current.collect()) == want
+
+
+def test_arrival_number_orders_like_its_parts(spark):
+    top = (1 << 63) - 1
+    parts = [(top, st.BATCH_RANGE - 1, 511), (-top - 1, st.BATCH_RANGE - 1, 511), (5, 1 - st.BATCH_RANGE, -511), (None, None, None),
+             (0, None, None), (0, None, 3), (top, -5, -3), (0, -5, -2), (1, 7, None), (3, 7, 0), (2, 20260101235959, 1)]
+    df = spark.createDataFrame([(*p, "t", "c", "l", "u", "s", None, None) for p in parts], SCHEMA)
+    rows = df.select("seq", "batch_id", "source_rank", st.arrival().alias("n")).collect()
+    null_first = lambda r: [(x is not None, x or 0) for x in (r["batch_id"], r["source_rank"], r["seq"])]
+    assert [r["n"] for r in sorted(rows, key=null_first)] == sorted(r["n"] for r in rows) and len({r["n"] for r in rows}) == len(parts)
+    for out in (st.dedupe_batch(df), st.dedupe_url_first(df), st.dedupe_legacy(df), st.merge_history(df.limit(0), df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+    with pytest.raises(Exception, match="batch_id out of range"):
+        spark.createDataFrame([(1, st.BATCH_RANGE, 0, "t", "c", "l", "u", "s", None, None)], SCHEMA).select(st.arrival()).collect()
