@@ -528,12 +528,13 @@ GUEST_TEXT = "Opis dostępny bezpośrednio na LinkedIn (Guest Mode)."
 NO_TEXT = "Brak opisu dla {site}."
 
 
-def _first_by_rank(p: _PageParser, nodes, ranks) -> str:
+def first_by_rank(p: _PageParser, nodes, ranks, found: bool = False) -> str | bool:
+    """Text of the first node that the first rank with a hit selects (with ``found``: whether one does)."""
     for rank in ranks:
         for n in nodes:
             if any(_matches(s, n.tag, n.attrs) for s in (rank if isinstance(rank, list) else [rank])):
-                return p.text(n)
-    return ""
+                return found or p.text(n)
+    return False if found else ""
 
 
 def _describe(html, site, longest: dict) -> str:
@@ -550,8 +551,8 @@ def _describe(html, site, longest: dict) -> str:
     if site in SECTION_RULES:
         r = SECTION_RULES[site]
         parts = [p.text(n) for n in nodes if n.tag == "div" and (n.attrs.get("data-test") or "").startswith(r["prefix"])]
-        return "\n\n".join(parts) if parts else _first_by_rank(p, nodes, r["fallback"])
-    return _first_by_rank(p, nodes, DESCRIPTION_RULES.get(site, []))
+        return "\n\n".join(parts) if parts else first_by_rank(p, nodes, r["fallback"])
+    return first_by_rank(p, nodes, DESCRIPTION_RULES.get(site, []))
 
 
 def site_descriptions(pages: DataFrame, legacy: bool = False) -> DataFrame:

@@ -1205,6 +1205,40 @@ def q_link_title(spark, sf):
     return cards.select("page_id", "link_no", tx.clean_listing_title("title").alias("title"))
 
 
+# A seventh site, as rows only: every link of the crawled pages is a card, its text the title; articles are descriptions.
+NEW_SITE = "Example"
+NEW_SITE_ROWS = [(NEW_SITE, "container", 0, "a", "href", "any", None), (NEW_SITE, "title", 0, "h2", None, "none", None),
+                 (NEW_SITE, "title", 1, "span", None, "none", None), (NEW_SITE, "setting", 0, None, "title_self", None, "true"),
+                 (NEW_SITE, "setting", 0, None, "company_const", None, "Example Listing"),
+                 (NEW_SITE, "description", 0, "article", None, "none", None)]
+
+
+def _seven_sites(spark, sf):
+    from ..operators.site_rules import RULE, builtin_rules
+    rules = builtin_rules(spark).unionByName(spark.createDataFrame(NEW_SITE_ROWS, RULE))
+    crawled = _pages(spark, sf).select("page_id", F.lit(NEW_SITE).alias("site"), "html")
+    cols = ["page_id", "site", "html"]
+    return (rules, sp.listing_pages(spark, sf).select(*cols).unionByName(crawled),
+            sp.detail_pages(spark, sf).select(*cols).unionByName(crawled))
+
+
+@register("site_rules", O.with_(ANCHOR_SQL, sp.SITE_DOCS_SQL, _CARD_ROWS_SQL, _DESCRIBED_SQL) + f"""
+SELECT 'card' AS kind, doc_id + {sp.LISTING_ID} AS page_id, site, job_url, title, company, location FROM offered WHERE g = 'current'
+UNION ALL SELECT 'card', page_id, '{NEW_SITE}', href, {O.strip_sql('title')}, 'Example Listing', 'Katowice' FROM anchors
+UNION ALL SELECT 'description', doc_id + {2 * sp.LISTING_ID}, site, NULL, md5(found), NULL, NULL FROM described
+UNION ALL SELECT 'description', page_id, '{NEW_SITE}', NULL, md5(description), NULL, NULL FROM ({ORACLES['page_description']})""")
+def q_site_rules(spark, sf):
+    """Cards and descriptions of seven sites by a table of rules; the seventh is added as rows."""
+    from ..operators.site_rules import cards_by_rules, descriptions_by_rules, offers_of_cards
+    rules, listing, details = _seven_sites(spark, sf)
+    cards = offers_of_cards(cards_by_rules(listing, rules), rules, "Katowice")
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    texts = descriptions_by_rules(details, rules)
+    return cards.select(F.lit("card").alias("kind"), "page_id", "site", "job_url", "title", "company", "location").unionByName(
+        texts.select(F.lit("description").alias("kind"), "page_id", "site", none("job_url"), F.md5("description").alias("title"),
+                     none("company"), none("location")))
+
+
 def title_plugin(page_id, url, html):
     """Extractor plug-in example: the <h1> text of a page."""
     import re
@@ -1366,21 +1400,22 @@ def q_src_profiles(spark, sf):
 @register("src_resumes", O.with_(O.PROFILES, O.RESUMES) +
           "SELECT profile_id, md5(regexp_replace(cv_text, '\\n+$', '')) AS cv_md5 FROM resumes")
 def q_src_resumes(spark, sf):
+    """CVs in few sorted files with an index; how one is read is tested."""
     from ..session import scratch_path
-    from ..sources import io
+    from ..sources import io, ranged
     path = scratch_path(spark, "resumes")
-    io.write_resumes(fx.resumes(spark, sf), path)
-    return io.read_resumes(spark, path).select("profile_id", F.md5("cv_text").alias("cv_md5"))
+    ranged.write_ranged(fx.resumes(spark, sf).select("profile_id", io.cv_text("cv_text").alias("cv_text")), path, "profile_id")
+    return ranged.read_ranged(spark, path).select("profile_id", F.md5("cv_text").alias("cv_md5"))
 
 
 @register("snk_report", f"SELECT profile_id, html FROM ({ORACLES['report_html']})")
 def q_snk_report(spark, sf):
-    """The lines read back, lost and doubled ones included; their order in the files is checked in tests."""
+    """The lines read back, lost and doubled ones included; their order, and reading one search, is tested."""
     from ..session import scratch_path
-    from ..sources import io
+    from ..sources import ranged
     path = scratch_path(spark, "report")
-    io.write_report(q_report(spark, sf), path)
-    return spark.read.text(path).select(F.col("profile_id").cast("long"), F.col("value").alias("html"))
+    ranged.write_ranged(q_report(spark, sf), path, "profile_id", ["ord"])
+    return ranged.read_ranged(spark, path).select("profile_id", "html")
 
 
 # ---------------------------------------------------------------------------

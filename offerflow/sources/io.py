@@ -9,7 +9,7 @@ once and kept as Parquet afterwards.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,12 +118,17 @@ def read_profiles(spark: SparkSession, path: str, array: bool = False) -> DataFr
     return with_profile_defaults(raw.where(F.col("job_titles").isNotNull()))
 
 
+def cv_text(c: str) -> Column:
+    """A CV without trailing newlines."""
+    return F.regexp_replace(c, r"\n+$", "")
+
+
 def read_resumes(spark: SparkSession, path: str) -> DataFrame:
     """CV text per search from ``<path>/profile_id=<n>/*.txt`` (one file per
     search, read whole); trailing newlines dropped."""
     df = spark.read.text(path, wholetext=True)
     return df.select(F.col("profile_id").cast("long"),
-                     F.regexp_replace("value", r"\n+$", "").alias("cv_text"))
+                     cv_text("value").alias("cv_text"))
 
 
 def write_resumes(resumes: DataFrame, path: str) -> None:
