@@ -51,16 +51,13 @@ def report_block_col(escape: bool = True) -> Column:
     s = lambda c: e(F.coalesce(F.col(c).cast("string"), F.lit("")))
     color = band_color_col(score_band_col("match_score"))
     return F.concat(
-        F.lit('<div class="offer" style="border-left:5px solid '), color, F.lit('">'),
-        F.lit("<h3>"), s("title"), F.lit(" - <span>"), s("company"), F.lit("</span></h3>"),
-        F.lit("<p><b>Match:</b> <span style=\"color:"), color, F.lit('">'),
-        F.coalesce(F.col("match_score").cast("string"), F.lit("")), F.lit("/100</span></p>"),
-        F.lit("<p><b>Advice:</b> "), s("advice"), F.lit("</p>"),
-        F.lit('<a href="'), s("url"), F.lit('">Open offer</a></div>'),
+        F.lit('<section><h3>'), s("title"), F.lit("</h3><p>"), s("company"), F.lit('</p><p style="color:'), color, F.lit('">'),
+        F.coalesce(F.col("match_score").cast("string"), F.lit("")), F.lit(" of 100</p><p>"), s("advice"),
+        F.lit('</p><p><a href="'), s("url"), F.lit('">To the offer</a></p></section>'),
     )
 
 
-REPORT_HEAD = "<html><body><h2>Offer analysis results ({n})</h2><hr>"
+REPORT_HEAD = "<html><body><h1>Scored offers: {n}</h1>"
 REPORT_TAIL = "</body></html>"
 
 

@@ -23,11 +23,8 @@ from .state import new_offers
 
 CHAR_LIMIT = 8000
 
-# Our prompt template (the model call itself is outside this library).
-PROMPT_TEMPLATE = (
-    "You are an HR expert. Rate how well the job offer fits my CV.\n\n"
-    "JOB OFFER:\n{description}\n\nMY CV:\n{cv}\n"
-)
+#: Default prompt (the model call itself is outside this library); any text with the two slots may be given.
+PROMPT_TEMPLATE = "Offer:\n{description}\n---\nApplicant:\n{cv}\n---\nReply with match_score (0 to 100), missing_skills and advice.\n"
 
 # Score bands and their report colours.
 BAND_HIGH, BAND_MID = 70, 45
@@ -39,14 +36,16 @@ def offer_cv_pairs(offers: DataFrame, resumes: DataFrame) -> DataFrame:
     return offers.join(resumes.select("profile_id", "cv_text"), "profile_id")
 
 
-def render_prompt_col(desc: str = "description", cv: str = "cv_text", n: int = CHAR_LIMIT) -> Column:
-    head, rest = PROMPT_TEMPLATE.split("{description}")
+def render_prompt_col(desc: str = "description", cv: str = "cv_text", n: int = CHAR_LIMIT,
+                      template: str = PROMPT_TEMPLATE) -> Column:
+    """``template`` with the description, cut at ``n`` characters, and the CV in its slots, in this order."""
+    head, rest = template.split("{description}")
     mid, tail = rest.split("{cv}")
     return F.concat(F.lit(head), clip(desc, n), F.lit(mid), F.coalesce(F.col(cv), F.lit("")), F.lit(tail))
 
 
-def render_prompt(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("prompt", render_prompt_col())
+def render_prompt(pairs: DataFrame, template: str = PROMPT_TEMPLATE) -> DataFrame:
+    return pairs.withColumn("prompt", render_prompt_col(template=template))
 
 
 def score_band_col(score: str | Column = "match_score", legacy: bool = False) -> Column:
@@ -103,7 +102,7 @@ def default_verdict_cols(found: str = _FOUND) -> list[Column]:
 ScorerFn = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def score_offers(pairs: DataFrame, scorer: ScorerFn | None = None) -> DataFrame:
+def score_offers(pairs: DataFrame, scorer: ScorerFn | None = None, template: str = PROMPT_TEMPLATE) -> DataFrame:
     """Adds match_score, missing_skills, advice and error.
 
     ``scorer`` gets a pandas batch (columns of ``pairs`` plus ``prompt``) and
@@ -120,7 +119,7 @@ def score_offers(pairs: DataFrame, scorer: ScorerFn | None = None) -> DataFrame:
         out = hits.select("*", *default_verdict_cols(), F.lit(None).cast("string").alias("error")).drop(_FOUND)
         return out.drop(LDESC) if ld else out
 
-    withp = render_prompt(guarded)
+    withp = render_prompt(guarded, template)
     out_schema = T.StructType(
         list(withp.schema.fields)
         + [T.StructField("match_score", T.IntegerType()),

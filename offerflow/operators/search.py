@@ -421,6 +421,28 @@ def topic_slugs(topics: DataFrame) -> DataFrame:
     return out
 
 
+# What the listing addresses of the sites are made of, both generations.
+LISTING = {
+    "LinkedIn": "https://www.linkedin.com/jobs/search/?keywords=",
+    "JustJoinIT": "https://justjoin.it/job-offers/",
+    "NoFluffJobs": "https://nofluffjobs.com/pl/",
+    "TheProtocol": "https://theprotocol.it/filtry/",
+    "BulldogJob": "https://bulldogjob.pl/companies/jobs/s/",
+    "Pracuj.pl": "https://it.pracuj.pl/praca/",
+}
+GEO_CITY, GEO_CODES, GEO_OTHER = "Katowice", {"Katowice": "90009829"}, "105072130"
+LINKEDIN_TAIL = "&f_TPR=r2592000&f_E=1%2C2&f_F=it&refresh=true"
+LINKEDIN_TAIL_LEGACY = "&f_TPR=r2592000&f_E=1%2C2&f_F=it&origin=JOB_SEARCH_PAGE_JOB_FILTER&refresh=true"
+LINKEDIN_PLACE_LEGACY = "&f_PP=103855053"
+NO_KEYWORD = "Data"
+EVERYWHERE = "all-locations"
+REMOTE = {"LinkedIn": "&f_WT=2", "JustJoinIT": "workplaceType=remote", "NoFluffJobs": "remote", "TheProtocol": "remote;wm",
+          "BulldogJob": "remote,true", "Pracuj.pl": "praca%20zdalna;wm,home-office"}
+JUNIOR = {"JustJoinIT": "experience-level=junior", "NoFluffJobs": "?criteria=seniority%3Dtrainee,junior",
+          "TheProtocol": "trainee,assistant,junior;p", "BulldogJob": "experienceLevel,intern,junior", "Pracuj.pl": "et=1%2C3%2C17"}
+PARAMS = {"JustJoinIT": ["radius=0", "orderBy=DESC", "sortBy=published"], "Pracuj.pl": ["rd=0", "its=", "wm=full-office%2Chybrid"]}
+
+
 # ---------------------------------------------------------------------------
 # crawl plan: listing URLs per search (a frontier table; nothing is fetched)
 # ---------------------------------------------------------------------------
@@ -442,42 +464,42 @@ def search_plan(compiled: DataFrame, legacy: bool = False) -> DataFrame:
     flat = F.flatten(groups)
     junior = F.coalesce(F.arrays_overlap(flat, F.array(*[F.lit(w) for w in JUNIOR_WORDS_CURRENT])), F.lit(False))
     first = F.coalesce(F.get(groups, 0), F.array().cast("array<string>"))
-    kws = F.when(F.size(first) > 0, first).otherwise(F.array(F.lit("Data")))
-    geo = F.when(loc.contains("Katowice"), F.lit("90009829")).otherwise(F.lit("105072130"))
+    kws = F.when(F.size(first) > 0, first).otherwise(F.array(F.lit(NO_KEYWORD)))
+    geo = F.when(loc.contains(GEO_CITY), F.lit(GEO_CODES[GEO_CITY])).otherwise(F.lit(GEO_OTHER))
 
     def su(site, url):
         return F.struct(F.lit(site).alias("site"), url.alias("url"))
 
     linkedin = F.transform(kws, lambda kw: su("LinkedIn", F.concat(
-        F.lit("https://www.linkedin.com/jobs/search/?keywords="), quote_plus(kw), F.lit("&geoId="), geo,
-        F.lit("&f_TPR=r2592000&f_E=1%2C2&f_F=it&refresh=true"),
-        F.when(remote, F.lit("&f_WT=2")).otherwise(F.lit("")))))
+        F.lit(LISTING["LinkedIn"]), quote_plus(kw), F.lit("&geoId="), geo,
+        F.lit(LINKEDIN_TAIL),
+        F.when(remote, F.lit(REMOTE["LinkedIn"])).otherwise(F.lit("")))))
     topics = topics_col("groups")
-    jj_loc = F.when((loc == "") | remote, F.lit("all-locations")).otherwise(lloc)
+    jj_loc = F.when((loc == "") | remote, F.lit(EVERYWHERE)).otherwise(lloc)
     jj = F.transform(topics, lambda t: su("JustJoinIT", F.concat(
-        F.lit("https://justjoin.it/job-offers/"), jj_loc, F.lit("/"), t,
-        F.when(junior, F.lit("?experience-level=junior")).otherwise(F.lit("")))))
-    nfj_mid = F.when(remote, F.lit("remote")).otherwise(lloc)
+        F.lit(LISTING["JustJoinIT"]), jj_loc, F.lit("/"), t,
+        F.when(junior, F.lit("?" + JUNIOR["JustJoinIT"])).otherwise(F.lit("")))))
+    nfj_mid = F.when(remote, F.lit(REMOTE["NoFluffJobs"])).otherwise(lloc)
     nfj = F.transform(topics, lambda t: su("NoFluffJobs", F.concat(
-        F.lit("https://nofluffjobs.com/pl/"),
+        F.lit(LISTING["NoFluffJobs"]),
         F.when(nfj_mid != "", F.concat(nfj_mid, F.lit("/"))).otherwise(F.lit("")),
         topic_slug_col("NoFluffJobs", t),
-        F.when(junior, F.lit("?criteria=seniority%3Dtrainee,junior")).otherwise(F.lit("")))))
+        F.when(junior, F.lit(JUNIOR["NoFluffJobs"])).otherwise(F.lit("")))))
     tp = F.transform(topics, lambda t: su("TheProtocol", F.concat(
-        F.lit("https://theprotocol.it/filtry/"),
+        F.lit(LISTING["TheProtocol"]),
         F.array_join(F.array(F.concat(topic_slug_col("TheProtocol", t), F.lit(";sp")),
-                             F.when(junior, F.lit("trainee,assistant,junior;p")),
-                             F.when(remote, F.lit("remote;wm")).when(loc != "", F.concat(lloc, F.lit(";wp")))),
+                             F.when(junior, F.lit(JUNIOR["TheProtocol"])),
+                             F.when(remote, F.lit(REMOTE["TheProtocol"])).when(loc != "", F.concat(lloc, F.lit(";wp")))),
                      "/"))))
     bulldog = F.array(su("BulldogJob", F.concat(
-        F.lit("https://bulldogjob.pl/companies/jobs/s/"),
-        F.array_join(F.array(F.when(remote, F.lit("remote,true")).when(loc != "", F.concat(F.lit("city,"), loc)),
-                             F.when(junior, F.lit("experienceLevel,intern,junior"))), "/"))))
-    pracuj_loc = (F.when(remote, F.lit("praca%20zdalna;wm,home-office"))
+        F.lit(LISTING["BulldogJob"]),
+        F.array_join(F.array(F.when(remote, F.lit(REMOTE["BulldogJob"])).when(loc != "", F.concat(F.lit("city,"), loc)),
+                             F.when(junior, F.lit(JUNIOR["BulldogJob"]))), "/"))))
+    pracuj_loc = (F.when(remote, F.lit(REMOTE["Pracuj.pl"]))
                   .when(loc != "", F.concat(lloc, F.lit(";wp"))).otherwise(F.lit("")))
     pracuj = F.array(su("Pracuj.pl", F.concat(
-        F.lit("https://it.pracuj.pl/praca/"), pracuj_loc, F.lit("?rd=0"),
-        F.when(junior, F.lit("&et=1%2C3%2C17")).otherwise(F.lit("")))))
+        F.lit(LISTING["Pracuj.pl"]), pracuj_loc, F.lit("?" + PARAMS["Pracuj.pl"][0]),
+        F.when(junior, F.lit("&" + JUNIOR["Pracuj.pl"])).otherwise(F.lit("")))))
     allu = F.concat(linkedin, jj, nfj, tp, bulldog, pracuj)
     return (compiled.select("profile_id", F.explode(allu).alias("u"))
             .select("profile_id", "u.site", "u.url").distinct())
@@ -494,9 +516,9 @@ def _search_plan_legacy(compiled: DataFrame) -> DataFrame:
                         F.lit(False))
     first = F.coalesce(F.get(groups, 0), F.array().cast("array<string>"))
     joined = F.array_join(first, " ")
-    kw = (F.when(F.size(groups) == 0, F.lit("Data"))
+    kw = (F.when(F.size(groups) == 0, F.lit(NO_KEYWORD))
           .when(F.length(joined) > 50, F.get(first, 0)).otherwise(joined))
-    kato = loc.contains("Katowice")
+    kato = loc.contains(GEO_CITY)
 
     def su(site, url):
         return F.struct(F.lit(site).alias("site"), url.alias("url"))
@@ -505,38 +527,38 @@ def _search_plan_legacy(compiled: DataFrame) -> DataFrame:
         return F.when(cond, F.lit(text))
 
     linkedin = F.when(kato | (loc == "") | remote, F.array(su("LinkedIn", F.concat(
-        F.lit("https://www.linkedin.com/jobs/search/?keywords="), quote_plus(kw),
-        F.lit("&geoId="), F.when(kato, F.lit("90009829")).otherwise(F.lit("105072130")),
-        F.lit("&f_TPR=r2592000&f_E=1%2C2&f_F=it&origin=JOB_SEARCH_PAGE_JOB_FILTER&refresh=true"),
-        F.coalesce(opt(kato, "&f_PP=103855053"), F.lit("")), F.coalesce(opt(remote, "&f_WT=2"), F.lit("")))))
+        F.lit(LISTING["LinkedIn"]), quote_plus(kw),
+        F.lit("&geoId="), F.when(kato, F.lit(GEO_CODES[GEO_CITY])).otherwise(F.lit(GEO_OTHER)),
+        F.lit(LINKEDIN_TAIL_LEGACY),
+        F.coalesce(opt(kato, LINKEDIN_PLACE_LEGACY), F.lit("")), F.coalesce(opt(remote, REMOTE["LinkedIn"]), F.lit("")))))
                         ).otherwise(F.array().cast("array<struct<site:string,url:string>>"))
-    jj_loc = F.when((loc == "") | remote, F.lit("all-locations")).otherwise(lloc)
-    jj_params = F.array_join(F.array(opt(remote, "workplaceType=remote"), opt(junior, "experience-level=junior"),
-                                     opt(~remote & (loc != ""), "radius=0"), F.lit("orderBy=DESC"),
-                                     F.lit("sortBy=published")), "&")
+    jj_loc = F.when((loc == "") | remote, F.lit(EVERYWHERE)).otherwise(lloc)
+    jj_params = F.array_join(F.array(opt(remote, REMOTE["JustJoinIT"]), opt(junior, JUNIOR["JustJoinIT"]),
+                                     opt(~remote & (loc != ""), PARAMS["JustJoinIT"][0]),
+                                     *map(F.lit, PARAMS["JustJoinIT"][1:])), "&")
     jj = F.transform(topics_col("groups", "legacy_justjoinit"), lambda t: su("JustJoinIT", F.concat(
-        F.lit("https://justjoin.it/job-offers/"), jj_loc, F.lit("/"), t, F.lit("?"), jj_params)))
-    nfj_mid = F.when(remote, F.lit("remote")).otherwise(lloc)
+        F.lit(LISTING["JustJoinIT"]), jj_loc, F.lit("/"), t, F.lit("?"), jj_params)))
+    nfj_mid = F.when(remote, F.lit(REMOTE["NoFluffJobs"])).otherwise(lloc)
     nfj = F.transform(topics_col("groups", "legacy_nofluffjobs"), lambda t: su("NoFluffJobs", F.concat(
-        F.lit("https://nofluffjobs.com/pl/"), F.when(nfj_mid != "", F.concat(nfj_mid, F.lit("/"))).otherwise(F.lit("")),
-        t, F.coalesce(opt(junior, "?criteria=seniority%3Dtrainee,junior"), F.lit("")))))
+        F.lit(LISTING["NoFluffJobs"]), F.when(nfj_mid != "", F.concat(nfj_mid, F.lit("/"))).otherwise(F.lit("")),
+        t, F.coalesce(opt(junior, JUNIOR["NoFluffJobs"]), F.lit("")))))
     roles = F.array_join(F.array_sort(topics_col("groups", "legacy_bulldogjob")), ",")
     bulldog = F.array(su("BulldogJob", F.concat(
-        F.lit("https://bulldogjob.pl/companies/jobs/s/"),
-        F.array_join(F.array(F.when(remote, F.lit("remote,true")).when(loc != "", F.concat(F.lit("city,"), loc)),
-                             F.concat(F.lit("role,"), roles), opt(junior, "experienceLevel,intern,junior")), "/"))))
+        F.lit(LISTING["BulldogJob"]),
+        F.array_join(F.array(F.when(remote, F.lit(REMOTE["BulldogJob"])).when(loc != "", F.concat(F.lit("city,"), loc)),
+                             F.concat(F.lit("role,"), roles), opt(junior, JUNIOR["BulldogJob"])), "/"))))
     tp = F.transform(topics_col("groups", "legacy_theprotocol"), lambda t: su("TheProtocol", F.concat(
-        F.lit("https://theprotocol.it/filtry/"),
-        F.array_join(F.array(F.concat(t, F.lit(";sp")), opt(junior, "trainee,assistant,junior;p"),
-                             F.when(remote, F.lit("remote;wm")).when(loc != "", F.concat(lloc, F.lit(";wp")))),
+        F.lit(LISTING["TheProtocol"]),
+        F.array_join(F.array(F.concat(t, F.lit(";sp")), opt(junior, JUNIOR["TheProtocol"]),
+                             F.when(remote, F.lit(REMOTE["TheProtocol"])).when(loc != "", F.concat(lloc, F.lit(";wp")))),
                      "/"))))
     its = F.array_join(F.array_sort(topics_col("groups", "legacy_pracujpl")), "%2C")
-    pr_loc = (F.when(remote, F.lit("praca%20zdalna;wm,home-office"))
+    pr_loc = (F.when(remote, F.lit(REMOTE["Pracuj.pl"]))
               .when(loc != "", F.concat(lloc, F.lit(";wp"))).otherwise(F.lit("")))
     pracuj = F.array(su("Pracuj.pl", F.concat(
-        F.lit("https://it.pracuj.pl/praca/"), pr_loc, F.lit("?"),
-        F.array_join(F.array(F.lit("rd=0"), opt(junior, "et=1%2C3%2C17"), F.concat(F.lit("its="), its),
-                             opt(~remote, "wm=full-office%2Chybrid")), "&"))))
+        F.lit(LISTING["Pracuj.pl"]), pr_loc, F.lit("?"),
+        F.array_join(F.array(F.lit(PARAMS["Pracuj.pl"][0]), opt(junior, JUNIOR["Pracuj.pl"]), F.concat(F.lit(PARAMS["Pracuj.pl"][1]), its),
+                             opt(~remote, PARAMS["Pracuj.pl"][2])), "&"))))
     allu = F.concat(linkedin, jj, nfj, tp, bulldog, pracuj)
     return (compiled.select("profile_id", F.explode(allu).alias("u"))
             .select("profile_id", "u.site", "u.url").distinct())

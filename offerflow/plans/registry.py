@@ -20,6 +20,8 @@ from ..sources import site_pages as sp
 from . import oracle_sql as O
 from .pipeline import FLAGSHIP_EXCLUDES, FLAGSHIP_GROUPS, flagship, fold_runs, initial_state
 
+# The addresses, markers, texts and numbers inside the SQL below are fixed values
+# too: they state by themselves what the library's tables of fixed values must give.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -605,11 +607,9 @@ def _report_block_sql() -> str:
     color = ("CASE WHEN match_score >= 70 THEN '#28a745' WHEN match_score >= 45 THEN '#ffc107' "
              "ELSE '#dc3545' END")
     s = lambda c: esc(f"coalesce(CAST({c} AS VARCHAR), '')")
-    return (f"'<div class=\"offer\" style=\"border-left:5px solid ' || {color} || '\">' || '<h3>' || {s('title')}"
-            f" || ' - <span>' || {s('company')} || '</span></h3>' || '<p><b>Match:</b> <span style=\"color:' || "
-            f"{color} || '\">' || coalesce(CAST(match_score AS VARCHAR), '') || '/100</span></p>' || "
-            f"'<p><b>Advice:</b> ' || {s('advice')} || '</p>' || '<a href=\"' || {s('url')} || "
-            f"'\">Open offer</a></div>'")
+    return (f"'<section><h3>' || {s('title')} || '</h3><p>' || {s('company')} || '</p><p style=\"color:' || {color} || '\">' || "
+            f"coalesce(CAST(match_score AS VARCHAR), '') || ' of 100</p><p>' || {s('advice')} || '</p><p><a href=\"' || {s('url')} || "
+            f"'\">To the offer</a></p></section>'")
 
 
 _RH_A, _RH_B = rpt.REPORT_HEAD.split("{n}")

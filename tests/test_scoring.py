@@ -65,7 +65,9 @@ def test_plugin_scorer_and_dead_letter(spark):
 def test_render_prompt_clips(spark):
     df = spark.createDataFrame([("x" * 9000, "my cv")], "description string, cv_text string")
     p = sc.render_prompt(df).first()["prompt"]
-    assert "x" * 8000 in p and "x" * 8001 not in p and p.rstrip().endswith("my cv")
+    assert "x" * 8000 in p and "x" * 8001 not in p and "my cv" in p
+    own = sc.render_prompt(df, "CV {description} / {cv}!").first()["prompt"]
+    assert own == "CV " + "x" * 8000 + " / my cv!"
 
 
 def test_report_lines_escape_and_order(spark):
@@ -74,7 +76,7 @@ def test_report_lines_escape_and_order(spark):
                                 "profile_id long, seq long, title string, company string, url string, "
                                 "match_score int, advice string")
     lines = rpt.report_lines(res).orderBy("profile_id", "ord").collect()
-    assert lines[0]["html"].endswith("Offer analysis results (2)</h2><hr>")
+    assert lines[0]["html"].endswith("Scored offers: 2</h1>")
     assert "&lt;b&gt;T&lt;/b&gt;" in lines[2]["html"] and "A&amp;B" in lines[2]["html"]
     assert "#dc3545" in lines[1]["html"] and "#28a745" in lines[2]["html"]
     assert lines[-1]["html"] == rpt.REPORT_TAIL
