@@ -31,7 +31,7 @@ def test_legacy_topics_and_slugs():
     assert topics == {
         "current": (["data", "python", "ai"], False, 9), "legacy_justjoinit": (["data", "python", "ai"], False, 11),
         "legacy_nofluffjobs": (["data", "artificial-intelligence"], False, 6), "legacy_bulldogjob": (["data", "backend", "ai"], True, 6),
-        "legacy_theprotocol": (["python", "ai-ml"], True, 5),
+        "legacy_theprotocol": (["python", "ai-ml"], True, 6),
         "legacy_pracujpl": (["ai-ml", "backend", "data-analytics-and-bi", "big-data-science"], False, 8)}
     assert {site: default for site, (_, default) in se.SLUG_MAPS.items()} == {"NoFluffJobs": "data", "TheProtocol": "big-data"}
     assert se.SLUG_MAPS["NoFluffJobs"][0]["ai"] == "artificial-intelligence" and se.SLUG_MAPS["TheProtocol"][0]["ai"] == "ai-ml"
