@@ -2,11 +2,14 @@
 
 A document is the set of its five-word shingles (lower-cased over A-Z; fewer
 words make one shorter shingle). Documents with equal sets are one class with a
-count. Each class has one short signature per tree; a tree is the list of its
-signatures sorted by prefix, and classes that share a prefix are neighbours in
-it. Prefixes begin at ``deepest`` hashes and are shortened one by one until a
-pair at the threshold is met in at least one tree with the target recall; a
-pair above the threshold is met more often still.
+count. Each class has one short signature per tree; classes that share a prefix of
+it are neighbours in that tree. The prefix length is the longest, shortened one by
+one from ``deepest``, at which a pair at the threshold itself is met in at least one
+tree with the target recall; a pair above it is met more often still. As no link
+may be lost, this bound per pair decides, not the recall measured on some table:
+a longer prefix would find most links of most tables, but lose more of those at
+the threshold. So all trees are matched at this one length, by equality of
+prefixes, and no trie is walked level by level.
 
 Neighbours are compared in two steps. Signatures alone first: a pair belongs to
 the first tree that holds it, and pairs whose signatures agree in under half of

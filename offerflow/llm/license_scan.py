@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 
@@ -60,6 +61,38 @@ NOTICES = [
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
     ("cc0-1.0", "dedicated to the public domain under cc0 1 0", ["cc0"]),
     ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
+    # file headers
+    ("gpl-3.0", "free software you can redistribute it and or modify it under the terms of the gnu general public license as published "
+                "by the free software foundation either version 3 of the license or at your option any later version",
+     ["gnu general public license", "version 3"]),
+    ("gpl-2.0", "free software you can redistribute it and or modify it under the terms of the gnu general public license as published "
+                "by the free software foundation either version 2 of the license or at your option any later version",
+     ["gnu general public license", "version 2"]),
+    ("lgpl", "free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published "
+             "by the free software foundation either version 3 of the license or at your option any later version",
+     ["gnu lesser general public license"]),
+    ("lgpl", "free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published "
+             "by the free software foundation either version 2 1 of the license or at your option any later version",
+     ["gnu lesser general public license"]),
+    ("agpl-3.0", "free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published "
+                 "by the free software foundation either version 3 of the license or at your option any later version",
+     ["gnu affero general public license"]),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+     ["apache license version 2 0"]),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2 0"]),
+    # openings of the full texts
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007", ["gnu general public license version 3"]),
+    ("gpl-2.0", "gnu general public license version 2 june 1991", ["gnu general public license version 2"]),
+    ("lgpl", "gnu lesser general public license version 3 29 june 2007", ["gnu lesser general public license version 3"]),
+    ("lgpl", "gnu lesser general public license version 2 1 february 1999", ["gnu lesser general public license version 2 1"]),
+    ("agpl-3.0", "gnu affero general public license version 3 19 november 2007", ["gnu affero general public license version 3"]),
+    ("apache-2.0", "apache license version 2 0 january 2004", ["apache license version 2 0"]),
+    ("mpl-2.0", "mozilla public license version 2 0", ["mozilla public license version 2 0"]),
+    # SPDX lines
+    *((label, f"spdx license identifier {name}", [f"spdx license identifier {name}"]) for label, name in (
+        ("mit", "mit"), ("apache-2.0", "apache 2 0"), ("gpl-2.0", "gpl 2 0"), ("gpl-3.0", "gpl 3 0"), ("lgpl", "lgpl 2 1"), ("lgpl", "lgpl 3 0"),
+        ("agpl-3.0", "agpl 3 0"), ("mpl-2.0", "mpl 2 0"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("isc", "isc"),
+        ("unlicense", "unlicense"), ("cc0-1.0", "cc0 1 0"), ("cc-by-4.0", "cc by 4 0"), ("cc-by-sa-4.0", "cc by sa 4 0"))),
 ]
 
 
@@ -108,20 +141,21 @@ class Index:
             if not mine or sum(self.idf[w] * len(postings[w]) for w in mine) < self.least * weight:
                 continue  # its words are not there, so its weight cannot be
             # Any place with the least share holds one of the rarest words that together weigh more than the rest.
-            votes: Counter[int] = Counter()
+            hits: set[int] = set()
             spent = 0.0
             for n, w in enumerate(mine):
                 if n >= self.lookups and spent > (1 - self.least) * weight:
                     break
                 spent += self.idf[w] * len(postings[w])
-                for p in at[w]:
-                    for q in postings[w]:
-                        votes[p - q] += 1
+                hits.update(p - q for p in at[w] for q in postings[w])
+            # a word may stand off its place by the drift, so may the start that it votes for
+            starts = {h + d for h in hits for d in range(-self.drift, self.drift + 1)}
             keys = [self.places(words, k, at) for k in t.keys]
             best, where = 0.0, -1
-            for start, _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
+            for start in sorted(starts):
                 low, high = start - self.drift, start + len(t.words) + self.drift
-                if not all(any(low <= s and s + len(k) <= high for s in found)
+                # places ascend: the first one from `low` on is the only one to look at
+                if not all((i := bisect_left(found, low)) < len(found) and found[i] + len(k) <= high
                            for k, found in zip(t.keys, keys, strict=True)):
                     continue
                 got = 0.0

@@ -95,6 +95,67 @@ def test_license_base_places_match_the_contract(spark, table):
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
 
 
+HEADER = ("This file is part of it. It is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by\n"
+          "the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    (HEADER.format("General Public License", "3"), "gpl,gpl-3.0"), (HEADER.format("General Public License", "2"), "gpl,gpl-2.0"),
+    (HEADER.format("Lesser General Public License", "2.1"), "lgpl"), (HEADER.format("Lesser General Public License", "3"), "lgpl"),
+    (HEADER.format("Affero General Public License", "3"), "agpl-3.0"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "apache,apache-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "gpl,gpl-3.0"), ("GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991", "gpl,gpl-2.0"),
+    ("Apache License\nVersion 2.0, January 2004", "apache,apache-2.0"), ("// SPDX-License-Identifier: MIT", "mit"),
+    ("# SPDX-License-Identifier: GPL-2.0-only", "gpl-2.0"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd"),
+    ("SPDX-License-Identifier: LicenseRef-Own", ""), ("version 3 of the general software may be redistributed", "")])
+def test_license_headers_openings_and_spdx_lines(spark, table, text, labels):
+    docs = table([text, *["some other words of a corpus that names no licence at all"] * 30])
+    assert by_id(license_scan.scan_licenses(docs))[0].labels == labels
+
+
+def plain_notices(index, text):
+    """Every place of every notice, tried one by one."""
+    words = license_scan.words_of(text)
+    out = {}
+    for t in index.templates:
+        weight, best = sum(index.idf[w] for w in t.words), 0.0
+        for start in range(-len(t.words), len(words) + 1):
+            low, high = start - index.drift, start + len(t.words) + index.drift
+            if all(any(low <= s and s + len(k) <= high and words[s:s + len(k)] == k for s in range(len(words))) for k in t.keys):
+                best = max(best, sum(index.idf[w] for q, w in enumerate(t.words)
+                                     if w in words[max(0, start + q - index.drift):max(0, start + q + index.drift + 1)]))
+        if best >= index.least * weight:
+            out[t.label] = max(out.get(t.label, 0), best / weight)
+    return out
+
+
+def test_license_labels_and_score_equal_every_place(spark, table):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            notice = rng.choice(license_scan.NOTICES)[1].split()
+            words += [w for w in notice if rng.random() < 0.93] + rng.choices(["the", "license", "plain", "2", "0"], k=rng.randrange(4))
+        texts.append(" ".join(words))
+    docs = table(texts)
+    index = license_scan.build_index(docs)
+    for i, r in by_id(license_scan.scan_licenses(docs)).items():
+        want = plain_notices(index, texts[i])
+        base = set(filter(None, r.base_labels.split(",")))
+        assert r.labels == ",".join(sorted(set(want) | base)), texts[i]
+        assert math.isclose(r.score, 1.0 if base else min(1.0, max(want.values(), default=0.0)), abs_tol=1e-9)
+
+
+def test_license_scan_of_a_phrase_repeated_through_a_long_text(table):
+    import time
+
+    index = license_scan.Index(dict.fromkeys(license_scan.vocabulary(license_scan.notices(), [p.encode().split() for p in license_scan.BASE]), 1.0))
+    start = time.process_time()
+    assert index.scan("all rights reserved " * 60_000)[5] == "all-rights-reserved"
+    assert time.process_time() - start < 20
+
+
 @pytest.mark.parametrize(("text", "labels"), [
     ("Some code.\nLicensed under the Apache License, Version 2.0.", "apache,apache-2.0"),
     ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
