@@ -234,6 +234,21 @@ def q_fresh(spark, sf):
     return ofr.fresh_only(offers_df(spark, sf), fx.REF_TS, 14).select("seq", "posted_at")
 
 
+@register("fresh_by_day", O.with_(O.OFFERS, O.PROFILES) + """
+SELECT 'one' AS asked, seq FROM offers WHERE posted_ts >= TIMESTAMP '2024-03-01 00:00:00' - INTERVAL 336 HOUR
+UNION ALL SELECT 'searches', seq FROM offers WHERE posted_ts >= TIMESTAMP '2024-03-01 00:00:00' - to_days((SELECT max(max_days_old) FROM profiles
+  WHERE max_days_old < 60))""")
+def q_fresh_by_day(spark, sf):
+    """The offers stored by day, read for one age limit and for a table of searches."""
+    from ..session import scratch_path
+    from ..sources import daily
+    path = scratch_path(spark, "offers_by_day")
+    daily.write_by_day(offers_df(spark, sf).select("seq", "job_url", "posted_ts"), path)
+    one = daily.read_fresh(spark, path, fx.REF_TS, 14).select(F.lit("one").alias("asked"), "seq")
+    some = daily.read_for(spark, path, fx.REF_TS, fx.profiles(spark, sf).where("max_days_old < 60"))
+    return one.unionByName(some.select(F.lit("searches").alias("asked"), "seq"))
+
+
 @register("place_filter", O.with_(O.OFFERS) + """
 SELECT 'current' AS mode, seq FROM offers WHERE location = 'fr'
 UNION ALL SELECT 'remote_only', seq FROM offers WHERE is_remote

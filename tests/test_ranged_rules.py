@@ -34,6 +34,34 @@ def test_one_search_is_read_from_the_files_that_hold_it(spark):
     assert ranged.read_ranged(spark, path).count() == ranged.read_key(spark, path, "profile_id", 7).count() == 0
 
 
+def test_an_age_limit_opens_the_days_it_needs(spark):
+    import datetime as dt
+
+    from offerflow.operators.offers import fresh_only
+    from offerflow.sources import daily
+
+    ref = "2024-03-01 12:00:00"
+    rows = [(i, f"u{i}", dt.datetime(2024, 2, 1 + i % 29, i % 24)) for i in range(600)] + [(700, "u", None), (701, None, dt.datetime(2024, 3, 1, 13))]
+    offers = spark.createDataFrame(rows, "seq long, job_url string, posted_ts timestamp_ntz")
+    path = scratch_path(spark, "by-day")
+    daily.write_by_day(offers, path)
+    seqs = lambda df: sorted(r["seq"] for r in df.collect())
+    for days in (0, 3, 14, 400):
+        got = daily.read_fresh(spark, path, ref, days)
+        assert seqs(got) == seqs(fresh_only(offers, ref, days)) and got.columns == offers.columns
+    got = daily.read_fresh(spark, path, ref, 3)
+    scan = got._jdf.queryExecution().executedPlan().toString()
+    filters = scan.split("PartitionFilters: ")[1].split("]")[0]
+    assert "day#" in filters and ">= 2024-02-27" in filters
+    days = glob.glob(path.removeprefix("file:") + "/day=*")
+    opened = {r[0].split("/")[-2] for r in got.select(F.input_file_name()).distinct().collect()}
+    assert len(days) == 31 and opened <= {f"day=2024-02-{d}" for d in (27, 28, 29)} | {"day=2024-03-01"}
+    s = spark.createDataFrame([(1, 3), (2, 14)], "profile_id long, max_days_old int")
+    assert seqs(daily.read_for(spark, path, ref, s)) == seqs(fresh_only(offers, ref, 14))
+    assert daily.read_for(spark, path, ref, s.unionByName(spark.createDataFrame([(3, None)], s.schema))).count() == 602
+    assert daily.read_for(spark, path, ref, s.limit(0)).count() == 602
+
+
 def test_built_in_sites_read_alike_by_rows_and_by_rules(spark):
     from conftest import SF_SMALL
     from offerflow.sources import site_pages as sp
