@@ -31,6 +31,8 @@ from offerflow.llm.common import Remembered, map_texts
 MARK = "▁"
 #: Unigram tokenizers score an unknown character this much below the lowest piece.
 UNKNOWN_PENALTY = 10.0
+#: Words of more characters are solved anew each time, so that none of them stays in memory.
+REMEMBERED = 256
 
 
 class Counter:
@@ -40,6 +42,7 @@ class Counter:
             self.machine.add_word(piece, (len(piece), score))
         self.machine.make_automaton()
         self.single = {p for p in pieces if len(p) == 1}
+        self.longest = max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN_PENALTY
         inner = any(MARK in p.lstrip(MARK) for p in pieces)
         breaks = "".join(c for c in "\n\t\r" if not any(c in p for p in pieces))
@@ -52,28 +55,35 @@ class Counter:
         n = len(word)
         if not n:
             return 0, 0.0
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for last, found in self.machine.iter(word):
-            ending[last].append(found)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
+        # No path reaches back further than the longest piece, and matches come in order of
+        # their ends, so a ring of that length holds all that is needed of a word of any size.
+        ring = self.longest + 1
+        score, count = [0.0] * ring, [0] * ring
+        found = self.machine.iter(word)
+        end, match = next(found, (n, None))
         for at in range(n):
+            ending = []
+            while end == at:
+                ending.append(match)
+                end, match = next(found, (n, None))
             best, pieces = None, 0
-            for length, value in sorted(ending[at], reverse=True):  # earliest start first; a tie keeps it
-                total = score[at + 1 - length] + value
+            for length, value in sorted(ending, reverse=True):  # earliest start first; a tie keeps it
+                total = score[(at + 1 - length) % ring] + value
                 if best is None or total > best:
-                    best, pieces = total, count[at + 1 - length] + 1
+                    best, pieces = total, count[(at + 1 - length) % ring] + 1
             if word[at] not in self.single:
-                total = score[at] + self.unknown
+                total = score[at % ring] + self.unknown
                 if best is None or total > best:
-                    best, pieces = total, count[at] + len(word[at].encode())
-            score[at + 1], count[at + 1] = best, pieces
-        return count[n], score[n]
+                    best, pieces = total, count[at % ring] + len(word[at].encode())
+            score[(at + 1) % ring], count[(at + 1) % ring] = best, pieces
+        return count[n % ring], score[n % ring]
 
     def count(self, text: str) -> tuple[int, float]:
         if not text:
             return 0, 0.0
         pieces, score = 0, 0.0
-        for n, s in map(self._solved.__getitem__, self.split.findall(MARK + text.replace(" ", MARK))):
+        for word in self.split.findall(MARK + text.replace(" ", MARK)):
+            n, s = self._solved[word] if len(word) <= REMEMBERED else self.solve(word)
             pieces += n
             score += s
         return pieces, score

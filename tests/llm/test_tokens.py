@@ -64,6 +64,21 @@ def test_unigram_tie_goes_to_the_earlier_start():
     assert counter.solve("xé")[0] == 3  # unknown characters count their bytes
 
 
+def test_a_long_word_without_spaces_takes_bounded_memory():
+    import tracemalloc
+
+    counter = token_counts.counter()
+    word = "".join(random.Random(3).choices("abcdefgh\u6f22\u5b57", k=150_000))
+    encoded = UNI.encode(word[:20_000])
+    text = token_counts.MARK + word[:20_000]
+    assert counter.solve(text)[0] == len(UNI.encode(text).ids) and len(encoded.ids) > 1000
+    tracemalloc.start()
+    counter.count(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(word)  # copies of the text, nothing per match
+
+
 def test_queries_on_tricky_rows(table):
     docs = table(TRICKY)
     out = by_id(bpe.round_trip(docs))
