@@ -2,18 +2,23 @@
 
 A document is the set of its five-word shingles (lower-cased over A-Z; fewer
 words make one shorter shingle). Documents with equal sets are one class with a
-count. Each class has one short signature per tree; classes that share a prefix of
-it are neighbours in that tree. The prefix length is the longest, shortened one by
-one from ``deepest``, at which a pair at the threshold itself is met in at least one
-tree with the target recall; a pair above it is met more often still. As no link
-may be lost, this bound per pair decides, not the recall measured on some table:
-a longer prefix would find most links of most tables, but lose more of those at
-the threshold. So all trees are matched at this one length, by equality of
-prefixes, and no trie is walked level by level.
-
-Neighbours are compared in two steps. Signatures alone first: a pair belongs to
-the first tree that holds it, and pairs whose signatures agree in under half of
-their hashes are dropped (at similarity 0.8 that has a chance of about 1e-11).
+count. Each class has one signature of ``deepest`` hashes per tree: its path in a
+trie whose nodes are the prefixes that two classes or more share. The tries are
+walked from the deepest level up. A level compares the classes of a node whose
+paths part right below it (a node with one child brings no new pair and is
+skipped), so a pair is met once, at its longest common prefix in any tree.
+
+How far prefixes are shortened depends on the table. The agreement of two
+signatures estimates a pair's similarity, and that its chance of having been met
+by now, 1 - (1 - s^depth)^trees; the pairs met so far stand for those not met. The
+walk ends when the links expected to be lost in the whole table, one more link at
+the threshold included, are at most ``LOST``, or at the level where a pair at the
+threshold itself is met with ``RECALL``, whichever is deeper. Tables with few links near the
+threshold end early; tables with many end at the second bound.
+
+Neighbours are compared in two steps. Signatures alone first: pairs whose
+signatures agree in under half of their hashes are dropped (at similarity 0.8
+that has a chance below 1e-11).
 Only classes with a pair left send their shingle set, only to the groups where
 the pair was new, and the set sizes and intersections decide exactly. A prefix
 shared by many classes is cut into blocks by a hash; each pair of blocks is a
@@ -27,6 +32,9 @@ repeat an id stay rows of their own; other columns are not read.
 
 from __future__ import annotations
 
+import logging
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -40,22 +48,46 @@ from offerflow.llm.embedding_dedup import forest
 WIDTH = 5
 THRESHOLD = (4, 5)  # a similarity of 4/5
 TREES = 20
-DEEPEST = 8
+#: Hashes in a signature per tree: the level that the walk begins at.
+DEEPEST = 6
+#: Least chance of a pair at the threshold to be met at the last level.
 RECALL = 0.9999
+#: Links that may be expected lost in a table when the walk ends earlier.
+LOST = 0.001
+#: Signatures that agree in a smaller share are no link: 3 standard errors below the threshold.
+UNLIKE = 0.69
 #: Classes in a block of a shared prefix, about.
 BLOCK = 256
 
+log = logging.getLogger(__name__)
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def met(similarity: np.ndarray | float, depth: int, trees: int = TREES) -> np.ndarray | float:
+    """The chance that a pair shares a prefix of this length in a tree or more."""
+    return 1 - (1 - similarity ** depth) ** trees
+
+
 def prefix_depth(trees: int = TREES, deepest: int = DEEPEST, similarity: float = 0.8, recall: float = RECALL) -> int:
     """The longest prefix, shortened from ``deepest``, that keeps the recall."""
     depth = deepest
-    while depth > 1 and 1 - (1 - similarity ** depth) ** trees < recall:
+    while depth > 1 and met(similarity, depth, trees) < recall:
         depth -= 1
     return depth
 
 
+def expected_loss(agreements: np.ndarray, depth: int, trees: int) -> tuple[float, float]:
+    """(links expected lost, recall) once prefixes of ``depth`` have been matched.
+    ``agreements[a]`` counts the pairs met whose signatures agree in ``a`` hashes."""
+    share = np.arange(len(agreements)) / (len(agreements) - 1)
+    low = THRESHOLD[0] / THRESHOLD[1]
+    pairs = np.where(share >= UNLIKE, agreements, 0).astype(float)
+    chance = met(np.maximum(share, low), depth, trees)
+    lost = float((pairs * (1 / chance - 1)).sum() + 1 / met(low, depth, trees) - 1)
+    return lost, 1 - lost / (float(pairs.sum()) + 1 + lost)
+
+
 _word_hash = Remembered(xxhash.xxh3_64_intdigest, 200_000)
 
 
@@ -74,6 +106,11 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(out)
 
 
+GROUP = ("tree", "key", "i", "j")
+_TICKET = pa.schema([("tree", pa.int32()), ("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("b", pa.int32()),
+                     ("cls", pa.int64()), ("agree", pa.int32()), ("pairs", pa.int64())])
+
+
 def hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.default_rng(20240229)
     return random.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), random.integers(
@@ -91,26 +128,30 @@ def signature(items: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.nd
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def new_pairs(s: np.ndarray, tree: int, depth: int, first: np.ndarray, second: np.ndarray | None):
-    """Pairs of signature rows that agree in half their hashes or more and meet
-    in this tree for the first time; among ``first``, or of first with second."""
+def new_pairs(s: np.ndarray, trees: int, tree: int, depth: int, first: np.ndarray, second: np.ndarray | None):
+    """Pairs of signature rows that agree in half their hashes or more and whose
+    longest common prefix in any tree has this depth, in this tree first; among
+    ``first``, or of first with second. And the number of hashes that agree."""
     same = second is None
     q = first if same else second
-    left, right = [], []
+    deepest = s.shape[1] // trees
+    left, right, agree = [], [], []
     for at in range(0, len(first), 64):
         p = first[at:at + 64]
         eq = s[p][:, None, :] == s[q][None, :, :]
-        ok = eq.sum(2) * 2 >= s.shape[1]
-        if tree:
-            ok &= ~eq[:, :, :tree * depth].reshape(len(p), len(q), tree, depth).all(3).any(2)
-        ok &= eq[:, :, tree * depth:(tree + 1) * depth].all(2)
-        i, j = np.nonzero(ok)
-        i, j = p[i], q[j]
+        total = eq.sum(2)
+        i, j = np.nonzero((total * 2 >= s.shape[1]) & eq[:, :, tree * deepest:tree * deepest + depth].all(2))
         if same:
-            i, j = i[i < j], j[i < j]
-        left.append(i)
-        right.append(j)
-    return np.concatenate(left), np.concatenate(right)
+            i, j = i[p[i] < q[j]], j[p[i] < q[j]]
+        path = eq[i, j].reshape(len(i), trees, deepest)
+        ok = ~path[:, :tree, :depth].all(2).any(1)
+        if depth < deepest:
+            ok &= ~path[:, :, :depth + 1].all(2).any(1)
+        i, j = i[ok], j[ok]
+        left.append(p[i])
+        right.append(q[j])
+        agree.append(total[i, j])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(agree)
 
 
 def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -146,6 +187,61 @@ def _sides(side: np.ndarray, i: int, j: int):
     return np.flatnonzero(side == i), None if i == j else np.flatnonzero(side == j)
 
 
+def walk(classes: DataFrame, trees: int, deepest: int, recall: float, block: int) -> tuple[DataFrame, int, float]:
+    """Tickets (depth, tree, key, i, j, b, cls) of the classes (cls, sig) that have a
+    pair in a group, the depth at which the walk ended, and the recall expected then."""
+    last = prefix_depth(trees, deepest, THRESHOLD[0] / THRESHOLD[1], recall)
+    agreements = np.zeros(trees * deepest + 1, np.int64)
+    levels = []
+    for depth in range(deepest, last - 1, -1):
+        level = saved(_level(classes, trees, deepest, depth, block), f"tickets-{depth}")
+        levels.append(level.where("cls is not null").select(F.lit(depth).alias("depth"), *GROUP, "b", "cls"))
+        for r in level.where("cls is null").groupBy("agree").agg(F.sum("pairs").alias("pairs")).collect():  # a row per hash at most
+            agreements[r["agree"]] += r["pairs"]
+        lost, reached = expected_loss(agreements, depth, trees)
+        log.info("forest: depth %d, %d pairs met, %.3g links expected lost, recall %.7f", depth, agreements.sum(), lost, reached)
+        if lost <= LOST:
+            break
+    return reduce(DataFrame.unionByName, levels), depth, reached
+
+
+def _level(classes: DataFrame, trees: int, deepest: int, depth: int, block: int) -> DataFrame:
+    """Tickets of one level, and rows without a class that count its pairs by agreement."""
+
+    def prefix(length: int) -> str:
+        return f"xxhash64(t, substring(sig, t * {4 * deepest} + 1, {4 * length}))"
+
+    child = prefix(depth + 1) if depth < deepest else "cls"
+    paths = F.expr(f"transform(sequence(0, {trees - 1}), t -> struct(t AS tree, {prefix(depth)} AS key, {child} AS child))")
+    leaves = classes.select("cls", F.explode(paths).alias("path")).select("cls", "path.*")
+    nodes = (leaves.groupBy("tree", "key").agg(F.count("*").alias("m"), F.min("child").alias("low"), F.max("child").alias("high"))
+             .where("low <> high").select("tree", "key", "m"))
+    inside = (leaves.join(nodes, ["tree", "key"])
+              .withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+              .withColumn("b", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")).cast("int"))
+              # one group for each pair of blocks (i <= j) that the member's block is in
+              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("tree", "key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cls"))
+
+    def meet(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                cls, side, s = _members(r["members"])
+                first, second = _sides(side, r["i"], r["j"])
+                if len(first) and (second is None or len(second)):
+                    p, q, agree = new_pairs(s, trees, r["tree"], depth, first, second)
+                    name = r["tree"], r["key"], r["i"], r["j"]
+                    out += [(*name, int(side[x]), int(cls[x]), None, None) for x in np.unique(np.concatenate([p, q]))]
+                    out += [(*name, None, None, int(a), int(n)) for a, n in zip(*np.unique(agree, return_counts=True), strict=True)]
+            cols = list(zip(*out, strict=True)) or [()] * len(_TICKET)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, _TICKET, strict=True)], schema=_TICKET)
+
+    return (inside.join(classes.select("cls", "sig"), "cls").groupBy(*GROUP)
+            .agg(F.collect_list(F.struct("cls", "b", "sig")).alias("members"))
+            .mapInArrow(meet, "tree int, key long, i int, j int, b int, cls long, agree int, pairs long"))
+
+
 def jaccard_links(docs: DataFrame, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL,
                   block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, copies, n_links, class_id) of every document row."""
@@ -155,8 +251,7 @@ def jaccard_links(docs: DataFrame, trees: int = TREES, deepest: int = DEEPEST, r
 def _links(docs: DataFrame, trees: int, deepest: int, recall: float, block: int) -> DataFrame:
     """The same with ``text_hash``, which tells rows of one id apart, and ``group``, which
     tells classes apart that share their smallest id (null without shingles)."""
-    depth = prefix_depth(trees, deepest, THRESHOLD[0] / THRESHOLD[1], recall)
-    family = hash_family(trees * depth)
+    family = hash_family(trees * deepest)
 
     def sign(_, doc_id, text, text_hash):
         items = shingles(text)
@@ -170,36 +265,7 @@ def _links(docs: DataFrame, trees: int, deepest: int, recall: float, block: int)
     classes = saved(signed.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
 
-    # The forest: prefixes that two classes or more share.
-    prefix = F.expr(f"transform(sequence(0, {trees - 1}), t -> xxhash64(t, substring(sig, t * {4 * depth} + 1, {4 * depth})))")
-    leaves = classes.select("cls", F.posexplode(prefix).alias("tree", "key"))
-    shared = leaves.groupBy("tree", "key").agg(F.count("*").alias("m")).where("m > 1")
-    inside = (leaves.join(shared, ["tree", "key"])
-              .withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-              .withColumn("b", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")).cast("int"))
-              # one group for each pair of blocks (i <= j) that the member's block is in
-              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("tree", "key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cls"))
-    group = ["tree", "key", "i", "j"]
-
-    def meet(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            for r in batch.to_pylist():
-                cls, side, s = _members(r["members"])
-                first, second = _sides(side, r["i"], r["j"])
-                if len(first) and (second is None or len(second)):
-                    p, q = new_pairs(s, r["tree"], depth, first, second)
-                    out += [(r["tree"], r["key"], r["i"], r["j"], int(side[x]), int(cls[x]))
-                            for x in np.unique(np.concatenate([p, q]))]
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(cols, _TICKET, strict=True)], ["tree", "key", "i", "j", "b", "cls"])
-
-    tickets = saved(
-        inside.join(classes.select("cls", "sig"), "cls").groupBy(*group)
-        .agg(F.collect_list(F.struct("cls", "b", "sig")).alias("members"))
-        .mapInArrow(meet, "tree int, key long, i int, j int, b int, cls long"), "tickets")
+    tickets, _, _ = walk(classes, trees, deepest, recall, block)
 
     # Shingle sets, for classes that hold a ticket.
     wanted = classes.join(tickets.select("cls").distinct(), "cls", "left_semi")
@@ -224,7 +290,7 @@ def _links(docs: DataFrame, trees: int, deepest: int, recall: float, block: int)
                 first, second = _sides(side, r["i"], r["j"])
                 if not len(first) or second is not None and not len(second):
                     continue
-                p, q = new_pairs(s, r["tree"], depth, first, second)
+                p, q, _ = new_pairs(s, trees, r["tree"], r["depth"], first, second)
                 size = np.array([len(x) for x in sets], np.int64)
                 both = intersections(sets, p, q)
                 near = both * THRESHOLD[1] >= (size[p] + size[q] - both) * THRESHOLD[0]
@@ -238,7 +304,7 @@ def _links(docs: DataFrame, trees: int, deepest: int, recall: float, block: int)
                     pa.array([*total[at].astype(np.int64).tolist(), *[0] * len(links)], pa.int64())], ["cls", "other", "links"])
 
     found = saved(
-        tickets.join(sets, "cls").groupBy(*group)
+        tickets.join(sets, "cls").groupBy("depth", *GROUP)
         .agg(F.collect_list(F.struct("cls", "b", "sig", "copies", "items")).alias("members"))
         .mapInArrow(verify, "cls long, other long, links long"), "links")
     counts = found.where("other is null").groupBy("cls").agg(F.sum("links").alias("links"))
@@ -256,9 +322,6 @@ def _links(docs: DataFrame, trees: int, deepest: int, recall: float, block: int)
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-_TICKET = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, all columns, one row of each class: the one with the smallest
     id (of several texts with that id, the one with the smallest hash; of rows
