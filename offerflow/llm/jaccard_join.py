@@ -205,8 +205,13 @@ def walk(classes: DataFrame, trees: int, deepest: int, recall: float, block: int
     return reduce(DataFrame.unionByName, levels), depth, reached
 
 
+def _tickets(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(_TICKET)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, _TICKET, strict=True)], schema=_TICKET)
+
+
 def _level(classes: DataFrame, trees: int, deepest: int, depth: int, block: int) -> DataFrame:
-    """Tickets of one level, and rows without a class that count its pairs by agreement."""
+    """Tickets of one level, and rows without a class, a few per task, that count its pairs by agreement."""
 
     def prefix(length: int) -> str:
         return f"xxhash64(t, substring(sig, t * {4 * deepest} + 1, {4 * length}))"
@@ -224,6 +229,7 @@ def _level(classes: DataFrame, trees: int, deepest: int, depth: int, block: int)
               .select("tree", "key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cls"))
 
     def meet(batches):
+        agreements = np.zeros(trees * deepest + 1, np.int64)
         for batch in batches:
             out: list[tuple] = []
             for r in batch.to_pylist():
@@ -231,11 +237,11 @@ def _level(classes: DataFrame, trees: int, deepest: int, depth: int, block: int)
                 first, second = _sides(side, r["i"], r["j"])
                 if len(first) and (second is None or len(second)):
                     p, q, agree = new_pairs(s, trees, r["tree"], depth, first, second)
-                    name = r["tree"], r["key"], r["i"], r["j"]
-                    out += [(*name, int(side[x]), int(cls[x]), None, None) for x in np.unique(np.concatenate([p, q]))]
-                    out += [(*name, None, None, int(a), int(n)) for a, n in zip(*np.unique(agree, return_counts=True), strict=True)]
-            cols = list(zip(*out, strict=True)) or [()] * len(_TICKET)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, _TICKET, strict=True)], schema=_TICKET)
+                    out += [(r["tree"], r["key"], r["i"], r["j"], int(side[x]), int(cls[x]), None, None)
+                            for x in np.unique(np.concatenate([p, q]))]
+                    agreements += np.bincount(agree, minlength=len(agreements))
+            yield _tickets(out)
+        yield _tickets([(*[None] * 6, a, int(agreements[a])) for a in np.flatnonzero(agreements).tolist()])
 
     return (inside.join(classes.select("cls", "sig"), "cls").groupBy(*GROUP)
             .agg(F.collect_list(F.struct("cls", "b", "sig")).alias("members"))
