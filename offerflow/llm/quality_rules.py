@@ -7,7 +7,8 @@ Viterbi decoding labels the lines, and the share of word characters in content
 lines decides whether a document stays. Simple base rules come first.
 
 The chain is trained by maximum conditional likelihood (forward-backward) on a
-bounded sample of documents with a quality label. Lines of good documents are
+bounded sample of documents with a quality label, none of over ``SAMPLE_LINES``
+lines, as the driver steps through the longest one. Lines of good documents are
 content. Lines of bad documents are boilerplate unless their features occur
 about as often in good ones. Without a label the weights are zero and ties go
 to content, so only the base rules decide.
@@ -35,6 +36,8 @@ DIGITS = b"0123456789"
 FEATURES = 18
 #: Labelled documents that the chain is fitted on, at most.
 SAMPLE_DOCS = 4000
+#: Lines with a word of such a document, at most; longer ones are scored, but not fitted on.
+SAMPLE_LINES = 2000
 #: Least share of word characters in content lines.
 CONTENT_SHARE = 0.5
 
@@ -221,15 +224,16 @@ def fit(rows: list[tuple[int, list[int]]], steps: int = 120, rate: float = 0.3,
     return Chain(theta[:FEATURES].copy(), theta[FEATURES:FEATURES + 2].copy(), theta[FEATURES + 2:].reshape(2, 2).copy())
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Chain:
-    """Fit the chain on at most ``sample_docs`` labelled documents; only their
-    line masks reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Chain:
+    """Fit the chain on at most ``sample_docs`` labelled documents, those of over
+    ``sample_lines`` lines left out; only their line masks reach the driver."""
 
     def row(_, doc_id, text, quality):
-        return doc_id, int(quality), read_lines(text)[0]
+        masks = read_lines(text)[0]
+        return doc_id, int(quality), masks if len(masks) <= sample_lines else None
 
     sample = labelled_sample(docs, labels, "quality", sample_docs)
-    rows = map_texts(sample, ["doc_id", "text", "quality"], row, "doc_id long, quality int, masks array<int>").collect()
+    rows = map_texts(sample, ["doc_id", "text", "quality"], row, "doc_id long, quality int, masks array<int>").where("masks is not null").collect()
     return fit([(r["quality"], r["masks"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["masks"]))])
 
 

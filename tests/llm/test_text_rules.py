@@ -84,6 +84,18 @@ def plain_licenses(text):
     return (len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found})))
 
 
+def test_quality_fit_leaves_out_documents_of_too_many_lines(spark, table):
+    texts = ["Plain words that make up a sentence of a text.\n" * 3, "| # | $$ |\n" * 3] * 4
+    labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(9)], "doc_id long, quality int")
+    long = "| # | $$ |\n" * 50
+    want = quality_rules.train(table(texts), labels)
+    got = quality_rules.train(table([*texts, long]), labels, sample_lines=49)
+    other = quality_rules.train(table([*texts, long]), labels, sample_lines=50)
+    assert np.array_equal(got.weights, want.weights) and np.array_equal(got.moves, want.moves)
+    assert not np.array_equal(other.weights, want.weights)
+    assert by_id(quality_rules.judge_documents(table([*texts, long]), labels))[8].n_lines == 50
+
+
 def test_license_base_places_match_the_contract(spark, table):
     random.seed(5)
     vocabulary = "gnu general public license apache cc by mit the é Version 2.0, and MIT/License CC-BY".split()
@@ -202,6 +214,49 @@ def test_factorization_machine_learns_a_pair_whose_words_tell_nothing_alone():
     assert pair > 0.7 and max(alone) < 0.3
 
 
+def test_factorization_machine_equals_the_sum_over_pairs():
+    rng = np.random.default_rng(21)
+    machine = toxicity.Machine(0.3, rng.normal(size=1 << toxicity.BITS).astype(np.float32),
+                               rng.normal(size=(1 << toxicity.BITS, 4)).astype(np.float32))
+    for text in ["", "one", "You are a silly goose", "word " * 30 + "and other words, longer ones as well"]:
+        ids = toxicity.term_ids(text).tolist()
+        v = machine.factors.astype(float)
+        plain = 0.3 + sum(float(machine.linear[i]) for i in ids) + sum(v[i] @ v[j] for i, j in itertools.combinations(ids, 2))
+        assert machine.raw(np.array(ids, np.int32)) == pytest.approx(plain)
+        assert machine.score(text) == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, plain)))))
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_joint_terms_equal_a_plain_count(block):
+    rng = np.random.default_rng(22)
+    rows = []
+    for _ in range(1500):
+        ids = np.flatnonzero(rng.random(14) < 0.3)
+        both = 2 in ids and 5 in ids
+        rows.append((ids.astype(np.int32), int(rng.random() < (0.9 if both else 0.1))))
+    rows += rows[:40]  # copies count once
+    once = {(tuple(x.tolist()), t) for x, t in rows}
+    share = sum(t for _, t in once) / len(once)
+    every = Counter(i for x, _ in once for i in x)
+    toxic = Counter(i for x, t in once if t for i in x)
+    terms = [i for i in sorted(every) if toxic[i] >= 5]
+    want = set()
+    for i, j in itertools.combinations(terms, 2):
+        held = [t for x, t in once if i in x and j in x]
+        if len(held) < 5:
+            continue
+
+        def odds(p):
+            return math.log(p / (1 - p))
+
+        hope = sum(odds((toxic[k] + 10 * share) / (every[k] + 10)) for k in (i, j)) - odds(share)
+        hope, seen = 1 / (1 + math.exp(-hope)), sum(held) / len(held)
+        away = sum(p * math.log(p / q) for p, q in ((seen, hope), (1 - seen, 1 - hope)) if p > 0)
+        if math.exp(-len(held) * away) * len(terms) * (len(terms) - 1) / 2 <= 0.01:
+            want |= {i, j}
+    assert {2, 5} <= want and set(toxicity.joint_terms(rows, block=block).tolist()) == want
+
+
 def test_toxicity_held_out(spark):
     docs, labels = read(spark, SF.replace("0.01", "0.1"), "documents"), read(spark, SF.replace("0.01", "0.1"), "labels")
     out = toxicity.score_toxicity(docs, labels).join(labels.where("toxic is not null"), "doc_id").where("held_out").toPandas()
