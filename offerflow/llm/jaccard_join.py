@@ -3,22 +3,21 @@
 A document is the set of its five-word shingles (lower-cased over A-Z; fewer
 words make one shorter shingle). Documents with equal sets are one class with a
 count. Each class has one signature of ``deepest`` hashes per tree: its path in a
-trie whose nodes are the prefixes that two classes or more share. The tries are
-walked from the deepest level up. A level compares the classes of a node whose
-paths part right below it (a node with one child brings no new pair and is
-skipped), so a pair is met once, at its longest common prefix in any tree.
-
-How far prefixes are shortened depends on the table. The agreement of two
-signatures estimates a pair's similarity, and that its chance of having been met
-by now, 1 - (1 - s^depth)^trees; the pairs met so far stand for those not met. The
-walk ends when the links expected to be lost in the whole table, one more link at
-the threshold included, are at most ``LOST``, or at the level where a pair at the
-threshold itself is met with ``RECALL``, whichever is deeper. Tables with few links near the
-threshold end early; tables with many end at the second bound.
+trie whose nodes are the prefixes that two classes or more share.
+
+How far prefixes are shortened depends on the table. The first tree is matched at
+its whole length. The agreement of two signatures estimates a pair's similarity s;
+a pair found there stands for 1 / s^deepest pairs, and each of them would be met by
+prefixes of another length with chance 1 - (1 - s^depth)^trees. From the deepest
+level up, prefixes lose a hash until the links expected to be lost in the whole
+table, one more link at the threshold included, are at most ``LOST``, or until a
+pair at the threshold itself is met with ``RECALL``, whichever is deeper. Tables
+with few links near the threshold end early, tables with many at the second bound.
+All classes are then matched in all trees at that level.
 
 Neighbours are compared in two steps. Signatures alone first: pairs whose
 signatures agree in under half of their hashes are dropped (at similarity 0.8
-that has a chance below 1e-11).
+that has a chance below 1e-11); a pair belongs to the first tree that holds it.
 Only classes with a pair left send their shingle set, only to the groups where
 the pair was new, and the set sizes and intersections decide exactly. A prefix
 shared by many classes is cut into blocks by a hash; each pair of blocks is a
@@ -33,7 +32,7 @@ repeat an id stay rows of their own; other columns are not read.
 from __future__ import annotations
 
 import logging
-from functools import reduce
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +47,11 @@ from offerflow.llm.embedding_dedup import forest
 WIDTH = 5
 THRESHOLD = (4, 5)  # a similarity of 4/5
 TREES = 20
-#: Hashes in a signature per tree: the level that the walk begins at.
+#: Hashes in a signature per tree: the longest prefix.
 DEEPEST = 6
-#: Least chance of a pair at the threshold to be met at the last level.
+#: Least chance of a pair at the threshold to be met by the shortest prefix.
 RECALL = 0.9999
-#: Links that may be expected lost in a table when the walk ends earlier.
+#: Links that may be expected lost in a table that is matched by longer prefixes.
 LOST = 0.001
 #: Signatures that agree in a smaller share are no link: 3 standard errors below the threshold.
 UNLIKE = 0.69
@@ -77,15 +76,16 @@ def prefix_depth(trees: int = TREES, deepest: int = DEEPEST, similarity: float =
     return depth
 
 
-def expected_loss(agreements: np.ndarray, depth: int, trees: int) -> tuple[float, float]:
-    """(links expected lost, recall) once prefixes of ``depth`` have been matched.
-    ``agreements[a]`` counts the pairs met whose signatures agree in ``a`` hashes."""
+def expected_loss(agreements: np.ndarray, depth: int, trees: int, deepest: int) -> tuple[float, float]:
+    """(links expected lost, recall) when prefixes of ``depth`` are matched in all trees.
+    ``agreements[a]`` counts the pairs met by the first tree's whole paths whose
+    signatures agree in ``a`` hashes."""
     share = np.arange(len(agreements)) / (len(agreements) - 1)
     low = THRESHOLD[0] / THRESHOLD[1]
-    pairs = np.where(share >= UNLIKE, agreements, 0).astype(float)
-    chance = met(np.maximum(share, low), depth, trees)
-    lost = float((pairs * (1 / chance - 1)).sum() + 1 / met(low, depth, trees) - 1)
-    return lost, 1 - lost / (float(pairs.sum()) + 1 + lost)
+    near = np.maximum(share, low)
+    pairs = np.where(share >= UNLIKE, agreements, 0) / near ** deepest
+    lost = float((pairs * (1 - met(near, depth, trees))).sum() + 1 - met(low, depth, trees))
+    return lost, 1 - lost / (float(pairs.sum()) + 1)
 
 
 _word_hash = Remembered(xxhash.xxh3_64_intdigest, 200_000)
@@ -129,9 +129,9 @@ def signature(items: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 
 def new_pairs(s: np.ndarray, trees: int, tree: int, depth: int, first: np.ndarray, second: np.ndarray | None):
-    """Pairs of signature rows that agree in half their hashes or more and whose
-    longest common prefix in any tree has this depth, in this tree first; among
-    ``first``, or of first with second. And the number of hashes that agree."""
+    """Pairs of signature rows that agree in half their hashes or more and share a prefix
+    of this depth in this tree first; among ``first``, or of first with second. And
+    the number of hashes that agree."""
     same = second is None
     q = first if same else second
     deepest = s.shape[1] // trees
@@ -145,8 +145,6 @@ def new_pairs(s: np.ndarray, trees: int, tree: int, depth: int, first: np.ndarra
             i, j = i[p[i] < q[j]], j[p[i] < q[j]]
         path = eq[i, j].reshape(len(i), trees, deepest)
         ok = ~path[:, :tree, :depth].all(2).any(1)
-        if depth < deepest:
-            ok &= ~path[:, :, :depth + 1].all(2).any(1)
         i, j = i[ok], j[ok]
         left.append(p[i])
         right.append(q[j])
@@ -187,22 +185,19 @@ def _sides(side: np.ndarray, i: int, j: int):
     return np.flatnonzero(side == i), None if i == j else np.flatnonzero(side == j)
 
 
-def walk(classes: DataFrame, trees: int, deepest: int, recall: float, block: int) -> tuple[DataFrame, int, float]:
-    """Tickets (depth, tree, key, i, j, b, cls) of the classes (cls, sig) that have a
-    pair in a group, the depth at which the walk ended, and the recall expected then."""
-    last = prefix_depth(trees, deepest, THRESHOLD[0] / THRESHOLD[1], recall)
+def forest_depth(classes: DataFrame, trees: int, deepest: int, recall: float, block: int) -> tuple[int, float]:
+    """The length of prefixes that the classes (cls, sig) are matched by, and the recall expected."""
+    met_pairs = saved(_level(classes, trees, 1, deepest, block).where("cls is null"), "agreements")
     agreements = np.zeros(trees * deepest + 1, np.int64)
-    levels = []
-    for depth in range(deepest, last - 1, -1):
-        level = saved(_level(classes, trees, deepest, depth, block), f"tickets-{depth}")
-        levels.append(level.where("cls is not null").select(F.lit(depth).alias("depth"), *GROUP, "b", "cls"))
-        for r in level.where("cls is null").groupBy("agree").agg(F.sum("pairs").alias("pairs")).collect():  # a row per hash at most
-            agreements[r["agree"]] += r["pairs"]
-        lost, reached = expected_loss(agreements, depth, trees)
-        log.info("forest: depth %d, %d pairs met, %.3g links expected lost, recall %.7f", depth, agreements.sum(), lost, reached)
-        if lost <= LOST:
-            break
-    return reduce(DataFrame.unionByName, levels), depth, reached
+    for r in met_pairs.groupBy("agree").agg(F.sum("pairs").alias("pairs")).collect():  # a row per hash at most
+        agreements[r["agree"]] = r["pairs"]
+    depth, last = deepest, prefix_depth(trees, deepest, THRESHOLD[0] / THRESHOLD[1], recall)
+    while depth > last and expected_loss(agreements, depth, trees, deepest)[0] > LOST:
+        depth -= 1
+    lost, reached = expected_loss(agreements, depth, trees, deepest)
+    log.info("forest: %d pairs in the first tree, prefixes of %d hashes, %.3g links expected lost, recall %.7f",
+             agreements.sum(), depth, lost, reached)
+    return depth, reached
 
 
 def _tickets(rows: list[tuple]) -> pa.RecordBatch:
@@ -210,17 +205,14 @@ def _tickets(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, _TICKET, strict=True)], schema=_TICKET)
 
 
-def _level(classes: DataFrame, trees: int, deepest: int, depth: int, block: int) -> DataFrame:
-    """Tickets of one level, and rows without a class, a few per task, that count its pairs by agreement."""
-
-    def prefix(length: int) -> str:
-        return f"xxhash64(t, substring(sig, t * {4 * deepest} + 1, {4 * length}))"
-
-    child = prefix(depth + 1) if depth < deepest else "cls"
-    paths = F.expr(f"transform(sequence(0, {trees - 1}), t -> struct(t AS tree, {prefix(depth)} AS key, {child} AS child))")
-    leaves = classes.select("cls", F.explode(paths).alias("path")).select("cls", "path.*")
-    nodes = (leaves.groupBy("tree", "key").agg(F.count("*").alias("m"), F.min("child").alias("low"), F.max("child").alias("high"))
-             .where("low <> high").select("tree", "key", "m"))
+def _level(classes: DataFrame, trees: int, used: int, depth: int, block: int) -> DataFrame:
+    """Tickets (tree, key, i, j, b, cls) of the classes that have a pair in a group of
+    classes which share a prefix of one of the ``used`` first trees, and rows without
+    a class, a few per task, that count the pairs by agreement."""
+    path = 4 * (F.length("sig") / F.lit(4 * trees)).cast("int")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(used - 1)), lambda t: F.xxhash64(t, F.substring("sig", t * path + 1, F.lit(4 * depth))))
+    leaves = classes.select("cls", F.posexplode(keys).alias("tree", "key"))
+    nodes = leaves.groupBy("tree", "key").agg(F.count("*").alias("m")).where("m > 1")
     inside = (leaves.join(nodes, ["tree", "key"])
               .withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
               .withColumn("b", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")).cast("int"))
@@ -229,7 +221,7 @@ def _level(classes: DataFrame, trees: int, deepest: int, depth: int, block: int)
               .select("tree", "key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "cls"))
 
     def meet(batches):
-        agreements = np.zeros(trees * deepest + 1, np.int64)
+        agreements = Counter()
         for batch in batches:
             out: list[tuple] = []
             for r in batch.to_pylist():
@@ -239,9 +231,9 @@ def _level(classes: DataFrame, trees: int, deepest: int, depth: int, block: int)
                     p, q, agree = new_pairs(s, trees, r["tree"], depth, first, second)
                     out += [(r["tree"], r["key"], r["i"], r["j"], int(side[x]), int(cls[x]), None, None)
                             for x in np.unique(np.concatenate([p, q]))]
-                    agreements += np.bincount(agree, minlength=len(agreements))
+                    agreements.update(agree.tolist())
             yield _tickets(out)
-        yield _tickets([(*[None] * 6, a, int(agreements[a])) for a in np.flatnonzero(agreements).tolist()])
+        yield _tickets([(*[None] * 6, a, n) for a, n in agreements.items()])
 
     return (inside.join(classes.select("cls", "sig"), "cls").groupBy(*GROUP)
             .agg(F.collect_list(F.struct("cls", "b", "sig")).alias("members"))
@@ -271,7 +263,8 @@ def _links(docs: DataFrame, trees: int, deepest: int, recall: float, block: int)
     classes = saved(signed.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
 
-    tickets, _, _ = walk(classes, trees, deepest, recall, block)
+    depth, _ = forest_depth(classes, trees, deepest, recall, block)
+    tickets = saved(_level(classes, trees, trees, depth, block).where("cls is not null").select(*GROUP, "b", "cls"), "tickets")
 
     # Shingle sets, for classes that hold a ticket.
     wanted = classes.join(tickets.select("cls").distinct(), "cls", "left_semi")
@@ -296,7 +289,7 @@ def _links(docs: DataFrame, trees: int, deepest: int, recall: float, block: int)
                 first, second = _sides(side, r["i"], r["j"])
                 if not len(first) or second is not None and not len(second):
                     continue
-                p, q, _ = new_pairs(s, trees, r["tree"], r["depth"], first, second)
+                p, q, _ = new_pairs(s, trees, r["tree"], depth, first, second)
                 size = np.array([len(x) for x in sets], np.int64)
                 both = intersections(sets, p, q)
                 near = both * THRESHOLD[1] >= (size[p] + size[q] - both) * THRESHOLD[0]
@@ -310,7 +303,7 @@ def _links(docs: DataFrame, trees: int, deepest: int, recall: float, block: int)
                     pa.array([*total[at].astype(np.int64).tolist(), *[0] * len(links)], pa.int64())], ["cls", "other", "links"])
 
     found = saved(
-        tickets.join(sets, "cls").groupBy("depth", *GROUP)
+        tickets.join(sets, "cls").groupBy(*GROUP)
         .agg(F.collect_list(F.struct("cls", "b", "sig", "copies", "items")).alias("members"))
         .mapInArrow(verify, "cls long, other long, links long"), "links")
     counts = found.where("other is null").groupBy("cls").agg(F.sum("links").alias("links"))

@@ -179,28 +179,29 @@ def test_prefix_depth_meets_the_recall():
     assert 1 - (1 - 0.8 ** depth) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard_join.TREES
 
 
-def test_new_pairs_are_met_once_at_their_longest_prefix():
+def test_new_pairs_are_met_once_in_their_first_tree():
     rng = np.random.default_rng(12)
     trees, deepest = 5, 4
     s = np.repeat(rng.integers(0, 3, (6, trees * deepest)), 5, axis=0)
     s = np.where(rng.random(s.shape) < 0.2, rng.integers(0, 3, s.shape), s).astype(np.uint32)
     every = np.arange(len(s))
-    seen = {}
-    for depth in range(deepest, 0, -1):
+    for depth in range(1, deepest + 1):
+        seen = {}
         for tree in range(trees):
             for a, b, same in zip(*jaccard_join.new_pairs(s, trees, tree, depth, every, None), strict=True):
                 assert (a, b) not in seen
-                seen[a, b] = depth, tree
+                seen[a, b] = tree
                 assert same == (s[a] == s[b]).sum()
-    for a in every:
-        for b in range(a + 1, len(s)):
-            paths = [list(x) for x in (s[a] == s[b]).reshape(trees, deepest)]
-            common = [(x + [False]).index(False) for x in paths]
-            met = max(common) > 0 and 2 * (s[a] == s[b]).sum() >= s.shape[1]
-            assert seen.get((a, b)) == ((max(common), common.index(max(common))) if met else None)
+        want = {}
+        for a in every:
+            for b in range(a + 1, len(s)):
+                holds = (s[a] == s[b]).reshape(trees, deepest)[:, :depth].all(1)
+                if holds.any() and 2 * (s[a] == s[b]).sum() >= s.shape[1]:
+                    want[a, b] = holds.argmax()
+        assert seen == want
 
 
-def test_the_walk_ends_early_in_a_table_of_few_links(spark):
+def test_prefixes_are_longer_in_a_table_of_few_links(spark):
     rng = np.random.default_rng(13)
     trees, deepest = jaccard_join.TREES, jaccard_join.DEEPEST
 
@@ -213,30 +214,28 @@ def test_the_walk_ends_early_in_a_table_of_few_links(spark):
                 rows.append((len(rows), sig.tobytes()))
         return spark.createDataFrame(rows, "cls long, sig binary")
 
-    def end(table):
-        tickets, depth, recall = jaccard_join.walk(table, trees, deepest, jaccard_join.RECALL, jaccard_join.BLOCK)
-        return depth, recall, tickets.select("cls").distinct().count()
+    def depth_of(table):
+        return jaccard_join.forest_depth(table, trees, deepest, jaccard_join.RECALL, jaccard_join.BLOCK)
 
     last = jaccard_join.prefix_depth()
-    sparse, sparse_recall, n = end(classes(40, 2, 0.01))
-    assert last < sparse <= deepest and sparse_recall > 0.9999 and n == 80
-    dense, dense_recall, n = end(classes(10, 20, 0.1))  # similarities about 0.8
-    assert dense == last and dense_recall > 0.9999 and n == 200
-    alone, _, n = end(classes(30, 1, 0))
-    assert alone > last and n == 0
+    sparse, recall = depth_of(classes(40, 2, 0.01))
+    assert last < sparse <= deepest and recall > 0.9999
+    dense, recall = depth_of(classes(10, 20, 0.1))  # similarities about 0.8
+    assert dense == last and recall > 0.9999
+    assert depth_of(classes(30, 1, 0))[0] > last
+    assert depth_of(classes(0, 1, 0))[0] > last
 
 
 def test_expected_loss_follows_the_pairs_met():
-    n = jaccard_join.TREES * 6
-    counts = np.zeros(n + 1, np.int64)
-    alone, _ = jaccard_join.expected_loss(counts, 6, 20)
-    assert alone == pytest.approx(1 / (1 - (1 - 0.8 ** 6) ** 20) - 1)  # the one more link
-    counts[n] = 1000  # equal signatures are always met
-    counts[n // 2] = 1000  # no links
-    lost, recall = jaccard_join.expected_loss(counts, 6, 20)
-    assert lost == pytest.approx(alone) and recall == pytest.approx(1 - lost / (1001 + lost))
-    counts[96] = 500  # at the threshold
-    assert jaccard_join.expected_loss(counts, 6, 20)[0] == pytest.approx(501 * alone)
+    counts = np.zeros(20 * 6 + 1, np.int64)
+    alone, _ = jaccard_join.expected_loss(counts, 5, 20, 6)
+    assert alone == pytest.approx((1 - 0.8 ** 5) ** 20)  # the one more link
+    counts[120] = 1000  # equal signatures are always met
+    counts[60] = 1000  # no links
+    lost, recall = jaccard_join.expected_loss(counts, 5, 20, 6)
+    assert lost == pytest.approx(alone) and recall == pytest.approx(1 - lost / 1001)
+    counts[96] = 500  # at the threshold: each stands for 1 / 0.8^6
+    assert jaccard_join.expected_loss(counts, 5, 20, 6)[0] == pytest.approx((500 / 0.8 ** 6 + 1) * alone)
 
 
 # ---- vectors
