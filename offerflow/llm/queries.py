@@ -104,7 +104,7 @@ QUERIES = {
 
 
 def _raking_sql() -> str:
-    """The sweeps of iterative proportional fitting, one CTE per dimension."""
+    """Iterative proportional fitting, a sweep a round, until the marginals are met or the error no longer falls."""
     words = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
     ctes = [
         "topics AS (SELECT vec_id AS doc_id, min(label)::VARCHAR AS topic FROM embeddings GROUP BY vec_id)",
@@ -115,15 +115,23 @@ def _raking_sql() -> str:
     for d in mixing.DIMENSIONS:
         ctes.append(f"share_{d} AS MATERIALIZED (SELECT {d}, raw / sum(raw) OVER () AS share FROM (SELECT {d}, "
                     f"pow(sum(tokens)::DOUBLE, {mixing.POWER}) AS raw FROM cells GROUP BY {d} HAVING sum(tokens) > 0))")
-    ctes.append("w0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens::DOUBLE AS weight FROM cells WHERE tokens > 0)")
-    n = 0
-    for _ in range(mixing.SWEEPS):
-        for d in mixing.DIMENSIONS:
-            ctes.append(f"w{n + 1} AS MATERIALIZED (SELECT w.source, w.lang, w.topic, w.tokens, "
-                        f"w.weight * s.share / sum(w.weight) OVER (PARTITION BY w.{d}) AS weight FROM w{n} w JOIN share_{d} s ON w.{d} = s.{d})")
-            n += 1
-    ctes.append(f"rates AS (SELECT source, lang, topic, round((weight / tokens) / max(weight / tokens) OVER (), 9) AS rate FROM w{n})")
-    return ("WITH " + ",\n".join(ctes) + "\nSELECT doc_id, r.source, r.lang, r.topic, r.tokens, probability, "
+    dims = mixing.DIMENSIONS
+    shares = ", ".join(f"share_{d}.share AS share_{d}" for d in dims)
+    ctes.append(f"w0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens::DOUBLE AS weight, {shares} FROM cells "
+                + " ".join(f"JOIN share_{d} USING ({d})" for d in dims) + " WHERE tokens > 0)")
+    keep = "source, lang, topic, tokens, share_source, share_lang, share_topic, errors"
+    sweep = (f"SELECT {keep}, weight FROM sweeps WHERE NOT (len(errors) >= {mixing.SWEEPS} AND (errors[-1] <= {mixing.TOLERANCE} "
+             f"OR (len(errors) > {mixing.PATIENCE} AND NOT errors[-1] < 0.99 * errors[len(errors) - {mixing.PATIENCE}])))")
+    for d in dims:
+        sweep = f"SELECT {keep}, weight * share_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight FROM ({sweep})"
+    off = ", ".join(f"abs(sum(weight) OVER (PARTITION BY {d}) / share_{d} - 1)" for d in dims)
+    sweep = f"SELECT *, greatest({off}) AS off FROM ({sweep})"
+    columns = keep.replace(", errors", "")
+    ctes.append(f"sweeps AS (SELECT {columns}, []::DOUBLE[] AS errors, weight FROM w0 UNION ALL "
+                f"SELECT {columns}, list_append(errors, max(off) OVER ()), weight FROM ({sweep}))")
+    n = " WHERE len(errors) = (SELECT max(len(errors)) FROM sweeps)"
+    ctes.append(f"rates AS (SELECT source, lang, topic, round((weight / tokens) / max(weight / tokens) OVER (), 9) AS rate FROM sweeps{n})")
+    return ("WITH RECURSIVE " + ",\n".join(ctes) + "\nSELECT doc_id, r.source, r.lang, r.topic, r.tokens, probability, "
             "('0x' || substr(md5(coalesce(doc_id, -1)::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < probability AS selected "
             "FROM (SELECT r.*, coalesce(a.rate, CASE WHEN c.tokens > 0 THEN 0.0 ELSE 1.0 END) AS probability FROM rows r "
             "JOIN cells c USING (source, lang, topic) LEFT JOIN rates a USING (source, lang, topic)) r")
@@ -220,7 +228,7 @@ def _manifest_sql(levels: int = 18) -> str:
                         "CASE WHEN x.lvl IS NULL THEN acc ELSE sha256(x.l || acc || x.r) END AS acc, proof || coalesce(x.l || x.r, '') AS proof "
                         f"FROM f{n} f LEFT JOIN {tree}_sib x ON {match} AND x.lvl = {k} AND x.pos = f.{at} // {3 ** k})")
             n += 1
-    return ("WITH " + ",\n".join(ctes) + "\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, "
+    return ("WITH RECURSIVE " + ",\n".join(ctes) + "\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, "
             f"acc = root AS verified FROM f{n}, (SELECT d AS root FROM u WHERE size = 1)")
 
 

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Row
@@ -10,6 +11,7 @@ from pyspark.sql import Row
 from offerflow.llm import embedding_dedup, jaccard_join, line_dedup, mixing
 from offerflow.llm.common import read
 from offerflow.llm.components import components
+from offerflow.llm.queries import ORACLES, QUERIES
 from tests.llm.conftest import by_id
 
 SF = "/root/testdata/sf0.001"
@@ -337,6 +339,21 @@ def test_raking_goes_on_until_sources_of_one_language_meet_their_targets(spark):
         assert all(abs(got[k] / (v / sum(raw.values())) - 1) <= 2 * mixing.TOLERANCE for k, v in raw.items())
 
 
+def test_mixing_equals_its_sql_where_eight_sweeps_are_not_enough(spark):
+    cells = mixing.counted(read(spark, SF, "documents"), read(spark, SF, "embeddings")).groupBy(*mixing.DIMENSIONS).sum("tokens")
+    errors = mixing.rake(cells.withColumnRenamed("sum(tokens)", "tokens"))[1]
+    assert len(errors) > mixing.SWEEPS and errors[mixing.SWEEPS - 1] > mixing.TOLERANCE >= errors[-1]
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, tokens, probability, selected FROM ({ORACLES['op5_mixing']})").fetchall()}
+    got = by_id(QUERIES["op5_mixing"](spark, SF))
+    assert got.keys() == want.keys()
+    for i, (tokens, probability, selected) in want.items():
+        assert (got[i].tokens, got[i].selected) == (tokens, selected)
+        assert got[i].probability == pytest.approx(probability, abs=2e-9)
+
+
 def test_raking_of_tables_equals_raking_in_the_driver(spark):
     cells = spark.createDataFrame([("a", "x", "t", 900), ("a", "y", "t", 100), ("b", "x", "t", 60), ("b", "y", "t", 300)],
                                   "source string, lang string, topic string, tokens long")
