@@ -98,3 +98,20 @@ def test_one_raising_offer_fails_alone(spark):
     df = spark.createDataFrame([(i, "text", "cv") for i in range(20)], "seq long, description string, cv_text string").coalesce(1)
     out = sc.score_offers(df, scorer)
     assert [r["seq"] for r in sc.dead_letter(out).collect()] == [3] and sc.scored_ok(out).count() == 19
+
+
+def test_scorer_gets_small_slices_of_long_texts(spark):
+    import pandas as pd
+
+    bound = 3 * (2 << 20)
+
+    def scorer(pdf):
+        chars = int(pdf["description"].str.len().sum())
+        return pd.DataFrame({"match_score": [50] * len(pdf), "missing_skills": [[]] * len(pdf), "advice": ["ok"] * len(pdf),
+                             "error": ["too much at once" if chars > bound else None] * len(pdf)})
+
+    df = spark.range(400).coalesce(1).select(F.col("id").alias("seq"), F.repeat(F.lit("x"), F.lit(50_000)).alias("description"),
+                                             F.when(F.col("id") % 2 == 0, F.lit("cv")).alias("cv_text"))
+    out = sc.score_offers(df, scorer)
+    assert sc.dead_letter(out).count() == 0 and sc.scored_ok(out).count() == 400
+    assert out.select(F.sum(F.length("prompt"))).first()[0] == sc.render_prompt(df).select(F.sum(F.length("prompt"))).first()[0]
