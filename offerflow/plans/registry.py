@@ -771,7 +771,7 @@ def q_retry_ledger(spark, sf):
     runs = fold_searches([o.where(F.col("batch_id") == k) for k in (1, 2, 3)], start, searches,
                          fx.resumes(spark, sf), fx.REF_TS, flaky_scorer, log)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
-    out = log.read().select(F.lit("pair").alias("outcome"), F.lit(0).alias("run"), "profile_id", "job_url", "seq", "status",
+    out = log.pairs().select(F.lit("pair").alias("outcome"), F.lit(0).alias("run"), "profile_id", "job_url", "seq", "status",
                             "attempts", "last_error", none("match_score", "int"))
     for k, run in enumerate(runs, 1):
         out = out.unionByName(run.results.select(

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.attempts import due, outcomes
+from ..operators.attempts import due, outcomes, with_text_id
 from ..operators.offers import place_and_age, rejected_offers, valid_offers
 from ..operators.scoring import ScorerFn, dead_letter, score_offers, scored_ok, to_result
 from ..operators.search import compiled_profiles, match_profiles
@@ -24,11 +24,14 @@ from ..sources.attempt_log import AttemptLog
 
 SCOPE = ["profile_id"]
 STATE_COLS = ["profile_id", "seq", "batch_id", "source_rank", "title", "company", "location", "job_url"]
+#: What a scorer reads beside the pair: the offer's text, the search's CV and skills.
+WIDE = ["description", "cv_text", "skills", "prompt"]
 
 
 @dataclass
 class SearchRun:
-    """What one run gives: refused offers, new pairs, verdicts, failures, and the state after it."""
+    """What one run gives: refused offers, new pairs, verdicts, failures (with the offer's
+    text), and the state after it."""
 
     rejects: DataFrame
     fresh: DataFrame
@@ -52,23 +55,35 @@ def run_searches(batch: DataFrame, current: DataFrame, searches: DataFrame, resu
 
     ``current`` holds STATE_COLS. The new pairs and the scored rows are
     checkpointed, as several readers follow and a scorer may cost money or answer
-    anew each time; the returned state is lazy. With ``attempts``, pairs whose
+    anew each time; the returned state is lazy. Pairs carry their text's digest: the
+    texts join in front of the scorer, each shuffled once, and are stored with no pair.
+    Failures get theirs back when they are read. With ``attempts``, pairs whose
     scoring failed or that had no description are due again, and pairs that are
     scored never are; the run's outcomes are committed to it."""
-    good = valid_offers(batch)
+    good = with_text_id(valid_offers(batch))
     pairs = wanted_pairs(good, searches, ref_ts)
     fresh = dedupe_batch(new_offers(pairs, seen_urls(current, scope=SCOPE), SCOPE), scope=SCOPE).checkpoint(eager=True)
     after = merge_history(current, fresh, history_is_merged, SCOPE).select(*STATE_COLS)
-    texts = good.select("seq", "description")
+    texts = good.where("text_id is not null").select("text_id", "description")
     if attempts is None:
-        todo = fresh.join(texts.where(F.length("description") > 0), "seq")
+        todo = fresh.join(good.where("text_id is not null").select("seq", "text_id", "description"), "seq")
+        with_text = todo
     else:
-        todo = due(fresh.join(texts, "seq"), attempts.read(), good, max_attempts).checkpoint(eager=True)
-    scored = score_offers(todo.join(resumes.select("profile_id", "cv_text"), "profile_id")
-                          .join(searches.select("profile_id", "skills"), "profile_id"), scorer).checkpoint(eager=True)
+        todo = due(fresh.join(good.select("seq", "text_id"), "seq"), attempts.pairs(), good, max_attempts).checkpoint(eager=True)
+        texts = texts.unionByName(attempts.texts())
+        with_text = todo.join(_texts_of(texts, todo), "text_id")
+    scored = score_offers(with_text.join(resumes.select("profile_id", "cv_text"), "profile_id")
+                          .join(searches.select("profile_id", "skills"), "profile_id"), scorer)
+    scored = scored.drop(*[c for c in WIDE if c in scored.columns]).checkpoint(eager=True)
     if attempts is not None:
-        attempts.upsert(outcomes(todo, scored))
-    return SearchRun(rejected_offers(batch), fresh, to_result(scored_ok(scored)), dead_letter(scored), after)
+        attempts.upsert(outcomes(todo, scored), texts)
+    failed = dead_letter(scored)
+    return SearchRun(rejected_offers(batch), fresh, to_result(scored_ok(scored)), failed.join(_texts_of(texts, failed), "text_id"), after)
+
+
+def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(text_id, description), once each, of the texts that pairs name."""
+    return texts.join(pairs.select("text_id").distinct(), "text_id", "left_semi").dropDuplicates(["text_id"])
 
 
 def fold_searches(batches: Sequence[DataFrame], current: DataFrame, searches: DataFrame, resumes: DataFrame,

@@ -107,6 +107,10 @@ COMPILED = T.StructType(
     ]
 )
 
+# The same pair as it is stored: the text by its digest, and each text once.
+ATTEMPT_ROW = T.StructType([*(f for f in ATTEMPT.fields if f.name != "description"), T.StructField("text_id", S)])
+TEXT = T.StructType([T.StructField("text_id", S), T.StructField("description", S)])
+
 # One HTML element of a page, as produced by the parse pass.
 ELEMENT = T.StructType(
     [

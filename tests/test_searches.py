@@ -211,3 +211,15 @@ def test_registered_retries_fire_every_outcome(spark):
     scored = [(r["profile_id"], r["job_url"]) for r in rows if r["outcome"] == "result"]
     assert len(scored) == len(set(scored)) == sum(r["status"] == "scored" for r in pairs)
     assert {r["run"] for r in rows} == {0, 1, 2, 3}
+
+
+def test_texts_that_wait_are_stored_once_and_no_pair_carries_them(spark, tmp_path):
+    text = "text of some length " * 200
+    o = offers_of(spark, [offer(i, 1, "Data never", f"u{i}", company=f"c{i}", desc=text) for i in range(40)])
+    s = searches_of(spark).where("profile_id in (1, 3)")
+    cvs = spark.createDataFrame([(1, "cv"), (3, "cv")], "profile_id long, cv_text string")
+    log = attempt_log(spark, "attempts-texts")
+    runs = fold_searches([o, o.limit(0)], wanted_pairs(o.limit(0), s, REF), s, cvs, REF, counting(str(tmp_path / "calls"), lambda *_: True), log)
+    assert "description" not in log.pairs().columns and log.texts().count() == 1
+    assert {(r["status"], r["attempts"], r["description"]) for r in log.read().collect()} == {("failed", 2, text)}
+    assert log.read().count() == 80 and {r["description"] for r in runs[1].failed.collect()} == {text}
