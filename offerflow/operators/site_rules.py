@@ -83,9 +83,12 @@ def compile_rows(site: str, rows) -> dict:
 
 
 def _by_site(pages: DataFrame, rules: DataFrame, *columns: str) -> DataFrame:
-    """The pages' columns with the rows of their site (null where there are none)."""
+    """The pages' columns, spread, with the rows of their site (null where there are none).
+
+    The rules (a row per site) go to every task: a join on the site would send all
+    pages of a site to one, and rows joined before the spreading would be shuffled with each page."""
     rows = rules.groupBy(F.col("site").alias("_site")).agg(F.collect_list(F.struct(*[c for c in RULE.names if c != "site"])).alias("_rules"))
-    return pages.select(*columns).join(rows, F.col("site") == F.col("_site"), "left").drop("_site")
+    return spread_few(pages.select(*columns), "page_id").join(F.broadcast(rows), F.col("site") == F.col("_site"), "left").drop("_site")
 
 
 class _Compiled(dict):
@@ -110,7 +113,7 @@ def cards_by_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
         yield from _chunked(batches, CARD_SCHEMA.names, cards)
 
-    return spread_few(_by_site(pages, rules, "page_id", "site", "html"), "page_id").mapInPandas(run, CARD_SCHEMA)
+    return _by_site(pages, rules, "page_id", "site", "html").mapInPandas(run, CARD_SCHEMA)
 
 
 def offers_of_cards(cards: DataFrame, rules: DataFrame, search_place: str | None = None) -> DataFrame:
@@ -118,7 +121,7 @@ def offers_of_cards(cards: DataFrame, rules: DataFrame, search_place: str | None
     names = ("marker", "stop", "prefix", "cut_query", "clean_title", "prefix_always")
     settings = rules.where("role = 'setting'").groupBy(F.col("site").alias("_site")).agg(
         *[F.max(F.when(F.col("attribute") == c, F.col("value"))).alias(f"_{c}") for c in names])
-    c = cards.join(settings, F.col("site") == F.col("_site"), "left")
+    c = cards.join(F.broadcast(settings), F.col("site") == F.col("_site"), "left")
     on = lambda flag: F.coalesce(F.col(f"_{flag}") == "true", F.lit(False))
     keep = (F.coalesce(F.contains("href", F.col("_marker")), F.lit(True)) & ~F.coalesce(F.contains("href", F.col("_stop")), F.lit(False)))
     link = F.when(on("cut_query"), canonical_url("href")).otherwise(F.col("href"))
@@ -158,5 +161,5 @@ def descriptions_by_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
         yield from _chunked(batches, ["page_id", "site", "description"], texts)
 
-    return spread_few(_by_site(pages, rules, "page_id", "site", "html"), "page_id").mapInPandas(
+    return _by_site(pages, rules, "page_id", "site", "html").mapInPandas(
         run, "page_id long, site string, description string")

@@ -96,3 +96,16 @@ def test_rules_in_any_order_equal_ranks_and_unknown_sites(spark, order):
     texts = {r["page_id"]: r["description"] for r in sr.descriptions_by_rules(pages.unionByName(more), rules).collect()}
     assert texts == {1: "", 2: "", 3: "", 4: "", 5: "text", 6: "longer text"}
     assert sr.cards_by_rules(pages, rules.limit(0)).count() == 0
+
+
+def test_pages_meet_their_rules_without_a_shuffle_by_site(spark):
+    pages = spark.createDataFrame([(i, "Example", "<article>a</article>") for i in range(4)], "page_id long, site string, html string")
+    rules = spark.createDataFrame([("Example", "description", 0, "article", None, "none", None)], sr.RULE)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables whose size Spark does not know to be small
+    try:
+        out = sr.descriptions_by_rules(pages, rules)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r["description"] for r in out.collect()} == {"a"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
