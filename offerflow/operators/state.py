@@ -170,13 +170,19 @@ def _touched(history: DataFrame, new: DataFrame, scope: Sequence[str]) -> tuple[
 
 
 def merge_changes(history: DataFrame, new: DataFrame, scope: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """What merging ``new`` into a merged history changes: (rows added, rows dropped).
-    Both are checkpointed, as they are small (the batch's size) and each is read once more."""
-    touched, _ = _touched(history, new, scope)
-    both = union_sources(touched.withColumn("_new", F.lit(False)), new.withColumn("_new", F.lit(True))).checkpoint(eager=True)
+    """What merging ``new`` into a merged history changes: (rows added, whole; rows
+    dropped, with the columns that decide).
+
+    Only those columns are read of the history and shuffled: rows that are equal in
+    them fare alike, so the batch's whole rows are picked by them at the end. What is
+    decided is checkpointed, as it is small (the batch's size) and read once more."""
+    decide = [*dict.fromkeys([*scope, *ORDER, "job_url", "title", "company", "location"])]
+    touched, _ = _touched(history.select(*decide), new.select(*decide), scope)
+    both = union_sources(touched.withColumn("_new", F.lit(False)),
+                         new.select(*decide).withColumn("_new", F.lit(True))).checkpoint(eager=True)
     kept = _both_passes(both, scope).checkpoint(eager=True)
     dropped = join_null_safe(both.where("not _new"), kept.where("not _new"), ORDER, "left_anti")
-    return kept.where("_new").drop("_new"), dropped.drop("_new")
+    return join_null_safe(new, kept.where("_new"), decide, "left_semi"), dropped.drop("_new")
 
 
 def append_history(history: DataFrame, new: DataFrame) -> DataFrame:
