@@ -637,10 +637,11 @@ FROM res GROUP BY profile_id
 UNION ALL SELECT profile_id, seq AS ord, {_report_block_sql()} AS html FROM res
 UNION ALL SELECT profile_id, {1 << 62}::BIGINT AS ord, {_sql_str(rpt.REPORT_TAIL)} AS html FROM res GROUP BY profile_id""")
 def q_report(spark, sf):
+    from ..session import stored
     res = sc.to_result(_scored_pairs(spark, sf)).select(
         "profile_id", "seq", "title", "company", "url", F.col("analysis.match_score").alias("match_score"),
         F.col("analysis.advice").alias("advice"))
-    return rpt.report_lines(res.checkpoint())
+    return rpt.report_lines(stored(res, "report_results", "seq"))
 
 
 # ---------------------------------------------------------------------------

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 def write_ranged(df: DataFrame, path: str, key: str, order: Sequence[str] = (), partitions: int | None = None) -> None:
     cols = [key, *order]
     ranged = df.repartitionByRange(*([partitions] if partitions else []), *cols).sortWithinPartitions(*cols)
-    ranged.write.mode("overwrite").parquet(f"{path}/rows")
+    # texts of one key are alike, which zstd finds over a whole page
+    ranged.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rows")
     spark = df.sparkSession
     at = F.struct(*cols)
     rows = spark.read.schema(df.schema).parquet(f"{path}/rows").select(*cols, F.input_file_name().alias("file"))

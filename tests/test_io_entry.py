@@ -124,3 +124,29 @@ def test_stream_equals_fold(spark):
     a = {tuple(r) for r in E.queries()["stream_ingest"](spark, SF_SMALL).collect()}
     b = {tuple(r) for r in E.queries()["incremental_run"](spark, SF_SMALL).collect()}
     assert a == b and len(a) > 0
+
+
+def test_report_results_are_stored_with_each_text_about_once(spark, tmp_path):
+    import hashlib
+    import os
+
+    from offerflow.plans import registry
+
+    words = [f"keyword{i:04d}x" for i in range(60)]
+    title = lambda i: f"{i} " + " ".join(words) + f" {hashlib.sha256(str(i).encode()).hexdigest() * 4}"
+    docs = [(i, f"{title(i)}\ntext {i}", "en", "src", 1) for i in range(1, 29)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, w) for i, w in enumerate(words)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    lines = registry.q_report(spark, str(tmp_path))
+    files = [f.removeprefix("file:") for f in lines.inputFiles()]
+    assert files  # a reliable checkpoint, which holds every pair in full, gives none
+    html = lines.where("ord between 0 and 1000").collect()
+    assert len(html) >= 28 * 60  # every search of a word matches every offer
+    assert sum(map(os.path.getsize, files)) < sum(len(r["html"]) for r in html) / 5
+    # lines and counts as before
+    by = {}
+    for r in lines.collect():
+        by.setdefault(r["profile_id"], []).append((r["ord"], r["html"]))
+    for rows in by.values():
+        rows.sort()
+        assert rows[0][0] == -1 and f"Scored offers: {len(rows) - 2}<" in rows[0][1] and [o for o, _ in rows[1:-1]] == list(range(1, 29))

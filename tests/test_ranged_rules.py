@@ -34,6 +34,14 @@ def test_one_search_is_read_from_the_files_that_hold_it(spark):
     assert ranged.read_ranged(spark, path).count() == ranged.read_key(spark, path, "profile_id", 7).count() == 0
 
 
+def test_ranged_files_are_packed_by_page(spark):
+    path = scratch_path(spark, "packed")
+    df = spark.range(10).select("id", F.lit("x").alias("html"))
+    ranged.write_ranged(df, path, "id", partitions=2)
+    assert all(f.endswith(".zstd.parquet") for f in ranged.read_ranged(spark, path).inputFiles())
+    assert ranged.read_ranged(spark, path).count() == 10
+
+
 def test_an_age_limit_opens_the_days_it_needs(spark):
     import datetime as dt
 
