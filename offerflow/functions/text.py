@@ -19,6 +19,10 @@ PY_SPACE = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 
+#: The same characters, for functions that take them as a list.
+PY_SPACE_CHARS = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                   0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 # A character that is not a word character (letter, number, underscore).
 # Used for whole-word tests that must agree between Java and RE2.
 NOT_WORD = r"[^\p{L}\p{N}_]"
@@ -31,9 +35,10 @@ def _col(c) -> Column:
 def py_strip(c) -> Column:
     """str.strip(): drop leading and trailing Unicode whitespace.
 
-    ``F.trim`` removes only U+0020, so a tab, NBSP or U+2003 would stay.
+    ``F.trim`` removes only U+0020, so a tab, NBSP or U+2003 would stay. Only the ends
+    are looked at: a pattern would run over the whole of a long text.
     """
-    return F.regexp_replace(_col(c), f"^{PY_SPACE}+|{PY_SPACE}+$", "")
+    return F.btrim(_col(c), F.lit(PY_SPACE_CHARS))
 
 
 def norm_key(c) -> Column:

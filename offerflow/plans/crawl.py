@@ -23,6 +23,8 @@ from ..operators.state import dedupe_keys, keep_one
 from ..sources.bloom import KeyFilter
 
 FOUND = ["profile_id", "page_id", "pos", "site", "job_url", "title", "company", "location"]
+#: The status of an offer whose detail page was not read.
+NO_PAGE = "missing"
 
 
 @dataclass
@@ -83,7 +85,9 @@ def crawl_offers(listing: DataFrame, details: DataFrame, searches: DataFrame, se
     pages = wanted_details(details, new.select("site", "link"))
     texts = site_descriptions(pages.select("page_id", "url", "site", "html")).select("page_id", "description")
     texts = texts.join(pages.select("page_id", "site", "link"), "page_id").select("site", "link", "description")
-    offers = description_status(new.join(texts, ["site", "link"], "left")).select(*FOUND, "description", "status")
+    # a text is judged once, however many searches found its offer; an offer without a page has none
+    offers = (new.join(description_status(texts), ["site", "link"], "left")
+              .select(*FOUND, "description", F.coalesce("status", F.lit(NO_PAGE)).alias("status")))
     return Crawl(cards, matches, offers, pages)
 
 

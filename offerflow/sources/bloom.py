@@ -54,9 +54,13 @@ class KeyFilter:
         return cls(bits_of(distinct, key, blocks), blocks)
 
     def may_hold(self, df: DataFrame, key: str) -> DataFrame:
-        """Rows of ``df`` whose key is in the filter, and few others; none with a null key."""
+        """Rows of ``df`` whose key is in the filter, and few others; none with a null key.
+
+        A semi join, as Catalyst moves a later semi join on ``df``'s columns below an inner
+        one, and with it the shuffle that the filter is to spare."""
         bits = self.bits.select(F.col("block").alias("_block"), F.col("bits").alias("_bits"))
         if self.blocks <= BROADCAST_BLOCKS:
             bits = F.broadcast(bits)
-        asked = df.where(F.col(key).isNotNull()).withColumn("_block", block_of(F.col(key), F.lit(self.blocks)))
-        return asked.join(bits, "_block").where(holds(F.col("_bits"), probes(F.col(key)))).select(*df.columns)
+        key = F.col(key)
+        asked = df.where(key.isNotNull())
+        return asked.join(bits, (block_of(key, F.lit(self.blocks)) == F.col("_block")) & holds(F.col("_bits"), probes(key)), "left_semi")

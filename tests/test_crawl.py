@@ -77,6 +77,32 @@ def test_the_filter_stands_before_the_html_pass(spark):
     assert plan.count("MapInPandas") == 1  # details once; listing pages were parsed before
 
 
+def joins_of(df):
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if " Join " in line]
+
+
+def test_the_filter_is_asked_before_the_details_are_shuffled(spark):
+    links = spark.createDataFrame([("LinkedIn", "https://in/v/10")], "site string, link string")
+    joins = joins_of(wanted_details(details_of(spark), links))
+    # the newest snapshot, the exact join, and below both the filter
+    assert ["bits" in j for j in joins[:3]] == [False, False, True]
+
+
+def test_a_text_is_judged_once_for_all_its_searches(spark):
+    plan = crawl_offers(listing_of(spark), details_of(spark), searches_of(spark), None, plan_of(spark)).offers._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("RLIKE")  # below the join with the offers
+
+
+def test_offers_without_a_page_or_with_two(spark):
+    searches = spark.createDataFrame([(k, ["data"], [], [], "Here", False, 14, []) for k in (1, 2)], SEARCH)
+    plan = spark.createDataFrame([(k, "NoFluffJobs", f"{NFJ}/a") for k in (1, 2)], PLAN)
+    details = details_of(spark)
+    twice = details.where("page_id != 104").unionByName(details.where("page_id = 101"))
+    offers = crawl_offers(listing_of(spark), twice, searches, None, plan).offers
+    got = sorted((r["profile_id"], r["job_url"][-1], r["status"], r["description"]) for r in offers.select("profile_id", "job_url", "status", "description").distinct().collect())
+    assert got == [(k, i, *rest) for k in (1, 2) for i, *rest in (("1", "ok", "text 1"), ("4", "missing", None))]
+
+
 def test_crawl_of_empty_tables(spark):
     listing, details, s = listing_of(spark), details_of(spark), searches_of(spark)
     for a, b, c in ((listing.limit(0), details, s), (listing, details.limit(0), s), (listing, details, s.limit(0))):

@@ -57,3 +57,10 @@ def test_clip_code_points(spark):
     s = "😀" * 10
     assert one(spark, s, lambda c: tx.clip(c, 4)) == s[:4]
     assert one(spark, s, lambda c: tx.n_cut(c, 4)) == 6
+
+
+def test_py_strip_looks_at_the_ends_only(spark):
+    df = spark.createDataFrame([("\u2003 a \u00a0b\n\u0085",), (" \t\u3000",), ("",), (None,)], "s string").select(tx.py_strip("s").alias("s"))
+    assert [r["s"] for r in df.collect()] == ["a \u00a0b", "", "", None]
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert set(tx.PY_SPACE_CHARS) == {chr(c) for c in range(0x110000) if chr(c).isspace()}
