@@ -1392,10 +1392,11 @@ def q_snk_results(spark, sf):
 @register("src_results", O.with_(O.OFFERS, O.PROFILES, O.COMPILED, MATCHED_PAIRS, O.RESUMES, SCORED_SQL) +
           "SELECT DISTINCT job_url AS url FROM scored")
 def q_src_results(spark, sf):
+    """The results as JSON lines, one for each pair, read back."""
     from ..session import scratch_path
     from ..sources import io
     path = scratch_path(spark, "results_json")
-    io.results_to_json(sc.to_result(_scored_pairs(spark, sf))).write.mode("overwrite").text(path)
+    io.write_results(sc.to_result(_scored_pairs(spark, sf)), path, "seq")
     back = io.read_results(spark, path, array=False)
     return back.select("url").where(F.col("url").isNotNull()).distinct()
 

@@ -18,6 +18,8 @@ from ..schemas import HISTORY_JSON, RESULT_JSON
 SNAPSHOT_PREFIX = "v="
 #: Bits of ``monotonically_increasing_id`` that number the rows of a task.
 ROW_BITS = 33
+#: Records in a file of results at most: a gzip file is read by one task.
+RESULTS_PER_FILE = 250_000
 
 
 def _fs(spark: SparkSession, path: str):
@@ -196,6 +198,17 @@ def results_to_json(results: DataFrame) -> DataFrame:
     return results.select(F.to_json(F.struct("company", "title", "url", "location", "analysis")).alias("json"))
 
 
+def write_results(results: DataFrame, path: str, *order: str) -> None:
+    """Replace a result history of JSON lines, in gzip files sorted by ``order``.
+
+    A record holds its offer's fields in full. Sorted by offer, the records of an offer
+    stand next to each other, where gzip holds what they share about once. A plan that
+    ends in a merge join on ``order`` has its rows so and is not sorted again."""
+    rows = results.sortWithinPartitions(*order) if order else results
+    (results_to_json(rows).write.mode("overwrite").option("compression", "gzip")
+     .option("maxRecordsPerFile", RESULTS_PER_FILE).text(path))
+
+
 def write_report(lines: DataFrame, path: str) -> None:
     """Report lines as text, one folder per search, lines in order: range
     partitioning on (profile_id, ord) keeps the order across part files."""

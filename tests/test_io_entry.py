@@ -150,3 +150,47 @@ def test_report_results_are_stored_with_each_text_about_once(spark, tmp_path):
     for rows in by.values():
         rows.sort()
         assert rows[0][0] == -1 and f"Scored offers: {len(rows) - 2}<" in rows[0][1] and [o for o, _ in rows[1:-1]] == list(range(1, 29))
+
+
+def test_result_history_holds_each_offer_about_once(spark, tmp_path):
+    import hashlib
+    import os
+
+    from offerflow.plans import registry
+
+    words = [f"keyword{i:04d}x" for i in range(60)]
+    title = lambda i: f"{i} " + " ".join(words) + f" {hashlib.sha256(str(i).encode()).hexdigest() * 4}"
+    docs = [(i, f"{title(i)}\ntext {i}", "en", "src", 1) for i in range(1, 29)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, w) for i, w in enumerate(words)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    urls = registry.q_src_results(spark, str(tmp_path))
+    files = [f.removeprefix("file:") for f in urls.inputFiles()]
+    records = [json.loads(r["value"]) for r in spark.read.text(files).collect()]
+    # every pair is a record with its offer's fields in full
+    pairs = registry.sc.to_result(registry._scored_pairs(spark, str(tmp_path))).collect()
+    assert sorted((r["url"], r["title"], r["analysis"]["match_score"]) for r in records) == sorted(
+        (p["url"], p["title"], p["analysis"]["match_score"]) for p in pairs)
+    assert len(records) >= 28 * 60  # every search of a word matches every offer
+    assert sum(map(os.path.getsize, files)) < sum(len(r["title"]) for r in records) / 5
+    assert sorted(r["url"] for r in urls.collect()) == sorted({p["url"] for p in pairs})
+
+
+def test_results_are_written_by_offer_in_files_of_bounded_length(spark, tmp_path, monkeypatch):
+    import hashlib
+    import os
+
+    text = lambda i: "".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest() for k in range(30))
+    # an offer's records stand 200 kB apart as they come, out of reach of gzip
+    rows = [(p, i, None if i == 7 else f"Zażółć {i}", text(i), None if i == 9 else f"https://x/{i}", "K",
+             (p, ["sql", "ü"] if p % 2 else [], None if p == 3 else "a\nb")) for p in range(20) for i in range(100)]
+    df = spark.createDataFrame(rows, "profile_id long, seq long, company string, title string, url string, location string, "
+                                     "analysis struct<match_score int, missing_skills array<string>, advice string>").coalesce(1)
+    monkeypatch.setattr(io, "RESULTS_PER_FILE", 300)
+    io.write_results(df, f"{tmp_path}/r", "seq")
+    back = io.read_results(spark, f"{tmp_path}/r", array=False)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.select(*back.columns).collect()))
+    files = [f.removeprefix("file:") for f in back.inputFiles()]
+    assert len(files) == 7 and all(spark.read.text(f).count() <= 300 for f in files)
+    assert sum(map(os.path.getsize, files)) < 2 * sum(len(text(i)) for i in range(100))
+    io.write_results(df.limit(0), f"{tmp_path}/r", "seq")  # replaced; no rows give an empty history
+    assert io.read_results(spark, f"{tmp_path}/r", array=False).count() == 0
